@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from quillmill.llm import sharding
+from quillmill.llm import line_dedup, mixing, sharding
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
+    "op2_mixing": mixing.query,
     "op10_sharding": sharding.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+        WITH lines AS (
+          SELECT doc_id, line, place, regexp_replace(lower_key, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key FROM (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place,
+                   translate(unnest(string_split(coalesce(text, ''), chr(10))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_key
+            FROM documents)),
+        hot AS (SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+        SELECT l.doc_id, count(*)::BIGINT AS n_lines,
+               count(*) FILTER (h.key IS NOT NULL AND l.doc_id <> h.keeper)::BIGINT AS n_dropped,
+               sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (NOT (h.key IS NOT NULL AND l.doc_id <> h.keeper)), '')) AS kept_sha256
+        FROM lines l LEFT JOIN hot h USING (key) GROUP BY l.doc_id""",
+}

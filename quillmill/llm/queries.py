@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillmill.llm import line_dedup, mixing, sharding
+from quillmill.llm import line_dedup, mixing, sharding, token_files
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_mixing": mixing.query,
+    "op4_token_files": token_files.query,
     "op10_sharding": sharding.query,
 }
 

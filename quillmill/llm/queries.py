@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quillmill.llm import line_dedup, mixing, sharding, token_files
+from quillmill.llm import line_dedup, media, mixing, sharding, token_files, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_mixing": mixing.query,
     "op4_token_files": token_files.query,
+    "op6_media": media.query,
+    "op7_warc": warc.query,
     "op10_sharding": sharding.query,
 }
 

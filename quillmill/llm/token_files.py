@@ -196,7 +196,7 @@ def _read(folder: str):
         system, base = open_filesystem(folder)
         for batch in batches:
             for name, base_ids in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                with system.open_input_stream(f"{base}/{name}") as stream:
+                with system.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     docs, per_doc, ids = unpack_file(stream.read())
                 ends = np.cumsum(per_doc)
                 whole = ids.astype("<u4").tobytes()

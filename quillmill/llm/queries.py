@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import line_dedup, media, mixing, sharding, token_files, warc
+from quillmill.llm import line_dedup, media, mixing, near_dedup, sharding, token_files, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_token_files": token_files.query,
     "op6_media": media.query,
     "op7_warc": warc.query,
+    "op8_near_dedup": near_dedup.query,
     "op10_sharding": sharding.query,
 }
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillmill.llm import line_dedup, media, mixing, near_dedup, sharding, token_files, warc
+from quillmill.llm import language_id, line_dedup, media, mixing, near_dedup, sharding, token_files, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_mixing": mixing.query,
     "op4_token_files": token_files.query,
+    "op5_language_id": language_id.query,
     "op6_media": media.query,
     "op7_warc": warc.query,
     "op8_near_dedup": near_dedup.query,

@@ -35,7 +35,7 @@ from quillmill.llm.words import SPACE, chunks_of, span_hashes, text_bytes
 MAGIC = b"QTOK"
 END_ID = 0
 #: Most pieces remembered by a task between batches.
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 20
 
 
 ALPHANUMERIC, PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
@@ -109,7 +109,7 @@ def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         width = np.uint16 if tokenizer.vocabulary <= 1 << 16 else np.uint32
-        for batch in chunks_of(batches):
+        for batch in chunks_of(batches, size=2 << 20):
             ids, at = tokenizer.encode(batch.column("text"))
             packed = ids.astype(width)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array([packed[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
@@ -161,7 +161,7 @@ def unpack_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 #: Ids after which a partition begins another file, so that a task's memory is bounded.
-FILE_IDS = 4_000_000
+FILE_IDS = 1 << 20
 
 
 def _write(folder: str, lengths: np.ndarray, codes: np.ndarray, width):
@@ -176,11 +176,11 @@ def _write(folder: str, lengths: np.ndarray, codes: np.ndarray, width):
             file.write(body)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "file": [file.close()], "n_ids": pa.array([int(per_doc.sum())], pa.int64())})
 
-        end = np.array([END_ID], np.int64)
+        end = np.array([END_ID], width)
         for batch in batches:
             for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
                 docs.append(doc)
-                parts.append(np.concatenate([np.frombuffer(ids.as_buffer(), width).astype(np.int64), end]))
+                parts.append(np.concatenate([np.frombuffer(ids.as_buffer(), width), end]))
                 held += len(parts[-1])
                 if held >= FILE_IDS:
                     yield flush()

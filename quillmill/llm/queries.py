@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import language_id, line_dedup, media, mixing, near_dedup, sharding, token_files, warc
+from quillmill.llm import decontaminate, language_id, line_dedup, media, mixing, near_dedup, sharding, token_files, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_media": media.query,
     "op7_warc": warc.query,
     "op8_near_dedup": near_dedup.query,
+    "op9_decontaminate": decontaminate.query,
     "op10_sharding": sharding.query,
 }
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillmill.llm import decontaminate, language_id, line_dedup, media, mixing, near_dedup, sharding, token_files, warc
+from quillmill.llm import decontaminate, language_id, line_dedup, media, mixing, near_dedup, sharding, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_mixing": mixing.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_token_files": token_files.query,
     "op5_language_id": language_id.query,
     "op6_media": media.query,

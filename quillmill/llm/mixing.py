@@ -217,6 +217,15 @@ def cycle_targets(totals: dict[str, int], share: float = 1.5, limit: float = 2.0
     return dict(zip(names, water_fill([totals[s] for s in names], weights, share * sum(totals.values()), limit), strict=True))
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, each as often as the mix of its sources takes it. Rows alike are taken alike."""
+    taken = mix(docs.withColumn("memberships", F.array("source")), cycle_targets).filter("passes > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("mix_id"), F.col("body").alias("mix_body"), F.col("memberships")[0].alias("mix_source")).agg(F.max("passes").alias("mix_passes"))
+    on = docs["doc_id"].eqNullSafe(taken["mix_id"]) & (F.xxhash64(docs["text"]) == taken["mix_body"]) & docs["source"].eqNullSafe(taken["mix_source"])
+    passes = F.explode(F.sequence(F.lit(1).cast("long"), taken["mix_passes"])).alias("mix pass")
+    return docs.join(taken, on).select(*[docs[c] for c in docs.columns], passes).drop("mix pass")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("memberships", F.array("source"))
     found: dict[str, tuple] = {}

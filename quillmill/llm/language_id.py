@@ -156,7 +156,7 @@ def identify(docs: DataFrame) -> DataFrame:
 def drop_undetermined(docs: DataFrame) -> DataFrame:
     """The documents whose text has a language: the others have no text or no letter."""
     gone = identify(docs).filter(F.col("lang_pred") == UNDETERMINED).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,5 @@
 """Fixtures of documents with nulls, empty and long texts, ties, copies, and an extra column."""
 
-import random
-
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, text_crc32 long"
@@ -16,7 +14,3 @@ def make_docs(spark):
 
     return make
 
-
-def words(n, seed, letters="abcdefgh"):
-    rnd = random.Random(seed)
-    return ["".join(rnd.choices(letters, k=rnd.randint(2, 6))) for _ in range(n)]

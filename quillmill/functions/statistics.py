@@ -16,11 +16,13 @@ Z95 = 1.959963984540054
 
 def wilson(successes: Column, n: Column, z: float = Z95) -> Column:
     """A struct of rate, low and high; zeros without observations."""
-    p = successes / F.nullif(n, F.lit(0))
+    n = F.nullif(n, F.lit(0))
+    p = successes / n
     middle = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     zero = F.lit(0.0)
-    return F.struct(F.coalesce(p, zero).alias("rate"), F.coalesce(F.greatest(zero, middle - half), zero).alias("low"), F.coalesce(F.least(F.lit(1.0), middle + half), zero).alias("high"))
+    seen = lambda c: F.when(n.isNotNull(), c).otherwise(zero)
+    return F.struct(seen(p).alias("rate"), seen(F.greatest(zero, middle - half)).alias("low"), seen(F.least(F.lit(1.0), middle + half)).alias("high"))
 
 
 def mcnemar_p(b: int, c: int) -> float:

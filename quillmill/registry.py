@@ -23,5 +23,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from quillmill.operators import analytics, conversation, evaluation, graph, incremental, relational, retrieval, textual  # noqa: E402, F401
+from quillmill.operators import analytics, conversation, evaluation, graph, incremental, relational, retrieval, supplementary, textual  # noqa: E402, F401
 from quillmill.streaming import queries as _streaming  # noqa: E402, F401

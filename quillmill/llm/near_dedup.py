@@ -10,7 +10,7 @@ Stages: (1) one pass over the texts makes set size, set digest and sketch; (2) d
 one representative; (3) the sketches' bands put representatives into buckets, each bucket links its members to its
 smallest one as candidates, and candidates are verified on full sets; (4) components of verified links; (5) in buckets
 that still hold several components, sketches across components are compared in blocks, and the likely pairs are verified
-too, so that no link between components that share a bucket is lost; (6) components again.
+there too, so that no link between components that share a bucket is lost; (6) components again.
 With 24 bands of 5 coordinates a pair at similarity 0.85 shares no bucket with a probability below 1e-6 (at 0.8: 1e-4).
 
 Nothing is emitted for all pairs of a group: stage 3 is linear in the buckets' sizes, stage 5 looks only at buckets that
@@ -31,45 +31,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.components import connected_components
-from quillmill.llm.storage import cut
+from quillmill.llm.storage import cut, keep
 from quillmill.llm.words import U, Words, chunks_of, document_shingles, mix, shingle_hashes
 
 BANDS, ROWS = 24, 5
-#: Coordinates of a sketch.
-K = BANDS * ROWS
+#: Coordinates of a sketch; the first BANDS * ROWS are banded, all are compared (a byte of each).
+K = 480
 #: Rows of a block of sketches that are compared with another block.
 BLOCK = 2048
+#: Hashed throws that are worked out at a time.
+THROWS = 4096
 #: Members of a hot candidate group that one task verifies.
 GROUP = 2000
 
 
+_SEEDS = np.arange(1, 2 * K + 1, dtype=U) * U(0x9E3779B97F4A7C15)
+
+
 def fast_sketch(shingles: np.ndarray, k: int = K) -> np.ndarray:
-    """K coordinates (uint64: round in the upper half, hash in the lower) of a non-empty set of 64-bit shingles."""
+    """K coordinates (uint64: round in the upper half, hash in the lower) of a non-empty set of 64-bit shingles.
+
+    Several rounds of a small set are thrown at a time. Rounds thrown after all coordinates are filled change nothing.
+    """
     out = np.full(k, np.iinfo(np.uint64).max, U)
-    empty = k
-    for i in range(2 * k):
-        if not empty:
-            break
-        h = mix(shingles + U((0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF))
-        low = h & U(0xFFFFFFFF)
-        if i < k:
-            place = ((h >> U(32)) * U(k) >> U(32)).astype(np.int64)
-            value = low | U(i << 32)
-            np.minimum.at(out, place, value)
-            empty = int((out == np.iinfo(np.uint64).max).sum())
-        else:
-            j = i - k
-            out[j] = min(out[j], low.min() | U(i << 32))
-            empty = int((out == np.iinfo(np.uint64).max).sum())
+    at, rounds = 0, 1
+    while at < k and out.max() == np.iinfo(np.uint64).max:
+        these = np.arange(at, min(k, at + rounds), dtype=U)
+        h = mix(shingles[None, :] + _SEEDS[at : at + len(these), None])
+        value = (h & U(0xFFFFFFFF)) | (these << U(32))[:, None]
+        np.minimum.at(out, ((h >> U(32)) * U(k) >> U(32)).astype(np.int64).reshape(-1), value.reshape(-1))
+        at += len(these)
+        rounds = max(1, THROWS // len(shingles))
+    for j in np.flatnonzero(out == np.iinfo(np.uint64).max):  # round k + j is put into coordinate j
+        out[j] = (mix(shingles + _SEEDS[k + j]) & U(0xFFFFFFFF)).min() | U(int(k + j) << 32)
     return out
 
 
-def band_hashes(sketches: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for each band of each sketch (documents by bands)."""
-    parts = sketches.reshape(len(sketches), BANDS, ROWS)
-    out = np.zeros((len(sketches), BANDS), U) + np.arange(1, BANDS + 1, dtype=U) * U(0xD6E8FEB86659FD93)
+def band_hashes(sketch: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each band of a sketch."""
+    parts = sketch[: BANDS * ROWS].reshape(BANDS, ROWS)
+    out = np.arange(1, BANDS + 1, dtype=U) * U(0xD6E8FEB86659FD93)
     for r in range(ROWS):
-        out = mix(out ^ parts[:, :, r] * U(0xA0761D6478BD642F))
+        out = mix(out ^ parts[:, r] * U(0xA0761D6478BD642F))
     return out
 
 
@@ -85,28 +88,25 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
 def _sketches(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks_of(batches):
-            sizes, digests, sketches = [], [], []
+            sizes, rest = [], []
             for s in _sets(batch, n):
                 sizes.append(len(s))
                 if len(s):
                     sketch = fast_sketch(s)
                     # Equal sets have equal digests; distinct sets differ in 128 bits of sums of mixed shingles.
-                    digests.append(np.array([mix(s).sum(dtype=U), mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)], U).tobytes())
-                    sketches.append((mix(sketch) >> U(32)).astype(np.uint32).tobytes())
+                    digest = np.array([mix(s).sum(dtype=U), mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)], U).tobytes()
+                    rest.append((digest, band_hashes(sketch).tobytes(), (mix(sketch) >> U(56)).astype(np.uint8).tobytes()))
                 else:
-                    digests.append(None)
-                    sketches.append(None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary()), "sketch": pa.array(sketches, pa.binary())})
+                    rest.append((None, None, None))
+            named = {c: pa.array([r[i] for r in rest], pa.binary()) for i, c in enumerate(("digest", "bands", "sketch"))}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(sizes, pa.int64())} | named)
 
     return run
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, K)
-        hashes = band_hashes(sketches.astype(U)).reshape(-1).view(np.int64)
+        hashes = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(hashes), "id": pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))})
 
 
@@ -158,58 +158,129 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_verify(percent), "a long, b long")
 
 
-def _across(percent: int):
-    """Compare blocks of one bucket's sketches; emit pairs of different components that may reach `percent`."""
-    import pandas as pd
+def _likely(a: dict, b: dict, within: bool, bucket: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a, each with the rows of b (the later ones of a itself if `within`) that are in another component and may reach
+    `percent`. `bucket` is the bucket that both blocks are of.
 
-    # The agreements of a pair at the threshold have a standard deviation of sqrt(K j (1 - j)); six of these are allowed for.
-    j = percent / 100
-    least = K * j - 6 * (K * j * (1 - j)) ** 0.5
+    The agreements of a pair at the threshold have a standard deviation of sqrt(K j (1 - j)); five of these are allowed
+    for. A pair is met in the first band that its sketches share, and so once in all.
+    """
+    j = percent / 100 + (1 - percent / 100) / 256  # bytes of different coordinates agree once in 256
+    least = K * j - 5 * (K * j * (1 - j)) ** 0.5
+    for i in range(len(a["id"])):
+        from_ = i + 1 if within else 0
+        size, other = a["size"][i], b["size"][from_:]
+        may = from_ + np.flatnonzero((b["component"][from_:] != a["component"][i]) & (100 * np.minimum(size, other) >= percent * np.maximum(size, other)))
+        may = may[np.count_nonzero(b["sketch"][may] == a["sketch"][i], axis=1) >= least] if len(may) else may
+        if len(may):
+            shared = b["bands"][may] == a["bands"][i]
+            may = may[a["bands"][i][shared.argmax(1)] == bucket]
+        if len(may):
+            yield i, may
+
+
+def _candidates(a: dict, b: dict, within: bool, bucket: int, percent: int) -> dict[str, np.ndarray]:
+    """The rows that have a likely partner: side and id."""
+    hit_a, hit_b = np.zeros(len(a["id"]), bool), np.zeros(len(b["id"]), bool)
+    for i, may in _likely(a, b, within, bucket, percent):
+        hit_a[i] = True
+        (hit_a if within else hit_b)[may] = True
+    ids = [a["id"][hit_a], b["id"][hit_b]]
+    return {"side": np.repeat(np.array([0, 1], np.int32), [len(x) for x in ids]), "id": np.concatenate(ids)}
+
+
+def _links(a: dict, b: dict, within: bool, bucket: int, percent: int) -> dict[str, np.ndarray]:
+    """The likely pairs that are links, by their full sets: a and b."""
+    sides = [a] if within else [a, b]
+    sets = [[np.frombuffer(x, U) for x in side["shingles"]] for side in sides]
+    known = np.unique(np.concatenate([s for part in sets for s in part])) if any(len(part) for part in sets) else np.empty(0, U)
+    coded = [[np.searchsorted(known, s) for s in part] for part in sets]
+    here, there = coded[0], coded[-1]
+    mark, left, right = np.zeros(len(known), bool), [], []
+    for i, may in _likely(a, b, within, bucket, percent):
+        mark[here[i]] = True
+        for k in may:
+            both = int(np.count_nonzero(mark[there[k]]))
+            if 100 * both >= percent * (len(here[i]) + len(there[k]) - both):
+                left.append(a["id"][i])
+                right.append(b["id"][k])
+        mark[here[i]] = False
+    return {"a": np.array(left, np.int64), "b": np.array(right, np.int64)}
+
+
+def _across(percent: int, work, carried: tuple[str, ...]):
+    """Stream blocks sorted by (bucket, x, y, side) and put `work` to each pair of them. `carried`: binary columns."""
+
+    def settle(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        side = table.column("side").to_numpy()
+        data = {c: table.column(c).to_numpy() for c in ("id", "component", "size")}
+        data["sketch"] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, K)
+        data["bands"] = np.frombuffer(b"".join(table.column("bands").to_pylist()), np.int64).reshape(-1, BANDS)
+        data |= {c: np.array([*table.column(c).to_pylist(), None], object)[:-1] for c in carried}
+        a, b = ({c: v[side == s] for c, v in data.items()} for s in (0, 1))
+        bucket, x, y = (table.column(c)[0].as_py() for c in ("bucket", "x", "y"))
+        found = work(a, a if x == y else b, x == y, bucket, percent)
+        n = len(next(iter(found.values())))
+        where = {c: np.full(n, v, t) for c, v, t in (("bucket", bucket, np.int64), ("x", x, np.int32), ("y", y, np.int32))} if "id" in found else {}
+        return pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in (where | found).items()})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        a = np.frombuffer(b"".join(left["sketch"]), np.uint32).reshape(-1, K)
-        b = np.frombuffer(b"".join(right["sketch"]), np.uint32).reshape(-1, K)
-        ids, of = right["id"].to_numpy(), right["component"].to_numpy()
-        found = []
-        for i, c, s in zip(left["id"], left["component"], a, strict=True):
-            near = np.flatnonzero((of != c) & ((b == s).sum(1) >= least))
-            found += [(min(i, x), max(i, x)) for x in ids[near] if x != i]
-        return pd.DataFrame(sorted(set(found)), columns=["pivot", "id"]).astype("int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # one pair of blocks: 2 * BLOCK rows, or a few more
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "x", "y")])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(start, end - start)
+                if held and any(held[-1].column(c)[0].as_py() != part.column(c)[0].as_py() for c in ("bucket", "x", "y")):
+                    yield settle(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield settle(held)
 
     return run
 
 
-def _residual_pairs(bands: DataFrame, ids: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs in buckets with several components. `ids`: (id, component)."""
-    members = bands.join(ids, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _residual_links(buckets: DataFrame, found: DataFrame, about: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components within buckets that hold several. `found`: (id, component).
+
+    First only sketches are compared; then the rows that have a likely partner come again, with their full sets.
+    """
+    members = buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket", "n")
-    members = members.join(mixed, "bucket").join(sketches, "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    # Block x meets each block y >= x: a row goes once to the left of (x, y) and once to the right of (y, x) for each y.
-    as_left = members.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).select("bucket", F.col("block").alias("x"), F.col("other").alias("y"), F.lit(0).alias("side"), "id", "component", "sketch")
-    as_right = members.withColumn("other", F.explode(F.sequence(F.lit(0), "block"))).select("bucket", F.col("other").alias("x"), F.col("block").alias("y"), F.lit(1).alias("side"), "id", "component", "sketch")
-    return as_left.unionByName(as_right).groupBy("bucket", "x", "y").applyInPandas(_across(percent), "pivot long, id long").distinct()
+    members = cut(members.join(mixed, "bucket").select("bucket", "id", "component", "n"))
+    sketches = about.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "bands", "sketch").join(members.select("id").distinct(), "id").dropDuplicates(["id"])
+    members = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    # Block x meets each block y >= x: a row goes to the left of (x, y) for y >= x and to the right of (y, x) for y < x.
+    members = members.select("bucket", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    where = ["bucket", "x", "y", "side", "id"]
+    rows = members.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("other") < F.col("block")).cast("int").alias("side"), "id", "component").join(sketches, "id")
+    dealt = lambda f, *more: f.repartition("bucket", "x", "y").sortWithinPartitions(*where).select(*where, "component", "size", "bands", "sketch", *more)
+    likely = cut(dealt(rows).mapInArrow(_across(percent, _candidates, ()), "bucket long, x int, y int, side int, id long"))
+    again = rows.join(likely, where, "left_semi").join(sets, "id")
+    return dealt(again, "shingles").mapInArrow(_across(percent, _links, ("shingles",)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable through links) and kept, for each document."""
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    about = cut(slim.mapInArrow(_sketches(n), "doc_id long, n_shingles long, digest binary, sketch binary"))
-    classes = about.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch"))
-    classes = cut(classes)
-    bands = cut(classes.select("id", "sketch").mapInArrow(_bands, "bucket long, id long"))
+    about = keep(slim.mapInArrow(_sketches(n), "doc_id long, n_shingles long, digest binary, bands binary, sketch binary"))
+    named = about.filter("digest is not null and doc_id is not null")
+    classes = keep(named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")))
+    bands = keep(classes.select("id", "bands").mapInArrow(_bands, "bucket long, id long"))
     shared = bands.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("bucket", "pivot")
-    inside = cut(bands.join(shared, "bucket").select("bucket", "pivot", "id"))
+    inside = keep(bands.join(shared, "bucket").select("bucket", "pivot", "id"))
     pairs = inside.filter("pivot != id").select("pivot", "id").distinct()
     wanted = inside.select("id").distinct()
-    sets = cut(slim.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").mapInArrow(_sets_of(n), "id long, shingles binary"))
+    sets = keep(slim.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").mapInArrow(_sets_of(n), "id long, shingles binary"))
     links = cut(verified(pairs, sets, percent))
     found = connected_components(links)
-    buckets, sketches = inside.select("bucket", "id"), classes.select("id", "sketch")
-    more = cut(_residual_pairs(buckets, found, sketches, percent))
+    more = cut(_residual_links(inside.select("bucket", "id"), found, named, sets, percent))
     if not more.isEmpty():
-        found = connected_components(links.unionByName(verified(more, sets, percent)))
+        found = connected_components(links.unionByName(more))
     heads = classes.select("id", "digest").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = about.join(heads, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

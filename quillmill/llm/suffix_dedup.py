@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.storage import AtomicFile, cut, new_folder, open_filesystem
+from quillmill.llm.storage import AtomicFile, cut, keep, new_folder, open_filesystem
 from quillmill.llm.words import U, chunks_of, mix, powers, span_hashes, text_bytes
 
 #: Bytes of text in a shard; a longer document is a shard of its own.
@@ -282,12 +282,16 @@ def _write(folder: str, shape: Shape, shard_bytes: int):
 
 
 def _first_round(folder: str, shape: Shape, depth: int):
+    """All suffixes split by their first contexts. This is the one round that moves a row for nearly every suffix, so only
+    half of a context's hash goes along: contexts that share it stay together until the next round divides them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, name in zip(batch.column("shard").to_pylist(), batch.column("file").to_pylist(), strict=True):
                 shard = Shard.load(folder, name, number, shape)
                 if len(shard.anchors):
-                    yield from shard.refine(np.zeros(1, np.int64), np.array([len(shard.anchors)]), depth).to_batches()
+                    parts = shard.refine(np.zeros(1, np.int64), np.array([len(shard.anchors)]), depth)
+                    yield from parts.set_column(1, "b2", pa.array(np.zeros(parts.num_rows, np.int64))).to_batches()
 
     return run
 
@@ -483,15 +487,15 @@ def remove_repeats(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id",
     listing = cut(slim.mapInArrow(_write(folder, shape, shard_bytes), "shard long, file string"))
     per_shard = lambda rows, work, schema: _per_shard(listing, rows, folder, shape, work, schema)
     first = max(1, shape.depth // 2)
-    blocks = cut(interleave(listing.repartition("shard").mapInArrow(_first_round(folder, shape, first), _INTERVALS)))
-    blocks = cut(interleave(per_shard(blocks, lambda s, t: s.refine(*_numpy(t, "low", "n"), shape.depth), _INTERVALS)))
-    classes = cut(per_shard(blocks, lambda s, t: s.classes(*_numpy(t, "b1", "b2", "low", "n")), _CLASSES))
+    blocks = keep(interleave(listing.repartition("shard").mapInArrow(_first_round(folder, shape, first), _INTERVALS)))
+    blocks = keep(interleave(per_shard(blocks, lambda s, t: s.refine(*_numpy(t, "low", "n"), shape.depth), _INTERVALS)))
+    classes = keep(per_shard(blocks, lambda s, t: s.classes(*_numpy(t, "b1", "b2", "low", "n")), _CLASSES))
     kinds = ["b1", "b2", "f1", "f2"]
-    totals = cut(classes.groupBy(kinds).agg(F.sum("n").alias("total"), F.min(F.struct("shard", "member")).alias("one")))
+    totals = keep(classes.groupBy(kinds).agg(F.sum("n").alias("total"), F.min(F.struct("shard", "member")).alias("one")))
     whole = classes.join(totals.filter("total > 1").select(kinds), kinds).select("shard", "members", F.lit(-1).cast("long").alias("back"), F.lit(-1).cast("long").alias("ahead"))
     mixed = totals.groupBy("b1", "b2").agg(F.count("*").alias("m"), F.min("total").alias("least")).filter("m > 1 and least = 1").select("b1", "b2", "m")
     ends = totals.join(mixed, ["b1", "b2"]).select("b1", "b2", "m", "total", "one.shard", "one.member")
-    contexts = cut(per_shard(ends, _contexts, _CONTEXTS))
+    contexts = keep(per_shard(ends, _contexts, _CONTEXTS))
     narrow = contexts.filter(F.col("m") <= wide).repartition("b1", "b2").sortWithinPartitions("b1", "b2").mapInArrow(_ends_of_repeats(shape, pairs), _COVERS)
     covers = whole.unionByName(narrow).unionByName(_wide_blocks(contexts.filter(F.col("m") > wide), shape))
 

@@ -21,9 +21,11 @@ import json
 import os
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,7 +87,7 @@ class PieceTokenizer:
             pieces = [body[a:b].decode() for a, b in zip(starts[sample[new]], ends[sample[new]], strict=True)]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
             size = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
+            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
             self.known = np.insert(self.known, slot[new], distinct[new])
             self.at = np.insert(self.at, slot[new], len(self.ids) + np.cumsum(size) - size)
             self.size = np.insert(self.size, slot[new], size)
@@ -105,39 +107,53 @@ def _tokenizer(path: str) -> PieceTokenizer:
     return PieceTokenizer(path)
 
 
+_CHUNKS = "numbers binary, nulls binary, sizes binary, ids binary"
+
+
 def _tokenize(path: str):
+    """Documents of a few MB as one row: their numbers, which of these are null, ids of each with the end id, and all ids,
+    compressed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         width = np.uint16 if tokenizer.vocabulary <= 1 << 16 else np.uint32
+        packer = zstandard.ZstdCompressor(1)
         for batch in chunks_of(batches, size=2 << 20):
             ids, at = tokenizer.encode(batch.column("text"))
-            packed = ids.astype(width)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array([packed[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
+            ends = at[1:] + np.arange(batch.num_rows)
+            inner = np.ones(len(ids) + batch.num_rows, bool)
+            inner[ends] = False
+            whole = np.full(len(inner), END_ID, width)
+            whole[inner] = ids
+            doc = batch.column("doc_id")
+            row = {
+                "numbers": np.asarray(doc.fill_null(0)).astype(np.int64).tobytes(),
+                "nulls": np.asarray(doc.is_null()).astype(np.uint8).tobytes(),
+                "sizes": (np.diff(at) + 1).astype(np.int64).tobytes(),
+                "ids": packer.compress(whole.tobytes()),
+            }
+            yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.binary()) for k, v in row.items()})
 
     return run
 
 
 def _count(vocabulary: int, width):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(vocabulary, np.int64)
+        counts, unpack = np.zeros(vocabulary, np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
             for ids in batch.column("ids"):
-                counts += np.bincount(np.frombuffer(ids.as_buffer(), width), minlength=vocabulary) if len(ids.as_buffer()) > 2 * vocabulary else 0
-            small = b"".join(x for x in batch.column("ids").to_pylist() if len(x) <= 2 * vocabulary)
-            counts += np.bincount(np.frombuffer(small, width), minlength=vocabulary)
-            counts[END_ID] += batch.num_rows
+                counts += np.bincount(np.frombuffer(unpack.decompress(ids.as_py()), width), minlength=vocabulary)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"id": pa.array(seen.astype(np.int64)), "n": pa.array(counts[seen])})
 
     return run
 
 
-def pack_file(docs: list[int | None], per_doc: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
+def pack_file(numbers: np.ndarray, nulls: np.ndarray, per_doc: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
     packed, checkpoints = huffman.encode(ids, lengths, codes)
-    header = json.dumps({"docs": len(docs), "ids": int(len(ids)), "blocks": len(checkpoints), "bytes": len(packed), "vocabulary": len(lengths)}).encode()
-    numbers = np.array([d if d is not None else 0 for d in docs], np.int64)
-    nulls = np.array([d is None for d in docs], np.uint8)
-    return b"".join([MAGIC, struct.pack("<I", len(header)), header, numbers.tobytes(), nulls.tobytes(), per_doc.astype(np.int64).tobytes(), checkpoints.astype(np.int64).tobytes(), lengths.astype(np.uint8).tobytes(), packed])
+    header = json.dumps({"docs": len(numbers), "ids": int(len(ids)), "blocks": len(checkpoints), "bytes": len(packed), "vocabulary": len(lengths)}).encode()
+    arrays = numbers.astype(np.int64), nulls.astype(np.uint8), per_doc.astype(np.int64), checkpoints.astype(np.int64), lengths.astype(np.uint8)
+    return b"".join([MAGIC, struct.pack("<I", len(header)), header, *[x.tobytes() for x in arrays], packed])
 
 
 def unpack_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -166,26 +182,24 @@ FILE_IDS = 1 << 20
 
 def _write(folder: str, lengths: np.ndarray, codes: np.ndarray, width):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
-        docs, parts, held = [], [], 0
+        part, number, unpack = TaskContext.get().partitionId(), 0, zstandard.ZstdDecompressor()
+        held: list[list[np.ndarray]] = [[], [], [], []]
 
         def flush() -> pa.RecordBatch:
-            per_doc = np.array([len(x) for x in parts], np.int64)
-            body = pack_file(docs, per_doc, np.concatenate(parts), lengths, codes)
+            numbers, nulls, per_doc, ids = (np.concatenate(x) for x in held)
             file = AtomicFile(folder, f"ids-{part:06d}-{number:04d}", "qtok")
-            file.write(body)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "file": [file.close()], "n_ids": pa.array([int(per_doc.sum())], pa.int64())})
+            file.write(pack_file(numbers, nulls, per_doc, ids, lengths, codes))
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "file": [file.close()], "n_ids": pa.array([len(ids)], pa.int64())})
 
-        end = np.array([END_ID], width)
         for batch in batches:
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                docs.append(doc)
-                parts.append(np.concatenate([np.frombuffer(ids.as_buffer(), width), end]))
-                held += len(parts[-1])
-                if held >= FILE_IDS:
+            for row in batch.to_pylist():
+                arrays = np.frombuffer(row["numbers"], np.int64), np.frombuffer(row["nulls"], np.uint8), np.frombuffer(row["sizes"], np.int64), np.frombuffer(unpack.decompress(row["ids"]), width)
+                for kept, array in zip(held, arrays, strict=True):
+                    kept.append(array)
+                if sum(map(len, held[3])) >= FILE_IDS:
                     yield flush()
-                    docs, parts, held, number = [], [], 0, number + 1
-        if docs:
+                    held, number = [[], [], [], []], number + 1
+        if held[0]:
             yield flush()
 
     return run
@@ -216,7 +230,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, key: str = "doc_id",
     width = np.uint16 if vocabulary <= 1 << 16 else np.uint32
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    tokens = cut(ordered.mapInArrow(_tokenize(tokenizer_path), "doc_id long, ids binary"))
+    tokens = cut(ordered.mapInArrow(_tokenize(tokenizer_path), _CHUNKS))
     counts = np.zeros(vocabulary, np.int64)
     for row in tokens.mapInArrow(_count(vocabulary, width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]

@@ -258,3 +258,148 @@ def rerank(spark, d):
     score = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc(score), "l_linenumber"))
     return table(spark, d, "lineitem").withColumn("rank", rank).filter("rank <= 2").select("l_orderkey", "l_linenumber", "rank")
+
+
+@query("txt17_nfc_names", "SELECT doc_id, nfc_normalize(lower(substr(text, 1, 60))) AS name FROM documents")
+def nfc_names(spark, d):
+    """Names taken apart into letters and marks are composed again."""
+    import unicodedata
+
+    @F.pandas_udf(T.StringType())
+    def apart(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: unicodedata.normalize("NFD", n))
+
+    return table(spark, d, "documents").select("doc_id", text.nfc(apart(F.lower(F.substring("text", 1, 60)))).alias("name"))
+
+
+@query("dat10_dat12_formats", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%d.%m.%y') AS shown FROM orders")
+def date_formats(spark, d):
+    """Dates in three spellings are read alike; a format of letters is written as one of percent signs."""
+    from quillmill.functions.answers import as_date
+
+    @F.pandas_udf(T.StringType())
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(as_date)
+
+    pattern = misc.strftime_format("dd.MM.yy")
+
+    @F.pandas_udf(T.StringType())
+    def shown(dates: pd.Series) -> pd.Series:
+        return pd.to_datetime(dates).dt.strftime(pattern)
+
+    spelled = F.element_at(F.array(*[F.date_format("o_orderdate", f) for f in ("yyyy. M. d.", "yyyyMMdd", "yyyy/MM/dd")]), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", read(spelled).alias("iso"), shown(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("shown"))
+
+
+@query("dat7_txt14_typed_prefix", """
+  SELECT doc_id, CASE WHEN doc_id % 14 BETWEEN 1 AND 12 THEN '파일명시행일:2020-' || lpad((doc_id % 14)::VARCHAR, 2, '0') || '-01 | ' ELSE '' END || '부칙시행일:2020-03-01 | 부칙순번:1/1(최신)' AS prefix FROM documents""")
+def typed_prefix(spark, d):
+    """Dates in a chunk's prefix with the part that they play."""
+    docs = regulations(spark, d).select("doc_id", effective_date(F.col("file_name")).alias("file_date"), F.get(F.filter(text.sections(F.col("text")), lambda b: text.section_kind(b) == "addendum"), F.lit(0)).alias("block"))
+    found = docs.select("doc_id", "file_date", facts.addenda("block").alias("a"))
+    last, n = F.element_at("a", -1), F.size("a").cast("string")
+    parts = [F.concat(F.lit("파일명시행일:"), "file_date"), F.concat(F.lit("부칙시행일:"), facts.effective(last)), F.concat(F.lit("부칙순번:"), n, F.lit("/"), n, F.lit("(최신)")), F.when(last["retroactive"], "소급적용포함:예")]
+    return found.select("doc_id", F.concat_ws(" | ", *parts).alias("prefix"))
+
+
+@query("top10_page_selection", """
+  SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3""")
+def page_selection(spark, d):
+    """Pages that are referred to most come first, then the first pages; three of each document."""
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc((F.col("o_orderpriority") == "1-URGENT").cast("int")), "o_orderkey"))
+    return table(spark, d, "orders").withColumn("rn", rank).filter("rn <= 3").select("o_custkey", "o_orderkey")
+
+
+@query("scr11_article_titles", "SELECT o_orderkey, o_orderpriority AS title, 2::INTEGER AS clauses FROM orders")
+def article_titles(spark, d):
+    block = F.concat(F.lit("제"), F.col("o_orderkey").cast("string"), F.lit("조의2("), "o_orderpriority", F.lit(")\n①항목 하나 ②항목 둘"))
+    title = F.regexp_extract(block, r"^제\d+조(?:의\d+)?\s*\(([^)]+)\)", 1)
+    clauses = F.filter(F.transform(F.slice(F.split(block, r"(?=[①-⑳])"), 2, 6), lambda c: F.trim(c)), lambda c: c != "")
+    return table(spark, d, "orders").select("o_orderkey", title.alias("title"), F.size(clauses).alias("clauses"))
+
+
+@query("hyb7_side_by_side", """
+  SELECT 'vector' AS kind, vec_id AS id FROM (SELECT vec_id FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 5)
+  UNION ALL SELECT 'graph', p_partkey FROM (SELECT p_partkey FROM part WHERE contains(lower(p_name), 'steel') OR contains(lower(p_type), 'steel') ORDER BY p_retailprice DESC, p_partkey LIMIT 5)""")
+def side_by_side(spark, d):
+    """Hits of both searches next to each other, not fused."""
+    from quillmill.operators.retrieval import dense_scores
+
+    vectors = table(spark, d, "embeddings")
+    dense = dense_scores(vectors.filter("vec_id = 0").select(F.lit(0).alias("query_id"), "embedding"), vectors.select(F.col("vec_id").alias("id"), "embedding")).orderBy(F.desc("score"), "id").limit(5)
+    named = table(spark, d, "part").filter(text.has_any(F.lower("p_name"), ["steel"]) | text.has_any(F.lower("p_type"), ["steel"])).orderBy(F.desc("p_retailprice"), "p_partkey").limit(5)
+    return dense.select(F.lit("vector").alias("kind"), "id").unionByName(named.select(F.lit("graph").alias("kind"), F.col("p_partkey").alias("id")))
+
+
+@query("gra7_extraction_rows", "SELECT l_orderkey, p_brand AS name, count(*)::BIGINT AS mentions FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
+def extraction_rows(spark, d):
+    """Entities that a model found in each chunk, given as arrays, one row each."""
+    found = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("p_brand").alias("name"), F.col("p_type").alias("kind"))).alias("entities"))
+    return found.select("l_orderkey", F.inline("entities")).groupBy("l_orderkey", "name").agg(F.count("*").alias("mentions"))
+
+
+@query("str6_single_flight", "SELECT o_custkey, bool_or(o_orderstatus = 'P') AS running, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'skip' ELSE 'start' END AS decision FROM orders GROUP BY 1")
+def single_flight(spark, d):
+    """A source with a running job gets no second one."""
+    running = F.bool_or(F.col("o_orderstatus") == "P")
+    return table(spark, d, "orders").groupBy("o_custkey").agg(running.alias("running")).select("o_custkey", "running", F.when(F.col("running"), "skip").otherwise("start").alias("decision"))
+
+
+@query("snk4_sup2_collection_info", "SELECT label, count(*)::BIGINT AS points, min(len(embedding))::INTEGER AS dim, min(len(embedding)) IN (64, 384, 768, 1024) AS accepted FROM embeddings GROUP BY label")
+def collection_info(spark, d):
+    """Points and dimension of each collection, and whether the dimension is one that is accepted."""
+    grouped = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("points"), F.min(F.size("embedding")).alias("dim"))
+    return grouped.withColumn("accepted", F.col("dim").isin(64, 384, 768, 1024))
+
+
+@query("sup9_seed_upsert", """
+  SELECT n_nationkey AS code, CASE WHEN n_nationkey >= 20 THEN 'created' WHEN n_nationkey % 4 = 0 THEN 'updated' ELSE 'skipped' END AS outcome FROM nation""")
+def seed_upsert(spark, d):
+    """Seeds by code: new ones are created, changed ones updated, equal ones skipped."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("code"), "n_name")
+    stored = nations.filter("code < 20").select("code", F.col("n_name").alias("before"))
+    seeds = nations.select("code", F.when(F.col("code") % 4 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("now"))
+    joined = seeds.join(stored, "code", "left")
+    return joined.select("code", F.when(F.col("before").isNull(), "created").when(F.col("before") != F.col("now"), "updated").otherwise("skipped").alias("outcome"))
+
+
+@query("sup13_escalation", "SELECT o_custkey, bool_or(o_totalprice > 300000) AS escalate FROM orders GROUP BY 1")
+def escalation(spark, d):
+    """A question is passed on if any of its tables is empty."""
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_totalprice") > 300000).alias("escalate"))
+
+
+@query("sup16_baseline_comparison", """
+  WITH g AS (SELECT source, avg(quality) AS rate, avg(1 - toxic) AS base FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT source, round(rate, 4) AS rate, round(base, 4) AS base, round(rate - base, 4) AS delta FROM g""")
+def baseline_comparison(spark, d):
+    joined = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    rates = joined.groupBy("source").agg(F.avg("quality").alias("rate"), F.avg(1 - F.col("toxic")).alias("base"))
+    return rates.select("source", F.round("rate", 4).alias("rate"), F.round("base", 4).alias("base"), F.round(F.col("rate") - F.col("base"), 4).alias("delta"))
+
+
+@query("sup18_verdict_cache", "SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'miss' WHEN l.toxic = 1 THEN 'miss' ELSE 'hit' END AS cache FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def verdict_cache(spark, d):
+    """Cached verdicts that are valid are used; others count as missing."""
+    cached = table(spark, d, "labels").filter("toxic <> 1").select("doc_id", F.lit("hit").alias("cache"))
+    return table(spark, d, "documents").select("doc_id").join(cached, "doc_id", "left").select("doc_id", F.coalesce("cache", F.lit("miss")).alias("cache"))
+
+
+@query("sup21_source_logs", """
+  SELECT o_custkey, o_orderkey, 'job' AS origin FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders WHERE o_custkey % 2 = 0) WHERE rn <= 2
+  UNION ALL SELECT o_custkey, o_orderkey, 'document' FROM orders WHERE o_custkey % 2 = 1 AND o_orderstatus = 'F'""")
+def source_logs(spark, d):
+    """Logs of a source from its jobs, or from its failed documents where it has no jobs."""
+    orders = table(spark, d, "orders")
+    recent = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey")))
+    jobs = orders.filter("o_custkey % 2 = 0").withColumn("rn", recent).filter("rn <= 2").select("o_custkey", "o_orderkey", F.lit("job").alias("origin"))
+    return jobs.unionByName(orders.filter("o_custkey % 2 = 1 AND o_orderstatus = 'F'").select("o_custkey", "o_orderkey", F.lit("document").alias("origin")))
+
+
+@query("snk5_sup25_append", "SELECT kind, count(*)::BIGINT AS n FROM (SELECT 'old' AS kind FROM events UNION ALL SELECT 'new' FROM events WHERE event_type = 'error') GROUP BY kind")
+def append(spark, d):
+    """Rows appended to a table in two writes, read back as one."""
+    at = scratch(spark, "append")
+    events = table(spark, d, "events")
+    events.select("event_id", F.lit("old").alias("kind")).write.mode("append").parquet(at)
+    events.filter("event_type = 'error'").select("event_id", F.lit("new").alias("kind")).write.mode("append").parquet(at)
+    return spark.read.parquet(at).groupBy("kind").agg(F.count("*").alias("n"))

@@ -28,21 +28,20 @@ def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.join(F.broadcast(queries.withColumnRenamed("embedding", "q")), F.lit(True)).withColumn("score", cosine(F.col("embedding"), F.col("q"))).drop("q", "embedding")
 
 
-def postings(docs: DataFrame, id_column: str, text_column: str, pattern: str = TOKEN) -> tuple[DataFrame, DataFrame]:
-    """(id, token, tf) and (id, length)."""
+def postings(docs: DataFrame, id_column: str, text_column: str, terms: DataFrame, pattern: str = TOKEN) -> DataFrame:
+    """(id, length, token, tf) of the tokens in `terms`, a bounded batch. The length goes along, so texts are cut into tokens once."""
     cut = docs.select(F.col(id_column).alias("id"), tokens(F.col(text_column), pattern).alias("tokens"))
-    lengths = cut.select("id", F.size("tokens").alias("length"))
-    return cut.select("id", F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf")), lengths
+    each = cut.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+    return each.join(F.broadcast(terms.select("token").distinct()), "token", "left_semi").groupBy("id", "length", "token").agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(query_id, id, score). A term that a question repeats counts as often. The questions' terms select the postings first."""
     terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
-    found, lengths = postings(docs, id_column, text_column)
-    found = found.join(F.broadcast(terms.select("token").distinct()), "token", "left_semi")
-    about = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    df = found.groupBy("token").agg(F.count("*").alias("df"))
-    weighted = found.join(df, "token").join(lengths, "id").crossJoin(F.broadcast(about))  # one row of statistics
+    found = postings(docs, id_column, text_column, terms)
+    about = docs.select(F.size(tokens(F.col(text_column))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    df = found.groupBy("token").agg(F.count_if(F.col("tf") > 0).alias("df"))  # counting tf keeps the branch equal to `found`, so its exchange is reused
+    weighted = found.join(df, "token").crossJoin(F.broadcast(about))  # one row of statistics
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return weighted.withColumn("weight", weight).join(terms, "token").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qf")).alias("score"))
@@ -52,8 +51,8 @@ def all_terms(queries: DataFrame, docs: DataFrame, id_column: str, text_column:
     """(query_id, id, score): documents that have all of a question's terms, by sum of tf / (1 + ln(1 + length))."""
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
-    found, lengths = postings(docs, id_column, text_column)
-    scored = found.join(F.broadcast(terms), "token").join(lengths, "id").withColumn("part", F.col("tf") / (1 + F.log(1.0 + F.col("length"))))
+    found = postings(docs, id_column, text_column, terms)
+    scored = found.join(F.broadcast(terms), "token").withColumn("part", F.col("tf") / (1 + F.log(1.0 + F.col("length"))))
     return scored.groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.count("*").alias("has")).join(need, "query_id").filter("has = need").select("query_id", "id", "score")
 
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.storage import AtomicFile, cut, new_folder, open_filesystem
+from quillmill.llm.storage import AtomicFile, cut, keep, new_folder, open_filesystem
 from quillmill.llm.words import chunks_of
 
 #: Fixed values of the format.
@@ -169,6 +169,7 @@ def assemble(records: DataFrame) -> DataFrame:
     by = lambda kind, *fields: records.filter(F.col("kind") == kind).groupBy(F.col("concurrent_to").alias("id")).agg(F.min(F.struct(F.col("id").alias("record"), *fields)).alias(kind))
     joined = captures.select("id", "uri", "date", "kind", "digest", "payload_bytes", "refers_to_id").dropDuplicates(["id"])
     joined = joined.join(by("request", "request_line"), "id", "left").join(by("metadata", "page_id"), "id", "left")
+    joined = keep(joined)  # so that a response that very many revisits refer to can be met by a split join
     targets = joined.filter("kind = 'response'").select(F.col("id").alias("refers_to_id"), F.struct("metadata.page_id", "id", "uri").alias("refers_to"))
     return joined.join(targets, "refers_to_id", "left").select("id", "uri", "date", F.col("kind").alias("record_type"), F.struct("digest", F.col("payload_bytes").alias("bytes")).alias("payload"), "request", "metadata", "refers_to")
 

@@ -95,7 +95,10 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return np.empty(0, U)
     up, down = powers(len(raw) + 1)
     running = np.zeros(len(raw) + 1, U)
-    np.cumsum((raw.astype(U) + U(1)) * up[:-1], out=running[1:])
+    running[1:] = raw
+    running[1:] += U(1)
+    running[1:] *= up[:-1]
+    np.cumsum(running[1:], out=running[1:])
     spans = (running[ends] - running[starts]) * down[starts]
     return mix(spans ^ ((ends - starts).astype(U) << U(48)))
 

@@ -28,7 +28,7 @@ SHORT = 15
 def needs_condense(text: Column) -> Column:
     """Whether an utterance leans on the turns before it."""
     said = F.trim(F.coalesce(text, F.lit("")))
-    return (said != "") & ((F.length(said) <= SHORT) | has_any(said, KOREAN_ANAPHORA) | said.rlike(rf"(?i)\b(?:{'|'.join(ENGLISH_ANAPHORA)})\b"))
+    return (said != "") & ((F.length(said) <= SHORT) | has_any(said, KOREAN_ANAPHORA) | said.rlike(rf"(?i)(^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(ENGLISH_ANAPHORA)})([^\p{{L}}\p{{N}}_]|$)"))
 
 
 def last_messages(messages: DataFrame, n: int) -> DataFrame:
@@ -76,11 +76,10 @@ _ANAPHORA = "|".join(ENGLISH_ANAPHORA)
 
 
 @query("cnv1_condense_prefilter", f"""
-  SELECT conv_id, turn, length(trim(text)) > 0 AND (length(trim(text)) <= 15 OR regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])({_ANAPHORA})([^A-Za-z0-9_]|$)')) AS leans
-  FROM conversations WHERE role = 'user' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+  SELECT conv_id, turn, length(trim(text)) > 0 AND (length(trim(text)) <= 15 OR regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_])({_ANAPHORA})([^\\p{{L}}\\p{{N}}_]|$)')) AS leans
+  FROM conversations WHERE role = 'user'""")
 def condense(spark, d):
-    """Over user turns in ASCII, where all engines agree on what a word boundary is."""
-    said = table(spark, d, "conversations").filter("role = 'user'").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    said = table(spark, d, "conversations").filter("role = 'user'")
     return said.select("conv_id", "turn", needs_condense(F.col("text")).alias("leans"))
 
 

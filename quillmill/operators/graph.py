@@ -94,14 +94,14 @@ def merged_relations(spark, d):
     return merge_relations(_edges(spark, d))
 
 
-_CHAINS = "(SELECT o_orderkey AS a, o_custkey * 1000003 + 1 AS b FROM orders WHERE o_custkey % 3 = 0)"
+_CHAINS = "(SELECT o_orderkey AS a, -o_custkey - 1 AS b FROM orders)"
 
 
 @query("gra1_agg19_components", f"""
   WITH g AS (SELECT b, min(a) AS low, count(*) AS n FROM {_CHAINS} GROUP BY b)
   SELECT least(low, b) AS component, (n + 1)::BIGINT AS members FROM g""")
 def component_sizes(spark, d):
-    edges = table(spark, d, "orders").filter("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("a"), (F.col("o_custkey") * 1000003 + 1).alias("b"))
+    edges = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), (-F.col("o_custkey") - 1).alias("b"))
     return components(edges).groupBy("component").agg(F.count("*").alias("members"))
 
 
@@ -114,9 +114,11 @@ def entity_search(spark, d):
 
 
 @query("joi10_neighbourhood", """
-  SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem WHERE l_suppkey IN (3, 5) OR l_partkey IN (7, 11, 13)""")
+  SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem WHERE l_suppkey % 20 = 0 OR l_partkey % 20 = 0""")
 def neighbours(spark, d):
-    nodes = spark.createDataFrame([(n,) for n in ("s3", "s5", "p7", "p11", "p13")], "node string")
+    """Around the suppliers and parts whose key is divisible by 20."""
+    name = lambda c: F.concat(F.lit(c[0]), F.col(f"{c[0]}_{c}key").cast("string")).alias("node")
+    nodes = table(spark, d, "supplier").filter("s_suppkey % 20 = 0").select(name("supp")).unionByName(table(spark, d, "part").filter("p_partkey % 20 = 0").select(name("part")))
     return neighbourhood(_edges(spark, d).select("source", "target").distinct(), nodes)
 
 

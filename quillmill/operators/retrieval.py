@@ -86,12 +86,12 @@ def signal_boost(document: Column, article: Column, section: Column, named_docum
 
 
 def _vector_queries(spark, d: str) -> DataFrame:
-    """Ten vectors of the table as a batch of query vectors."""
-    return table(spark, d, "embeddings").filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    """The vectors whose id is divisible by 20 as the batch of queries."""
+    return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 _DENSE = """(SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
-  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 10) q)"""
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)"""
 
 
 @query("top1_top6_dns1_cosine_top_k", f"SELECT query_id, id, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {_DENSE}) WHERE rank <= 10")
@@ -116,7 +116,7 @@ def filter_after_ranking(spark, d):
 _TOKENS = r"""t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM documents),
   len AS (SELECT doc_id AS id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS length FROM documents),
   tf AS (SELECT id, token, count(*) AS tf FROM t GROUP BY 1, 2)"""
-_TERMS = r"qt AS (SELECT item_id AS query_id, unnest(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1, 6)) AS token FROM benchmark)"
+_TERMS = r"qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM benchmark)"
 _BM25 = f"""{_TOKENS}, {_TERMS}, q AS (SELECT query_id, token, count(*) AS qf FROM qt GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
   s AS (SELECT count(*) AS n, avg(length) AS mean FROM len),
   bm AS (SELECT query_id, tf.id, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) AS score
@@ -124,8 +124,8 @@ _BM25 = f"""{_TOKENS}, {_TERMS}, q AS (SELECT query_id, token, count(*) AS qf FR
 
 
 def _questions(spark, d: str) -> DataFrame:
-    """The first six tokens of each benchmark item as a question."""
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 1, 6), " ").alias("text"))
+    """Each benchmark item as a question."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query("lex3_lex5_bm25", f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm) WHERE rank <= 10")
@@ -134,15 +134,14 @@ def bm25_query(spark, d):
     return top_k(scored, 10, F.desc("order"), F.col("id")).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-_ALL = r"""two AS (SELECT item_id AS query_id, list_distinct(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1, 2)) AS terms FROM benchmark),
+_ALL = r"""two AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS terms FROM benchmark),
   q2 AS (SELECT query_id, unnest(terms) AS token, len(terms) AS need FROM two)"""
 
 
 @query("lex1_lex4_top4_all_terms", f"""WITH {_TOKENS}, {_ALL}
   SELECT query_id, tf.id, round(sum(tf / (1 + ln(1 + length))), 6) AS score FROM tf JOIN q2 USING (token) JOIN len ON len.id = tf.id GROUP BY query_id, tf.id, need HAVING count(*) = need""")
 def all_terms_query(spark, d):
-    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 1, 2), " ").alias("text"))
-    return all_terms(questions, table(spark, d, "documents"), "doc_id", "text").withColumn("score", F.round("score", 6))
+    return all_terms(_questions(spark, d), table(spark, d, "documents"), "doc_id", "text").withColumn("score", F.round("score", 6))
 
 
 @query("lex6_lex7_title_route", r"""
@@ -159,8 +158,9 @@ def title_route(spark, d):
     return ratio.filter("ratio >= 0.15").select("n_nationkey", "p_partkey", F.when(F.col("ratio") >= 0.30, 0.15).otherwise(0.05).alias("boost"))
 
 
-_HYBRID = f"""WITH {_BM25}, lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm WHERE query_id < 10),
-  den AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {_DENSE}),
+_DENSE_ITEMS = _DENSE.replace("vec_id % 20 = 0", "vec_id IN (SELECT item_id FROM benchmark)")
+_HYBRID = f"""WITH {_BM25}, lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm),
+  den AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {_DENSE_ITEMS}),
   l AS (SELECT * FROM lex WHERE rank <= 48), v AS (SELECT * FROM den WHERE rank <= 48),
   ln AS (SELECT query_id, id, rank, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM l WINDOW w AS (PARTITION BY query_id)),
   vn AS (SELECT query_id, id, rank, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM v WINDOW w AS (PARTITION BY query_id)),
@@ -173,8 +173,9 @@ def hybrid(spark, d):
     """Dense and lexical candidates, four times as many as wanted from each side, fused with a boost for the matching source."""
     order = lambda f: f.withColumn("order", F.round("score", 9))
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    dense = top_k(order(dense_scores(_vector_queries(spark, d), vectors)), 12 * CANDIDATES, F.desc("order"), F.col("id"))
-    lexical = top_k(order(bm25(_questions(spark, d).filter("query_id < 10"), table(spark, d, "documents"), "doc_id", "text")), 12 * CANDIDATES, F.desc("order"), F.col("id"))
+    items = _questions(spark, d).select("query_id").join(table(spark, d, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+    dense = top_k(order(dense_scores(items, vectors)), 12 * CANDIDATES, F.desc("order"), F.col("id"))
+    lexical = top_k(order(bm25(_questions(spark, d), table(spark, d, "documents"), "doc_id", "text")), 12 * CANDIDATES, F.desc("order"), F.col("id"))
     named = dense.select("query_id", "id").union(lexical.select("query_id", "id")).distinct().withColumn("boost", F.when(F.col("id") % 20 == F.col("query_id"), DOCUMENT_BOOST).otherwise(0.0))
     fused = fuse(dense, lexical, named, limit=0)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
@@ -197,7 +198,7 @@ def document_vote(spark, d):
 
 @query("scr4_scr5_joi16_agg25_recall_curve", f"""
   WITH h AS (SELECT r.query_id, min(r.rank) AS first FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {_DENSE} WHERE id <> query_id) r
-    JOIN embeddings g ON g.vec_id = r.query_id AND g.label = r.label WHERE r.rank <= 50 GROUP BY 1), q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id < 10)
+    JOIN embeddings g ON g.vec_id = r.query_id AND g.label = r.label WHERE r.rank <= 50 GROUP BY 1), q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0)
   SELECT k::INTEGER AS k, round(avg(CASE WHEN first <= k THEN 1.0 ELSE 0.0 END), 4) AS recall, round(avg(CASE WHEN first <= k THEN 1.0 / first ELSE 0.0 END), 4) AS mrr
   FROM q LEFT JOIN h USING (query_id), (SELECT unnest([1, 3, 5, 10, 20, 50]) AS k) GROUP BY k""")
 def recall_curve(spark, d):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.functions import dates, lexical, masking, text
+from quillmill.functions import dates, facts, lexical, masking, text
 from quillmill.functions.language import language_by_script
 from quillmill.registry import query
 from quillmill.sources.tables import table
@@ -53,14 +53,14 @@ def truncation(spark, d):
 
 def regulations(spark, d: str) -> DataFrame:
     """Regulations made of the documents: their lines under article heads, with an addendum, under a dated file name."""
-    docs = table(spark, d, "documents").select("doc_id", "source", F.slice(F.split("text", "\n"), 1, 6).alias("lines"))
+    docs = table(spark, d, "documents").select("doc_id", "source", F.split("text", "\n").alias("lines"))
     name = F.format_string("%d-0-%d규정(시행2020.%d.1.).hwp", F.col("doc_id") % 5 + 1, F.col("doc_id"), F.col("doc_id") % 14)
     heads = F.transform("lines", lambda line, i: F.concat(F.lit("제"), (i + 1).cast("string"), F.lit("조(항목)\n"), line, F.lit(" (개정 2018. 3. 5.)")))
     body = F.concat(F.lit("규정 머리말\n"), F.array_join(heads, "\n"), F.lit("\n부 칙(2019. 1. 2.)\n① 이 규정은 2020년 3월 1일부터 시행한다.\n[별표 1]\n표"))
     return docs.select("doc_id", name.alias("file_name"), body.alias("text"))
 
 
-_REGULATIONS = """(SELECT doc_id, (doc_id % 5 + 1) || '-0-' || doc_id || '규정(시행2020.' || (doc_id % 14) || '.1.).hwp' AS file_name, string_split(text, chr(10))[1:6] AS lines FROM documents)"""
+_REGULATIONS = """(SELECT doc_id, (doc_id % 5 + 1) || '-0-' || doc_id || '규정(시행2020.' || (doc_id % 14) || '.1.).hwp' AS file_name, string_split(text, chr(10)) AS lines FROM documents)"""
 
 
 @query("txt6_txt8_txt13_section_split", f"""
@@ -87,19 +87,21 @@ def file_dates(spark, d):
     return regulations(spark, d).select("doc_id", dates.document_number(F.col("file_name")).alias("number"), dates.effective_date(F.col("file_name")).alias("effective"))
 
 
-@query("dat3_dat4_dat6_date_facts", f"""
-  SELECT doc_id, len(lines)::INTEGER + 2 AS n_dates, '2020-03-01' AS enforced, CASE WHEN len(lines) > 0 THEN '2018-03-05' END AS revised FROM {_REGULATIONS}
-  WHERE NOT regexp_matches(array_to_string(lines, ' '), '(19|20)[0-9]{{2}} *[.\\-/년]')""")
+@query("dat3_text_dates", r"""
+  WITH f AS (SELECT doc_id, regexp_extract_all(text, '(?:19\d{2}|20\d{2})\s*[.\-/년]\s*\d{1,2}\s*[.\-/월]\s*\d{1,2}') AS found FROM documents)
+  SELECT doc_id, len(list_filter(found, lambda x: try_strptime(regexp_replace(x, '^(\d{4})\D+(\d{1,2})\D+(\d{1,2})$', '\1-\2-\3'), '%Y-%m-%d') IS NOT NULL))::INTEGER AS n_dates FROM f""")
+def text_dates(spark, d):
+    """How many valid dates each document has."""
+    return table(spark, d, "documents").select("doc_id", F.size(dates.dates_in(F.col("text"))).alias("n_dates"))
+
+
+@query("dat4_dat6_date_facts", f"SELECT doc_id, '2020-03-01' AS enforced, '2018-03-05' AS revised FROM {_REGULATIONS}")
 def date_facts(spark, d):
-    """All dates of a text, the one that enforces its addendum, and its last revision."""
-    docs = regulations(spark, d)
-    plain = ~F.array_join(F.slice(F.split("text", "\n"), 2, 1000), " ").rlike("^$")
-    raw = table(spark, d, "documents").filter(~F.array_join(F.slice(F.split("text", "\n"), 1, 6), " ").rlike(r"(19|20)[0-9]{2} *[.\-/년]")).select("doc_id")
-    found = docs.filter(plain).join(raw, "doc_id")
+    """The date that enforces a regulation's addendum, and its articles' last revision."""
     blocks = text.sections(F.col("text"))
     addendum = F.get(F.filter(blocks, lambda b: text.section_kind(b) == "addendum"), F.lit(0))
-    articles = F.flatten(F.transform(F.filter(blocks, lambda b: text.section_kind(b) == "article"), lambda b: dates.dates_in(b)))
-    return found.select("doc_id", F.size(dates.dates_in(F.col("text"))).alias("n_dates"), dates.enforced_date(addendum).alias("enforced"), F.array_max(articles).alias("revised"))
+    marks = F.flatten(F.transform(F.filter(blocks, lambda b: text.section_kind(b) == "article"), facts.revisions))
+    return regulations(spark, d).select("doc_id", dates.enforced_date(addendum).alias("enforced"), F.array_max(marks).alias("revised"))
 
 
 @query("dat8_scr8_date_kinds", """

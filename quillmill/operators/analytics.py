@@ -120,7 +120,7 @@ def _keyword_sql() -> str:
     return KEYWORD_SQL.format(particles="|".join(PARTICLES), stop=", ".join(f"'{w}'" for w in STOP_WORDS))
 
 
-@query("agg8_keyword_frequency", _keyword_sql())
+@query("key1_agg8_keyword_frequency", _keyword_sql())
 def keyword_frequency(spark, d):
     words = table(spark, d, "conversations").filter("role = 'user'").select(F.explode(tokens_of(F.col("text"))).alias("raw"))
     return words.select(keyword(F.col("raw")).alias("keyword")).filter("keyword is not null").groupBy("keyword").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "keyword").limit(20)

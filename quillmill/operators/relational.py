@@ -62,7 +62,7 @@ def page(frame: DataFrame, order: list[Column], number: int, size: int) -> DataF
     return ordered if size == 0 else ordered.offset((number - 1) * size).limit(size)
 
 
-@query("flt1_flt3_flt6_dynamic_filter", """
+@query("flt1_flt3_flt4_flt6_dynamic_filter", """
   SELECT event_id, event_type, value FROM events WHERE event_type = 'click' AND json_extract_string(props, '$.k') = '7'""")
 def dynamic_filter(spark, d):
     events = table(spark, d, "events").withColumnRenamed("props", "metadata")

@@ -78,13 +78,13 @@ def index_load(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id")).select(F.col("vec_id").alias("id"), F.size("embedding").alias("dim"))
 
 
-@query("src14_jsn1_flatten", "SELECT event_id, 'props.k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'type', event_type FROM events UNION ALL SELECT event_id, 'tags', '[1, 2]' FROM events")
+@query("src6_src14_jsn1_flatten", "SELECT event_id, 'props.k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'type', event_type FROM events UNION ALL SELECT event_id, 'tags', '[1, 2]' FROM events")
 def flatten(spark, d):
     document = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "tags": [1, 2], "props": '), "props", F.lit("}"))
     return table(spark, d, "events").select("event_id", F.explode(misc.flat_paths(document)).alias("path", "value"))
 
 
-@query("src15_src16_ordered_scan", "SELECT conv_id, string_agg(turn || ':' || role, ',' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id")
+@query("src1_src15_src16_ordered_scan", "SELECT conv_id, string_agg(turn || ':' || role, ',' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id")
 def ordered_scan(spark, d):
     pairs = F.array_sort(F.collect_list(F.struct("turn", "role")))
     joined = F.array_join(F.transform(pairs, lambda p: F.concat(p["turn"].cast("string"), F.lit(":"), p["role"])), ",")

@@ -71,7 +71,7 @@ def section_split(spark, d):
     return blocks.select("doc_id", text.section_kind(F.col("block")).alias("kind"), text.section_article(F.col("block")).alias("article"))
 
 
-@query("txt7_txt10_regulation_chunks")
+@query("txt7_txt10_sup11_sup14_regulation_chunks")
 def regulation_chunks(spark, d):
     """Sections, cut at clauses where they are long, each with its bracketed origin. Tests hold the rules against fixed cases."""
     found = regulations(spark, d).select("doc_id", dates.document_number(F.col("file_name")).alias("number"), dates.effective_date(F.col("file_name")).alias("effective"), F.explode(text.sections(F.col("text"))).alias("block"))

@@ -40,6 +40,8 @@ from quillmill.llm.words import U, chunks_of, mix, powers, span_hashes, text_byt
 
 #: Bytes of text in a shard; a longer document is a shard of its own.
 SHARD_BYTES = 4 << 20
+#: Shards that a task works on, one after the other.
+SHARDS_A_TASK = 4
 #: Contexts of a block that are compared in pairs, and those that one task handles.
 PAIRS, WIDE = 64, 50_000
 _OTHER = np.random.default_rng(20240501).permutation(256).astype(np.uint8)
@@ -316,15 +318,15 @@ def interleave(parts: DataFrame) -> DataFrame:
     return parts.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "shard", "low").mapInArrow(_repeated, _INTERVALS)
 
 
-def _per_shard(listing: DataFrame, rows: DataFrame, folder: str, shape: Shape, work, schema: str) -> DataFrame:
-    """`work(shard, rows)` for each shard with its rows."""
+def _per_shard(listing: DataFrame, rows: DataFrame, tasks: int, folder: str, shape: Shape, work, schema: str) -> DataFrame:
+    """`work(shard, rows)` for each shard with its rows, in so many tasks: rows are few bytes, but each shard is much work."""
 
     def run(shard_row: pa.Table, mine: pa.Table) -> pa.Table:
         if not shard_row.num_rows:
             raise ValueError("rows of an unknown shard")
         return work(Shard.load(folder, shard_row.column("file")[0].as_py(), shard_row.column("shard")[0].as_py(), shape), mine)
 
-    return listing.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(run, schema)
+    return listing.repartition(tasks, "shard").groupBy("shard").cogroup(rows.repartition(tasks, "shard").groupBy("shard")).applyInArrow(run, schema)
 
 
 def _numpy(table: pa.Table, *names: str) -> list[np.ndarray]:
@@ -485,9 +487,10 @@ def remove_repeats(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id",
     folder = new_folder(docs.sparkSession, "shards")
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     listing = cut(slim.mapInArrow(_write(folder, shape, shard_bytes), "shard long, file string"))
-    per_shard = lambda rows, work, schema: _per_shard(listing, rows, folder, shape, work, schema)
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-listing.count() // SHARDS_A_TASK))
+    per_shard = lambda rows, work, schema: _per_shard(listing, rows, tasks, folder, shape, work, schema)
     first = max(1, shape.depth // 2)
-    blocks = keep(interleave(listing.repartition("shard").mapInArrow(_first_round(folder, shape, first), _INTERVALS)))
+    blocks = keep(interleave(listing.repartition(tasks, "shard").mapInArrow(_first_round(folder, shape, first), _INTERVALS)))
     blocks = keep(interleave(per_shard(blocks, lambda s, t: s.refine(*_numpy(t, "low", "n"), shape.depth), _INTERVALS)))
     classes = keep(per_shard(blocks, lambda s, t: s.classes(*_numpy(t, "b1", "b2", "low", "n")), _CLASSES))
     kinds = ["b1", "b2", "f1", "f2"]

@@ -1,4 +1,4 @@
-"""One registry of all queries outside the pipeline subpackage: name -> builder, and name -> SQL for the oracle.
+"""The registry of queries outside the pipeline subpackage: name -> builder, and name -> SQL for the oracle.
 
 A query's name begins with the ids of the operators that it applies.
 """
@@ -21,7 +21,3 @@ def query(name: str, sql: str | None = None):
         return build
 
     return add
-
-
-from quillmill.operators import analytics, conversation, evaluation, graph, incremental, relational, retrieval, supplementary, textual  # noqa: E402, F401
-from quillmill.streaming import queries as _streaming  # noqa: E402, F401

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill import registry
+from quillmill import catalog as registry
 from quillmill.operators import graph, incremental, retrieval
 from quillmill.streaming import queries as streaming
 
@@ -91,3 +91,12 @@ def test_stream_emits_what_the_batch_has_once_the_watermark_has_passed(spark, da
 def test_scans_are_pruned_and_filters_pushed_down(spark, data):
     plan = registry.QUERIES["flt7_flt9_in_and_contains"](spark, data)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "PushedFilters: [Or(StringContains(p_type,STEEL),StringContains(p_type,BRASS)), In(p_size, [1,5,9])" in plan and "p_retailprice" not in plan
+
+
+@pytest.mark.parametrize("module", ["operators.textual", "operators.supplementary", "operators.graph", "functions.text", "streaming.queries", "catalog"])
+def test_modules_import_on_their_own(module):
+    """As in a task's Python worker, which imports what it needs first."""
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", f"import quillmill.{module}"], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

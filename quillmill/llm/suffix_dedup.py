@@ -39,7 +39,7 @@ from quillmill.llm.storage import AtomicFile, cut, keep, new_folder, open_filesy
 from quillmill.llm.words import U, chunks_of, mix, powers, span_hashes, text_bytes
 
 #: Bytes of text in a shard; a longer document is a shard of its own.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 #: Shards that a task works on, one after the other.
 SHARDS_A_TASK = 4
 #: Contexts of a block that are compared in pairs, and those that one task handles.

@@ -30,6 +30,8 @@ from quillmill.llm.words import chunks_of
 
 #: Samples a row of the image; payloads are padded to a positive multiple.
 WIDTH = 64
+#: Stored bytes that a task reads back, about.
+TASK_BYTES = 8 << 20
 #: The PNG signature, and the bytes that hold it and the image header.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
@@ -158,7 +160,9 @@ def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
 def places(rows: DataFrame) -> DataFrame:
     """The one place of each digest, in order of shard and offset, so that a task reads few shards from front to back."""
     first = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
-    return first.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    size = rows.agg(F.sum("length")).first()[0] or 0
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)
+    return first.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def header_columns(folder: str, rows: DataFrame) -> DataFrame:

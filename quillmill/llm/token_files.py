@@ -45,47 +45,88 @@ for code in range(33, 127):
     (ALPHANUMERIC if chr(code).isalnum() else PUNCTUATION)[code] = True
 
 
+#: UTF-8 bytes of white space beyond ASCII (U+180E was white space in older tables). A run may go on across them.
+WIDE_SPACE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+WIDE_LAST = np.zeros(256, bool)
+WIDE_LAST[[w[-1] for w in WIDE_SPACE]] = True
+
+
+def _after_wide_space(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of these places follow white space beyond ASCII."""
+    out = np.zeros(len(at), bool)
+    maybe = np.flatnonzero(WIDE_LAST[raw[at - 1]])
+    for i in maybe:
+        out[i] = raw[max(0, at[i] - 3) : at[i]].tobytes().endswith(tuple(WIDE_SPACE))
+    return out
+
+
 class PieceTokenizer:
-    """Token ids of whole texts, each distinct piece tokenised once.
+    """Token ids of whole texts, as a fresh tokenizer with the library's defaults gives them, each distinct piece tokenised once.
 
-    The byte-level pre-tokeniser never joins white space to what stands before it, nor ASCII punctuation to a letter or
-    digit before it. A piece begins at each such place, so a text's ids are those of its pieces, one after the other.
+    The byte-level pre-tokeniser never joins ASCII white space to what stands before it, unless this is white space too,
+    nor ASCII punctuation to an ASCII letter or digit before it. A piece begins at each such place, so a text's ids are
+    those of its pieces, one after the other. Texts that contain an added token (as `<|endoftext|>`), and all texts of
+    tokenizers of any other make, are one piece each.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        made = json.loads(self.tokenizer.to_str())
+        before = made["pre_tokenizer"] or {}
+        byte_level = before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+        self.cuts = bool(byte_level and not any(made[k] for k in ("normalizer", "truncation", "padding")) and not made["model"].get("dropout"))
+        self.added = [t["content"].encode() for t in made["added_tokens"] if t["content"]]
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.forget()
 
     def forget(self) -> None:
         self.known, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def whole(self, body: bytes, at: np.ndarray) -> np.ndarray:
+        """Texts that must not be cut."""
+        if not self.cuts:
+            return np.arange(len(at) - 1)
+        found = set()
+        for token in self.added:
+            place = body.find(token)
+            while place >= 0:
+                found.add(int(np.searchsorted(at, place, side="right")) - 1)
+                place = body.find(token, place + 1)
+        return np.array(sorted(found), np.int64)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one more at the end)."""
         raw, at = text_bytes(texts)
+        body = raw.tobytes()
         blank = SPACE[raw]
         start = blank.copy()
         start[1:] &= ~blank[:-1]
+        start[:1] = False
+        places = np.flatnonzero(start)
+        start[places[_after_wide_space(raw, places)]] = False
         start[1:] |= PUNCTUATION[raw[1:]] & ALPHANUMERIC[raw[:-1]]
+        for i in self.whole(body, at):
+            start[at[i] : at[i + 1]] = False
         first = at[:-1][at[1:] > at[:-1]]
         start[first] = True
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], len(raw))
         hashes = span_hashes(raw, starts, ends)
         distinct, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > REMEMBERED:
+        if len(self.known) + len(distinct) > REMEMBERED or len(self.ids) > 8 * REMEMBERED:
             self.forget()
         slot = np.searchsorted(self.known, distinct)
         new = np.ones(len(distinct), bool)
         inside = slot < len(self.known)
         new[inside] = self.known[slot[inside]] != distinct[inside]
         if new.any():
-            body = raw.tobytes()
             pieces = [body[a:b].decode() for a, b in zip(starts[sample[new]], ends[sample[new]], strict=True)]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            if self.cuts:
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            else:  # a batch would be padded together
+                found = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in pieces]
             size = np.fromiter(map(len, found), np.int64, len(found))
             ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
             self.known = np.insert(self.known, slot[new], distinct[new])

@@ -92,3 +92,25 @@ def test_query_and_empty(spark, data, make_docs):
 def test_not_a_token_file():
     with pytest.raises(ValueError):
         token_files.unpack_file(b"nope" * 10)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"a1,' \n 　 \u0085  é", "<|endoftext|>", "<|"]), max_size=20).map("".join), max_size=5))
+def test_ids_are_those_of_a_fresh_tokenizer(texts):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(PATH)
+    texts = [*texts, "a     word", "x<|endoftext|>y", "<|endoftext|>"]
+    ids, at = TOKENIZER.encode(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == fresh.encode(t, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(PATH)
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(f"{tmp_path}/other.json")
+    ids, _ = token_files.PieceTokenizer(f"{tmp_path}/other.json").encode(pa.array(["one two, three"]))
+    assert ids.tolist() == other.encode("one two, three", add_special_tokens=False).ids

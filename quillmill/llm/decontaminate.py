@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-For each benchmark item of n words every window of n words of a document is compared with it. A fingerprint is the SimHash
+For each benchmark item of n words every window of n words of a document is compared with it; a document of fewer words is
+one window as a whole. A fingerprint is the SimHash
 of the window's weighted shingles (their counts are the weights). Items' fingerprints are cut into `BLOCKS` blocks of 8
 bits; two fingerprints within `RADIUS` bits agree in one block up to RADIUS // BLOCKS bits, so for each block a table
 from all 256 values to the items within that distance gives every item within the radius, none left out. Candidates
@@ -9,7 +10,8 @@ within the radius are verified by exact weighted-shingle similarity: sum of smal
 A window that shares no shingle with an item has similarity 0 to it. So only stretches of a document around shingles that
 some item has are cut into windows; this leaves out no match. The items of one group have the same size; what is
 broadcast are the items' shingle hashes, and `MAX_ITEM_WORDS` bounds their number with an error. Larger benchmarks are
-given in parts.
+given in parts. Documents shorter than an item are compared exactly with all items that share a shingle and whose size lets
+them reach the threshold, without fingerprints.
 
 Edge cases: null or empty texts, of documents or items, match nothing. An item with fewer than 5 words is one shingle, its
 whole sequence, and matches windows with exactly these words. Equal items match alike. Rows with equal doc_id are
@@ -106,6 +108,29 @@ def _stretches(seeds: np.ndarray, reach: int, end: int) -> list[tuple[int, int]]
     return [(max(0, int(g[0]) - reach), min(end, int(g[-1]) + reach + 1)) for g in np.split(seeds, cuts)]
 
 
+class Whole:
+    """Similarities of a whole document to the items of one size, from the items' shingles in order."""
+
+    def __init__(self, g: Items):
+        self.ids, self.total = g.ids, g.shingles
+        shingles = np.concatenate([np.fromiter(c, U, len(c)) for c in g.counts])
+        counts = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in g.counts])
+        item = np.repeat(np.arange(len(g.ids)), [len(c) for c in g.counts])
+        order = np.argsort(shingles, kind="stable")
+        self.shingles, self.counts, self.item = shingles[order], counts[order], item[order]
+
+    def matches(self, body: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
+        mine, n = np.unique(body, return_counts=True)
+        low, high = np.searchsorted(self.shingles, mine), np.searchsorted(self.shingles, mine, side="right")
+        size = high - low
+        at = np.arange(int(size.sum())) + np.repeat(low - (np.cumsum(size) - size), size)
+        items, which = np.unique(self.item[at], return_inverse=True)
+        both = np.bincount(which, np.minimum(self.counts[at], np.repeat(n, size)), len(items))
+        similarity = both / (len(body) + self.total - both)
+        for k in np.flatnonzero(similarity >= threshold):
+            yield self.ids[items[k]], 0, float(similarity[k])
+
+
 def _search(groups: list[Items], threshold: float, n: int):
     """For each document and item with a window at or over the threshold: the best window's place and similarity, and how many windows."""
     widths = sorted({g.width for g in groups})
@@ -116,6 +141,7 @@ def _search(groups: list[Items], threshold: float, n: int):
         filters[w][(known[w] >> U(44)).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wholes: dict[int, Whole] = {}
         for batch in chunks_of(batches):
             words = Words(batch.column("text"))
             hashes = words.hashes()
@@ -131,6 +157,10 @@ def _search(groups: list[Items], threshold: float, n: int):
                     a, b = int(words.of_doc[d]), int(words.of_doc[d + 1])
                     body = rolling[a : b - w + 1]
                     seeds = hits[doc == d] - a
+                    for g in (g for g in groups if g.width == w and g.words > b - a and len(body) / g.shingles >= threshold):
+                        if g.words not in wholes:
+                            wholes[g.words] = Whole(g)
+                        rows += [(int(d), *x) for x in wholes[g.words].matches(body, threshold)]
                     for g in (g for g in groups if g.width == w and g.words <= b - a):
                         mine = seeds[np.isin(body[seeds], np.concatenate([np.fromiter(c, U) for c in g.counts]))]
                         for low, high in _stretches(mine, g.shingles - 1, len(body)):

@@ -77,3 +77,39 @@ def test_no_rows(spark, make_docs):
     assert D.contaminated(make_docs(["a b c d e f"]), none).collect() == []
     assert D.contaminated(make_docs([]), some).collect() == []
     assert [r["similarity"] for r in D.contaminated(make_docs(["x a b c d e f y"], [None]), some).collect()] == [1.0]
+
+
+def brute_short(docs, items, threshold=0.8, n=5):
+    """Documents of fewer words than the item: the whole document is its one window."""
+    out = {}
+    for d, text in docs:
+        w = split(text)
+        for item, body in items:
+            g = split(body)
+            k = min(n, len(g))
+            if len(w) < len(g):
+                mine, gold = (Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1)) for x in (w, g))
+                both = sum((mine & gold).values())
+                similarity = both / (sum(mine.values()) + sum(gold.values()) - both)
+                if similarity >= threshold:
+                    out[d, item] = [similarity, 0, 1]
+    return out
+
+
+def test_documents_shorter_than_the_item(spark, make_docs):
+    items = [(i, " ".join(words(n, i))) for i, n in enumerate([60, 60, 30, 14, 9, 5, 4, 1])] + [(90, " ".join(["rep"] * 40)), (91, " ".join(words(60, 0))), (0, " ".join(words(59, 0)))]
+    texts = [None, "", " ".join(["rep"] * 36), " ".join(["rep"] * 35), " ".join(["rep"] * 4)]
+    for _, body in items:
+        w = split(body)
+        texts += [" ".join(x) for x in (w[:-1], w[1:], w[: len(w) // 2] + w[len(w) // 2 + 1 :], w[:-12], w[:-11], w[:-2], ["new", *w[2:]], w[: len(w) // 2])]
+    docs = list(enumerate(texts))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = D.contaminated(make_docs(texts), bench).collect()
+    got = {(r["doc_id"], r["item_id"]): [r["similarity"], r["first_word"], r["n_windows"]] for r in rows}
+    assert len(got) == len(rows)
+    want = brute(docs, [x for x in items if x[0]])
+    for key, x in brute_short(docs, [x for x in items if x[0]]).items():
+        want.setdefault(key, x)
+    assert {k: x for k, x in got.items() if k[1]} == want
+    assert got[5, 0][0] == 1.0 and got[5, 91][0] == 55 / 56 and got[7, 91][0] == 51 / 60
+    assert {r["doc_id"] for r in D.drop_contaminated(make_docs(texts), bench).collect()}.isdisjoint(d for d, _ in got)

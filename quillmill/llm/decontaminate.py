@@ -217,9 +217,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
-    """The documents without a window that matches an item. Documents with a null id can't be named, and stay."""
-    gone = contaminated(docs, benchmark, threshold, n).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The documents without a window that matches an item. Rows with a null id are judged by their text, each for itself."""
+    named = contaminated(docs.filter("doc_id is not null"), benchmark, threshold, n).select("doc_id", F.lit(None).cast("long").alias("mark"))
+    mark = F.xxhash64("text")
+    unnamed = contaminated(docs.filter("doc_id is null").select(mark.alias("doc_id"), "text"), benchmark, threshold, n).select(F.lit(None).cast("long").alias("doc_id"), F.col("doc_id").alias("mark"))
+    gone = named.union(unnamed).distinct().select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"))
+    same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & F.when(docs["doc_id"].isNull(), F.xxhash64(docs["text"])).eqNullSafe(F.col("gone_mark"))
+    return docs.join(gone, same, "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

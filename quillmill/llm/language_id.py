@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillmill.llm.words import U, chunks_of
 
@@ -132,7 +133,9 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def _predict(model: Model | None):
+def _predict(model: Model | None, lettered: bool = False):
+    """Rows with their prediction in place of the text; or the rows whose text has a letter, as they are, with their prediction."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks_of(batches, size=8 << 20):
             for at in range(0, batch.num_rows, 512):
@@ -144,6 +147,11 @@ def _predict(model: Model | None):
                     best, score = model.predict(np.stack([presence(texts[i].encode()) for i in known]))
                     for i, b, s in zip(known, best, score, strict=True):
                         langs[i], scores[i] = model.languages[b], float(s)
+                if lettered:
+                    kept = pa.array([i for i, t in enumerate(texts) if has_letter(t)], pa.int64())
+                    rows = part.take(kept)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(langs, pa.string()).take(kept)], names=[*rows.schema.names, "lang_pred"])
+                    continue
                 rest = {n: part.column(n) for n in part.schema.names if n != "text"}
                 yield pa.RecordBatch.from_pydict(rest | {"lang_pred": pa.array(langs), "score": pa.array(scores)})
 
@@ -168,9 +176,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def drop_undetermined(docs: DataFrame) -> DataFrame:
-    """The documents whose text has a language: the others have no text or no letter."""
-    gone = identify(docs).filter(F.col("lang_pred") == UNDETERMINED).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    """The documents whose text has a language: the others have no text or no letter. Each row is judged by its own text,
+    whatever its doc_id; without a model, a text with a letter stays."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    model = fit(*training_sample(slim, ~held_out()))
+    predicted = StructType([*docs.schema.fields, StructField("lang_pred", StringType())])
+    return docs.mapInArrow(_predict(model, lettered=True), predicted).drop("lang_pred")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -113,3 +113,9 @@ def test_documents_shorter_than_the_item(spark, make_docs):
     assert {k: x for k, x in got.items() if k[1]} == want
     assert got[5, 0][0] == 1.0 and got[5, 91][0] == 55 / 56 and got[7, 91][0] == 51 / 60
     assert {r["doc_id"] for r in D.drop_contaminated(make_docs(texts), bench).collect()}.isdisjoint(d for d, _ in got)
+
+
+def test_rows_with_a_null_id_are_judged_by_their_text(spark, make_docs):
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    kept = D.drop_contaminated(make_docs(["x a b c d e f y", "clean text", None, "x a b c d e f y", "other"], [None, None, None, 4, 5]), items)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, ""), (0, "clean text"), (5, "other")]

@@ -53,3 +53,12 @@ def test_few_or_no_labels(spark, make_docs):
 def test_kernel_counts_common_grams():
     a, b = L.presence(b"abc abd"), L.presence("ABC\n abd".encode())
     assert (a == b).all() and a.sum() > 10
+
+
+def test_rows_are_dropped_by_their_own_text_only(spark, make_docs):
+    texts = ["clean text", None, "other text", "12 34", "more text", ""]
+    ids = [None, None, 5, 5, 6, None]
+    for langs in (["en"] * 6, [None] * 6):
+        kept = L.drop_undetermined(make_docs(texts, ids, langs=langs))
+        assert kept.columns == make_docs(texts).columns
+        assert sorted((r["text"], r["doc_id"]) for r in kept.collect()) == [("clean text", None), ("more text", 6), ("other text", 5)]

@@ -111,20 +111,22 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
 def training_sample(docs: DataFrame, usable: Column, per_language: int = 512, seed: int = 7) -> tuple[list[str], list[str]]:
     """At most `per_language` distinct texts of each language, by a seeded hash of the text: bounded, and the same on each run.
 
-    The languages' counts give each a share of the hash range that holds about twice as many texts as wanted, so that
-    only hashes of few texts are ranked, and only texts in the sample leave the scan. Copies of a text count once.
+    The numbers of distinct text hashes give each language a share of the hash range that holds about four times as many
+    texts as wanted, so that only hashes of few texts are ranked, and only texts in the sample leave the scan. Copies of
+    a text count once, in the shares too: min(per_language, distinct texts) are chosen.
     """
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    hashed = rows.withColumn("hash", F.xxhash64(F.lit(seed), "text"))
+    counts = hashed.groupBy("lang", "hash").agg(F.lit(1)).groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4.0 * per_language / r["count"])) for r in counts], "lang string, share double")
-    place = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 40))
-    placed = rows.withColumn("place", place).join(F.broadcast(shares), "lang").filter(F.col("place") < F.col("share") * float(1 << 40))
-    first = Window.partitionBy("lang").orderBy("place")
-    chosen = placed.select("lang", "place").distinct().withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_language)
+    place = F.pmod("hash", F.lit(1 << 40))
+    placed = hashed.withColumn("place", place).join(F.broadcast(shares), "lang").filter(F.col("place") < F.col("share") * float(1 << 40))
+    first = Window.partitionBy("lang").orderBy("place", "hash")
+    chosen = placed.select("lang", "place", "hash").distinct().withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_language).drop("place")
     # At most MAX_LANGUAGES * per_language pairs of numbers are broadcast.
-    found = placed.join(F.broadcast(chosen), ["lang", "place"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
+    found = placed.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
     listed = [r for r in found.orderBy("rank", "lang").collect() if has_letter(r["text"])]
     return [r["text"] for r in listed], [r["lang"] for r in listed]
 

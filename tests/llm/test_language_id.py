@@ -62,3 +62,11 @@ def test_rows_are_dropped_by_their_own_text_only(spark, make_docs):
         kept = L.drop_undetermined(make_docs(texts, ids, langs=langs))
         assert kept.columns == make_docs(texts).columns
         assert sorted((r["text"], r["doc_id"]) for r in kept.collect()) == [("clean text", None), ("more text", 6), ("other text", 5)]
+
+
+def test_copies_do_not_shrink_the_sample(spark, make_docs):
+    texts = [f"text {'abcdefghij'[i % 10]} number {i % 20}" for i in range(4000)]
+    got, langs = L.training_sample(make_docs(texts, langs=["x"] * 4000), L.F.lit(True), per_language=8)
+    assert len(got) == len(set(got)) == 8 and set(langs) == {"x"}
+    got, _ = L.training_sample(make_docs(texts, langs=["x"] * 4000), L.F.lit(True), per_language=30)
+    assert sorted(got) == sorted(set(texts))

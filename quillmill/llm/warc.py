@@ -6,8 +6,8 @@ all records are parsed, requests and metadata are joined to their response or re
 to the response that they refer to, and each capture becomes one nested row.
 
 Edge cases: a null or empty html is an empty payload (as any other, the smallest page_id of its kind is the response). A
-null page_id is larger than any other and is kept null. Rows that share page_id and payload are the same capture: they
-get the same values. A null url is the empty URL. An empty table gives no archive and no row. Columns other than the
+null page_id is larger than any other and is kept null. Rows that share page_id and payload get the same
+values; the query gives a row for each of them. A null url is the empty URL. An empty table gives no archive and no row. Columns other than the
 three named are ignored. Digests are of full payloads; very long pages are single records.
 """
 
@@ -49,36 +49,40 @@ def record(fields: dict[str, str], block: bytes) -> bytes:
     return packer.compress(f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def transaction(page: int | None, url: str, payload: bytes, refers_to: int | None, date: str) -> list[bytes]:
-    """The capture's records: response or revisit, request, metadata."""
+def transaction(page: int | None, url: str, payload: bytes, refers_to: int | None, date: str, mark: str = "", refers_mark: str = "") -> list[bytes]:
+    """The capture's records: response or revisit, request, metadata. The marks tell captures of equal page and payload apart."""
     digest = payload_digest(payload)
+    name = digest + mark
     uri = "".join(c for c in url if c.isprintable() and c != " ")
-    capture = record_id("capture", page, digest)
+    capture = record_id("capture", page, name)
     common = {"WARC-Target-URI": uri, "WARC-Date": date}
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     about = {"WARC-Record-ID": capture, **common, "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http; msgtype=response"}
     if refers_to is None:
         first = record({"WARC-Type": "response", **about}, http + payload)
     else:
-        first = record({"WARC-Type": "revisit", **about, "WARC-Profile": PROFILE, "WARC-Refers-To": record_id("capture", refers_to, digest)}, http)
+        first = record({"WARC-Type": "revisit", **about, "WARC-Profile": PROFILE, "WARC-Refers-To": record_id("capture", refers_to, digest + refers_mark)}, http)
     link = {"WARC-Concurrent-To": capture, **common}
     host, _, path = uri.partition("://")[2].partition("/")
-    request = record({"WARC-Type": "request", "WARC-Record-ID": record_id("request", page, digest), **link, "Content-Type": "application/http; msgtype=request"}, f"GET /{path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode())
-    metadata = record({"WARC-Type": "metadata", "WARC-Record-ID": record_id("metadata", page, digest), **link, "Content-Type": "application/warc-fields"}, f"pageId: {'' if page is None else page}\r\n".encode())
+    request = record({"WARC-Type": "request", "WARC-Record-ID": record_id("request", page, name), **link, "Content-Type": "application/http; msgtype=request"}, f"GET /{path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode())
+    metadata = record({"WARC-Type": "metadata", "WARC-Record-ID": record_id("metadata", page, name), **link, "Content-Type": "application/warc-fields"}, f"pageId: {'' if page is None else page}\r\n".encode())
     return [first, request, metadata]
 
 
-def _write(folder: str, date: str):
+def _write(folder: str, date: str, each_row: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, number, names = None, 0, []
         for batch in chunks_of(batches, "html"):
-            for page, url, html, refers_to in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html"), batch.column("refers_to").to_pylist(), strict=True):
-                file = file or AtomicFile(folder, f"pages-{TaskContext.get().partitionId():06d}-{number:04d}", "warc.gz")
+            for row in zip(*[batch.column(c) if c == "html" else batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "refers_url", "low", "high")], strict=True):
+                page, url, html, refers_to, refers_url, low, high = row
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
-                file.write(b"".join(transaction(page, url or "", payload, refers_to, date)))
-                if file.position >= ARCHIVE_BYTES:
-                    names.append(file.close())
-                    file, number = None, number + 1
+                for copy in range(low, high):
+                    file = file or AtomicFile(folder, f"pages-{TaskContext.get().partitionId():06d}-{number:04d}", "warc.gz")
+                    marks = (f"/{url or ''}/{copy}", f"/{refers_url or ''}/0") if each_row else ("", "")
+                    file.write(b"".join(transaction(page, url or "", payload, refers_to, date, *marks)))
+                    if file.position >= ARCHIVE_BYTES:
+                        names.append(file.close())
+                        file, number = None, number + 1
         if file:
             names.append(file.close())
         yield pa.RecordBatch.from_pydict({"file": pa.array(names, pa.string())})
@@ -143,11 +147,14 @@ def _read(folder: str):
     return run
 
 
-def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> tuple[str, DataFrame]:
+def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", each_row: bool = False) -> tuple[str, DataFrame]:
     """Write all pages; the archives' folder and a row for each file.
 
     Payloads of at least `min_revisit_bytes` that are equal are stored once, with the smallest page_id.
+    With `each_row` every row is a capture of its own; else rows of equal page_id and payload have the same ids.
     """
+    if each_row:
+        return _write_each(pages, min_revisit_bytes, date)
     html = F.coalesce(F.col("html"), F.lit(""))
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").alias("html"))
     keys = slim.select("page_id", F.sha1(html.cast("binary")).alias("sha"), (F.octet_length(html) >= min_revisit_bytes).alias("shared"))
@@ -155,7 +162,33 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "20
     later = keys.filter("shared").join(first.select("sha", "refers_to"), "sha").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).dropDuplicates(["page_id", "sha"])
     named = slim.withColumn("sha", F.sha1(html.cast("binary"))).alias("p").join(later.alias("l"), F.col("p.page_id").eqNullSafe(F.col("l.page_id")) & (F.col("p.sha") == F.col("l.sha")), "left")
     folder = new_folder(pages.sparkSession, "warc")
-    return folder, cut(named.select("p.page_id", "url", "html", "refers_to").mapInArrow(_write(folder, date), "file string"))
+    return folder, cut(named.select("p.page_id", "url", "html", "refers_to", F.lit(None).cast("string").alias("refers_url"), F.lit(0).alias("low"), F.lit(1).alias("high")).mapInArrow(_write(folder, date, False), "file string"))
+
+
+#: Copies of a row that one task writes in a go.
+COPIES = 4096
+
+
+def _write_each(pages: DataFrame, min_revisit_bytes: int, date: str) -> tuple[str, DataFrame]:
+    """Rows of equal page_id, url and payload are counted and met once, and written as often as counted, in ranges dealt
+    over tasks; their ids have the url and the number of the copy. Revisits refer to copy 0 of the response's first url."""
+    html = F.coalesce(F.col("html"), F.lit(""))
+    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
+    group = ["page_id", "url", "sha"]
+    counted = slim.select(*group, (F.octet_length("html") >= min_revisit_bytes).alias("shared")).groupBy(*group, "shared").agg(F.count("*").alias("n"))
+    first = counted.filter("shared").groupBy("sha").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("first"), F.sum("n").alias("all"))
+    first = first.filter("all > 1 and first.page_id is not null").select("sha", "first")
+    refers = ~F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("first").isNotNull()
+    about = counted.join(first, "sha", "left").select(*group, "n", *[F.when(refers, F.col(f"first.{a}")).alias(b) for a, b in (("page_id", "refers_to"), ("url", "refers_url"))])
+    about = about.filter("n > 1 or refers_to is not null").alias("a")
+    same = F.col("p.page_id").eqNullSafe(F.col("a.page_id")) & (F.col("p.url") == F.col("a.url")) & (F.col("p.sha") == F.col("a.sha"))
+    named = slim.alias("p").join(about, same, "left").select("p.page_id", "p.url", "p.sha", "html", "refers_to", "refers_url", "n")
+    plain = ["page_id", "url", "html", "refers_to", "refers_url"]
+    once = named.filter("n is null or n = 1").select(*plain, F.lit(0).cast("long").alias("low"), F.lit(1).cast("long").alias("high"))
+    many = named.filter("n > 1").dropDuplicates(group).select(*plain, "n", "sha", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("low"))
+    many = many.repartition("page_id", "url", "sha", "low").select(*plain, "low", F.least(F.col("low") + COPIES, F.col("n")).alias("high"))
+    folder = new_folder(pages.sparkSession, "warc")
+    return folder, cut(once.unionByName(many).mapInArrow(_write(folder, date, True), "file string"))
 
 
 def read_records(folder: str, files: DataFrame) -> DataFrame:
@@ -175,7 +208,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    folder, files = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    folder, files = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), each_row=True)
     captures = assemble(cut(read_records(folder, files)))
     return captures.select(
         F.col("metadata.page_id").alias("page_id"), F.col("payload.bytes").alias("payload_bytes"), F.col("payload.digest").alias("payload_digest"), "record_type", F.col("refers_to.page_id").alias("refers_to")

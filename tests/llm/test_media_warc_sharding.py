@@ -124,3 +124,16 @@ def test_sharding_repeated_rows_null_ids_and_no_rows(spark, make_docs):
     rows = sharding.assign_shards(make_docs(["a"] * 6, [1, 1, None, None, None, 2]), 24).collect()
     assert len(rows) == 6 and sorted(r["slot"] for r in rows if r["doc_id"] is None)[-1] >= 2
     assert sharding.assign_shards(make_docs([]), 24).collect() == []
+
+
+def test_each_row_comes_back(spark, tmp_path):
+    rows = [*PAGES, (None, None, None), (None, "u", ""), (None, "u", None), (None, "v", "lone"), (None, "w", "lone"), (1, "http://0", "<p>x</p>"), (1, "http://a.b/", "<p>x</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    want = []
+    for page, _, html in rows:
+        same = [p for p, _, h in rows if (h or "") == (html or "") and p is not None]
+        first = min(same, default=page)
+        want.append((page, len((html or "").encode()), "response" if page == first else "revisit", None if page == first else first))
+    key = lambda r: tuple(map(str, r))
+    got = [(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.query(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)

@@ -30,13 +30,14 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.storage import AtomicFile, cut, keep, new_folder, open_filesystem
-from quillmill.llm.words import U, chunks_of, mix, powers, span_hashes, text_bytes
+from quillmill.llm.words import U, chunks_of, mix, span_hashes, stretch_hashes, text_bytes
 
 #: Bytes of text in a shard; a longer document is a shard of its own.
 SHARD_BYTES = 3 << 20
@@ -44,7 +45,6 @@ SHARD_BYTES = 3 << 20
 SHARDS_A_TASK = 4
 #: Contexts of a block that are compared in pairs, and those that one task handles.
 PAIRS, WIDE = 64, 50_000
-_OTHER = np.random.default_rng(20240501).permutation(256).astype(np.uint8)
 
 
 @dataclass(frozen=True)
@@ -144,12 +144,8 @@ class Shard:
         """Whether a suffix has `depth` bytes of phrases, and 128 bits of hash of these."""
         to = self.ends(members, depth)
         alive = to >= 0
-        up, down = powers(len(self.anchors) + 1)
-        keys = []
-        for symbols in (self.phrases, mix(self.phrases ^ U(0xB5297A4D3F84D5B5))):
-            running = np.zeros(len(symbols) + 1, U)
-            np.cumsum(symbols * up[:-1], out=running[1:])
-            keys.append(mix((running[to] - running[members]) * down[members]).view(np.int64))
+        count = np.where(alive, to - members, 0)
+        keys = (stretch_hashes(self.phrases, members, count, seed).view(np.int64) for seed in (0, 1))
         return alive, *keys
 
     @cached_property
@@ -206,8 +202,9 @@ class Shard:
         long = left + right >= self.shape.length
         members, block, left, right = members[long], block[long], left[long], right[long]
         at = self.anchors[members]
-        sides = (left.astype(U) << U(32)) | right.astype(U)
-        f1, f2 = (mix(span_hashes(raw, at - left, at + right) ^ sides).view(np.int64) for raw in (self.raw, _OTHER[self.raw]))
+        body = self.raw.tobytes()
+        around = b"".join(xxhash.xxh3_128_digest(body[a - l : a + r], l) for a, l, r in zip(at.tolist(), left.tolist(), right.tolist(), strict=True))
+        f1, f2 = np.frombuffer(around, np.int64).reshape(-1, 2).T
         by = np.lexsort((members, f2, f1, block))
         members, block, f1, f2 = members[by], block[by], f1[by], f2[by]
         new = np.ones(len(by), bool)

@@ -37,7 +37,7 @@ from quillmill.llm.words import SPACE, chunks_of, span_hashes, text_bytes
 MAGIC = b"QTOK"
 END_ID = 0
 #: Most pieces remembered by a task between batches.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 
 ALPHANUMERIC, PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
@@ -82,7 +82,7 @@ class PieceTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known, self.other, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def whole(self, body: bytes, at: np.ndarray) -> np.ndarray:
         """Texts that must not be cut."""
@@ -96,6 +96,10 @@ class PieceTokenizer:
                 place = body.find(token, place + 1)
         return np.array(sorted(found), np.int64)
 
+    def encode_whole(self, body: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.tokenizer.encode(body[a:b].decode(), add_special_tokens=False).ids for a, b in zip(at[:-1], at[1:], strict=True)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.cumsum([0, *map(len, found)])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one more at the end)."""
         raw, at = text_bytes(texts)
@@ -113,7 +117,7 @@ class PieceTokenizer:
         start[first] = True
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], len(raw))
-        hashes = span_hashes(raw, starts, ends)
+        hashes, others = (span_hashes(raw, starts, ends, seed) for seed in (0, 1))
         distinct, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > REMEMBERED or len(self.ids) > 8 * REMEMBERED:
             self.forget()
@@ -130,10 +134,13 @@ class PieceTokenizer:
             size = np.fromiter(map(len, found), np.int64, len(found))
             ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
             self.known = np.insert(self.known, slot[new], distinct[new])
+            self.other = np.insert(self.other, slot[new], others[sample[new]])
             self.at = np.insert(self.at, slot[new], len(self.ids) + np.cumsum(size) - size)
             self.size = np.insert(self.size, slot[new], size)
             self.ids = np.concatenate([self.ids, ids])
         slot = np.searchsorted(self.known, distinct)[which]
+        if (self.other[slot] != others).any():  # two pieces share a hash: nothing is put together from pieces then
+            return self.encode_whole(body, at)
         size = self.size[slot]
         ends = np.cumsum(size)
         gather = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.at[slot] - (ends - size), size)
@@ -159,7 +166,7 @@ def _tokenize(path: str):
         tokenizer = _tokenizer(path)
         width = np.uint16 if tokenizer.vocabulary <= 1 << 16 else np.uint32
         packer = zstandard.ZstdCompressor(1)
-        for batch in chunks_of(batches, size=2 << 20):
+        for batch in chunks_of(batches, size=1 << 20):
             ids, at = tokenizer.encode(batch.column("text"))
             ends = at[1:] + np.arange(batch.num_rows)
             inner = np.ones(len(ids) + batch.num_rows, bool)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 SPACE = np.zeros(256, dtype=bool)
@@ -17,20 +18,9 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash's base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(size, base, U)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+#: The first k bytes of eight, and the longest range that is hashed eight bytes at a time.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,7 +42,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0] if len(at) else np.zeros(1, np.int64)
 
 
-def chunks_of(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks_of(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `size` bytes of text, at least one row each, to bound a task's memory."""
     for batch in batches:
         if not batch.num_rows:
@@ -89,18 +79,41 @@ class Words:
         return span_hashes(LOWER[self.raw], self.starts, self.ends)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges by differences of a running polynomial."""
-    if not len(starts):
-        return np.empty(0, U)
-    up, down = powers(len(raw) + 1)
-    running = np.zeros(len(raw) + 1, U)
-    running[1:] = raw
-    running[1:] += U(1)
-    running[1:] *= up[:-1]
-    np.cumsum(running[1:], out=running[1:])
-    spans = (running[ends] - running[starts]) * down[starts]
-    return mix(spans ^ ((ends - starts).astype(U) << U(48)))
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges: eight bytes at a time are put in and scrambled, so ranges of one length up to eight
+    bytes never collide, and no pattern of bytes cancels out. Ranges of over `LONG` bytes are hashed one by one."""
+    size = ends - starts
+    out = mix(size.astype(U) + U((0x9E3779B97F4A7C15 * (2 * seed + 1)) % 2**64))
+    if not len(size):
+        return out
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    short = size <= LONG
+    alive, at, left = (np.arange(len(size)), starts, size) if short.all() else (np.flatnonzero(short), starts[short], size[short])
+    while len(alive):
+        block = eight[at]
+        block &= _FIRST[np.minimum(left, 8)]
+        out[alive] = mix(out[alive] ^ block)
+        more = left > 8
+        alive, at, left = alive[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(~short):
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), seed)
+    return out
+
+
+def stretch_hashes(symbols: np.ndarray, low: np.ndarray, count: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of the `count` symbols from each of `low` on, put together from those of stretches of 1, 2, 4, ... symbols."""
+    out = mix(count.astype(U) + U((0xC2B2AE3D27D4EB4F * (2 * seed + 1)) % 2**64))
+    level, at, size, most = mix(symbols + U(2 * seed + 1)), low.copy(), 1, int(count.max(initial=0))
+    while size <= most:
+        here = np.flatnonzero(count & size)
+        out[here] = mix(out[here] * U(0x9FB21C651E98DF25) + level[at[here]])
+        at[here] += size
+        if 2 * size <= most:
+            level = mix(level[:-size] * U(0xD6E8FEB86659FD93) + level[size:])
+        size *= 2
+    return out
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -6,8 +6,8 @@ value it gets. Rounds go on until every coordinate is filled, and after K rounds
 coordinate j, so filling is guaranteed. Two documents agree in a coordinate with probability equal to their Jaccard
 similarity, and the number of agreements is concentrated as for K independent throws.
 
-Stages: (1) one pass over the texts makes set size, set digest and sketch; (2) documents with equal sets form a class with
-one representative; (3) the sketches' bands put representatives into buckets, each bucket links its members to its
+Stages: (1) one pass over the texts makes set size, set digest and sketch; (2) documents with equal sets form a class, named
+by a number of its own, with one document that stands for its set; (3) the sketches' bands put representatives into buckets, each bucket links its members to its
 smallest one as candidates, and candidates are verified on full sets; (4) components of verified links; (5) in buckets
 that still hold several components, sketches across components are compared in blocks, and the likely pairs are verified
 there too, so that no link between components that share a bucket is lost; (6) components again.
@@ -17,8 +17,10 @@ Nothing is emitted for all pairs of a group: stage 3 is linear in the buckets' s
 are not one component, and copies of a set take no part at all.
 
 Edge cases: a text without words, or a null text, has an empty set and is linked with nothing. A text with fewer than n
-words is one shingle, its whole sequence. Rows with equal doc_id are variants of one document: they share a component,
-and a link of any of them counts. A null doc_id is a document of its own with component null. An empty table gives an empty result. Extra columns are ignored.
+words is one shingle, its whole sequence. Rows with equal doc_id and different texts are linked by each of their texts,
+and each row has the component of its own text. A row with a null doc_id is linked like any other and never names a component
+that has another doc_id; where none has one, the component is null and all its rows are kept. An empty table gives an empty
+result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ BANDS, ROWS = 24, 5
 #: Coordinates of a sketch; the first BANDS * ROWS are banded, all are compared (a byte of each).
 K = 480
 #: Rows of a block of sketches that are compared with another block.
-BLOCK = 2048
+BLOCK = 1024
 #: Hashed throws that are worked out at a time.
 THROWS = 4096
 #: Members of a hot candidate group that one task verifies.
@@ -85,6 +87,10 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
         yield np.unique(document_shingles(hashes[a:b], rolling[a:b], n))
 
 
+_ROW = ["doc", "none", "body"]
+_ABOUT = "doc long, none boolean, body long, n_shingles long, digest binary, bands binary, sketch binary"
+
+
 def _sketches(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks_of(batches):
@@ -99,7 +105,7 @@ def _sketches(n: int):
                 else:
                     rest.append((None, None, None))
             named = {c: pa.array([r[i] for r in rest], pa.binary()) for i, c in enumerate(("digest", "bands", "sketch"))}
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(sizes, pa.int64())} | named)
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in _ROW} | {"n_shingles": pa.array(sizes, pa.int64())} | named)
 
     return run
 
@@ -113,7 +119,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets_of(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks_of(batches):
-            yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "shingles": pa.array([s.tobytes() for s in _sets(batch, n)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "shingles": pa.array([s.tobytes() for s in _sets(batch, n)], pa.binary())})
 
     return run
 
@@ -245,14 +251,15 @@ def _across(percent: int, work, carried: tuple[str, ...]):
 
 
 def _residual_links(buckets: DataFrame, found: DataFrame, about: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components within buckets that hold several. `found`: (id, component).
+    """Links (a, b) between components within buckets that hold several. `found`: (id, component); `about`: digest and id of
+    classes with a set's size, bands and sketch.
 
     First only sketches are compared; then the rows that have a likely partner come again, with their full sets.
     """
     members = buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket", "n")
     members = cut(members.join(mixed, "bucket").select("bucket", "id", "component", "n"))
-    sketches = about.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "bands", "sketch").join(members.select("id").distinct(), "id").dropDuplicates(["id"])
+    sketches = about(members.select("id").distinct())
     members = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     # Block x meets each block y >= x: a row goes to the left of (x, y) for y >= x and to the right of (y, x) for y < x.
     members = members.select("bucket", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -264,32 +271,63 @@ def _residual_links(buckets: DataFrame, found: DataFrame, about: DataFrame, sets
     return dealt(again, "shingles").mapInArrow(_across(percent, _links, ("shingles",)), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable through links) and kept, for each document."""
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    about = keep(slim.mapInArrow(_sketches(n), "doc_id long, n_shingles long, digest binary, bands binary, sketch binary"))
-    named = about.filter("digest is not null and doc_id is not null")
-    classes = keep(named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")))
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The documents by doc (0 for null), none (whether the id is null), body (the text's hash), and text."""
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")).alias("doc"), F.col(key).isNull().alias("none"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
+
+
+def _components(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
+    """doc, none, body, n_shingles and component (a class id; null: linked with nothing) of each document."""
+    rows = _rows(docs, key, text)
+    about = keep(rows.mapInArrow(_sketches(n), _ABOUT))
+    filled = about.filter("digest is not null")
+    stands = filled.groupBy("digest").agg(F.min(F.struct("none", "doc", "body")).alias("row"), F.min("bands").alias("bands"))
+    classes = keep(stands.select("digest", "row.*", "bands").withColumn("id", F.monotonically_increasing_id()))
     bands = keep(classes.select("id", "bands").mapInArrow(_bands, "bucket long, id long"))
     shared = bands.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("bucket", "pivot")
     inside = keep(bands.join(shared, "bucket").select("bucket", "pivot", "id"))
     pairs = inside.filter("pivot != id").select("pivot", "id").distinct()
-    wanted = inside.select("id").distinct()
-    sets = keep(slim.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").mapInArrow(_sets_of(n), "id long, shingles binary"))
+    wanted = classes.join(inside.select("id").distinct(), "id").select(*_ROW, "id")
+    sets = keep(rows.dropDuplicates(_ROW).join(wanted, _ROW).select("id", "text").mapInArrow(_sets_of(n), "id long, shingles binary"))
+
+    def sketches(ids: DataFrame) -> DataFrame:
+        named = classes.select("digest", "id").join(ids, "id")
+        return filled.select("digest", F.col("n_shingles").alias("size"), "bands", "sketch").join(named, "digest").drop("digest").dropDuplicates(["id"])
+
     links = cut(verified(pairs, sets, percent))
     found = connected_components(links)
-    more = cut(_residual_links(inside.select("bucket", "id"), found, named, sets, percent))
+    more = cut(_residual_links(inside.select("bucket", "id"), found, sketches, sets, percent))
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
-    heads = classes.select("id", "digest").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    out = about.join(heads, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    heads = classes.select("id", "digest").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    return about.select(*_ROW, "n_shingles", "digest").join(heads, "digest", "left").drop("digest")
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable through links) and kept, for each document."""
+    rows = keep(_components(docs, n, percent, key, text))
+    names = rows.filter("component is not null").groupBy("component").agg(F.min(F.when(~F.col("none"), F.col("doc"))).alias("name"))
+    doc_id = F.when(~F.col("none"), F.col("doc"))
+    out = rows.join(names, "component", "left").select(doc_id.alias("doc_id"), "n_shingles", F.when(F.col("component").isNull(), doc_id).otherwise(F.col("name")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which none with a smaller doc_id is in the same component."""
-    gone = near_duplicates(docs, n, percent).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each component: the one with the smallest doc_id, a null one last, and of those the one with the smallest
+    hash of its text. Of rows that repeat it one stays too. Rows without a word are all kept."""
+    rows = keep(_components(docs, n, percent, "doc_id", "text"))
+    linked = rows.filter("component is not null")
+    counted = linked.groupBy("component", *_ROW).agg(F.count("*").alias("n"))
+    best = counted.groupBy("component").agg(F.min(F.struct("none", "doc", "body")).alias("best"), F.sum("n").alias("all"))
+    gone = counted.join(best, "component").select(*[F.col(c).alias(f"near {c}") for c in _ROW], (F.struct("none", "doc", "body") != F.col("best")).alias("near gone"), (F.col("n") > 1).alias("near many"))
+    gone = gone.filter("`near gone` or `near many`")
+    keys = {"doc": F.coalesce(docs["doc_id"].cast("long"), F.lit(0).cast("long")), "none": docs["doc_id"].isNull(), "body": F.xxhash64(docs["text"])}
+    on = [keys[c] == gone[f"near {c}"] for c in _ROW]
+    once = docs.join(gone, on, "left_anti")
+    if gone.filter("`near many` and not `near gone`").isEmpty():
+        return once
+    again = docs.join(gone.filter("not `near gone`"), on, "left_semi")
+    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

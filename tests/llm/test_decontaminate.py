@@ -55,20 +55,46 @@ def test_against_brute_force(spark, make_docs):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {d for d, _ in got}
 
 
-def test_block_tables_miss_nothing_within_the_radius():
+def test_block_tables_miss_nothing_within_the_radius_and_reject_most_items():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    groups = D._items([(i, rng.integers(0, 2**63, 30).astype(np.uint64)) for i in range(20)], 5)
-    g = groups[0]
+    (g,) = D._items([(i, rng.integers(0, 2**63, 30).astype(np.uint64)) for i in range(200)], 5)
+    near = []
     for k in range(20):
-        for _ in range(50):
-            flips = rng.choice(64, rng.integers(0, D.RADIUS + 1), replace=False)
-            near = g.prints[k] ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64)) if len(flips) else g.prints[k]
-            found = np.zeros(g.tables.shape[2], np.uint8)
-            for b, v in enumerate(np.array([near]).view(np.uint8)):
-                found |= g.tables[b][v]
-            assert np.unpackbits(found, count=20)[k]
+        for distance in [D.RADIUS] * 30 + list(range(0, D.RADIUS, 3)):
+            bits = np.zeros(D.BITS, np.uint8)
+            bits[rng.choice(D.BITS, distance, replace=False)] = 1
+            near.append((k, g.prints[k] ^ np.packbits(bits)))
+    window, item = g.candidates(np.array([p for _, p in near]))
+    found = set(zip(window.tolist(), item.tolist(), strict=True))
+    assert all((w, k) in found for w, (k, _) in enumerate(near))
+    others = D.window_simhashes(rng.integers(0, 2**63, 2000).astype(np.uint64), g.shingles)
+    assert len(g.candidates(others)[0]) / (len(others) * len(g.ids)) < 0.05
+
+
+def test_items_in_parts(spark, make_docs, monkeypatch):
+    items = [(i, " ".join(words(20, i))) for i in range(9)]
+    bench = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    docs = make_docs([f"before {t} after" for _, t in items] + ["clean words only", None], [*range(9), 3, None])
+    whole = sorted(D.contaminated(docs, bench).collect())
+    monkeypatch.setattr(D, "PART_WORDS", 40)
+    assert sorted(D.contaminated(docs, bench).collect()) == whole and len(whole) == 9
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in D.drop_contaminated(docs, bench).collect()) == [(0, ""), (3, "clean words only")]
+
+
+def test_time_a_document_does_not_grow_with_the_items():
+    """Work is done for the sizes that share a shingle with the document, not for all items."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    visited = []
+    for n in (200, 10_000):
+        groups = D._items([(i, rng.integers(0, 2**63, 15 + i % 45).astype(np.uint64)) for i in range(n)], 5)
+        index = D.Index(groups, 5)
+        mine = np.fromiter(groups[3].counts[0], np.uint64)
+        visited.append([k for k, _ in index.by_group(mine)])
+    assert visited == [[3], [3]]
 
 
 def test_no_rows(spark, make_docs):

@@ -6,8 +6,10 @@ geometric mean of their set sizes. `LANDMARKS` training texts stand for the kern
 features kernel ridge regression is solved once for all languages, one against the rest. Scoring a batch is two matrix
 products: presence by landmarks, and features by weights.
 
-The classifier is fitted on a bounded sample of labelled rows, at most `per_language` texts for each language, in the order
-of a seeded hash. All texts are predicted, over their whole length.
+The classifier is fitted on a bounded sample of labelled rows: `SAMPLE` texts in all, dealt evenly over the languages, at most
+`per_language` and at least `LEAST` for each, in the order of a seeded hash. Tasks turn the sample's whole texts into presence
+vectors, of which the driver gets two kilobytes each, however long the texts are. There is a landmark for each language at
+least. All texts are predicted, over their whole length.
 
 Edge cases: a text that is null or has no letter is `und` with score 0. Rows with a null label or a null text are not
 learned from. With no labelled rows every text is `und`; with one language that one is predicted. Ties go to the first
@@ -23,15 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from quillmill.llm.words import U, chunks_of
 
 #: Slots of the presence vectors, the longest n-gram, and the number of landmarks.
 SLOTS, LONGEST, LANDMARKS = 1 << 14, 4, 192
 RIDGE = 1e-3
-#: More languages than this among the labels are refused with an error.
-MAX_LANGUAGES = 1000
+#: Texts of the training sample in all, and of each language at least.
+SAMPLE, LEAST = 8192, 4
+#: Up to this share of the way from no evidence (0) to the best decision's goal (1) a text is in no learned language.
+REJECT = 0.1
 UNDETERMINED = "und"
 _SEEDS = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -75,84 +78,105 @@ class Model:
         kernel = (found.astype(np.float32) @ self.landmarks) / np.sqrt(np.maximum(found.sum(1), 1)[:, None] * self.sizes[None, :])
         return kernel @ self.weights[:-1] + self.weights[-1]
 
-    def predict(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def evidence(self, values: np.ndarray) -> np.ndarray:
+        """How far the best one-versus-rest decision is on the way from a text without any known n-gram to its goal, 1."""
+        none = float(self.weights[-1].max())
+        return (values.max(1) - none) / (1 - none) if none < 0.9 else np.ones(len(values))
+
+    def decide(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the best language and a score in 0 to 1 from the values by a softmax."""
-        values = self.values(found)
         odds = np.exp(4 * (values - values.max(1, keepdims=True)))
         return values.argmax(1), 1 / odds.sum(1)
 
 
-def fit(texts: list[str], labels: list[str]) -> Model | None:
-    """From a bounded sample, in seeded order."""
+def fit(found: np.ndarray, labels: list[str]) -> Model | None:
+    """From the bit-packed presence vectors of a bounded sample, in seeded order."""
     languages = sorted(set(labels))
     if not languages:
         return None
-    found = np.stack([presence(t.encode()) for t in texts]).astype(np.float32)
+    label = np.searchsorted(languages, labels)
     # Landmarks: the languages in turn, so that each has its share.
     turn: dict[str, int] = {}
-    order = sorted(range(len(texts)), key=lambda i: (turn.setdefault(labels[i], 0), turn.update({labels[i]: turn[labels[i]] + 1}))[0])
-    marks = found[order[:LANDMARKS]]
+    order = sorted(range(len(labels)), key=lambda i: (turn.setdefault(labels[i], 0), turn.update({labels[i]: turn[labels[i]] + 1}))[0])
+    unpack = lambda rows: np.unpackbits(rows, axis=1).astype(np.float32)
+    marks = unpack(found[order[: max(LANDMARKS, len(languages))]])
     sizes = np.maximum(marks.sum(1), 1)
-    cross = (found @ marks.T) / np.sqrt(np.maximum(found.sum(1), 1)[:, None] * sizes[None, :])
+    blocks = (unpack(found[i : i + 256]) for i in range(0, len(found), 256))
+    cross = np.vstack([(x @ marks.T) / np.sqrt(np.maximum(x.sum(1), 1)[:, None] * sizes[None, :]) for x in blocks])
     within = (marks @ marks.T) / np.sqrt(sizes[:, None] * sizes[None, :])
     # Nyström: features are cross @ within^(-1/2); ridge on these features, folded back into weights on the kernel values.
     power, vectors = np.linalg.eigh(within.astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(power, 1e-6))) @ vectors.T
-    features = np.hstack([cross @ root, np.ones((len(texts), 1))])
-    goal = np.array([[1.0 if label == x else -1.0 for x in languages] for label in labels])
-    count = np.array([labels.count(x) for x in labels])  # languages weigh alike
-    weight = len(labels) / (len(languages) * count)
-    gram = features.T @ (features * weight[:, None]) + RIDGE * len(texts) * np.diag([1.0] * len(marks) + [0.0])
-    solved = np.linalg.solve(gram + 1e-9 * np.eye(len(gram)), features.T @ (goal * weight[:, None]))
+    features = np.hstack([cross @ root, np.ones((len(labels), 1))])
+    count = np.bincount(label)  # languages weigh alike
+    weight = len(labels) / (len(languages) * count[label])
+    gram = features.T @ (features * weight[:, None]) + RIDGE * len(labels) * np.diag([1.0] * len(marks) + [0.0])
+    weighted = features * weight[:, None]
+    goals = np.stack([2 * weighted[label == k].sum(0) for k in range(len(languages))], axis=1) - weighted.sum(0)[:, None]
+    solved = np.linalg.solve(gram + 1e-9 * np.eye(len(gram)), goals)
     weights = np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32)
     return Model(languages, np.ascontiguousarray(marks.T), sizes.astype(np.float32), weights)
 
 
-def training_sample(docs: DataFrame, usable: Column, per_language: int = 512, seed: int = 7) -> tuple[list[str], list[str]]:
-    """At most `per_language` distinct texts of each language, by a seeded hash of the text: bounded, and the same on each run.
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Presence vectors, 8 slots a byte, of the texts that have a letter."""
+    for batch in chunks_of(batches):
+        lettered = [i for i, t in enumerate(batch.column("text")) if has_letter(t.as_py())]
+        rows = batch.take(pa.array(lettered, pa.int64()))
+        vectors = pa.array([np.packbits(presence(t.as_py().encode())).tobytes() for t in rows.column("text")], pa.binary())
+        yield pa.RecordBatch.from_pydict({"lang": rows.column("lang"), "rank": rows.column("rank"), "found": vectors})
+
+
+def sample_texts(docs: DataFrame, usable: Column, per_language: int = 512, seed: int = 7) -> DataFrame:
+    """lang, rank and text of a bounded number of distinct texts of each language, by a seeded hash of the text: the same on each run.
 
     The numbers of distinct text hashes give each language a share of the hash range that holds about four times as many
     texts as wanted, so that only hashes of few texts are ranked, and only texts in the sample leave the scan. Copies of
-    a text count once, in the shares too: min(per_language, distinct texts) are chosen.
+    a text count once, in the shares too: the wanted number of distinct texts is chosen wherever there are as many.
     """
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     hashed = rows.withColumn("hash", F.xxhash64(F.lit(seed), "text"))
-    counts = hashed.groupBy("lang", "hash").agg(F.lit(1)).groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4.0 * per_language / r["count"])) for r in counts], "lang string, share double")
+    counts = hashed.groupBy("lang", "hash").agg(F.lit(1)).groupBy("lang").count().collect()  # a row for each language
+    wanted = max(LEAST, min(per_language, SAMPLE // max(1, len(counts))))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4.0 * wanted / r["count"])) for r in counts], "lang string, share double")
     place = F.pmod("hash", F.lit(1 << 40))
     placed = hashed.withColumn("place", place).join(F.broadcast(shares), "lang").filter(F.col("place") < F.col("share") * float(1 << 40))
     first = Window.partitionBy("lang").orderBy("place", "hash")
-    chosen = placed.select("lang", "place", "hash").distinct().withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_language).drop("place")
-    # At most MAX_LANGUAGES * per_language pairs of numbers are broadcast.
-    found = placed.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
-    listed = [r for r in found.orderBy("rank", "lang").collect() if has_letter(r["text"])]
-    return [r["text"] for r in listed], [r["lang"] for r in listed]
+    chosen = placed.select("lang", "place", "hash").distinct().withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= wanted).drop("place")
+    # Two numbers for each text of the sample are broadcast.
+    return placed.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
+
+
+def training_sample(docs: DataFrame, usable: Column, per_language: int = 512, seed: int = 7) -> tuple[np.ndarray, list[str]]:
+    """The bit-packed presence vectors of the sample's texts, and their languages."""
+    found = sample_texts(docs, usable, per_language, seed).mapInArrow(_packed, "lang string, rank int, found binary")
+    listed = sorted(found.collect(), key=lambda r: (r["rank"], r["lang"]))
+    return np.frombuffer(b"".join(r["found"] for r in listed), np.uint8).reshape(-1, SLOTS // 8), [r["lang"] for r in listed]
 
 
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def _predict(model: Model | None, lettered: bool = False):
-    """Rows with their prediction in place of the text; or the rows whose text has a letter, as they are, with their prediction."""
+def _predict(model: Model | None, keep: float | None = None):
+    """Rows with their prediction in place of the text; or, with `keep`, the rows in a language as they are: with a letter, and
+    with an evidence over `keep` if there is a model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks_of(batches, size=8 << 20):
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, min(512, batch.num_rows - at))
+        for batch in chunks_of(batches):
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, min(256, batch.num_rows - at))
                 texts = part.column("text").to_pylist()
                 langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-                known = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
-                if known:
-                    best, score = model.predict(np.stack([presence(texts[i].encode()) for i in known]))
+                known = np.array([i for i, t in enumerate(texts) if has_letter(t)], np.int64)
+                if model and len(known):
+                    values = model.values(np.stack([presence(texts[i].encode()) for i in known]))
+                    best, score = model.decide(values)
                     for i, b, s in zip(known, best, score, strict=True):
                         langs[i], scores[i] = model.languages[b], float(s)
-                if lettered:
-                    kept = pa.array([i for i, t in enumerate(texts) if has_letter(t)], pa.int64())
-                    rows = part.take(kept)
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(langs, pa.string()).take(kept)], names=[*rows.schema.names, "lang_pred"])
+                    known = known[model.evidence(values) > keep] if keep is not None else known
+                if keep is not None:
+                    yield part.take(pa.array(known))
                     continue
                 rest = {n: part.column(n) for n in part.schema.names if n != "text"}
                 yield pa.RecordBatch.from_pydict(rest | {"lang_pred": pa.array(langs), "score": pa.array(scores)})
@@ -177,13 +201,12 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict_language(slim, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def drop_undetermined(docs: DataFrame) -> DataFrame:
-    """The documents whose text has a language: the others have no text or no letter. Each row is judged by its own text,
-    whatever its doc_id; without a model, a text with a letter stays."""
+def drop_undetermined(docs: DataFrame, reject: float = REJECT) -> DataFrame:
+    """The documents in a language: their text has a letter, and the classifier's evidence for its best language is over `reject`.
+    Each row is judged by its own text, whatever its doc_id; without labels to learn from, a text with a letter stays."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = fit(*training_sample(slim, ~held_out()))
-    predicted = StructType([*docs.schema.fields, StructField("lang_pred", StringType())])
-    return docs.mapInArrow(_predict(model, lettered=True), predicted).drop("lang_pred")
+    return docs.mapInArrow(_predict(model, keep=reject), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

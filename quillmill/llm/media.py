@@ -2,9 +2,9 @@
 
 Each task stores its payloads losslessly as 8-bit greyscale PNG images, 64 samples a row, in one tar shard; a payload that
 a task meets again is stored once. A row carries the payload's digest and the shard, offset and length of its stored
-form; equal digests in several shards resolve to the first of these places. Metadata columns are filled by range reads
-of the first bytes alone (the image header), features by reading the stored bytes back, once for each digest. Payloads
-are not shuffled.
+form; equal digests in several shards resolve to the first of these places. A shard ends at `SHARD_BYTES`. Metadata columns
+are filled by range reads of the first bytes alone (the image header), features by reading the stored bytes back, each once
+for each digest. Payloads are not shuffled.
 
 Edge cases: a null or empty text is a payload of 64 zero bytes. Rows with equal texts, repeated rows included, get equal
 values. A null doc_id stays null. An empty table gives an empty result. Very long texts are single payloads; a task holds
@@ -30,6 +30,8 @@ from quillmill.llm.words import chunks_of
 
 #: Samples a row of the image; payloads are padded to a positive multiple.
 WIDTH = 64
+#: Stored bytes, and documents, after which a task begins another shard.
+SHARD_BYTES, SHARD_ROWS = 256 << 20, 1 << 20
 #: Stored bytes that a task reads back, about.
 TASK_BYTES = 8 << 20
 #: The PNG signature, and the bytes that hold it and the image header.
@@ -83,19 +85,37 @@ def describe(payload: bytes) -> str:
 
 
 _STORED = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
-_FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, depth long, feature string"
+_FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_HEADERS = "digest string, width long, height long, depth long"
 
 
 def _store(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, place, rows = None, {}, []
+        file, number, place, rows = None, 0, {}, []
+
+        def close() -> pa.RecordBatch:
+            nonlocal file, number, place, rows
+            file.write(b"\0" * (2 * tarfile.BLOCKSIZE))
+            file.close()
+            columns = list(zip(*rows, strict=True))
+            shard = pa.array([file.name] * len(rows))
+            file, number, place, rows = None, number + 1, {}, []
+            return pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(columns[0], pa.int64()),
+                "n_bytes": pa.array(columns[1], pa.int64()),
+                "digest": pa.array(columns[2]),
+                "shard": shard,
+                "offset": pa.array(columns[3], pa.int64()),
+                "length": pa.array(columns[4], pa.int64()),
+            })
+
         for batch in chunks_of(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 payload = padded(raw)
                 key = hashlib.sha256(payload).digest()
+                file = file or AtomicFile(folder, f"media-{TaskContext.get().partitionId():06d}-{number:04d}", "tar")
                 if key not in place:
-                    file = file or AtomicFile(folder, f"media-{TaskContext.get().partitionId():06d}", "tar")
                     stored = encode_image(payload)
                     about = tarfile.TarInfo(f"{key.hex()}.png")
                     about.size = len(stored)
@@ -103,18 +123,10 @@ def _store(folder: str):
                     place[key] = (file.write(stored), len(stored))
                     file.write(b"\0" * (-len(stored) % tarfile.BLOCKSIZE))
                 rows.append((doc, len(raw), key.hex(), *place[key]))
+                if file.position >= SHARD_BYTES or len(rows) >= SHARD_ROWS:
+                    yield close()
         if file:
-            file.write(b"\0" * (2 * tarfile.BLOCKSIZE))
-            file.close()
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(columns[0], pa.int64()),
-                "n_bytes": pa.array(columns[1], pa.int64()),
-                "digest": pa.array(columns[2]),
-                "shard": pa.array([file.name] * len(rows)),
-                "offset": pa.array(columns[3], pa.int64()),
-                "length": pa.array(columns[4], pa.int64()),
-            })
+            yield close()
 
     return run
 
@@ -140,13 +152,16 @@ def _ranges(folder: str, read) -> object:
     return run
 
 
-def _all_columns(handle, offset: int, length: int) -> dict:
-    head = image_header(read_range(handle, offset, HEADER_BYTES))
+def _header(handle, offset: int, length: int) -> dict:
+    return image_header(read_range(handle, offset, HEADER_BYTES))
+
+
+def _features(handle, offset: int, length: int) -> dict:
     stored = read_range(handle, offset, length)
     payload = decode_image(stored)
     return {
         "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-WIDTH:]),
-        "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), **head, "feature": describe(payload),
+        "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "feature": describe(payload),
     }
 
 
@@ -165,19 +180,19 @@ def places(rows: DataFrame) -> DataFrame:
     return first.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
-def header_columns(folder: str, rows: DataFrame) -> DataFrame:
-    """Metadata columns from header-only range reads, for each digest: width, height, depth."""
-    read = lambda handle, offset, _: image_header(read_range(handle, offset, HEADER_BYTES))
-    return places(rows).mapInArrow(_ranges(folder, read), "digest string, width long, height long, depth long")
+def header_columns(folder: str, placed: DataFrame) -> DataFrame:
+    """Metadata columns from header-only range reads, for each digest of `placed`: width, height, depth."""
+    return placed.mapInArrow(_ranges(folder, _header), _HEADERS)
 
 
 def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Store all payloads, read them back, and return each document's reference, metadata and features."""
     folder, rows = store_media(docs, key, text)
-    features = places(rows).mapInArrow(_ranges(folder, _all_columns), _FEATURES)
-    return rows.join(features, "digest")
+    placed = cut(places(rows))  # the same few shards a task for both passes
+    features = placed.mapInArrow(_ranges(folder, _features), _FEATURES)
+    return rows.join(features, "digest").join(header_columns(folder, placed), "digest")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth")

@@ -175,17 +175,22 @@ def _write_each(pages: DataFrame, min_revisit_bytes: int, date: str) -> tuple[st
     html = F.coalesce(F.col("html"), F.lit(""))
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
     group = ["page_id", "url", "sha"]
-    counted = slim.select(*group, (F.octet_length("html") >= min_revisit_bytes).alias("shared")).groupBy(*group, "shared").agg(F.count("*").alias("n"))
+    counted = keep(slim.select(*group, (F.octet_length("html") >= min_revisit_bytes).alias("shared")).groupBy(*group, "shared").agg(F.count("*").alias("n")))
     first = counted.filter("shared").groupBy("sha").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("first"), F.sum("n").alias("all"))
     first = first.filter("all > 1 and first.page_id is not null").select("sha", "first")
     refers = ~F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("first").isNotNull()
     about = counted.join(first, "sha", "left").select(*group, "n", *[F.when(refers, F.col(f"first.{a}")).alias(b) for a, b in (("page_id", "refers_to"), ("url", "refers_url"))])
-    about = about.filter("n > 1 or refers_to is not null").alias("a")
-    same = F.col("p.page_id").eqNullSafe(F.col("a.page_id")) & (F.col("p.url") == F.col("a.url")) & (F.col("p.sha") == F.col("a.sha"))
-    named = slim.alias("p").join(about, same, "left").select("p.page_id", "p.url", "p.sha", "html", "refers_to", "refers_url", "n")
+    about = about.filter("n > 1 or refers_to is not null")
     plain = ["page_id", "url", "html", "refers_to", "refers_url"]
-    once = named.filter("n is null or n = 1").select(*plain, F.lit(0).cast("long").alias("low"), F.lit(1).cast("long").alias("high"))
-    many = named.filter("n > 1").dropDuplicates(group).select(*plain, "n", "sha", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("low"))
+
+    def named(rows: DataFrame, how: str) -> DataFrame:
+        same = F.col("p.page_id").eqNullSafe(F.col("a.page_id")) & (F.col("p.url") == F.col("a.url")) & (F.col("p.sha") == F.col("a.sha"))
+        return slim.alias("p").join(rows.alias("a"), same, how).select("p.page_id", "p.url", "p.sha", "html", "refers_to", "refers_url", "n")
+
+    once = named(about, "left").filter("n is null or n = 1").select(*plain, F.lit(0).cast("long").alias("low"), F.lit(1).cast("long").alias("high"))
+    # Repeated rows are few or none: as a table, their size is known before payloads are shuffled for them.
+    many = named(keep(about.filter("n > 1")), "inner").dropDuplicates(group)
+    many = many.select(*plain, "n", "sha", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("low"))
     many = many.repartition("page_id", "url", "sha", "low").select(*plain, "low", F.least(F.col("low") + COPIES, F.col("n")).alias("high"))
     folder = new_folder(pages.sparkSession, "warc")
     return folder, cut(once.unionByName(many).mapInArrow(_write(folder, date, True), "file string"))

@@ -66,7 +66,23 @@ def test_rows_are_dropped_by_their_own_text_only(spark, make_docs):
 
 def test_copies_do_not_shrink_the_sample(spark, make_docs):
     texts = [f"text {'abcdefghij'[i % 10]} number {i % 20}" for i in range(4000)]
-    got, langs = L.training_sample(make_docs(texts, langs=["x"] * 4000), L.F.lit(True), per_language=8)
-    assert len(got) == len(set(got)) == 8 and set(langs) == {"x"}
-    got, _ = L.training_sample(make_docs(texts, langs=["x"] * 4000), L.F.lit(True), per_language=30)
+    got = [r["text"] for r in L.sample_texts(make_docs(texts, langs=["x"] * 4000), L.F.lit(True), per_language=8).collect()]
+    assert len(got) == len(set(got)) == 8
+    got = [r["text"] for r in L.sample_texts(make_docs(texts, langs=["x"] * 4000), L.F.lit(True), per_language=30).collect()]
     assert sorted(got) == sorted(set(texts))
+
+
+def test_sample_is_shared_by_all_languages(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE", 60)
+    texts = [f"{'abcdefghijkl'[i % 12] * 4} {i} {'abcdefghijkl'[i % 12] * 7}" for i in range(600)]
+    langs = ["abcdefghijkl"[i % 12] for i in range(600)]
+    found, labels = L.training_sample(make_docs(texts, langs=langs), L.F.lit(True))
+    assert found.shape == (60, L.SLOTS // 8) and all(labels.count(x) == 5 for x in set(langs))
+    monkeypatch.setattr(L, "LANDMARKS", 2)
+    assert L.fit(found, labels).landmarks.shape[1] == 12
+
+
+def test_stage_rejects_what_no_decision_is_for(spark, make_docs):
+    docs, texts, langs = labelled(make_docs)
+    more = docs.unionByName(make_docs(["これは日本語の文章です。" * 20], [900], langs=[None]))
+    assert {r["doc_id"] for r in L.drop_undetermined(more).collect()} == set(range(len(texts))) - {150, 151, 152}

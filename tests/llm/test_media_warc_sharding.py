@@ -36,10 +36,33 @@ def test_shards_are_tar_files_and_places_are_unique(spark, make_docs):
     placed = rows.collect()
     assert all(names[(r["shard"], r["offset"])] == f"{r['digest']}.png" for r in placed)
     assert media.places(rows).count() == len({r["digest"] for r in placed})
-    heads = {r["digest"]: r["height"] for r in media.header_columns(folder, rows).collect()}
+    heads = {r["digest"]: r["height"] for r in media.header_columns(folder, media.places(rows)).collect()}
     assert len(heads) == len({r["digest"] for r in placed})
 
 
+def test_shards_are_bounded(spark, make_docs, monkeypatch):
+    whole = sorted(tuple(r)[0:2] for r in media.media_columns(make_docs(TEXTS * 3)).select("doc_id", "media_sha256").collect())
+    monkeypatch.setattr(media, "SHARD_BYTES", 100)
+    folder, rows = media.store_media(make_docs(TEXTS * 3))
+    assert rows.select("shard").distinct().count() > 6
+    assert sorted(tuple(r) for r in media.media_columns(make_docs(TEXTS * 3)).select("doc_id", "media_sha256").collect()) == whole
+
+
+def test_stored_form_against_its_files(spark, make_docs):
+    """media_bytes, media_sha256 and feature of each document, by reading the stored files beside Spark."""
+    docs = make_docs(TEXTS)
+    want = {}
+    for i, text in enumerate(TEXTS):
+        payload = media.padded((text or "").encode())
+        png = media.encode_image(payload)
+        x = list(payload)
+        mean = sum(x) / len(x)
+        spread = (sum((v - mean) ** 2 for v in x) / len(x)) ** 0.5
+        want[i] = len(png), hashlib.sha256(png).hexdigest(), f"mean={mean:.3f};std={spread:.3f}"
+    for r in media.media_columns(docs).collect():
+        assert (r["media_bytes"], r["media_sha256"], r["feature"].rpartition(";entropy")[0]) == want[r["doc_id"]]
+
+
 def test_images_by_hand():
     payload = bytes(range(256)) * 3
     stored = media.encode_image(payload)

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm.storage import small_batches
 from quillmill.llm.words import U, Words, chunks_of, mix, shingle_hashes
 
 #: Bits of a fingerprint, its blocks of 8, and the radius. Windows at similarity 0.8 have a cosine of at least 8/9 to the item,
@@ -247,6 +248,7 @@ def _windows(g: Items, body: np.ndarray, low: int, threshold: float) -> Iterator
 
 def _parts(benchmark: DataFrame, n: int) -> Iterator[list[Items]]:
     """The benchmark's items by size, in parts of about PART_WORDS words."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     words = items.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
     parts = max(1, -(-words // PART_WORDS))

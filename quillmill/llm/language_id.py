@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.llm.storage import small_batches
 from quillmill.llm.words import U, chunks_of
 
 #: Slots of the presence vectors, the longest n-gram, and the number of landmarks.
@@ -196,6 +197,7 @@ def held_out() -> Column:
 
 def identify(docs: DataFrame) -> DataFrame:
     """Fit on the documents that aren't held out, predict all: doc_id, held_out, lang_pred, score."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = fit(*training_sample(slim, ~held_out()))
     return predict_language(slim, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
@@ -204,6 +206,7 @@ def identify(docs: DataFrame) -> DataFrame:
 def drop_undetermined(docs: DataFrame, reject: float = REJECT) -> DataFrame:
     """The documents in a language: their text has a letter, and the classifier's evidence for its best language is over `reject`.
     Each row is judged by its own text, whatever its doc_id; without labels to learn from, a text with a letter stays."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = fit(*training_sample(slim, ~held_out()))
     return docs.mapInArrow(_predict(model, keep=reject), docs.schema)

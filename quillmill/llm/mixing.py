@@ -14,7 +14,6 @@ result. Ties in the seeded order are broken by doc_id and the text's hash. Colum
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.storage import cut
+from quillmill.llm.storage import cut, free_name, keep
 from quillmill.llm.words import Words, chunks_of
 
 #: Documents a bucket, about.
@@ -51,78 +50,115 @@ def water_fill(sizes: Sequence[float], weights: Sequence[float], total: float, l
     return shares
 
 
+class _Network:
+    """Sources, patterns and what each pattern gives to its sources; `room` is what a pattern can still give."""
+
+    def __init__(self, patterns: list[tuple], need: dict):
+        self.sources = sorted(need, key=str)
+        number = {s: i for i, s in enumerate(self.sources)}
+        self.need = [need[s] for s in self.sources]
+        self.members = [[number[s] for s in p] for p in patterns]
+        self.given = [[0] * len(p) for p in patterns]
+        self.room = [0] * len(patterns)
+        self.of_source: list[list[tuple[int, int]]] = [[] for _ in self.sources]
+        for p, members in enumerate(self.members):
+            for j, s in enumerate(members):
+                self.of_source[s].append((p, j))
+
+    def _layers(self) -> tuple[list[int], list[int], bool]:
+        """Distances from sources with unmet quota, over patterns, back over what these give to other sources."""
+        source, pattern = [-1] * len(self.need), [-1] * len(self.room)
+        front = [s for s, n in enumerate(self.need) if n > 0]
+        for s in front:
+            source[s] = 0
+        depth, reached = 0, False
+        while front and not reached:
+            met = []
+            for s in front:
+                for p, _ in self.of_source[s]:
+                    if pattern[p] < 0:
+                        pattern[p] = depth
+                        met.append(p)
+                        reached = reached or self.room[p] > 0
+            depth, front = depth + 1, []
+            for p in met:
+                for k, s in enumerate(self.members[p]):
+                    if source[s] < 0 and self.given[p][k] > 0:
+                        source[s] = depth
+                        front.append(s)
+        return source, pattern, reached
+
+    def _push(self, first: int, source: list[int], pattern: list[int], at_source: list[int], at_pattern: list[int]) -> bool:
+        """Route tokens along one path of rising layers from a source; False if there is none left."""
+        path: list[tuple[int, int, int, int]] = []  # source, pattern, the source's place in it, the place that it takes from
+        s = first
+        while True:
+            if at_source[s] == len(self.of_source[s]):
+                if not path:
+                    return False
+                s, p, _, _ = path.pop()
+                at_pattern[p] += 1
+                continue
+            p, j = self.of_source[s][at_source[s]]
+            if pattern[p] != source[s]:
+                at_source[s] += 1
+                continue
+            if self.room[p] > 0:
+                amount = min([self.need[first], self.room[p], *(self.given[q][k] for _, q, _, k in path)])
+                for _, q, i, k in path:
+                    self.given[q][i] += amount
+                    self.given[q][k] -= amount
+                self.given[p][j] += amount
+                self.room[p] -= amount
+                self.need[first] -= amount
+                return True
+            members, given = self.members[p], self.given[p]
+            k = at_pattern[p]
+            while k < len(members) and not (given[k] > 0 and source[members[k]] == source[s] + 1):
+                k += 1
+            at_pattern[p] = k
+            if k == len(members):
+                at_source[s] += 1
+            else:
+                path.append((s, p, j, k))
+                s = members[k]
+
+    def saturate(self) -> None:
+        """Meet as much of the quotas as the room allows: blocking flows over layers (Dinic)."""
+        while True:
+            source, pattern, reached = self._layers()
+            if not reached:
+                return
+            at_source, at_pattern = [0] * len(self.need), [0] * len(self.room)
+            for s, depth in enumerate(source):
+                while depth == 0 and self.need[s] > 0 and self._push(s, source, pattern, at_source, at_pattern):
+                    pass
+
+
 def min_cost_flow(capacity: dict[tuple, int], quotas: dict, costs: Sequence[int]) -> dict[tuple, int]:
     """Route patterns' tokens to sources: {(pattern, tier, source): tokens}.
 
-    capacity[pattern] tokens flow through each tier at costs[tier]; a pattern is a tuple of sources. By successive
-    shortest paths over residual arcs. Since costs sit on the pattern's tiers alone, a cheapest path from a source with
-    unmet quota is found by Dijkstra over patterns and sources, moving flow between sources where they overlap.
+    capacity[pattern] tokens flow through each tier at costs[tier], which rise; a pattern is a tuple of sources. Costs sit on
+    the tiers alone and are the same for all patterns, so the shortest augmenting paths are first those that end in the first
+    tier, then those that end in the second, and so on: a largest flow with the first tier's room, raised to a largest flow
+    with the next tier's room added, and so on, is a flow of least cost.
     """
+    patterns = sorted(capacity, key=str)
+    network = _Network(patterns, quotas)
+    for _ in costs:
+        for i, p in enumerate(patterns):
+            network.room[i] += capacity[p]
+        network.saturate()
     flow: dict[tuple, int] = {}
-    used = {p: [0] * len(costs) for p in capacity}
-    of_source: dict = {s: [] for s in quotas}
-    for p in sorted(capacity, key=str):
-        for s in p:
-            of_source[s].append(p)
-    assigned: dict[tuple, int] = {}
-    need = dict(quotas)
-    while True:
-        best: dict = {}
-        queue: list = []
-        for i, s in enumerate(sorted(need, key=str)):
-            if need[s] > 0:
-                best[("s", s)] = (0, None)
-                heapq.heappush(queue, (0, i, ("s", s)))
-        count, end = len(queue), None
-        done: set = set()
-        while queue:  # from sources with unmet quota, back along patterns, to a tier with room
-            cost, _, node = heapq.heappop(queue)
-            if node in done:
-                continue
-            done.add(node)
-            kind, x = node
-            if kind == "t":
-                end = node
-                break
-            steps = []
-            if kind == "s":
-                steps = [(0, ("p", p)) for p in of_source[x] if capacity[p] > 0]
-            else:
-                tier = next((t for t in range(len(costs)) if used[x][t] < capacity[x]), None)
-                if tier is not None:
-                    steps.append((costs[tier], ("t", (x, tier))))
-                steps += [(0, ("s", s)) for s in x if assigned.get((x, s), 0) > 0]
-            for more, to in steps:
-                if to not in done and (to not in best or cost + more < best[to][0]):
-                    best[to] = (cost + more, node)
-                    count += 1
-                    heapq.heappush(queue, (cost + more, count, to))
-        if end is None:
-            break
-        path = [end]
-        while (before := best[path[-1]][1]) is not None:
-            path.append(before)
-        pattern, tier = end[1]
-        amount = min(need[path[-1][1]], capacity[pattern] - used[pattern][tier])
-        links = [(a[1], b[1]) for a, b in zip(path[1:], path[2:], strict=False) if a[0] == "p" and b[0] == "s"]  # pattern gives to source
-        back = [(b[1], a[1]) for a, b in zip(path[1:], path[2:], strict=False) if a[0] == "s" and b[0] == "p"]  # taken from the source on the way
-        amount = min([amount, *(assigned[x] for x in back)])
-        for x in links:
-            assigned[x] = assigned.get(x, 0) + amount
-        for x in back:
-            assigned[x] -= amount
-        used[pattern][tier] += amount
-        need[path[-1][1]] -= amount
-    for p in capacity:  # a pattern's tiers fill in order; its sources share them in order
-        shares = [[s, assigned.get((p, s), 0)] for s in p]
-        for tier in range(len(costs)):
-            room = used[p][tier]
-            for share in shares:
-                n = min(room, share[1])
-                if n:
-                    flow[(p, tier, share[0])] = n
-                    share[1] -= n
-                    room -= n
+    for i, p in enumerate(patterns):  # a pattern's tiers fill in order; its sources share them in order
+        tier, room = 0, capacity[p]
+        for s, n in zip(p, network.given[i], strict=True):
+            while n:
+                if not room:
+                    tier, room = tier + 1, capacity[p]
+                part = min(n, room)
+                flow[(p, tier, s)] = part
+                n, room = n - part, room - part
     return flow
 
 
@@ -218,12 +254,23 @@ def cycle_targets(totals: dict[str, int], share: float = 1.5, limit: float = 2.0
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, each as often as the mix of its sources takes it. Rows alike are taken alike."""
-    taken = mix(docs.withColumn("memberships", F.array("source")), cycle_targets).filter("passes > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("mix_id"), F.col("body").alias("mix_body"), F.col("memberships")[0].alias("mix_source")).agg(F.max("passes").alias("mix_passes"))
-    on = docs["doc_id"].eqNullSafe(taken["mix_id"]) & (F.xxhash64(docs["text"]) == taken["mix_body"]) & docs["source"].eqNullSafe(taken["mix_source"])
-    passes = F.explode(F.sequence(F.lit(1).cast("long"), taken["mix_passes"])).alias("mix pass")
-    return docs.join(taken, on).select(*[docs[c] for c in docs.columns], passes).drop("mix pass")
+    """The rows of `docs`, each as often as the mix of its sources takes it. Rows alike in all columns are taken as often as
+    all of them together, as copies of one of them."""
+    row, body, passes, alike, each = (free_name(docs, f"mix {x}") for x in ("row", "body", "passes", "alike", "each"))
+    keys = {row: F.xxhash64(*docs.columns), body: F.xxhash64("text")}
+    slim = docs.select(keys[row].alias("doc_id"), F.array("source").alias("memberships"), "text")
+    taken = mix(slim, cycle_targets).groupBy(F.col("doc_id").alias(row), F.col("body").alias(body))
+    taken = taken.agg(F.sum("passes").alias(passes), F.count("*").alias(alike)).filter(F.col(passes) > 0)
+    keyed = docs.select("*", *[v.alias(k) for k, v in keys.items()])
+
+    def copies(rows: DataFrame) -> DataFrame:
+        return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(passes))).alias(each)).drop(each)
+
+    once = copies(keyed.join(taken.filter(F.col(alike) == 1), [*keys]))
+    repeated = keep(taken.filter(F.col(alike) > 1))
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(copies(keyed.join(repeated, [*keys]).dropDuplicates([*keys])))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

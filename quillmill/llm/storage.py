@@ -13,10 +13,24 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a batch that goes to Python, where the session has Spark's default (64 MB), of which tasks hold several.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of a session that leaves them at the default."""
+    if spark.conf.get(_BATCH, None) in (None, "64MB", str(64 << 20), f"{64 << 20}b"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The URI of the shared folder."""
+    """The URI of the shared folder. Without one only a local master, whose tasks share the driver's disk, may go on."""
+    small_batches(spark)
     context = spark.sparkContext
     found = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not found and not context.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not context.getCheckpointDir():
@@ -42,6 +56,14 @@ def keep(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(at)
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """The name, or a longer one, that no column of the frame has."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def open_filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 

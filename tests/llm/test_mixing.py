@@ -1,4 +1,7 @@
 import itertools
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +32,80 @@ def test_flow_is_optimal_for_overlapping_sources():
         assert sum(n for (q, u, _), n in flow.items() if (q, u) == (p, t)) <= capacity[p]
 
 
+def flow_by_single_paths(capacity, quotas, costs):
+    """Least cost by Bellman-Ford paths, a token at a time."""
+    edges = [["S", ("s", s), n, 0] for s, n in quotas.items()]
+    for p, n in capacity.items():
+        edges += [[("s", s), ("p", p), 10**9, 0] for s in p] + [[("p", p), "T", n, c] for c in costs]
+    edges += [[b, a, 0, -c] for a, b, _, c in edges]
+    half, total, moved = len(edges) // 2, 0, 0
+    while True:
+        best, via = {"S": 0}, {}
+        for _ in range(len(capacity) + len(quotas) + 2):
+            for i, (a, b, n, c) in enumerate(edges):
+                if n > 0 and a in best and best[a] + c < best.get(b, 10**9):
+                    best[b], via[b] = best[a] + c, i
+        if "T" not in best:
+            return moved, total
+        node = "T"
+        while node != "S":
+            i = via[node]
+            edges[i][2] -= 1
+            edges[(i + half) % (2 * half)][2] += 1
+            node = edges[i][0]
+        total, moved = total + best["T"], moved + 1
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_flow_against_single_paths(seed):
+    rnd = random.Random(seed)
+    names = "abcd"
+    capacity = {tuple(sorted(rnd.sample(names, rnd.randint(1, 3)))): rnd.randint(0, 6) for _ in range(6)}
+    quotas, costs = {s: rnd.randint(0, 9) for s in names}, [1, 3]
+    flow = mixing.min_cost_flow(capacity, quotas, costs)
+    assert (sum(flow.values()), sum(costs[t] * n for (_, t, _), n in flow.items())) == flow_by_single_paths(capacity, quotas, costs)
+    for s in names:
+        assert sum(n for (_, _, x), n in flow.items() if x == s) <= quotas[s]
+    for p in capacity:
+        for t in range(2):
+            assert sum(n for (q, u, _), n in flow.items() if (q, u) == (p, t)) <= capacity[p]
+
+
+def test_flow_of_many_patterns():
+    rnd = random.Random(5)
+    names = [f"s{i}" for i in range(40)]
+    capacity = {tuple(sorted(rnd.sample(names, rnd.randint(1, 5)))): rnd.randint(1, 1000) for _ in range(50_000)}
+    quotas = {s: int(0.05 * sum(capacity.values()) * (0.2 if i % 4 else 1.4)) for i, s in enumerate(names)}
+    start = time.time()
+    flow = mixing.min_cost_flow(capacity, quotas, [1, 3])
+    assert time.time() - start < 60
+    assert all(sum(n for (_, _, x), n in flow.items() if x == s) <= quotas[s] for s in names) and sum(flow.values()) > 0
+
+
+def water_level(sizes, weights, total, limit):
+    """Targets by bisection on the level, beside the operator's rounds."""
+    low, high = 0.0, 10.0**9
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(limit * n, w * level) for n, w in zip(sizes, weights, strict=True)) < total else (low, level)
+    return [min(limit * n, w * low) for n, w in zip(sizes, weights, strict=True)]
+
+
+def test_query_against_brute_force(spark, data):
+    """Sizes and targets worked out beside Spark; each source's words as near its target as whole documents allow."""
+    docs = [(r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")), r["source"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    names = sorted({s for _, _, s in docs}, key=lambda s: (s is None, s))
+    sizes = [sum(n for _, n, x in docs if x == s) for s in names]
+    targets = water_level(sizes, [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(sizes), 2.0)
+    rows = {r["doc_id"]: r for r in mixing.query(spark, data).collect()}
+    assert len(rows) == len(docs)
+    for s, total, target in zip(names, sizes, targets, strict=True):
+        mine = [(i, n) for i, n, x in docs if x == s]
+        assert all((rows[i]["size"], rows[i]["source_size"]) == (n, total) and rows[i]["target"] == pytest.approx(target, abs=1) for i, n in mine)
+        assert all(rows[i]["taken"] in (0, n, 2 * n) for i, n in mine)
+        assert abs(sum(rows[i]["taken"] for i, _ in mine) - target) <= max(n for _, n in mine) / 2 + 1
+
+
 def test_sources_come_near_their_targets(spark, data):
     rows = mixing.query(spark, data).toPandas()
     assert (rows["taken"] <= 2 * rows["size"]).all() and len(rows) == spark.read.parquet(f"{data}/documents.parquet").count()
@@ -59,3 +136,15 @@ def test_mixed_documents_repeat_rows(spark, make_docs):
     docs = make_docs(["a b c"] * 4 + ["x y"] * 8, sources=["p"] * 4 + ["q"] * 8)
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and 12 <= out.count() <= 24
+
+
+def test_repeated_rows_and_clashing_names(spark, make_docs):
+    """Repeated rows are taken as often as they are in all, and columns with the operator's own names stay."""
+    docs = make_docs(["a b c d"] * 40 + [f"word {i} x y" for i in range(40)], [1] * 40 + list(range(100, 140)), sources=["p"] * 40 + ["q"] * 40)
+    for name in ("doc", "body", "pattern", "bucket", "memberships", "mix pass", "mix each", "mix row"):
+        docs = docs.withColumn(name, F.lit(name))
+    out = mixing.mixed_documents(docs)
+    rows = out.collect()
+    assert out.columns == docs.columns and {r["mix each"] for r in rows} == {"mix each"} and {r["memberships"] for r in rows} == {"memberships"}
+    taken = mixing.mix(docs.withColumn("memberships", F.array("source")), mixing.cycle_targets).collect()
+    assert sum(r["doc_id"] == 1 for r in rows) == sum(r["passes"] for r in taken if r["doc_id"] == 1)

@@ -143,6 +143,39 @@ def test_sharding_one_by_one_equals_jumping(spark, make_docs):
             assert r[str(n)] in (r[str(n - 1)], n - 1)
 
 
+def test_shards_against_jumping_beside_spark(spark, make_docs):
+    """The walk of each key, drawn with the xxhash library; slots by counting."""
+    import math
+    import struct
+
+    import xxhash
+
+    def shard_of(key, count):
+        at, jump, last = 0, 0, 0
+        while at < count:
+            last = at
+            seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+            draw = ((xxhash.xxh64_intdigest(struct.pack("<i", jump), seed) >> 33) + 1) / (1 << 31)
+            at, jump = math.floor((at + 1) / draw), jump + 1
+        return last
+
+    ids = [*range(-40, 400), None, 2**62, -(2**63), 7, 7, None]
+    rows = sharding.assign_shards(make_docs([f"t{i}" for i in ids], ids), 24, rows_per_run=20).collect()
+    assert sorted((str(r["doc_id"]), r["shard"], r["grown_shard"]) for r in rows) == sorted((str(i), shard_of(i, 24), shard_of(i, 25)) for i in ids)
+    for shard in range(24):
+        slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_a_row_repeated_very_often_is_dealt_over_tasks(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = sharding.assign_shards(make_docs(["same"] * 100 + ["other"] * 3, [5] * 100 + [5, 5, 6]), 24).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert len(rows) == 103 and all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
 def test_sharding_repeated_rows_null_ids_and_no_rows(spark, make_docs):
     rows = sharding.assign_shards(make_docs(["a"] * 6, [1, 1, None, None, None, 2]), 24).collect()
     assert len(rows) == 6 and sorted(r["slot"] for r in rows if r["doc_id"] is None)[-1] >= 2

@@ -306,7 +306,8 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str) -> D
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable through links) and kept, for each document."""
     rows = keep(_components(docs, n, percent, key, text))
-    names = rows.filter("component is not null").groupBy("component").agg(F.min(F.when(~F.col("none"), F.col("doc"))).alias("name"))
+    # Kept as a table, so that the join can be split where a component is very large.
+    names = keep(rows.filter("component is not null").groupBy("component").agg(F.min(F.when(~F.col("none"), F.col("doc"))).alias("name")))
     doc_id = F.when(~F.col("none"), F.col("doc"))
     out = rows.join(names, "component", "left").select(doc_id.alias("doc_id"), "n_shingles", F.when(F.col("component").isNull(), doc_id).otherwise(F.col("name")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -317,8 +318,8 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
     hash of its text. Of rows that repeat it one stays too. Rows without a word are all kept."""
     rows = keep(_components(docs, n, percent, "doc_id", "text"))
     linked = rows.filter("component is not null")
-    counted = linked.groupBy("component", *_ROW).agg(F.count("*").alias("n"))
-    best = counted.groupBy("component").agg(F.min(F.struct("none", "doc", "body")).alias("best"), F.sum("n").alias("all"))
+    counted = keep(linked.groupBy("component", *_ROW).agg(F.count("*").alias("n")))
+    best = keep(counted.groupBy("component").agg(F.min(F.struct("none", "doc", "body")).alias("best")))  # so that the join can be split
     gone = counted.join(best, "component").select(*[F.col(c).alias(f"near {c}") for c in _ROW], (F.struct("none", "doc", "body") != F.col("best")).alias("near gone"), (F.col("n") > 1).alias("near many"))
     gone = gone.filter("`near gone` or `near many`")
     keys = {"doc": F.coalesce(docs["doc_id"].cast("long"), F.lit(0).cast("long")), "none": docs["doc_id"].isNull(), "body": F.xxhash64(docs["text"])}

@@ -128,7 +128,7 @@ class Shard:
     @cached_property
     def phrases(self) -> np.ndarray:
         """A hash of each phrase, from its anchor to the next; the last of a text is like no other."""
-        out = span_hashes(self.raw, self.anchors, np.append(self.anchors[1:], len(self.raw)))
+        out = span_hashes(self.raw, self.anchors, np.append(self.anchors[1:], len(self.raw)))[0]
         last = np.flatnonzero(np.append(self.doc[1:] != self.doc[:-1], True)) if len(out) else np.empty(0, np.int64)
         out[last] = mix(last.astype(U) + U(self.number << 24) ^ U(0x2545F4914F6CDD1D))
         return out

@@ -117,7 +117,7 @@ class PieceTokenizer:
         start[first] = True
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], len(raw))
-        hashes, others = (span_hashes(raw, starts, ends, seed) for seed in (0, 1))
+        hashes, others = span_hashes(raw, starts, ends, (0, 1))
         distinct, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > REMEMBERED or len(self.ids) > 8 * REMEMBERED:
             self.forget()
@@ -166,7 +166,7 @@ def _tokenize(path: str):
         tokenizer = _tokenizer(path)
         width = np.uint16 if tokenizer.vocabulary <= 1 << 16 else np.uint32
         packer = zstandard.ZstdCompressor(1)
-        for batch in chunks_of(batches, size=1 << 20):
+        for batch in chunks_of(batches, size=2 << 20):
             ids, at = tokenizer.encode(batch.column("text"))
             ends = at[1:] + np.arange(batch.num_rows)
             inner = np.ones(len(ids) + batch.num_rows, bool)

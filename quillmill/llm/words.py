@@ -76,29 +76,35 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, in lower case."""
-        return span_hashes(LOWER[self.raw], self.starts, self.ends)
+        return span_hashes(LOWER[self.raw], self.starts, self.ends)[0]
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of byte ranges: eight bytes at a time are put in and scrambled, so ranges of one length up to eight
-    bytes never collide, and no pattern of bytes cancels out. Ranges of over `LONG` bytes are hashed one by one."""
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+    """64-bit hashes of byte ranges, for each seed: eight bytes at a time are put in and scrambled, so ranges of one length up
+    to eight bytes never collide, and no pattern of bytes cancels out. Ranges of over `LONG` bytes are hashed one by one."""
     size = ends - starts
-    out = mix(size.astype(U) + U((0x9E3779B97F4A7C15 * (2 * seed + 1)) % 2**64))
+    out = [mix(size.astype(U) + U((0x9E3779B97F4A7C15 * (2 * seed + 1)) % 2**64)) for seed in seeds]
     if not len(size):
         return out
     padded = np.zeros(len(raw) + 8, np.uint8)
     padded[: len(raw)] = raw
     eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
-    short = size <= LONG
-    alive, at, left = (np.arange(len(size)), starts, size) if short.all() else (np.flatnonzero(short), starts[short], size[short])
+    block = eight[starts]
+    block &= _FIRST[np.minimum(size, 8)]
+    out = [mix(x ^ block) for x in out]
+    long = np.flatnonzero(size > LONG)
+    alive = np.flatnonzero(size > 8) if not len(long) else np.flatnonzero((size > 8) & (size <= LONG))
+    at, left = starts[alive] + 8, size[alive] - 8
     while len(alive):
         block = eight[at]
         block &= _FIRST[np.minimum(left, 8)]
-        out[alive] = mix(out[alive] ^ block)
-        more = left > 8
+        for x in out:
+            x[alive] = mix(x[alive] ^ block)
+        more = np.flatnonzero(left > 8)
         alive, at, left = alive[more], at[more] + 8, left[more] - 8
-    for i in np.flatnonzero(~short):
-        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), seed)
+    for i in long:
+        for x, seed in zip(out, seeds, strict=True):
+            x[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), seed)
     return out
 
 

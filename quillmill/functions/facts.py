@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from datetime import date
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillmill.functions.dates import ENFORCED, TEXT_DATE, YEAR_OF, date_question_kind
+from quillmill.functions.binding import let
+from quillmill.functions.dates import YEAR_OF, date_question_kind, dates_in, enforced_date
+from quillmill.functions.text import stripped
 
 # Items of an addendum, forms that follow one, marks of revisions, and words of retroaction.
 ITEM = r"(?m)(?=^\s*\d+[.．]\s)|(?=^\s*[①②③④⑤⑥⑦⑧⑨⑩])"
@@ -18,44 +15,26 @@ FORM = r"(?m)^\s*\[별[지표]"
 REVISION = r"[（(]\s*(?:개정|변경|신설|전문개정|일부개정|폐지|본조신설|제목개정)\s*([^)）]*)[)）]"
 RETROACTIVE = r"적용한다|소급"
 
-ADDENDUM = T.StructType([T.StructField("header_date", T.StringType()), T.StructField("enforced_from", T.StringType()), T.StructField("retroactive", T.BooleanType()), T.StructField("text", T.StringType())])
-
-
-def valid_dates(text: str) -> list[str]:
-    out = []
-    for y, m, d in re.findall(TEXT_DATE, text):
-        try:
-            out.append(date(int(y), int(m), int(d)).isoformat())
-        except ValueError:
-            continue
-    return out
+def addenda(block: Column) -> Column:
+    """The addenda in a block: each item that declares enforcement with a date; without any, the block itself if it has a
+    date. Of forms that follow nothing is read."""
 
+    def addendum(at: Column, text: Column, enforced: Column) -> Column:
+        return F.struct(at["header"].alias("header_date"), enforced.alias("enforced_from"), text.rlike(RETROACTIVE).alias("retroactive"), F.substring(stripped(text), 1, 300).alias("text"))
 
-def addenda_of(block: str) -> list[dict]:
-    """The addenda in a block: each item that declares enforcement with a date; without any, the block's own header date."""
-    body = re.split(FORM, block, maxsplit=1)[0].strip()
-    head, _, rest = body.partition("\n")
-    header = next(iter(valid_dates(head)), None)
-    found = []
-    for item in filter(str.strip, re.split(ITEM, rest)):
-        dates = [d for line in item.splitlines() if re.search(ENFORCED, line) for d in valid_dates(line)[:1]]
-        if dates:
-            found.append({"header_date": header, "enforced_from": dates[0], "retroactive": bool(re.search(RETROACTIVE, item)), "text": item.strip()[:300]})
-    if not found and valid_dates(body):
-        found.append({"header_date": header, "enforced_from": None, "retroactive": bool(re.search(RETROACTIVE, body)), "text": body[:300]})
-    return found
+    def found(at: Column) -> Column:
+        rest = F.when(F.contains(at["body"], F.lit("\n")), F.regexp_replace(at["body"], r"\A[^\n]*\n", "")).otherwise("")
+        declared = F.filter(F.transform(F.split(rest, ITEM), lambda item: addendum(at, item, enforced_date(item))), lambda a: a["enforced_from"].isNotNull())
+        own = F.filter(F.array(addendum(at, at["body"], F.lit(None).cast("string"))), lambda _: F.size(dates_in(at["body"])) > 0)
+        return let(declared, lambda listed: F.when(F.size(listed) > 0, listed).otherwise(own))
 
-
-@F.pandas_udf(T.ArrayType(ADDENDUM))
-def addenda(blocks: pd.Series) -> pd.Series:
-    """Where items begin depends on line structure that no built-in splits this way."""
-    return blocks.map(lambda b: addenda_of(b) if b else [])
+    body = stripped(F.get(F.split(F.coalesce(block, F.lit("")), FORM, 2), F.lit(0)))
+    header = lambda b: F.get(dates_in(F.substring_index(b, "\n", 1)), F.lit(0))
+    return let(let(body, lambda b: F.struct(b.alias("body"), header(b).alias("header"))), found)
 
 
 def revisions(block: Column) -> Column:
     """The distinct dates of an article's revision marks, in order."""
-    from quillmill.functions.dates import dates_in
-
     marks = F.regexp_extract_all(F.coalesce(block, F.lit("")), F.lit(REVISION), F.lit(1))
     return F.array_sort(F.array_distinct(F.flatten(F.transform(marks, lambda m: dates_in(m)))))
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.functions.binding import let
+
 # The rules that come with the engine, in the order in which they are applied: name, pattern, method, replacement.
 MASKING_RULES = [
     ("학번", r"(?<!\d)\d{8}(?!\d)", "partial", "****"),
@@ -27,48 +27,54 @@ GUARDRAILS = [
 ]
 
 
-def mask_one(found: str, method: str, replacement: str = "****") -> str:
-    """Mask one match: `full`, the `middle` of it, or in part (of an address only the local part)."""
-    replacement, n = replacement or "****", len(found)
+def masked(found: Column, method: str, replacement: str | None = "****") -> Column:
+    """A match without what must not be seen: nothing of it is left (`full`), or its ends; of an address the first letter of
+    the local part and the domain."""
+    by, n = F.lit(replacement or "****"), F.length(found)
     if method == "full":
-        return replacement
-    if not found:
-        return found
-    if method == "middle":
-        shortest, head, tail = 4, min(3, n // 3), min(4, n // 3)
-    else:
-        shortest, head, tail = 2, 1 if n < 6 else 2, 1 if n < 8 else 2
-    if n <= shortest:
-        return replacement
-    if method != "middle" and "@" in found:
-        local, _, domain = found.partition("@")
-        return f"{local[0] if len(local) > 1 else ''}{replacement}@{domain}"
-    if head + tail >= n:
-        head = tail = 1
-    return found[:head] + replacement + found[n - tail :]
-
-
-def apply_rules(text: str | None, rules: Sequence[tuple[str, str, str, str]]) -> str | None:
+        return by
+    third = F.floor(n / 3).cast("int")
+    shortest, head, tail = (4, F.least(third, F.lit(3)), F.least(third, F.lit(4))) if method == "middle" else (2, F.when(n < 6, 1).otherwise(2), F.when(n < 8, 1).otherwise(2))
+    ends = F.concat(F.left(found, head), by, F.right(found, tail))
+    if method != "middle":
+        initial = F.regexp_extract(found, r"(?s)\A([^@])[^@]", 1)  # empty if the local part has one letter at most
+        ends = F.when(F.contains(found, F.lit("@")), F.concat(initial, by, F.regexp_extract(found, r"(?s)\A[^@]*(@.*)", 1))).otherwise(ends)
+    return F.when(n > shortest, ends).when(n > 0, by).otherwise(found)
+
+
+def usable_pattern(pattern: str) -> bool:
+    """Whether Spark takes the pattern; one that matches nothing at all has no place to mask."""
+    try:
+        return not SparkSession.active().range(1).select(F.regexp_like(F.lit(""), F.lit(f"\\A(?:{pattern})"))).first()[0]
+    except Exception as e:
+        if "PATTERN" in str(e) or "egex" in str(e):
+            return False
+        raise
+
+
+def apply_rule(pattern: str, method: str, replacement: str):
+    """What stands between the matches of a text, and the matches masked, put together in turn."""
+    pattern = f"(?U){pattern}"
+
+    def run(text: Column) -> Column:
+        hidden = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: masked(found, method, replacement))
+        parts = F.zip_with(F.split(text, pattern), hidden, lambda between, m: F.concat(between, F.coalesce(m, F.lit(""))))
+        return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
+
+    return run
+
+
+def apply_rules(text: Column, rules: Sequence[tuple[str, str, str, str]]) -> Column:
     """All rules one after the other; a rule whose pattern is invalid is passed over."""
-    if not text:
-        return text
     for _, pattern, method, replacement in rules:
-        try:
-            compiled = re.compile(pattern)
-        except re.error:
-            continue
-        text = compiled.sub(lambda m, how=method, by=replacement: mask_one(m[0], how, by), text)
+        if usable_pattern(pattern):
+            text = let(text, apply_rule(pattern, method, replacement))
     return text
 
 
 def masker(rules: Sequence[tuple[str, str, str, str]] = MASKING_RULES):
-    """Any rules as a column function over Arrow batches."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: apply_rules(t, rules))
-
-    return run
+    """The rules as a function of columns."""
+    return lambda text: apply_rules(F.col(text) if isinstance(text, str) else text, rules)
 
 
 def mask_native(text: Column) -> Column:

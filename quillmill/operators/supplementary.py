@@ -21,7 +21,7 @@ from quillmill.sources.tables import table
 def addenda(spark, d):
     """Addenda in order of their place in the document."""
     blocks = regulations(spark, d).select("doc_id", F.explode(F.filter(text.sections(F.col("text")), lambda b: text.section_kind(b) == "addendum")).alias("block"))
-    found = blocks.select("doc_id", F.posexplode(facts.addenda("block")).alias("i", "a"))
+    found = blocks.select("doc_id", F.posexplode(facts.addenda(F.col("block"))).alias("i", "a"))
     return found.select("doc_id", (F.col("i") + 1).alias("order_no"), "a.header_date", "a.enforced_from", "a.retroactive")
 
 
@@ -296,7 +296,7 @@ def date_formats(spark, d):
 def typed_prefix(spark, d):
     """Dates in a chunk's prefix with the part that they play."""
     docs = regulations(spark, d).select("doc_id", effective_date(F.col("file_name")).alias("file_date"), F.get(F.filter(text.sections(F.col("text")), lambda b: text.section_kind(b) == "addendum"), F.lit(0)).alias("block"))
-    found = docs.select("doc_id", "file_date", facts.addenda("block").alias("a"))
+    found = docs.select("doc_id", "file_date", facts.addenda(F.col("block")).alias("a"))
     last, n = F.element_at("a", -1), F.size("a").cast("string")
     parts = [F.concat(F.lit("파일명시행일:"), "file_date"), F.concat(F.lit("부칙시행일:"), facts.effective(last)), F.concat(F.lit("부칙순번:"), n, F.lit("/"), n, F.lit("(최신)")), F.when(last["retroactive"], "소급적용포함:예")]
     return found.select("doc_id", F.concat_ws(" | ", *parts).alias("prefix"))

@@ -34,7 +34,7 @@ def window_pieces(spark, d):
 @query("txt1_txt2_paragraph_chunks")
 def paragraph_chunks(spark, d):
     """Greedy packing depends on all that came before it, which SQL can't express; tests hold it against the stated rules."""
-    docs = table(spark, d, "documents").select("doc_id", text.chunker(1000, 100)("text").alias("chunks"))
+    docs = table(spark, d, "documents").select("doc_id", text.paragraph_chunks(F.col("text"), 1000, 100).alias("chunks"))
     return docs.select("doc_id", F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("chunk_index", "chunk"))
 
 
@@ -75,7 +75,7 @@ def section_split(spark, d):
 def regulation_chunks(spark, d):
     """Sections, cut at clauses where they are long, each with its bracketed origin. Tests hold the rules against fixed cases."""
     found = regulations(spark, d).select("doc_id", dates.document_number(F.col("file_name")).alias("number"), dates.effective_date(F.col("file_name")).alias("effective"), F.explode(text.sections(F.col("text"))).alias("block"))
-    pieces = found.select("*", F.explode(text.clauses("block")).alias("piece"))
+    pieces = found.select("*", F.explode(text.clauses(F.col("block"))).alias("piece"))
     prefix = text.chunk_prefix(F.col("number"), F.col("effective"), text.section_article(F.col("block")), text.section_kind(F.col("block")), F.col("piece"))
     return pieces.select("doc_id", F.concat(prefix, F.lit("\n"), F.col("piece")).alias("chunk"), F.slice(dates.dates_in(F.col("piece")), 1, 20).alias("dates_in_chunk"))
 

@@ -1,5 +1,6 @@
 """Fixed cases of the functions."""
 
+import random
 import uuid
 from datetime import date, datetime
 
@@ -100,41 +101,46 @@ def test_windows(each):
         text.fixed_windows(V, 3, 3)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="ab. \n!", max_size=120), st.integers(4, 20))
-def test_paragraph_chunks_keep_all_text(body, size):
-    chunks = text.paragraph_chunks(body, size, 0)
-    folded = lambda s: "".join(s.split())
-    assert folded("".join(chunks)) == folded(body) and all(chunks)
+def test_paragraph_chunks_keep_all_text(each):
+    rnd = random.Random(3)
+    bodies = ["".join(rnd.choices("ab. \n!", k=rnd.randint(0, 120))) for _ in range(300)]
+    for size in (4, 9, 20):
+        for body, chunks in zip(bodies, each(bodies, text.paragraph_chunks(V, size, 0)), strict=True):
+            assert "".join("".join(chunks).split()) == "".join(body.split()) and all(chunks)
 
 
-def test_paragraph_chunk_overlap():
-    assert text.paragraph_chunks("aaaa\n\nbbbb\n\ncccc", 5, 2) == ["aaaa\nbb", "bbbb\ncc", "cccc"]
-    assert text.paragraph_chunks("aa\n\nbb", 5, 2) == ["aa\n\nbb"] and text.paragraph_chunks(" \n", 5, 2) == []
-    assert text.paragraph_chunks("abcdefghijkl", 10, 2) == ["abcdefghij\nij", "ijkl"]
+def test_paragraph_chunk_overlap(each):
+    bodies = ["aaaa\n\nbbbb\n\ncccc", "aa\n\nbb", " \n", None, "aaaa\n \nLong one. Two! xxxxxxxxxxx\n\nb"]
+    assert each(bodies, text.paragraph_chunks(V, 5, 2)) == [["aaaa\nbb", "bbbb\ncc", "cccc"], ["aa\n\nbb"], [], [], ["aaaa\nLo", "Long \ng ", "g one\nne", "ne.\nTw", "Two!\nxx", "xxxxx\nxx", "xxxxx\nxx", "xxxxx\nxx", "xx\n\nb"]]
+    assert each(["abcdefghijkl"], text.paragraph_chunks(V, 10, 2)) == [["abcdefghij\nij", "ijkl"]]
+    with pytest.raises(ValueError):
+        text.paragraph_chunks(V, 5, 5)
 
 
-def test_clause_pieces():
+def test_clause_pieces(each):
     block = "제1조(목적)\n" + "\n".join(f"{m} " + "가" * 30 for m in "①②③④")
-    pieces = text.clause_pieces(block, limit=80, overlap=10)
+    (pieces,) = each([block], text.clauses(V, 80, 10))
     assert pieces[0].startswith("제1조") and all(len(p) <= 80 for p in pieces) and sum(p.count("가") for p in pieces) == 120
-    assert text.clause_pieces("짧다", 80) == ["짧다"] and [len(p) for p in text.clause_pieces("x" * 150, 80, 10)] == [80, 80]
+    assert pieces == ["제1조(목적)\n① " + "가" * 30 + "\n② " + "가" * 30, "③ " + "가" * 30 + "\n④ " + "가" * 30]
+    short, plain, listed = each(["짧다", "x" * 150, "1. " + "a" * 70 + "\n\n 2) " + "b" * 90 + "\n3 no clause"], text.clauses(V, 80, 10))
+    assert short == ["짧다"] and [len(p) for p in plain] == [80, 80] and [p[:4] for p in listed] == ["1. a", "2) b", "bbbb"]
 
 
 @pytest.mark.parametrize(("found", "method", "masked"), [
     ("01012345678", "middle", "010****678"), ("abcd", "middle", "****"), ("20231234", "partial", "20****34"), ("ab", "partial", "****"), ("abc", "partial", "a****c"),
     ("me@site.org", "partial", "m****@site.org"), ("a@b.cd", "partial", "****@b.cd"), ("9001011234567", "full", "****"), ("", "partial", ""),
+    ("@b.cd", "partial", "****@b.cd"), ("abcde", "middle", "a****e"), ("abcdef", "partial", "ab****f"), ("a@@b", "partial", "****@@b"), ("abcdefghijkl", "middle", "abc****ijkl"),
 ])
-def test_mask_one(found, method, masked):
-    assert masking.mask_one(found, method) == masked
+def test_mask_one(each, found, method, masked):
+    assert each([found], masking.masked(V, method)) == [masked]
 
 
 def test_masking_rules(each):
     said = ["mail bob@x.org call 010-1234-5678 id 20231234 no 900101-1234567", None, "", "nothing"]
     assert each(said, masking.masker()(V))[1:] == [None, "", "nothing"]
-    got = masking.apply_rules(said[0], masking.MASKING_RULES)
-    assert "b****@x.org" in got and "20****34" in got and "010****" in got and "******-*******" in got
-    assert masking.apply_rules("abc", [("bad", "(", "full", ""), ("c", "c", "full", "#")]) == "ab#"
+    (got,) = each(said[:1], masking.masker()(V))
+    assert got == "mail b****@x.org call 010****5678 id 20****34 no ******-*******"
+    assert each(["abc", "xcc", None], masking.apply_rules(V, [("bad", "(", "full", ""), ("c", "c", "full", "#"), ("none", "q*", "full", "!")])) == ["ab#", "x##", None]
     assert each(["mail bob@x.org id 20231234 no 900101-1234567"], masking.mask_native(V)) == ["mail b****@x.org id 20****34 no ******-*******"]
 
 

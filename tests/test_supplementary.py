@@ -7,11 +7,13 @@ from quillmill.functions import facts, misc
 from quillmill.sources import files
 
 
-def test_addenda():
+def test_addenda(spark):
     listed = "부칙\n1. 따로 정한다.\n2. 이 규정은 1982년 10월 11일부터 시행한다.\n3. 이 개정 규정은 2020년 12월 15일부터 시행하며 소급 적용한다. 시행한다\n[별지 1]\n2030. 1. 1. 시행한다"
-    assert [a["enforced_from"] for a in facts.addenda_of(listed)] == ["1982-10-11", "2020-12-15"] and facts.addenda_of(listed)[1]["retroactive"]
-    own = facts.addenda_of("부 칙(1987.  2.  9.)\n①(시행일) 이 규칙은 공포한 날로부터 시행한다.")
-    assert [(a["header_date"], a["enforced_from"]) for a in own] == [("1987-02-09", None)] and facts.addenda_of("부칙\n공포한 날") == []
+    blocks = [listed, "부 칙(1987.  2.  9.)\n①(시행일) 이 규칙은 공포한 날로부터 시행한다.", "부칙\n공포한 날", None, "부칙 2001. 2. 3."]
+    found = [r[0] for r in spark.createDataFrame([(i, b) for i, b in enumerate(blocks)], "i int, b string").orderBy("i").select(facts.addenda(F.col("b"))).collect()]
+    assert [a["enforced_from"] for a in found[0]] == ["1982-10-11", "2020-12-15"] and [a["retroactive"] for a in found[0]] == [False, True]
+    assert [(a["header_date"], a["enforced_from"]) for a in found[1]] == [("1987-02-09", None)] and found[2:4] == [[], []]
+    assert [(a["header_date"], a["text"]) for a in found[4]] == [("2001-02-03", "부칙 2001. 2. 3.")]
 
 
 def test_revisions_and_answers(spark):

@@ -115,22 +115,3 @@ def answer_scores(spark, d):
     scored = dim.withColumn("correct", correct("mode", "gold", F.array().cast("array<string>"), "answer"))
     orders = table(spark, d, "orders").select((F.col("o_orderkey") % 12).cast("int").alias("k"))
     return orders.groupBy("k").agg(F.count("*").alias("c")).join(scored, "k").groupBy("mode", "correct").agg(F.sum("c").alias("n"))
-
-
-@query("scr12_judge_batches", """
-  SELECT count(*)::BIGINT AS pending, count(DISTINCT (rn - 1) // 15)::BIGINT AS batches FROM (SELECT row_number() OVER (ORDER BY key) AS rn FROM (SELECT DISTINCT sha256(lang || chr(31) || text) AS key FROM documents
-    WHERE sha256(lang || chr(31) || text) NOT IN (SELECT sha256(lang || chr(31) || text) FROM documents WHERE doc_id % 3 = 0)))""")
-def judge_batches(spark, d):
-    """What is still to be judged, without copies and without what is cached, in batches of 15. Positions come from hash
-    ranges, so that no one task numbers all keys: a batch never spans two ranges' numbers in the count below."""
-    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.concat_ws("\x1f", "lang", "text"), 256).alias("key"))
-    cached = docs.filter("doc_id % 3 = 0").select("key")
-    todo = docs.join(cached, "key", "left_anti").select("key").distinct()
-    return todo.agg(F.count("*").alias("pending")).select("pending", F.ceil(F.col("pending") / 15).cast("bigint").alias("batches"))
-
-
-@query("agg29_scr10_gold_validation", """
-  SELECT count(*)::BIGINT AS items, count(*) FILTER (length(text) < 100)::BIGINT AS short, count(*) FILTER (c > 1)::BIGINT AS repeated FROM (SELECT text, count(*) OVER (PARTITION BY text) AS c FROM benchmark)""")
-def gold_validation(spark, d):
-    items = table(spark, d, "benchmark").groupBy("text").agg(F.count("*").alias("c"))
-    return items.agg(F.sum("c").alias("items"), F.coalesce(F.sum(F.when(F.length("text") < 100, F.col("c"))), F.lit(0)).cast("bigint").alias("short"), F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0)).cast("bigint").alias("repeated"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.lexical import TOKEN, bigrams, tokens
 from quillmill.functions.vectors import cosine
+from quillmill.plans.checkpoints import bounded, cut
 from quillmill.registry import query
 from quillmill.sources.tables import table
 
@@ -23,37 +26,87 @@ def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> Da
     return ranked.filter(F.col("rank") <= k)
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Cosine similarity of each query vector to each vector. The queries are a batch whose size the caller bounds."""
-    return vectors.join(F.broadcast(queries.withColumnRenamed("embedding", "q")), F.lit(True)).withColumn("score", cosine(F.col("embedding"), F.col("q"))).drop("q", "embedding")
+#: Questions of a block, and vectors of a part: what one task of the dense search holds.
+BLOCK, PART = 512, 50_000
+
+
+def _nearest(k: int, others_only: bool):
+    """Of one part of vectors, those that are among the k best of a question of one block, by a matrix product."""
+
+    def matrix(rows: pa.Table) -> np.ndarray:
+        values = np.stack([np.asarray(v.values, np.float64) for v in rows.column("v")])
+        return values / np.maximum(np.sqrt((values * values).sum(1, keepdims=True)), 1e-300)
+
+    def best(rows: pa.Table) -> pa.Table:
+        side = rows.column("side").to_numpy()
+        ask, have = rows.filter(pa.array(side == 0)), rows.filter(pa.array(side == 1))
+        names, ids, found = ask.column("id").to_numpy(), have.column("id").to_numpy(), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if len(names) and len(ids):
+            q, v = matrix(ask), matrix(have).T
+            for at in range(0, len(names), 64):
+                score = q[at : at + 64] @ v
+                if others_only:
+                    score[names[at : at + 64, None] == ids[None, :]] = -np.inf
+                floor = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else -np.inf
+                row, column = np.nonzero(score >= floor - 1e-9)  # ties stay, and are ranked by their exact scores later
+                found.append((names[at + row], ids[column]))
+        return pa.table({"query_id": np.concatenate([f[0] for f in found]), "id": np.concatenate([f[1] for f in found])})
+
+    return best
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, *order: Column, others_only: bool = False) -> DataFrame:
+    """The k vectors nearest to each question by cosine, with their other columns, `score` and `rank`.
+
+    Questions (query_id, embedding) are dealt into blocks of about `BLOCK`, vectors (id, embedding, ...) into parts of about
+    `PART`; each part meets each block once, as a matrix product, and only the k best of a part go on. Scores of these few are
+    worked out exactly. `others_only`: a question's own vector doesn't count.
+    """
+    blocks = max(1, -(-queries.count() // BLOCK))
+    n = vectors.count()
+    parts = max(1, -(-n // PART), min(queries.sparkSession.sparkContext.defaultParallelism, n // 500))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    dealt = lambda key, m: F.pmod(F.xxhash64(key), F.lit(m)).cast("int")
+    asked = queries.select(F.lit(0).alias("side"), dealt("query_id", blocks).alias("block"), every(parts).alias("part"), F.col("query_id").cast("long").alias("id"), F.col("embedding").alias("v"))
+    stored = vectors.select(F.lit(1).alias("side"), every(blocks).alias("block"), dealt("id", parts).alias("part"), F.col("id").cast("long").alias("id"), F.col("embedding").alias("v"))
+    near = asked.unionByName(stored).groupBy("block", "part").applyInArrow(_nearest(k, others_only), "query_id long, id long")
+    scored = near.join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").join(vectors, "id").withColumn("score", cosine(F.col("embedding"), F.col("q"))).drop("q", "embedding")
+    return top_k(scored, k, *(order or (F.desc("score"), F.col("id"))))
 
 
 def postings(docs: DataFrame, id_column: str, text_column: str, terms: DataFrame, pattern: str = TOKEN) -> DataFrame:
-    """(id, length, token, tf) of the tokens in `terms`, a bounded batch. The length goes along, so texts are cut into tokens once."""
-    cut = docs.select(F.col(id_column).alias("id"), tokens(F.col(text_column), pattern).alias("tokens"))
-    each = cut.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    return each.join(F.broadcast(terms.select("token").distinct()), "token", "left_semi").groupBy("id", "length", "token").agg(F.count("*").alias("tf"))
+    """(id, length, token, tf) of the tokens in `terms`, and a row with a null token for each document. Texts are cut into
+    tokens once, and tokens are counted before they are exchanged."""
+    cut_up = docs.select(F.col(id_column).alias("id"), tokens(F.col(text_column), pattern).alias("tokens"))
+    each = cut_up.select("id", F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("said"))
+    wanted = bounded(terms.select("token").distinct())
+    return each.join(wanted, F.col("said") == F.col("token"), "left").groupBy("id", "length", "token").agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(query_id, id, score). A term that a question repeats counts as often. The questions' terms select the postings first."""
+    """(query_id, id, score). A term that a question repeats counts as often.
+
+    Postings of the questions' terms and all documents' lengths come from one pass. The postings are dealt by document, so
+    the sums of a question's terms need no exchange, and a top-k after them sends on only the best of each partition.
+    """
     terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
-    found = postings(docs, id_column, text_column, terms)
-    about = docs.select(F.size(tokens(F.col(text_column))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    df = found.groupBy("token").agg(F.count_if(F.col("tf") > 0).alias("df"))  # counting tf keeps the branch equal to `found`, so its exchange is reused
-    weighted = found.join(df, "token").crossJoin(F.broadcast(about))  # one row of statistics
+    all_rows = cut(postings(docs, id_column, text_column, terms))
+    found = all_rows.filter("token IS NOT NULL")
+    about = all_rows.filter("token IS NULL").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    df = found.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return weighted.withColumn("weight", weight).join(terms, "token").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qf")).alias("score"))
+    weighed = terms.join(df, "token").crossJoin(about).select("query_id", "token", "mean", (F.col("qf") * idf).alias("w"))  # one row of statistics
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return found.repartition("id").join(bounded(weighed), "token").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
 def all_terms(queries: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(query_id, id, score): documents that have all of a question's terms, by sum of tf / (1 + ln(1 + length))."""
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
-    found = postings(docs, id_column, text_column, terms)
-    scored = found.join(F.broadcast(terms), "token").withColumn("part", F.col("tf") / (1 + F.log(1.0 + F.col("length"))))
-    return scored.groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.count("*").alias("has")).join(need, "query_id").filter("has = need").select("query_id", "id", "score")
+    found = postings(docs, id_column, text_column, terms).filter("token IS NOT NULL").repartition("id")
+    scored = found.join(bounded(terms), "token").withColumn("part", F.col("tf") / (1 + F.log(1.0 + F.col("length"))))
+    return scored.groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.count("*").alias("has")).join(bounded(need), "query_id").filter("has = need").select("query_id", "id", "score")
 
 
 def min_max(value: Column, by: str = "query_id") -> Column:
@@ -90,27 +143,29 @@ def _vector_queries(spark, d: str) -> DataFrame:
     return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def _vectors(spark, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+
+
 _DENSE = """(SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
   FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)"""
 
 
 @query("top1_top6_dns1_cosine_top_k", f"SELECT query_id, id, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {_DENSE}) WHERE rank <= 10")
 def cosine_top_k(spark, d):
-    scored = dense_scores(_vector_queries(spark, d), table(spark, d, "embeddings").withColumnRenamed("vec_id", "id"))
-    return top_k(scored, 10, F.desc("score"), F.col("id")).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return dense_top_k(_vector_queries(spark, d), _vectors(spark, d), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("top2_top3_flt5_filtered_top_k", f"SELECT query_id, id, label, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {_DENSE} WHERE label IN (1, 2, 3)) WHERE rank <= 5 AND score >= 0.1")
 def filtered_top_k(spark, d):
     """The filter is applied before ranking, the threshold after."""
-    vectors = table(spark, d, "embeddings").filter(F.col("label").isin(1, 2, 3)).withColumnRenamed("vec_id", "id")
-    return top_k(dense_scores(_vector_queries(spark, d), vectors), 5, F.desc("score"), F.col("id")).filter("score >= 0.1").select("query_id", "id", "label", "rank")
+    vectors = _vectors(spark, d).filter(F.col("label").isin(1, 2, 3))
+    return dense_top_k(_vector_queries(spark, d), vectors, 5).filter("score >= 0.1").select("query_id", "id", "label", "rank")
 
 
 @query("flt16_filter_after_ranking", f"SELECT query_id, id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {_DENSE}) WHERE rank <= 40 AND label = 3")
 def filter_after_ranking(spark, d):
-    scored = dense_scores(_vector_queries(spark, d), table(spark, d, "embeddings").withColumnRenamed("vec_id", "id"))
-    return top_k(scored, 40, F.desc("score"), F.col("id")).filter("label = 3").select("query_id", "id", "rank")
+    return dense_top_k(_vector_queries(spark, d), _vectors(spark, d), 40).filter("label = 3").select("query_id", "id", "rank")
 
 
 _TOKENS = r"""t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM documents),
@@ -154,7 +209,7 @@ def title_route(spark, d):
     titles = table(spark, d, "part").select("p_partkey", bigrams(F.col("p_name")).alias("g"))
     pairs = titles.select("p_partkey", F.size("g").alias("n"), F.explode("g").alias("b"))
     asked = table(spark, d, "nation").select("n_nationkey", F.explode(bigrams(F.col("n_name"))).alias("b"))
-    ratio = pairs.join(F.broadcast(asked), "b").groupBy("n_nationkey", "p_partkey").agg((F.count("*") / F.first("n")).alias("ratio"))
+    ratio = pairs.join(bounded(asked), "b").groupBy("n_nationkey", "p_partkey").agg((F.count("*") / F.first("n")).alias("ratio"))
     return ratio.filter("ratio >= 0.15").select("n_nationkey", "p_partkey", F.when(F.col("ratio") >= 0.30, 0.15).otherwise(0.05).alias("boost"))
 
 
@@ -172,9 +227,8 @@ _HYBRID = f"""WITH {_BM25}, lex AS (SELECT *, row_number() OVER (PARTITION BY qu
 def hybrid(spark, d):
     """Dense and lexical candidates, four times as many as wanted from each side, fused with a boost for the matching source."""
     order = lambda f: f.withColumn("order", F.round("score", 9))
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     items = _questions(spark, d).select("query_id").join(table(spark, d, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
-    dense = top_k(order(dense_scores(items, vectors)), 12 * CANDIDATES, F.desc("order"), F.col("id"))
+    dense = dense_top_k(items, _vectors(spark, d).drop("label"), 12 * CANDIDATES, F.desc(F.round("score", 9)), F.col("id"))
     lexical = top_k(order(bm25(_questions(spark, d), table(spark, d, "documents"), "doc_id", "text")), 12 * CANDIDATES, F.desc("order"), F.col("id"))
     named = dense.select("query_id", "id").union(lexical.select("query_id", "id")).distinct().withColumn("boost", F.when(F.col("id") % 20 == F.col("query_id"), DOCUMENT_BOOST).otherwise(0.0))
     fused = fuse(dense, lexical, named, limit=0)
@@ -192,7 +246,7 @@ def max_normalised(spark, d):
 @query("win11_document_vote", f"""
   SELECT query_id, label, round(sum(1.0 / rank), 6) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {_DENSE}) WHERE rank <= 5 GROUP BY 1, 2""")
 def document_vote(spark, d):
-    hits = top_k(dense_scores(_vector_queries(spark, d), table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")), 5, F.desc("score"), F.col("id"))
+    hits = dense_top_k(_vector_queries(spark, d), _vectors(spark, d), 5)
     return hits.groupBy("query_id", "label").agg(F.round(F.sum(1 / F.col("rank")), 6).alias("votes"))
 
 
@@ -203,10 +257,8 @@ def document_vote(spark, d):
   FROM q LEFT JOIN h USING (query_id), (SELECT unnest([1, 3, 5, 10, 20, 50]) AS k) GROUP BY k""")
 def recall_curve(spark, d):
     """The first hit of the question's own label decides; each question is spread over the depths."""
-    vectors = table(spark, d, "embeddings")
-    scored = dense_scores(_vector_queries(spark, d), vectors.withColumnRenamed("vec_id", "id")).filter("id <> query_id")
-    gold = vectors.select(F.col("vec_id").alias("query_id"), F.col("label").alias("gold"))
-    first = top_k(scored, 50, F.desc("score"), F.col("id")).join(gold, "query_id").filter("label = gold").groupBy("query_id").agg(F.min("rank").alias("first"))
+    gold = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("gold"))
+    first = dense_top_k(_vector_queries(spark, d), _vectors(spark, d), 50, others_only=True).join(gold, "query_id").filter("label = gold").groupBy("query_id").agg(F.min("rank").alias("first"))
     every = _vector_queries(spark, d).select("query_id").join(first, "query_id", "left").withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5, 10, 20, 50)])))
     found = F.coalesce(F.col("first") <= F.col("k"), F.lit(False))
     return every.groupBy("k").agg(F.round(F.avg(found.cast("double")), 4).alias("recall"), F.round(F.avg(F.when(found, 1 / F.col("first")).otherwise(0.0)), 4).alias("mrr"))

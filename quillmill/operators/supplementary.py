@@ -164,16 +164,6 @@ def fact_coverage(spark, d):
     return table(spark, d, "documents").select("doc_id", ((has("the") + has("and", "und")) / 2).alias("coverage"), has("worthless").cast("boolean").alias("forbidden"))
 
 
-@query("scr3_joi17_joi18_gold_chunks", """
-  WITH g AS (SELECT vec_id, label FROM embeddings), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
-  SELECT g.vec_id, n.n::BIGINT AS gold_chunks, least(12, n.n)::BIGINT AS used, greatest(12 - n.n, 0)::BIGINT AS room FROM g JOIN n USING (label)""")
-def gold_chunks(spark, d):
-    """Gold chunks of each question, and the room that is left for distractors."""
-    vectors = table(spark, d, "embeddings")
-    counts = vectors.groupBy("label").agg(F.count("*").alias("gold_chunks"))
-    return vectors.select("vec_id", "label").join(counts, "label").select("vec_id", "gold_chunks", F.least(F.lit(12), "gold_chunks").cast("bigint").alias("used"), F.greatest(12 - F.col("gold_chunks"), F.lit(0)).cast("bigint").alias("room"))
-
-
 @query("cnv9_templates", "SELECT c_custkey, 'Dear ' || c_name || ' of ' || c_mktsegment || ', 2024-05-01 08:00:00' AS letter FROM customer")
 def templates(spark, d):
     template = F.lit("Dear {{user_name}} of {{segment}}, {{now}}")
@@ -323,11 +313,11 @@ def article_titles(spark, d):
   UNION ALL SELECT 'graph', p_partkey FROM (SELECT p_partkey FROM part WHERE contains(lower(p_name), 'steel') OR contains(lower(p_type), 'steel') ORDER BY p_retailprice DESC, p_partkey LIMIT 5)""")
 def side_by_side(spark, d):
     """Hits of both searches next to each other, not fused."""
-    from quillmill.operators.retrieval import dense_scores, top_k
+    from quillmill.operators.retrieval import dense_top_k
 
     vectors = table(spark, d, "embeddings")
     queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    dense = top_k(dense_scores(queries, vectors.select(F.col("vec_id").alias("id"), "embedding")), 5, F.desc("score"), F.col("id"))
+    dense = dense_top_k(queries, vectors.select(F.col("vec_id").alias("id"), "embedding"), 5)
     named = table(spark, d, "part").filter(text.has_any(F.lower("p_name"), ["steel"]) | text.has_any(F.lower("p_type"), ["steel"])).orderBy(F.desc("p_retailprice"), "p_partkey").limit(5)
     return dense.select(F.lit("vector").alias("kind"), "id").unionByName(named.select(F.lit("graph").alias("kind"), F.col("p_partkey").alias("id")))
 

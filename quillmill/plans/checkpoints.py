@@ -1,15 +1,38 @@
-"""Lineage cuts for iterative plans."""
+"""Lineage cuts for iterative plans, and the folder that all tasks share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    context = frame.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Without one only a local master, whose tasks share the driver's disk, may go on."""
+    context = spark.sparkContext
+    found = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not found and not context.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        found = found or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(found)
+    return found
+
+
+def scratch(spark: SparkSession, purpose: str) -> str:
+    """A new folder under the shared one; it does not exist yet."""
+    return f"{shared_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """A reliable checkpoint: lost executors only cost the tasks that read it."""
+    shared_root(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def bounded(frame: DataFrame, rows: int = 500_000) -> DataFrame:
+    """With a hint to broadcast if it has no more than so many rows, which are counted; otherwise as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame

@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import nfc
+from quillmill.plans.checkpoints import scratch  # noqa: F401
 
 # What reads a file of which ending. Old word files are refused.
 ROUTES = {"txt": "plain", "md": "plain", "docx": "docx", "pdf": "pdf", "hwp": "hwp", "hwpx": "hwp", "parquet": "table", "jsonl": "lines"}
 
 
-def scratch(spark: SparkSession, purpose: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where none is set."""
-    context = spark.sparkContext
-    root = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
 def extension(name: Column) -> Column:
     return F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise("")
 

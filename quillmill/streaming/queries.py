@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.plans.checkpoints import scratch
 from quillmill.registry import query
 from quillmill.sources.tables import table
 
@@ -26,9 +24,7 @@ def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
 
 def run_available(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now, exactly once into a Parquet table under the shared folder, and read that."""
-    context = spark.sparkContext
-    root = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.keywords import keyword, tokens_of
-from quillmill.functions.money import nearest_rank, percent_change
+from quillmill.functions.money import percent_change
 from quillmill.registry import query
 from quillmill.sources.tables import table
 
@@ -210,9 +210,25 @@ def corpus_defects(spark, d):
   WITH s AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n, avg(value) AS mean, max(value) AS most FROM events GROUP BY event_type)
   SELECT event_type, n::BIGINT AS n, v[CAST(round_even((n - 1) * 50 / 100.0, 0) AS INTEGER) + 1] AS p50, v[CAST(round_even((n - 1) * 90 / 100.0, 0) AS INTEGER) + 1] AS p90, most, round(mean, 4) AS mean FROM s""")
 def load_summary(spark, d):
-    """Nearest-rank percentiles; the number of groups times their rows is one wave of a load test."""
-    grouped = table(spark, d, "events").groupBy("event_type").agg(F.collect_list("value").alias("v"), F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("most"))
-    return grouped.select("event_type", "n", nearest_rank(F.col("v"), 50).alias("p50"), nearest_rank(F.col("v"), 90).alias("p90"), "most", F.round("mean", 4).alias("mean"))
+    """Nearest-rank percentiles: values are counted, so that the running sums that find a rank go over distinct values, in
+    ranges of each group, and no group is gathered."""
+    return nearest_ranks(table(spark, d, "events").select("event_type", "value"), "event_type", "value", {"p50": 50, "p90": 90}, digits=4)
+
+
+def nearest_ranks(rows: DataFrame, by: str, value: str, percents: dict[str, int], digits: int = 4, ranges: int = 64) -> DataFrame:
+    """n, the nearest-rank percentiles, most and mean of each group. A group's values are dealt into `ranges` of equal width, so
+    a very large group is spread over tasks; the ranges' counts say in which of them a rank lies."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    about = rows.groupBy(by).agg(F.count("*").alias("all"), F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("most"), F.min(value).alias("least"))
+    share = (F.col(value) - F.col("least")) / F.nullif(F.col("most") - F.col("least"), F.lit(0.0))
+    placed = counted.join(about.select(by, "n", "most", "least"), by).withColumn("range", F.coalesce(F.least(F.floor(share * ranges), F.lit(ranges - 1)), F.lit(0)).cast("int"))
+    before = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # `ranges` rows a group
+    offsets = placed.groupBy(by, "range").agg(F.sum("c").alias("c")).select(by, "range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy(by, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    upto = placed.withColumn("upto", F.sum("c").over(within)).join(offsets, [by, "range"]).withColumn("upto", F.col("upto") + F.col("offset"))
+    rank = lambda p: F.bround((F.col("n") - 1) * p / 100.0, 0) + 1
+    found = upto.groupBy(by).agg(*[F.min(F.when(F.col("upto") >= rank(p), F.col(value))).alias(name) for name, p in percents.items()])
+    return about.join(found, by, "left").select(by, F.col("all").alias("n"), *percents, "most", F.round("mean", digits).alias("mean"))
 
 
 @query("agg32_outcome_totals", """

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.language import parse_intent, parse_language, resolve_language
+from quillmill.functions.language import INTENTS, parse_intent, parse_language, resolve_language
 from quillmill.functions.text import has_any
+from quillmill.operators.textual import pick, sql_pick
 from quillmill.registry import query
 from quillmill.sources.tables import table
 
@@ -125,13 +126,23 @@ def reasons(spark, d):
     return table(spark, d, "events").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("lng2_lng3_labels", """
-  SELECT event_id, ['academic','small_talk','unknown','career'][1 + event_id % 4] AS intent, [NULL,'ko',NULL,'en'][1 + event_id % 4] AS language, CASE WHEN event_id % 2 = 0 THEN 'ko' END AS resolved FROM events""")
+_ANSWERS = ["ACADEMIC", " small_talk ", "I think: career", "?", "the intent is personal or document", "unknown", "Emotion!", "abuse"]
+_TAILS = ["", " | jp", "|ko", " | `en`.", "|vi\nmore | zh", " | ZH | ko"]
+_SESSIONS = ["ko", "auto", "en"]
+
+
+@query("lng2_lng3_labels", f"""
+  WITH x AS (SELECT event_id, {sql_pick(_ANSWERS, 'event_id')} AS a, {sql_pick(_TAILS, 'event_id // 8')} AS b, {sql_pick(_SESSIONS, 'event_id // 5')} AS session, CASE WHEN event_id % 7 < 3 THEN {sql_pick(['auto', 'vi'], 'event_id')} END AS asked FROM events),
+  y AS (SELECT *, lower(trim(a || b)) AS low, trim(split_part(split_part(lower(a || b), chr(10), 1), '|', 2) || CASE WHEN contains(b, 'ZH |') THEN '| ko' ELSE '' END, ' .`"''') AS named FROM x)
+  SELECT event_id, CASE WHEN low IN ({", ".join(repr(i) for i in INTENTS)}) THEN low {" ".join(f"WHEN contains(low, {i!r}) THEN {i!r}" for i in sorted(INTENTS, key=lambda x: (-len(x), [-ord(c) for c in x])))} ELSE 'unknown' END AS intent,
+    coalesce(CASE WHEN named IN ('ko', 'en', 'zh', 'vi') THEN named END, '') AS language, coalesce(CASE WHEN asked IS NOT NULL AND asked <> 'auto' THEN asked WHEN asked IS NULL AND session <> 'auto' THEN session END, '') AS resolved FROM y""")
 def labels(spark, d):
-    answers = ["ACADEMIC | jp", "\nsmall_talk|ko\nmore", "?", "I think: career | en."]
-    answer = F.element_at(F.array(*[F.lit(a) for a in answers]), (F.col("event_id") % 4 + 1).cast("int"))
-    session = F.when(F.col("event_id") % 2 == 0, "ko").otherwise("auto")
-    return table(spark, d, "events").select("event_id", parse_intent(answer).alias("intent"), parse_language(answer).alias("language"), resolve_language(F.lit(None).cast("string"), session).alias("resolved"))
+    """Model answers in many spellings, and the language that a session asks for."""
+    k = F.col("event_id")
+    answer = F.concat(pick(_ANSWERS, k), pick(_TAILS, F.floor(k / 8)))
+    requested, session = F.when(k % 7 < 3, pick(["auto", "vi"], k)), pick(_SESSIONS, F.floor(k / 5))
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    return table(spark, d, "events").select("event_id", parse_intent(answer).alias("intent"), empty(parse_language(answer)).alias("language"), empty(resolve_language(requested, session)).alias("resolved"))
 
 
 @query("str1_snk5_idle_sessions", """

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.answers import correct
-from quillmill.functions.statistics import bootstrap, kappa, mcnemar, wilson
+from quillmill.functions.statistics import kappa, mcnemar, wilson
+from quillmill.operators.textual import _ASKED, asked
 from quillmill.registry import query
 from quillmill.sources.tables import table
 
@@ -43,24 +46,48 @@ def wilson_summary(spark, d):
 
 
 @query("mth5_joi15_mcnemar", """
-  WITH t AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS b, count(*) FILTER (quality = 0 AND toxic = 1) AS c, count(*) AS n FROM labels)
-  SELECT n::BIGINT AS n, b::BIGINT AS regressed, c::BIGINT AS improved, true AS significant FROM t""")
+  WITH t AS (SELECT coalesce(source, '*') AS source, count(*) FILTER (quality = 1 AND toxic = 0)::BIGINT AS b, count(*) FILTER (quality = 0 AND toxic = 1)::BIGINT AS c, count(*)::BIGINT AS n FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((source), ())),
+  s AS (SELECT source, sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) AS tail FROM (SELECT source, b, c, unnest(range(greatest(b, c), b + c + 1)) AS i FROM t) GROUP BY source)
+  SELECT t.source, n, b AS regressed, c AS improved, round(least(1.0, CASE WHEN b + c = 0 THEN 1.0 ELSE 2 * tail END), 6) AS p FROM t JOIN s USING (source)""")
 def mcnemar_query(spark, d):
-    counts = table(spark, d, "labels").agg(F.count("*").alias("n"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("regressed"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("improved"))
-    return counts.select("n", "regressed", "improved", (mcnemar("regressed", "improved") < 0.05).alias("significant"))
+    """The exact p of paired outcomes, for each source and over all."""
+    joined = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    regressed, improved = F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1))
+    counts = joined.groupingSets([["source"], []], "source").agg(F.count("*").alias("n"), regressed.alias("regressed"), improved.alias("improved"))
+    return counts.select(F.coalesce("source", F.lit("*")).alias("source"), "n", "regressed", "improved", F.round(mcnemar("regressed", "improved"), 6).alias("p"))
 
 
-@query("mth6_bootstrap_interval")
-def bootstrap_interval(spark, d):
-    """Mean quality for each source with its interval. A group is one experiment's questions: bounded by the question set."""
-    import pandas as pd
+def bootstrap_means(outcomes: DataFrame, by: str, value: str, draws: int = 1000, seed: int = 20260812) -> DataFrame:
+    """(group, mean, low, high): the mean of each group and the 95 % interval of the means of redrawn samples.
+
+    Outcomes are counted by (group, value) first. A redrawn sample of n outcomes is a multinomial draw of these counts, so what
+    a task handles grows with the distinct values, not with the rows; draws are spread over tasks.
+    """
+    counted = outcomes.groupBy(by, value).agg(F.count("*").alias("c"))
+    grouped = counted.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), "c"))).alias("counts"), F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"))
+    each = grouped.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+
+    @F.pandas_udf("double")
+    def redraw(names: pd.Series, counts: pd.Series, draw: pd.Series) -> pd.Series:
+        out = []
+        for name, pairs, k in zip(names, counts, draw, strict=True):
+            values, c = np.array([p["v"] for p in pairs]), np.array([p["c"] for p in pairs], float)
+            source = np.random.default_rng([seed, int(k), *str(name).encode()])
+            out.append(float((source.multinomial(int(c.sum()), c / c.sum()) * values).sum() / c.sum()))
+        return pd.Series(out)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mean, low, high = bootstrap(pdf.sort_values("doc_id")["quality"].astype(float).tolist(), draws=1000)
-        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "mean": [mean], "low": [low], "high": [high]})
+    means = each.repartition(by, "draw").select(by, "mean", redraw(F.col(by), F.col("counts"), F.col("draw")).alias("m"), "draw")
+    ranked = means.withColumn("at", F.row_number().over(Window.partitionBy(by).orderBy("m", "draw")))
+    low, high = int(0.025 * draws) + 1, int(0.975 * draws)
+    return ranked.groupBy(by, "mean").agg(F.max(F.when(F.col("at") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("at") == high, F.col("m"))).alias("high"))
 
-    joined = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").select("doc_id", "source", "quality")
-    return joined.groupBy("source").applyInPandas(run, "source string, mean double, low double, high double")
+
+@query("mth6_bootstrap_interval")
+def bootstrap_interval(spark, d):
+    """Mean quality for each source with its interval. Redrawn samples differ by generator; a test holds the interval against
+    the normal one and against redrawing rows."""
+    joined = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").select("source", "quality")
+    return bootstrap_means(joined, "source", "quality")
 
 
 @query("mth8_kappa", """
@@ -96,22 +123,36 @@ def failure_classes(spark, d):
     return lines.groupBy(failure_class(retrieved, F.col("l_quantity") != 13, noisy, answered).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("scr8_lane_router", "SELECT o_orderkey, ['date', 'table', 'general', 'date'][1 + o_orderkey % 4] AS lane FROM orders")
+_HITS = lambda words: " + ".join(f"contains(bare, '{w.replace(' ', '')}')::INTEGER" for w in words)
+
+
+@query("scr8_lane_router", f"""
+  WITH q AS (SELECT o_orderkey, replace({_ASKED}, ' ', '') AS bare FROM orders), h AS (SELECT o_orderkey, {_HITS(DATE_WORDS)} AS dates, {_HITS(TABLE_WORDS)} AS tables FROM q)
+  SELECT o_orderkey, CASE WHEN dates > 0 AND dates >= tables THEN 'date' WHEN tables > 0 THEN 'table' ELSE 'general' END AS lane FROM h""")
 def lane_router(spark, d):
-    asked = ["별표 6-1의 시행일은 언제?", "교수 정원은 몇 명?", "휴학 절차", "언제 개정되었나"]
-    question = F.element_at(F.array(*[F.lit(q) for q in asked]), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", lane(question).alias("lane"))
+    return table(spark, d, "orders").select("o_orderkey", lane(asked(F.col("o_orderkey"))).alias("lane"))
 
 
 @query("scr1_scr2_answer_scores", """
-  SELECT ['date', 'number', 'percent', 'list', 'unknown', 'text'][1 + o_orderkey % 6] AS mode, o_orderkey % 12 < 6 AS correct, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2""")
+  SELECT o_orderkey, ['date', 'number', 'percent', 'list', 'unknown', 'text'][1 + o_orderkey % 6] AS mode, o_custkey % 2 = 0 AS correct FROM orders""")
 def answer_scores(spark, d):
-    """Six modes, each with a right and a wrong answer."""
-    cases = [
-        ("date", "2018-07-01", "2018. 7. 1.부터"), ("number", "1,200", "1200명"), ("percent", "80%", "80 퍼센트"), ("list", "가, 나", "나·가"), ("unknown", "", "알 수 없습니다"), ("text", "학사 지원팀", "학사지원팀에 문의"),
-        ("date", "2018-07-01", "2019. 7. 1."), ("number", "1200", "12명"), ("percent", "80%", "8%입니다"), ("list", "가, 나", "가, 다"), ("unknown", "", "3200만원"), ("text", "학사 지원팀", "입학처"),
-    ]
-    dim = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "k int, mode string, gold string, answer string")
-    scored = dim.withColumn("correct", correct("mode", "gold", F.array().cast("array<string>"), "answer"))
-    orders = table(spark, d, "orders").select((F.col("o_orderkey") % 12).cast("int").alias("k"))
-    return orders.groupBy("k").agg(F.count("*").alias("c")).join(scored, "k").groupBy("mode", "correct").agg(F.sum("c").alias("n"))
+    """Six modes, each with right and wrong answers in several spellings, made of the orders' own dates and numbers. The SQL
+    says for which rows the answer was made a right one."""
+    k, right, n = F.col("o_orderkey"), F.col("o_custkey") % 2 == 0, F.floor("o_totalprice")
+    day = F.to_date("o_orderdate")
+    said_day = F.when(right, day).otherwise(F.date_add(day, 1 + (k % 300).cast("int")))
+    spelled = F.element_at(F.array(*[F.date_format(said_day, f) for f in ("yyyy. M. d.", "yyyyMMdd", "yyyy/MM/dd", "yyyy-MM-dd")]), (F.floor(k / 6) % 4 + 1).cast("int"))
+    said_n = F.when(right, n).otherwise(n + 1 + k % 50)
+    comma = F.format_number(said_n, 0)
+    share, said_share = 1 + F.col("o_custkey") % 90, F.when(right, 1 + F.col("o_custkey") % 90).otherwise(91 + k % 9)
+    text = lambda c: c.cast("string")
+    cases = {
+        "date": (F.date_format(day, "yyyy-MM-dd"), F.concat(spelled, F.lit("부터 시행"))), "number": (text(n), F.concat(F.lit("약 "), F.when(k % 4 < 2, comma).otherwise(text(said_n)), F.lit("명"))),
+        "percent": (F.concat(text(share), F.lit("%")), F.concat(text(said_share), F.when(k % 4 < 2, F.lit(" 퍼센트")).otherwise(F.lit("%")))),
+        "list": (F.concat_ws(", ", F.col("o_orderstatus"), F.lit("x"), text(n)), F.when(right, F.concat_ws("·", text(n), F.col("o_orderstatus"), F.lit("x"))).otherwise(F.concat_ws("/", F.col("o_orderstatus"), text(n)))),
+        "unknown": (F.lit(""), F.when(right, F.concat(F.lit("표에 없으므로 알 수 없습니다 "), text(n))).otherwise(F.concat(text(n), F.lit("원")))),
+        "text": (F.concat(F.col("o_orderpriority"), F.lit(" "), text(n)), F.when(right, F.concat(F.lit("답: "), F.lower("o_orderpriority"), text(n))).otherwise(F.concat(F.lit("q"), text(n)))),
+    }
+    choose = lambda i: F.element_at(F.array(*[c[i] for c in cases.values()]), (k % 6 + 1).cast("int"))
+    rows = table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*[F.lit(m) for m in cases]), (k % 6 + 1).cast("int")).alias("mode"), choose(0).alias("gold"), choose(1).alias("answer"))
+    return rows.select("o_orderkey", "mode", correct("mode", "gold", F.array().cast("array<string>"), "answer").alias("correct"))

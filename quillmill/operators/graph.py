@@ -14,12 +14,27 @@ from quillmill.sources.tables import table
 
 def merge_entities(mentions: DataFrame) -> DataFrame:
     """(name, kind, description, doc, chunk, seq) by folded name: first name and kind, the longest description (the first
-    of equals), distinct documents, (document, chunk) pairs and the number of mentions."""
-    longest = F.max_by("description", F.struct(F.length("description"), -F.col("seq")))
-    return mentions.groupBy(F.lower(folded(F.col("name"))).alias("key")).agg(
-        F.min_by("name", "seq").alias("name"), F.min_by("kind", "seq").alias("kind"), longest.alias("description"),
-        F.array_sort(F.collect_set("doc")).alias("docs"), F.array_sort(F.collect_set(F.struct("doc", "chunk"))).alias("places"), F.count("*").alias("mentions"),
+    of equals), and the numbers of distinct documents, of (document, chunk) places and of mentions. Repeated places are
+    merged before, so that an entity of very many mentions is summed up from its places. `entity_places` lists these."""
+    longest = lambda order: F.max_by("description", F.struct(F.length("description"), -F.col(order)))
+    key = F.lower(folded(F.col("name"))).alias("key")
+    place = mentions.groupBy(key, "doc", "chunk").agg(
+        F.min_by("name", "seq").alias("name"), F.min_by("kind", "seq").alias("kind"), longest("seq").alias("description"),
+        F.min_by("seq", F.struct(-F.length("description"), "seq")).alias("said"), F.min("seq").alias("seq"), F.count("*").alias("mentions"),
     )
+    document = place.groupBy("key", "doc").agg(
+        F.min_by("name", "seq").alias("name"), F.min_by("kind", "seq").alias("kind"), F.max_by("description", F.struct(F.length("description"), -F.col("said"))).alias("description"),
+        F.min_by("said", F.struct(-F.length("description"), "said")).alias("said"), F.min("seq").alias("seq"), F.sum("mentions").alias("mentions"), F.count("*").alias("places"),
+    )
+    return document.groupBy("key").agg(
+        F.min_by("name", "seq").alias("name"), F.min_by("kind", "seq").alias("kind"), F.max_by("description", F.struct(F.length("description"), -F.col("said"))).alias("description"),
+        F.count("*").alias("docs"), F.sum("places").alias("places"), F.sum("mentions").alias("mentions"),
+    )
+
+
+def entity_places(mentions: DataFrame) -> DataFrame:
+    """(key, doc, chunk): the distinct places of each entity, a row each."""
+    return mentions.select(F.lower(folded(F.col("name"))).alias("key"), "doc", "chunk").distinct()
 
 
 def merge_relations(found: DataFrame) -> DataFrame:
@@ -79,7 +94,7 @@ def _mentions(spark, d: str) -> DataFrame:
     substr(md5('c:' || lower(name)), 1, 16) AS id FROM m GROUP BY name""")
 def merged_entities(spark, d):
     merged = merge_entities(_mentions(spark, d))
-    return merged.select("key", "kind", F.length("description").cast("bigint").alias("longest"), F.size("docs").cast("bigint").alias("docs"), "mentions", entity_id(F.lit("c"), F.col("name")).alias("id"))
+    return merged.select("key", "kind", F.length("description").cast("bigint").alias("longest"), "docs", "mentions", entity_id(F.lit("c"), F.col("name")).alias("id"))
 
 
 def _edges(spark, d: str) -> DataFrame:
@@ -133,8 +148,9 @@ def subgraph(spark, d):
 
 @query("joi12_neighbour_lists", "SELECT s_suppkey, count(DISTINCT l_partkey)::BIGINT AS neighbours FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1")
 def neighbour_lists(spark, d):
-    near = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.collect_set("l_partkey").alias("parts"))
-    return table(spark, d, "supplier").join(near, "s_suppkey", "left").select("s_suppkey", F.coalesce(F.size("parts"), F.lit(0)).cast("bigint").alias("neighbours"))
+    """How many distinct neighbours each node has, none included."""
+    near = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_partkey").distinct().groupBy("s_suppkey").agg(F.count("*").alias("neighbours"))
+    return table(spark, d, "supplier").join(near, "s_suppkey", "left").select("s_suppkey", F.coalesce("neighbours", F.lit(0)).cast("bigint").alias("neighbours"))
 
 
 @query("gra5_facility_upsert", """

@@ -138,10 +138,12 @@ def deterministic_ids(spark, d):
 
 
 @query("txt16_source_hash", """
-  SELECT doc_id, sha256('v1' || (SELECT string_agg(chr(1) || x, '') FROM (SELECT unnest(string_split(text, chr(10))) AS x))) IS NOT NULL AS hashed, len(string_split(text, chr(10)))::INTEGER AS parts FROM documents""")
+  SELECT doc_id, sha256('v1'::BLOB || coalesce(unhex((SELECT string_agg('00' || hex(x), '' ORDER BY i) FROM (SELECT unnest(parts) AS x, unnest(range(len(parts))) AS i))), ''::BLOB)) AS hash, len(parts)::INTEGER AS parts
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)""")
 def source_hashes(spark, d):
+    """One digest of all of a source's parts and the version of what reads them; a byte of zero stands before each part."""
     lines = F.split("text", "\n")
-    return table(spark, d, "documents").select("doc_id", source_hash("v1", lines).isNotNull().alias("hashed"), F.size(lines).alias("parts"))
+    return table(spark, d, "documents").select("doc_id", source_hash("v1", lines).alias("hash"), F.size(lines).alias("parts"))
 
 
 @query("str7_sup7_stale_marks", """

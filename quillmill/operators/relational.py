@@ -163,16 +163,49 @@ def coverage(spark, d):
     return joined.agg(F.count("*").alias("total"), F.count("done").alias("covered"), F.count_if(F.col("done").isNull()).alias("missing"), F.round(F.count("done") / F.count("*"), 4).alias("coverage"))
 
 
+def resolve_names(mentions: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame:
+    """(mention, name): of each mention the name that equals it, else the longest that contains it or that it contains, else null;
+    of equally long ones the first. Letters' case and outer blanks don't count.
+
+    Candidates meet by equality: a contained string shares its rarest `gram` with the string around it, so each side is indexed
+    by all its grams and probed by its own rarest one. Strings shorter than a gram are probed by all grams' letters.
+    """
+    fold = lambda c: F.lower(F.trim(c))
+    m = mentions.select("mention", fold(F.col("mention")).alias("m")).filter("m <> ''").distinct()
+    n = names.select("name", fold(F.col("name")).alias("n")).filter("n <> ''").distinct()
+    exact = m.join(n, F.col("m") == F.col("n")).groupBy("mention").agg(F.min("name").alias("exact"))
+
+    def grams(text: Column, size: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(text, i, size)))
+
+    def inside(small: DataFrame, s: str, large: DataFrame, t: str) -> DataFrame:
+        """Pairs of a small string and a large one that contains it."""
+        size = F.least(F.length(s), F.lit(gram))
+        sizes = F.transform(F.sequence(F.lit(1), F.least(F.length(t), F.lit(gram))), lambda k: grams(F.col(t), k))
+        index = large.select("*", F.explode(F.flatten(sizes)).alias("gram"))
+        common = index.groupBy("gram").agg(F.count("*").alias("c"))
+        each = small.select("*", F.explode(grams(F.col(s), size)).alias("gram")).join(common, "gram", "left")
+        rarest = each.groupBy(*small.columns).agg(F.min_by("gram", F.struct(F.coalesce("c", F.lit(0)), "gram")).alias("gram"))
+        return rarest.join(index, "gram").filter(F.contains(F.col(t), F.col(s)) & (F.col(t) != F.col(s)))
+
+    near = inside(m, "m", n, "n").select("mention", "name").unionByName(inside(n, "n", m, "m").select("mention", "name"))
+    best = near.groupBy("mention").agg(F.min_by("name", F.struct(-F.length("name"), "name")).alias("near"))
+    return mentions.select("mention").distinct().join(exact, "mention", "left").join(best, "mention", "left").select("mention", F.coalesce("exact", "near").alias("name"))
+
+
 @query("joi13_fuzzy_resolution", """
-  WITH m AS (SELECT s_suppkey, s_name AS name FROM supplier), r AS (SELECT DISTINCT c_name AS mention FROM customer),
-  hits AS (SELECT mention, name, row_number() OVER (PARTITION BY mention ORDER BY length(name) DESC, name) AS rn FROM r JOIN m ON right(mention, 3) = right(name, 3))
-  SELECT mention, name FROM hits WHERE rn = 1""")
+  WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 7 = 0 UNION SELECT DISTINCT p_brand FROM part UNION SELECT DISTINCT split_part(p_type, ' ', 2) FROM part WHERE p_size < 10 AND split_part(p_type, ' ', 2) <> ''),
+  m AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN ' ' || upper(p_name) WHEN 1 THEN split_part(p_name, ' ', 1) WHEN 2 THEN p_type ELSE 'the ' || p_brand || ' line' END AS mention FROM part),
+  h AS (SELECT mention, name, row_number() OVER (PARTITION BY mention ORDER BY lower(trim(mention)) <> lower(trim(name)), length(name) DESC, name) AS rn
+    FROM m JOIN n ON contains(lower(trim(mention)), lower(trim(name))) OR contains(lower(trim(name)), lower(trim(mention))))
+  SELECT m.mention, h.name FROM m LEFT JOIN h ON h.mention = m.mention AND rn = 1""")
 def fuzzy_resolution(spark, d):
-    """Candidates meet on a shared ending (an equi-join); of a mention's candidates the longest name wins."""
-    names = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.right("s_name", F.lit(3)).alias("tail"))
-    mentions = table(spark, d, "customer").select(F.col("c_name").alias("mention")).distinct().withColumn("tail", F.right("mention", F.lit(3)))
-    ranked = mentions.join(names, "tail").withColumn("rn", F.row_number().over(Window.partitionBy("mention").orderBy(F.desc(F.length("name")), "name")))
-    return ranked.filter("rn = 1").select("mention", "name")
+    """Mentions in other spellings, shorter and longer ones, against names of parts, brands and types."""
+    part = table(spark, d, "part")
+    names = part.filter("p_partkey % 7 = 0").select(F.col("p_name").alias("name")).unionByName(part.select(F.col("p_brand").alias("name"))).unionByName(part.filter("p_size < 10").select(F.split_part("p_type", F.lit(" "), F.lit(2)).alias("name")))
+    k = F.col("p_partkey") % 4
+    mention = F.when(k == 0, F.concat(F.lit(" "), F.upper("p_name"))).when(k == 1, F.split_part("p_name", F.lit(" "), F.lit(1))).when(k == 2, F.col("p_type")).otherwise(F.concat(F.lit("the "), "p_brand", F.lit(" line")))
+    return resolve_names(part.select(mention.alias("mention")), names)
 
 
 @query("joi14_zip_explode_join", """
@@ -258,6 +291,6 @@ def paging(spark, d):
 @query("src17_schema_fingerprint")
 def schema_fingerprint(spark, d):
     """A digest of all `table.column:type` lines in order: it changes exactly when a schema does."""
-    names = ["customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
+    names = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
     rows = [(f"{n}.{c}:{t}",) for n in names for c, t in table(spark, d, n).dtypes]
     return spark.createDataFrame(rows, "entry string").agg(F.count("*").alias("columns"), F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), "\n"), 256).alias("fingerprint"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,31 +11,53 @@ from quillmill.functions import facts, misc, text
 from quillmill.functions.dates import effective_date
 from quillmill.functions.lexical import tokens
 from quillmill.functions.statistics import wilson
-from quillmill.operators.textual import regulations
+from quillmill.operators.textual import _ADDENDA, _REVISED, pick, regulations
+from quillmill.plans.checkpoints import cut
 from quillmill.registry import query
 from quillmill.sources.files import read_json_lines, scan_directory, scratch, write_json_lines
 from quillmill.sources.tables import table
 
 
-@query("dat5_win7_agg30_addenda", "SELECT doc_id, 1::INTEGER AS order_no, '2019-01-02' AS header_date, '2020-03-01' AS enforced_from, false AS retroactive FROM documents")
-def addenda(spark, d):
-    """Addenda in order of their place in the document."""
-    blocks = regulations(spark, d).select("doc_id", F.explode(F.filter(text.sections(F.col("text")), lambda b: text.section_kind(b) == "addendum")).alias("block"))
-    found = blocks.select("doc_id", F.posexplode(facts.addenda(F.col("block"))).alias("i", "a"))
+def addenda_of(regs: DataFrame) -> DataFrame:
+    """(doc_id, order_no, header_date, enforced_from, retroactive): addenda in order of their place, through all addendum blocks
+    of a document."""
+    blocks = F.filter(text.sections(F.col("text")), lambda b: text.section_kind(b) == "addendum")
+    found = regs.select("doc_id", F.posexplode(F.flatten(F.transform(blocks, facts.addenda))).alias("i", "a"))
     return found.select("doc_id", (F.col("i") + 1).alias("order_no"), "a.header_date", "a.enforced_from", "a.retroactive")
 
 
-@query("dat6_dat9_date_answers", """
-  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN doc_id % 14 BETWEEN 1 AND 12 THEN '2020-' || lpad((doc_id % 14)::VARCHAR, 2, '0') || '-01' END WHEN 1 THEN '2020-03-01' WHEN 2 THEN '2020-03-01' ELSE '2018-03-05' END AS answer FROM documents""")
+@query("dat5_win7_addenda", f"SELECT doc_id, i::INTEGER AS order_no, header AS header_date, enforced AS enforced_from, retro AS retroactive FROM {_ADDENDA}")
+def addenda(spark, d):
+    return addenda_of(regulations(spark, d))
+
+
+@query("agg30_date_selftest", f"""
+  WITH a AS (SELECT doc_id, count(*) AS n, arg_max(enforced, i) AS last FROM {_ADDENDA} GROUP BY 1), f AS (SELECT doc_id, CASE WHEN doc_id % 14 BETWEEN 1 AND 12 THEN '2020-' || lpad((doc_id % 14)::VARCHAR, 2, '0') || '-01' END AS file_date FROM documents)
+  SELECT count(*)::BIGINT AS docs, count(*) FILTER (file_date IS NOT NULL)::BIGINT AS comparable, round(avg(CASE WHEN file_date = last THEN 1.0 ELSE 0.0 END) FILTER (file_date IS NOT NULL), 6) AS agreement, round(avg(n), 6) AS mean_addenda, max(n)::BIGINT AS most_addenda FROM a JOIN f USING (doc_id)""")
+def date_selftest(spark, d):
+    """How often the file name's date is the last addendum's, and how many addenda documents have."""
+    regs = regulations(spark, d)
+    last = addenda_of(regs).groupBy("doc_id").agg(F.count("*").alias("n"), F.max_by(F.coalesce("enforced_from", "header_date"), "order_no").alias("last"))
+    joined = regs.select("doc_id", effective_date(F.col("file_name")).alias("file_date")).join(last, "doc_id")
+    same = F.when(F.col("file_date").isNotNull(), (F.col("file_date") == F.col("last")).cast("double"))
+    return joined.agg(F.count("*").alias("docs"), F.count("file_date").alias("comparable"), F.round(F.avg(same), 6).alias("agreement"), F.round(F.avg("n"), 6).alias("mean_addenda"), F.max("n").alias("most_addenda"))
+
+
+@query("dat9_date_answers", f"""
+  WITH a AS (SELECT doc_id, arg_max(enforced, i) AS last, arg_min(enforced, i) AS first FROM {_ADDENDA} GROUP BY 1), x AS (SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n FROM documents)
+  SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN CASE WHEN doc_id % 14 BETWEEN 1 AND 12 THEN '2020-' || lpad((doc_id % 14)::VARCHAR, 2, '0') || '-01' END WHEN 1 THEN last WHEN 2 THEN first
+    WHEN 3 THEN CASE WHEN doc_id % 20 < n THEN (SELECT {_REVISED} FROM (SELECT doc_id % 20 + 1 AS i)) END WHEN 4 THEN coalesce((SELECT enforced FROM {_ADDENDA} b WHERE b.doc_id = a.doc_id AND contains(b.block, (2012 + doc_id % 3)::VARCHAR) AND contains(substr(b.block, strpos(b.block, chr(10)) + 1), (2012 + doc_id % 3)::VARCHAR) ORDER BY i LIMIT 1), last) ELSE last END AS answer
+  FROM a JOIN x USING (doc_id)""")
 def date_answers(spark, d):
-    """Questions answered from a fact store of one row a document."""
-    asked = ["현행 시행일은?", "최근 부칙 시행일은?", "최초로 시행된 날은?", "제1조가 개정된 날짜는?"]
+    """Questions of six kinds answered from a fact store of one row a document."""
     docs = regulations(spark, d).withColumn("blocks", text.sections(F.col("text")))
-    addendum = F.get(F.filter("blocks", lambda b: text.section_kind(b) == "addendum"), F.lit(0))
     articles = F.filter("blocks", lambda b: text.section_kind(b) == "article")
-    store = docs.withColumns({"file_date": effective_date(F.col("file_name")), "addenda": facts.addenda(addendum)})
+    added = F.flatten(F.transform(F.filter("blocks", lambda b: text.section_kind(b) == "addendum"), facts.addenda))
+    store = docs.withColumns({"file_date": effective_date(F.col("file_name")), "addenda": added})
     store = store.withColumn("by_article", F.map_from_entries(F.transform(articles, lambda b: F.struct(text.section_article(b), facts.revisions(b)))))
-    question = F.element_at(F.array(*[F.lit(q) for q in asked]), (F.col("doc_id") % 4 + 1).cast("int"))
+    k = F.col("doc_id")
+    said = ["현행 시행일은?", "최근 부칙 시행일은?", "최초로 시행된 날은?", "제{i}조가 개정된 날짜는?", "부칙 중 {y}학년도 것은?", "마지막은 언제?"]
+    question = F.replace(F.replace(pick(said, k), F.lit("{i}"), (k % 20 + 1).cast("string")), F.lit("{y}"), (2012 + k % 3).cast("string"))
     return store.select("doc_id", facts.answer(question, F.col("file_date"), F.col("addenda"), F.col("by_article")).alias("answer"))
 
 
@@ -84,11 +106,28 @@ def flatten(spark, d):
     return table(spark, d, "events").select("event_id", F.explode(misc.flat_paths(document)).alias("path", "value"))
 
 
-@query("src1_src15_src16_ordered_scan", "SELECT conv_id, string_agg(turn || ':' || role, ',' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id")
+@query("src1_src15_ordered_scan", "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS place, md5(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '')) AS before FROM conversations")
 def ordered_scan(spark, d):
-    pairs = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    joined = F.array_join(F.transform(pairs, lambda p: F.concat(p["turn"].cast("string"), F.lit(":"), p["role"])), ",")
-    return table(spark, d, "conversations").groupBy("conv_id").agg(joined.alias("turns"))
+    """Rows of each key in order, one after the other, each with the one before it."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.row_number().over(order).alias("place"), F.md5(F.coalesce(F.lag("text").over(order), F.lit(""))).alias("before"))
+
+
+def in_batches(rows: DataFrame, size: int, *order) -> DataFrame:
+    """`batch` and `place` of each row, `size` rows a batch in the given order. Rows are counted by ranges first, so that no one
+    task numbers all of them."""
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    parts = cut(parts.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    number = F.col("_row") + F.col("_from") - 1
+    return parts.join(F.broadcast(offsets), "_part").select(*rows.columns, F.floor(number / size).cast("int").alias("batch"), (number % size).cast("int").alias("place"))
+
+
+@query("src16_batched_scan", "SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 100)::INTEGER AS batch, ((row_number() OVER (ORDER BY doc_id) - 1) % 100)::INTEGER AS place FROM documents")
+def batched_scan(spark, d):
+    """Batches of a hundred by offset and limit, in one pass instead of one a batch."""
+    return in_batches(table(spark, d, "documents").select("doc_id"), 100, F.col("doc_id"))
 
 
 @query("lex2_cover_density")
@@ -281,12 +320,12 @@ def date_formats(spark, d):
     return table(spark, d, "orders").select("o_orderkey", read(spelled).alias("iso"), shown(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("shown"))
 
 
-@query("dat7_txt14_typed_prefix", """
-  SELECT doc_id, CASE WHEN doc_id % 14 BETWEEN 1 AND 12 THEN '파일명시행일:2020-' || lpad((doc_id % 14)::VARCHAR, 2, '0') || '-01 | ' ELSE '' END || '부칙시행일:2020-03-01 | 부칙순번:1/1(최신)' AS prefix FROM documents""")
+@query("dat7_typed_prefix", f"""
+  SELECT doc_id, CASE WHEN doc_id % 14 BETWEEN 1 AND 12 THEN '파일명시행일:2020-' || lpad((doc_id % 14)::VARCHAR, 2, '0') || '-01 | ' ELSE '' END || '부칙시행일:' || arg_max(enforced, i) || ' | 부칙순번:' || count(*) || '/' || count(*) || '(최신)' || CASE WHEN arg_max(retro, i) THEN ' | 소급적용포함:예' ELSE '' END AS prefix FROM {_ADDENDA} GROUP BY doc_id""")
 def typed_prefix(spark, d):
     """Dates in a chunk's prefix with the part that they play."""
-    docs = regulations(spark, d).select("doc_id", effective_date(F.col("file_name")).alias("file_date"), F.get(F.filter(text.sections(F.col("text")), lambda b: text.section_kind(b) == "addendum"), F.lit(0)).alias("block"))
-    found = docs.select("doc_id", "file_date", facts.addenda(F.col("block")).alias("a"))
+    added = F.flatten(F.transform(F.filter(text.sections(F.col("text")), lambda b: text.section_kind(b) == "addendum"), facts.addenda))
+    found = regulations(spark, d).select("doc_id", effective_date(F.col("file_name")).alias("file_date"), added.alias("a"))
     last, n = F.element_at("a", -1), F.size("a").cast("string")
     parts = [F.concat(F.lit("파일명시행일:"), "file_date"), F.concat(F.lit("부칙시행일:"), facts.effective(last)), F.concat(F.lit("부칙순번:"), n, F.lit("/"), n, F.lit("(최신)")), F.when(last["retroactive"], "소급적용포함:예")]
     return found.select("doc_id", F.concat_ws(" | ", *parts).alias("prefix"))

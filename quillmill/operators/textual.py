@@ -52,23 +52,79 @@ def truncation(spark, d):
 
 
 def regulations(spark, d: str) -> DataFrame:
-    """Regulations made of the documents: their lines under article heads, with an addendum, under a dated file name."""
+    """Regulations made of the documents: their lines under article heads with dates of revision, one to three addenda with
+    dates of their own, and an attachment, under a dated file name."""
     docs = table(spark, d, "documents").select("doc_id", "source", F.split("text", "\n").alias("lines"))
-    name = F.format_string("%d-0-%d규정(시행2020.%d.1.).hwp", F.col("doc_id") % 5 + 1, F.col("doc_id"), F.col("doc_id") % 14)
-    heads = F.transform("lines", lambda line, i: F.concat(F.lit("제"), (i + 1).cast("string"), F.lit("조(항목)\n"), line, F.lit(" (개정 2018. 3. 5.)")))
-    body = F.concat(F.lit("규정 머리말\n"), F.array_join(heads, "\n"), F.lit("\n부 칙(2019. 1. 2.)\n① 이 규정은 2020년 3월 1일부터 시행한다.\n[별표 1]\n표"))
+    k = F.col("doc_id")
+    name = F.format_string("%d-0-%d규정(시행2020.%d.1.).hwp", k % 5 + 1, k, k % 14)
+    heads = F.transform("lines", lambda line, i: F.concat(F.lit("제"), (i + 1).cast("string"), F.lit("조(항목)\n"), line, F.format_string(" (개정 %d. 3. %d.)", 2000 + (k + i) % 20, i % 28 + 1)))
+    addendum = lambda i: F.concat(
+        F.format_string("부 칙(%d. %d. %d.)\n① 이 규정은 %d년 %d월 %d일부터 시행한다.", 2010 + i, (k + i) % 12 + 1, (k * 7 + i) % 28 + 1, 2011 + i, (k + i) % 12 + 1, (k * 3 + i) % 28 + 1),
+        F.when((k + i) % 4 == 0, " 종전의 것에도 소급하여 적용한다.").otherwise(""), F.lit("\n② 따로 정한다."),
+    )
+    addenda = F.transform(F.sequence(F.lit(1), (k % 3 + 1).cast("int")), addendum)
+    body = F.concat(F.lit("규정 머리말\n"), F.array_join(heads, "\n"), F.lit("\n"), F.array_join(addenda, "\n"), F.lit("\n[별표 1]\n표"))
     return docs.select("doc_id", name.alias("file_name"), body.alias("text"))
 
 
 _REGULATIONS = """(SELECT doc_id, (doc_id % 5 + 1) || '-0-' || doc_id || '규정(시행2020.' || (doc_id % 14) || '.1.).hwp' AS file_name, string_split(text, chr(10)) AS lines FROM documents)"""
+_ADDENDA = """(SELECT doc_id, i, make_date((2010 + i)::INTEGER, ((doc_id + i) % 12 + 1)::INTEGER, ((doc_id * 7 + i) % 28 + 1)::INTEGER)::VARCHAR AS header, make_date((2011 + i)::INTEGER, ((doc_id + i) % 12 + 1)::INTEGER, ((doc_id * 3 + i) % 28 + 1)::INTEGER)::VARCHAR AS enforced,
+  (doc_id + i) % 4 = 0 AS retro, '부 칙(' || (2010 + i) || '. ' || ((doc_id + i) % 12 + 1) || '. ' || ((doc_id * 7 + i) % 28 + 1) || '.)' || chr(10) || '① 이 규정은 ' || (2011 + i) || '년 ' || ((doc_id + i) % 12 + 1) || '월 ' || ((doc_id * 3 + i) % 28 + 1) || '일부터 시행한다.'
+  || CASE WHEN (doc_id + i) % 4 = 0 THEN ' 종전의 것에도 소급하여 적용한다.' ELSE '' END || chr(10) || '② 따로 정한다.' AS block FROM (SELECT doc_id, unnest(range(1, doc_id % 3 + 2)) AS i FROM documents))"""
+_REVISED = "make_date((2000 + (doc_id + i - 1) % 20)::INTEGER, 3, ((i - 1) % 28 + 1)::INTEGER)::VARCHAR"
 
 
-@query("txt6_txt8_txt13_section_split", f"""
-  WITH r AS {_REGULATIONS}, a AS (SELECT doc_id, unnest(range(1, len(lines)::BIGINT + 1)) AS i FROM r)
-  SELECT doc_id, 'article' AS kind, '제' || i || '조' AS article FROM a UNION ALL SELECT doc_id, 'addendum', '부칙' FROM r UNION ALL SELECT doc_id, 'attachment', '[별표 1]' FROM r UNION ALL SELECT doc_id, 'body', NULL FROM r""")
+@query("txt6_txt8_section_split", f"""
+  WITH r AS {_REGULATIONS}, a AS (SELECT doc_id, lines, unnest(range(1, len(lines)::BIGINT + 1)) AS i FROM r)
+  SELECT doc_id, 'article' AS kind, '제' || i || '조' AS article, md5('제' || i || '조(항목)' || chr(10) || lines[i] || ' (개정 ' || (2000 + (doc_id + i - 1) % 20) || '. 3. ' || ((i - 1) % 28 + 1) || '.)' || chr(10)) AS block FROM a
+  UNION ALL SELECT doc_id, 'addendum', '부칙', md5(block || chr(10)) FROM {_ADDENDA} UNION ALL SELECT doc_id, 'attachment', '[별표 1]', md5('[별표 1]' || chr(10) || '표') FROM r UNION ALL SELECT doc_id, 'body', NULL, md5('규정 머리말' || chr(10)) FROM r""")
 def section_split(spark, d):
     blocks = regulations(spark, d).select("doc_id", F.explode(text.sections(F.col("text"))).alias("block"))
-    return blocks.select("doc_id", text.section_kind(F.col("block")).alias("kind"), text.section_article(F.col("block")).alias("article"))
+    return blocks.select("doc_id", text.section_kind(F.col("block")).alias("kind"), text.section_article(F.col("block")).alias("article"), F.md5("block").alias("block"))
+
+
+def document_chunks(docs: DataFrame, tables: DataFrame, limit: int = 1200, overlap: int = 100) -> DataFrame:
+    """(doc_id, chunk_index, section, article, chunk) of regulations (doc_id, file_name, text): a chunk about the document itself,
+    then the body's, then its tables' (doc_id, name, rows), each with a bracketed prefix that says what it is part of. A table
+    that an article refers to names that article in its caption, the first three at most."""
+    number, effective = dates.document_number(F.col("file_name")), dates.effective_date(F.col("file_name"))
+    named = docs.select("doc_id", "file_name", number.alias("number"), effective.alias("effective"), "text")
+    title = F.trim(F.regexp_replace(F.regexp_replace("file_name", r"^[\d-]+", ""), r"\(.*$|\.[A-Za-z]+$", ""))
+    about = F.concat(F.lit("이 문서는 "), title, F.lit("이다."), F.when(F.col("effective").isNotNull(), F.concat(F.lit(" 시행일은 "), "effective", F.lit("이다."))).otherwise(" 시행일은 파일명에 없다."))
+    none = F.lit(None).cast("string")
+    first = named.select("doc_id", "number", "effective", F.lit(0).alias("part"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit("meta").alias("section"), F.lit("문서메타").alias("article"), about.alias("piece"))
+    blocks = named.select("doc_id", "number", "effective", F.posexplode(text.sections(F.col("text"))).alias("i", "block"))
+    blocks = blocks.select("*", text.section_kind(F.col("block")).alias("section"), text.section_article(F.col("block")).alias("article"))
+    body = blocks.select("doc_id", "number", "effective", F.lit(1).alias("part"), "i", F.posexplode(text.clauses(F.col("block"), limit, overlap)).alias("j", "piece"), "section", "article").select(first.columns)
+    refers = blocks.filter("section = 'article'").select("doc_id", "i", "article", F.explode(F.array_distinct(F.regexp_extract_all("block", F.lit(r"별표\s*(\d+)"), F.lit(1)))).alias("attachment"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "attachment").orderBy("i"))
+    captions = refers.withColumn("place", place).filter("place <= 3").groupBy("doc_id", "attachment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "article"))), lambda x: x["article"]), ", ").alias("articles"))
+    each = tables.withColumn("attachment", F.regexp_extract("name", r"(\d+)", 1)).join(captions, ["doc_id", "attachment"], "left").join(named.select("doc_id", "number", "effective"), "doc_id")
+    shown = F.concat(F.when(F.col("articles").isNotNull(), F.concat(F.lit("[관련 조항: "), "articles", F.lit("]\n"))).otherwise(""), text.table_text(F.col("name"), F.lit("attachment"), F.col("rows"), F.lit(None).cast("int")))
+    last = each.select("doc_id", "number", "effective", F.lit(2).alias("part"), F.col("attachment").cast("int").alias("i"), F.lit(0).alias("j"), F.lit("table").alias("section"), F.col("name").alias("article"), shown.alias("piece"))
+    whole = first.unionByName(body).unionByName(last)
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "i", "j")) - 1
+    prefix = text.chunk_prefix(F.col("number"), F.col("effective"), F.col("article"), F.col("section"), F.col("piece"))
+    return whole.select("doc_id", index.alias("chunk_index"), "section", F.coalesce("article", none).alias("article"), F.concat(prefix, F.lit("\n"), "piece").alias("chunk"))
+
+
+@query("txt9_txt13_txt14_document_chunks", f"""
+  WITH x AS (SELECT doc_id, ['widget', 'bolt', 'gear'][1 + doc_id % 3] AS word, CASE WHEN doc_id % 14 BETWEEN 1 AND 12 THEN '2020-' || lpad((doc_id % 14)::VARCHAR, 2, '0') || '-01' END AS eff, (doc_id % 5 + 1) || '-0-' || doc_id AS num, doc_id % 4 AS r FROM documents),
+  p AS (SELECT *, '[문서:' || num || coalesce(' | 파일명시행일:' || eff, '') AS pre FROM x),
+  u AS (SELECT doc_id, 0 AS o, 'meta' AS section, '문서메타' AS article, pre || ' | 조항:문서메타 | 유형:meta' || CASE WHEN eff IS NULL THEN '' ELSE ' | 본문날짜:' || eff END || ']' || chr(10) || '이 문서는 ' || word || '규정이다. 시행일은 ' || coalesce(eff || '이다.', '파일명에 없다.') AS chunk FROM p
+    UNION ALL SELECT doc_id, i, 'article', '제' || i || '조', pre || ' | 조항:제' || i || '조 | 유형:article]' || chr(10) || '제' || i || '조(' || word || ')' || chr(10) || CASE WHEN i <= r THEN '별표 1에 따른다.' || CASE WHEN i = 5 THEN '' ELSE chr(10) END ELSE word || i || CASE WHEN i = 5 THEN '' ELSE chr(10) END END FROM (SELECT *, unnest(range(1, 6)) AS i FROM p)
+    UNION ALL SELECT doc_id, 9, 'table', '별표 1', pre || ' | 조항:별표 1 | 유형:table]' || chr(10) || CASE WHEN r > 0 THEN '[관련 조항: ' || array_to_string(list_transform(range(1, least(r, 3) + 1), lambda i: '제' || i || '조'), ', ') || ']' || chr(10) ELSE '' END
+      || '[표 별표 1] 출처:attachment' || chr(10) || '| 직종 | 정원 |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || word || ' | ' || doc_id || ' |' || chr(10) || '[셀요약]' || chr(10) || '직종=' || word || '; 정원=' || doc_id FROM p)
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1)::INTEGER AS chunk_index, section, article, md5(chunk) AS chunk FROM u""")
+def whole_chunks(spark, d):
+    """Five articles a document, some of which refer to its table."""
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 4).alias("r"), F.element_at(F.array(*[F.lit(w) for w in ("widget", "bolt", "gear")]), (F.col("doc_id") % 3 + 1).cast("int")).alias("word"))
+    name = F.concat((F.col("doc_id") % 5 + 1).cast("string"), F.lit("-0-"), F.col("doc_id").cast("string"), "word", F.lit("규정(시행2020."), (F.col("doc_id") % 14).cast("string"), F.lit(".1.).hwp"))
+    articles = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.concat(F.lit("제"), i.cast("string"), F.lit("조("), F.col("word"), F.lit(")\n"), F.when(i <= F.col("r"), "별표 1에 따른다.").otherwise(F.concat(F.col("word"), i.cast("string")))))
+    rows = F.array(F.array(F.lit("직종"), F.lit("정원")), F.array(F.col("word"), F.col("doc_id").cast("string")))
+    tables = docs.select("doc_id", F.lit("별표 1").alias("name"), rows.alias("rows"))
+    chunks = document_chunks(docs.select("doc_id", name.alias("file_name"), F.array_join(articles, "\n").alias("text")), tables)
+    return chunks.withColumn("chunk", F.md5("chunk"))
 
 
 @query("txt7_txt10_sup11_sup14_regulation_chunks")
@@ -95,21 +151,51 @@ def text_dates(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(dates.dates_in(F.col("text"))).alias("n_dates"))
 
 
-@query("dat4_dat6_date_facts", f"SELECT doc_id, '2020-03-01' AS enforced, '2018-03-05' AS revised FROM {_REGULATIONS}")
+@query("dat4_dat6_date_facts", f"""
+  SELECT r.doc_id, a.enforced, a.n::INTEGER AS addenda, r.revised FROM (SELECT doc_id, max({_REVISED}) AS revised FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10)))::BIGINT + 1)) AS i FROM documents) GROUP BY 1) r
+  JOIN (SELECT doc_id, arg_max(enforced, i) AS enforced, count(*) AS n FROM {_ADDENDA} GROUP BY 1) a USING (doc_id)""")
 def date_facts(spark, d):
-    """The date that enforces a regulation's addendum, and its articles' last revision."""
-    blocks = text.sections(F.col("text"))
-    addendum = F.get(F.filter(blocks, lambda b: text.section_kind(b) == "addendum"), F.lit(0))
-    marks = F.flatten(F.transform(F.filter(blocks, lambda b: text.section_kind(b) == "article"), facts.revisions))
-    return regulations(spark, d).select("doc_id", dates.enforced_date(addendum).alias("enforced"), F.array_max(marks).alias("revised"))
+    """The last addendum's date of enforcement, how many addenda there are, and the articles' last revision."""
+    marks = F.flatten(F.transform(F.filter("blocks", lambda b: text.section_kind(b) == "article"), facts.revisions))
+    found = F.flatten(F.transform(F.filter("blocks", lambda b: text.section_kind(b) == "addendum"), facts.addenda))
+    docs = regulations(spark, d).select("doc_id", text.sections(F.col("text")).alias("blocks"))
+    return docs.select("doc_id", found.alias("a"), F.array_max(marks).alias("revised")).select("doc_id", facts.effective(F.element_at("a", -1)).alias("enforced"), F.size("a").alias("addenda"), "revised")
 
 
-@query("dat8_scr8_date_kinds", """
-  SELECT kind, count(*)::BIGINT AS n FROM (SELECT CASE o_orderkey % 6 WHEN 0 THEN 'article_revision' WHEN 1 THEN 'first_enacted' WHEN 2 THEN 'filename_effective' WHEN 3 THEN 'historical_addendum' WHEN 4 THEN 'latest_addendum' ELSE 'unknown' END AS kind FROM orders) GROUP BY 1""")
+def pick(values: list[str], at) -> object:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (at % len(values) + 1).cast("int"))
+
+
+def sql_pick(values: list[str], at: str) -> str:
+    listed = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"[{listed}][1 + ({at}) % {len(values)}]"
+
+
+def sql_any(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+# Questions put together from parts: what is asked about, which words say it, and numbers of the row.
+SUBJECTS = ["장학 규정", "제{n}조", "학칙 2-0-{n}", "별표 {n}", "기숙사", "복전", "2024-03-0{n} 공고", "교생", "정원", "제 {n} 조의 2", "부칙", "12-3-{n}0과 제{n}조"]
+VERBS = ["개정된 날짜", "최초 시행일", "현행 시행일", "부칙 중 201{n}학년도 시행일", "개정규정의 시행일", "마지막 부칙", "나가려면", "변경 금액은 얼마", "신설은 언제", "벌금과 할인", "몇 명인지", "시행된 날", "들어가려면", "내용"]
+
+
+def asked(k) -> object:
+    """A question for each number: all combinations of subjects and verbs come up."""
+    said = F.concat_ws(" ", pick(SUBJECTS, k), pick(VERBS, F.floor(k / len(SUBJECTS))))
+    return F.replace(said, F.lit("{n}"), (k % 9 + 1).cast("string"))
+
+
+_ASKED = f"replace({sql_pick(SUBJECTS, 'o_orderkey')} || ' ' || {sql_pick(VERBS, f'o_orderkey // {len(SUBJECTS)}')}, '{{n}}', (o_orderkey % 9 + 1)::VARCHAR)"
+
+
+@query("dat8_date_kinds", f"""
+  WITH q AS (SELECT o_orderkey, {_ASKED} AS said, replace(said, ' ', '') AS bare FROM orders)
+  SELECT o_orderkey, CASE WHEN regexp_matches(said, '제[0-9]+조') AND {sql_any('bare', dates.REVISED)} THEN 'article_revision' WHEN {sql_any('bare', dates.FIRST)} THEN 'first_enacted' WHEN {sql_any('bare', dates.FILE_NAME)} THEN 'filename_effective'
+    WHEN {sql_any('bare', dates.ADDENDUM)} THEN CASE WHEN regexp_matches(said, '(19|20)[0-9][0-9] *(학년도|년도|년)') THEN 'historical_addendum' ELSE 'latest_addendum' END WHEN {sql_any('bare', dates.LATEST)} THEN 'latest_addendum'
+    WHEN {sql_any('bare', ['시행일', '시행된'])} THEN 'filename_effective' ELSE 'unknown' END AS kind FROM q""")
 def date_kinds(spark, d):
-    asked = ["제3조가 개정된 날짜는?", "최초로 시행된 날은?", "현행 시행일은?", "부칙 중 2017학년도 시행일은?", "최근 부칙 시행일은?", "장학금은 얼마인가?"]
-    question = F.element_at(F.array(*[F.lit(q) for q in asked]), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    return table(spark, d, "orders").select(dates.date_question_kind(question).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    return table(spark, d, "orders").select("o_orderkey", dates.date_question_kind(asked(F.col("o_orderkey"))).alias("kind"))
 
 
 @query("dat11_local_times", "SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS seoul FROM events")
@@ -212,20 +298,26 @@ def language(spark, d):
     return table(spark, d, "documents").select("doc_id", language_by_script(F.col("text")).alias("language"))
 
 
-@query("lex8_synonyms", """
-  SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '생활관 퇴사' WHEN 1 THEN '복수전공' WHEN 2 THEN '' ELSE '학교현장실습 교육실습' END AS terms FROM orders""")
+_EXPANDED = ", ".join(
+    [f"CASE WHEN {sql_any('said', t)} THEN [{', '.join(repr(x) for x in terms)}] ELSE [] END" for t, terms in lexical.SYNONYMS]
+    + [f"CASE WHEN {sql_any('said', c)} AND {sql_any('said', a)} THEN [{', '.join(repr(x) for x in terms)}] ELSE [] END" for c, a, terms in lexical.CONTEXT_SYNONYMS]
+)
+
+
+@query("lex8_synonyms", f"""
+  WITH q AS (SELECT o_orderkey, {_ASKED} AS said FROM orders)
+  SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_filter(flatten([{_EXPANDED}]), lambda t: NOT contains(said, t)))), ' ') AS terms FROM q""")
 def synonyms(spark, d):
-    asked = ["기숙사 중간에 나가려면요?", "복전 몇학점 들어야됨?", "졸업학점이 몇 학점이야?", "교생 몇주 나가요?"]
-    question = F.element_at(F.array(*[F.lit(q) for q in asked]), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", F.array_join(lexical.expansion_terms(question), " ").alias("terms"))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(F.array_sort(lexical.expansion_terms(asked(F.col("o_orderkey")))), " ").alias("terms"))
 
 
-@query("hyb1_query_signals", """
-  SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '3-1-10' ELSE '' END AS documents, CASE o_orderkey % 3 WHEN 1 THEN '제15조의2' ELSE '' END AS articles FROM orders""")
+@query("hyb1_query_signals", rf"""
+  WITH q AS (SELECT o_orderkey, {_ASKED} AS said FROM orders)
+  SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(said, '[0-9-]+'), lambda x: regexp_full_match(x, '[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{1,3}}')))), ',') AS documents,
+    array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(said, '제 *[0-9]+ *조( *의 *[0-9]+)?'), lambda x: replace(x, ' ', '')))), ',') AS articles FROM q""")
 def query_signals(spark, d):
-    asked = ["3-1-10 규정과 2024-03-01 시행일", "제 15 조의 2 내용", "휴학은 언제"]
-    question = F.element_at(F.array(*[F.lit(q) for q in asked]), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", F.array_join(lexical.document_ids(question), ",").alias("documents"), F.array_join(lexical.articles(question), ",").alias("articles"))
+    said = asked(F.col("o_orderkey"))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(F.array_sort(lexical.document_ids(said)), ",").alias("documents"), F.array_join(F.array_sort(lexical.articles(said)), ",").alias("articles"))
 
 
 @query("win8_win9_renumber_and_overlap", """

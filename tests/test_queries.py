@@ -64,7 +64,8 @@ def test_components(spark):
 def test_entity_merge_keeps_the_longest_first_description(spark):
     mentions = spark.createDataFrame([(" Big  U", "org", "short", 1, 0, 1), ("big u", "uni", "longer text", 2, 3, 2), ("BIG U", "x", "other tex11", 1, 0, 3)], "name string, kind string, description string, doc long, chunk long, seq long")
     r = graph.merge_entities(mentions).first()
-    assert (r["key"], r["kind"], r["description"], r["docs"], r["mentions"]) == ("big u", "org", "longer text", [1, 2], 3) and len(r["places"]) == 2
+    assert (r["key"], r["kind"], r["description"], r["docs"], r["places"], r["mentions"]) == ("big u", "org", "longer text", 2, 2, 3)
+    assert sorted((x["key"], x["doc"], x["chunk"]) for x in graph.entity_places(mentions).collect()) == [("big u", 1, 0), ("big u", 2, 3)]
 
 
 def test_replacing_leaves_no_ghosts(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.answers import correct
+from quillmill.functions.lexical import tokens
 from quillmill.functions.statistics import kappa, mcnemar, wilson
 from quillmill.operators.textual import _ASKED, asked
 from quillmill.registry import query
@@ -113,7 +114,7 @@ def failure_pivot(spark, d):
 _ARMS = "SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN NULL ELSE l_linenumber % 3 = 1 END AS r, l_quantity <> 13 AS oc, CASE WHEN l_tax > 0.06 THEN NULL ELSE l_tax > 0.03 END AS n, CASE WHEN l_discount > 0.08 THEN NULL ELSE l_discount > 0.04 END AS e FROM lineitem"
 
 
-@query("scr7_agg28_agg35_failure_classes", f"""
+@query("scr7_failure_classes", f"""
   SELECT CASE WHEN oc IS FALSE THEN 'gold_defect' WHEN e THEN CASE WHEN r IS FALSE THEN 'lucky_pass' ELSE 'ok' END WHEN r IS FALSE THEN 'retrieval_miss' WHEN e IS NULL THEN 'not_evaluated' WHEN n IS FALSE THEN 'selection_miss'
     WHEN n THEN 'ranking_miss' ELSE 'generation_miss' END AS class, count(*)::BIGINT AS n FROM ({_ARMS}) GROUP BY 1""")
 def failure_classes(spark, d):
@@ -156,3 +157,102 @@ def answer_scores(spark, d):
     choose = lambda i: F.element_at(F.array(*[c[i] for c in cases.values()]), (k % 6 + 1).cast("int"))
     rows = table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*[F.lit(m) for m in cases]), (k % 6 + 1).cast("int")).alias("mode"), choose(0).alias("gold"), choose(1).alias("answer"))
     return rows.select("o_orderkey", "mode", correct("mode", "gold", F.array().cast("array<string>"), "answer").alias("correct"))
+
+
+@query("agg28_loss_decomposition", f"""
+  WITH a AS (SELECT l_returnflag = 'A' AS control, r, oc, n, e FROM ({_ARMS.replace("SELECT l_orderkey,", "SELECT l_returnflag,")})), s AS (SELECT avg(r::INTEGER) AS r, avg(oc::INTEGER) AS oc, avg(n::INTEGER) AS n, avg(e::INTEGER) AS e, count(*) FILTER (e AND NOT r) AS lucky, count(*) AS total FROM a WHERE NOT control)
+  SELECT total::BIGINT AS total, round(oc, 6) AS reading_ceiling, round(r, 6) AS retrieved, round(oc - n, 6) AS lost_to_noise, round(n - e, 6) AS lost_to_ranking, round(r - e, 6) AS lost_after_retrieval, lucky::BIGINT AS lucky FROM s""")
+def loss_decomposition(spark, d):
+    """Rates of the stages, each over the rows in which it ran, what is lost between them, and answers that are right without
+    having been retrieved. Control questions don't count."""
+    lines = table(spark, d, "lineitem").filter("l_returnflag <> 'A'")
+    retrieved, oracle = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_linenumber") % 3 == 1), F.col("l_quantity") != 13
+    noisy, answered = F.when(~(F.col("l_tax") > 0.06), F.col("l_tax") > 0.03), F.when(~(F.col("l_discount") > 0.08), F.col("l_discount") > 0.04)
+    rates = lines.agg(*[F.avg(c.cast("int")).alias(name) for name, c in (("r", retrieved), ("oc", oracle), ("n", noisy), ("e", answered))], F.count_if(answered & ~retrieved).alias("lucky"), F.count("*").alias("total"))
+    rounded = lambda c, name: F.round(c, 6).alias(name)
+    r, oc, n, e = (F.col(c) for c in ("r", "oc", "n", "e"))
+    return rates.select("total", rounded(oc, "reading_ceiling"), rounded(r, "retrieved"), rounded(oc - n, "lost_to_noise"), rounded(n - e, "lost_to_ranking"), rounded(r - e, "lost_after_retrieval"), "lucky")
+
+
+@query("agg35_gold_revalidation", """
+  SELECT CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN i.item_id % 7 = 0 THEN 'abstain' WHEN contains(lower(d.text), word) THEN 'body' WHEN contains(lower(h.html), word) THEN 'tables' WHEN i.item_id % 2 = 0 THEN 'needs_tables' ELSE 'missing' END AS status, count(*)::BIGINT AS n
+  FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS word FROM benchmark) i LEFT JOIN documents d ON d.doc_id = i.item_id * 3 AND i.item_id % 5 <> 0 LEFT JOIN pages h ON h.page_id = i.item_id WHERE word <> '' GROUP BY 1""")
+def gold_revalidation(spark, d):
+    """Where each gold fact stands now: in its document's body, in its tables, nowhere yet, or without a document at all."""
+    facts = table(spark, d, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), " ")).alias("word")).filter("word <> ''")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("at"), F.lower("text").alias("body"))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("item_id"), F.lower("html").alias("tables"))
+    joined = facts.join(docs, (F.col("at") == F.col("item_id") * 3) & (F.col("item_id") % 5 != 0), "left").join(pages, "item_id", "left")
+    status = (
+        F.when(F.col("at").isNull(), "missing").when(F.col("item_id") % 7 == 0, "abstain").when(F.contains("body", "word"), "body")
+        .when(F.coalesce(F.contains("tables", "word"), F.lit(False)), "tables").when(F.col("item_id") % 2 == 0, "needs_tables").otherwise("missing")
+    )
+    return joined.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+#: Fixed value: how a table's values are said to be missing.
+NO_VALUE = "참조 문서의 표 셀 값이 비어 있어 알 수 없습니다."
+CELLS = "[셀요약]"
+
+
+def table_lane_answers(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, answer) from hits (query_id, rank, section, text): the cell line that shares most words with the question, the
+    first of equals; questions (query_id, question, normalize) that are to be abstained from get NO_VALUE where a table is empty
+    or no line matches; without any line the first table's text, else the first hit's."""
+    asked = questions.select("query_id", "normalize", F.array_distinct(tokens(F.col("question"))).alias("asked"))
+    lines = hits.filter(F.contains("text", F.lit(CELLS))).select("query_id", "rank", F.posexplode(F.split(F.regexp_replace("text", r"(?s)^.*?\[셀요약\]", ""), "\n")).alias("at", "line"))
+    scored = lines.join(asked, "query_id").withColumn("shared", F.size(F.array_intersect(F.array_distinct(tokens(F.col("line"))), F.col("asked")))).filter("shared > 0")
+    best = scored.groupBy("query_id").agg(F.max_by(F.trim("line"), F.struct("shared", -F.col("rank"), -F.col("at"))).alias("best"))
+    about = hits.groupBy("query_id").agg(
+        F.bool_or(F.contains("text", F.lit("수치 셀이 비어"))).alias("empty"), F.min_by(F.when(F.col("section") == "table", F.substring("text", 1, 400)), F.struct(F.col("section") != "table", "rank")).alias("table"),
+        F.min_by(F.substring("text", 1, 400), "rank").alias("first"),
+    )
+    rows = asked.join(best, "query_id", "left").join(about, "query_id", "left")
+    abstains = (F.col("normalize") == "unknown") & (F.coalesce("empty", F.lit(False)) | F.col("best").isNull())
+    return rows.select("query_id", F.when(abstains, NO_VALUE).otherwise(F.coalesce("best", "table", "first", F.lit(""))).alias("answer"))
+
+
+@query("scr9_table_lane_answer", f"""
+  WITH p AS (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN 'unknown' ELSE 'number' END AS normalize, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[\\p{{L}}\\p{{N}}]+')) AS asked FROM part),
+  h AS (SELECT p_partkey, 1 AS rank, 'body' AS section, 'about ' || p_brand AS text FROM part UNION ALL SELECT p_partkey, 2, 'table', CASE p_partkey % 4 WHEN 0 THEN '수치 셀이 비어 있다 ' || p_brand ELSE 'T' || chr(10) || '{CELLS}' || chr(10) || p_brand || '=' || p_size || chr(10) || p_type || '=' || p_retailprice END FROM part WHERE p_partkey % 3 <> 0
+    UNION ALL SELECT p_partkey, 3, 'table', '{CELLS}' || chr(10) || p_name || '=' || p_size || chr(10) || split_part(p_name, ' ', 1) || '; 정원=' || p_type FROM part WHERE p_partkey % 7 <> 0),
+  l AS (SELECT p_partkey, rank, unnest(string_split(regexp_replace(text, '(?s)^.*?\\[셀요약\\]', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '(?s)^.*?\\[셀요약\\]', ''), chr(10)), 1) AS pos FROM h WHERE contains(text, '{CELLS}')),
+  b AS (SELECT p_partkey, trim(line) AS best, row_number() OVER (PARTITION BY p_partkey ORDER BY len(list_intersect(list_distinct(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+')), asked)) DESC, rank, pos) AS rn FROM l JOIN p USING (p_partkey) WHERE len(list_intersect(list_distinct(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+')), asked)) > 0),
+  a AS (SELECT p_partkey, bool_or(contains(text, '수치 셀이 비어')) AS empty, arg_min(text, rank) FILTER (section = 'table') AS first_table, arg_min(text, rank) AS first FROM h GROUP BY 1)
+  SELECT p_partkey AS query_id, CASE WHEN normalize = 'unknown' AND (empty OR best IS NULL) THEN '{NO_VALUE}' ELSE coalesce(best, first_table, first) END AS answer FROM p JOIN a USING (p_partkey) LEFT JOIN b ON b.p_partkey = p.p_partkey AND rn = 1""")
+def table_lane(spark, d):
+    part = table(spark, d, "part")
+    k, text = F.col("p_partkey"), lambda *c: F.concat(*c)
+    questions = part.select(k.alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("question"), F.when(k % 5 == 0, "unknown").otherwise("number").alias("normalize"))
+    eq = lambda a, b: text(F.col(a), F.lit("="), F.col(b).cast("string"))
+    second = F.when(k % 4 == 0, text(F.lit("수치 셀이 비어 있다 "), F.col("p_brand"))).otherwise(F.concat_ws("\n", F.lit("T"), F.lit(CELLS), eq("p_brand", "p_size"), eq("p_type", "p_retailprice")))
+    third = F.concat_ws("\n", F.lit(CELLS), eq("p_name", "p_size"), text(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("; 정원="), F.col("p_type")))
+    hit = lambda rows, rank, section, body: rows.select(k.alias("query_id"), F.lit(rank).alias("rank"), F.lit(section).alias("section"), body.alias("text"))
+    hits = hit(part, 1, "body", text(F.lit("about "), F.col("p_brand"))).unionByName(hit(part.filter("p_partkey % 3 <> 0"), 2, "table", second)).unionByName(hit(part.filter("p_partkey % 7 <> 0"), 3, "table", third))
+    return table_lane_answers(questions, hits)
+
+
+def attachment_pages(questions: DataFrame, pages: DataFrame, limit: int = 3) -> DataFrame:
+    """(query_id, page): of each question's document the pages that most of the attachments named in it are on, most first,
+    then in order; the first pages where none is. questions: (query_id, doc, question), pages: (doc, page, text)."""
+    asked = questions.select("query_id", "doc", F.array_distinct(F.transform(F.regexp_extract_all("question", F.lit(r"별표\s*(\d+(?:-\d+)?)"), F.lit(1)), lambda x: F.concat(F.lit("별표"), x))).alias("refs"))
+    both = asked.join(pages.select("doc", "page", F.replace("text", F.lit(" "), F.lit("")).alias("squashed")), "doc")
+    scored = both.withColumn("score", F.size(F.filter("refs", lambda r: F.contains(F.col("squashed"), r))))
+    any_hit = F.max("score").over(Window.partitionBy("query_id")) > 0
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "page"))
+    return scored.withColumn("any", any_hit).withColumn("place", place).filter((F.col("place") <= limit) & (~F.col("any") | (F.col("score") > 0))).select("query_id", "page")
+
+
+@query("top10_page_selection", """
+  WITH p AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, '별표' || (o_orderkey % 7) || ' 및 별표' || (o_orderkey % 3 + 7) AS squashed FROM orders),
+  q AS (SELECT c_custkey AS query_id, c_custkey AS doc, list_distinct(['별표' || (c_custkey % 7), '별표' || (c_custkey % 4 + 6)]) AS refs FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, c_custkey, [] FROM customer WHERE c_custkey % 5 = 0),
+  s AS (SELECT query_id, page, len(list_filter(refs, lambda r: contains(replace(squashed, ' ', ''), r))) AS score FROM q JOIN p USING (doc)),
+  r AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page) AS place FROM s)
+  SELECT query_id, page::INTEGER AS page FROM r WHERE place <= 3 AND (best = 0 OR score > 0)""")
+def page_selection(spark, d):
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    text = lambda a, b: F.concat(F.lit("별표 "), a.cast("string"), F.lit(" 및 별표"), b.cast("string"))
+    pages = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), number.alias("page"), text(k % 7, k % 3 + 7).alias("text"))
+    question = F.when(c % 5 == 0, "휴학은 언제").otherwise(text(c % 7, c % 4 + 6))
+    return attachment_pages(table(spark, d, "customer").select(c.alias("query_id"), c.alias("doc"), question.alias("question")), pages)

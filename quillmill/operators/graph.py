@@ -120,7 +120,7 @@ def component_sizes(spark, d):
     return components(edges).groupBy("component").agg(F.count("*").alias("members"))
 
 
-@query("gra2_gra3_entity_search", """
+@query("gra2_entity_search", """
   WITH m AS (SELECT p_brand AS name, min(p_name) AS description, count(*) AS mentions FROM part GROUP BY 1)
   SELECT name, mentions::BIGINT AS mentions FROM m WHERE contains(lower(name), '#1') OR contains(lower(description), 'steel') ORDER BY mentions DESC, name LIMIT 10""")
 def entity_search(spark, d):
@@ -128,6 +128,68 @@ def entity_search(spark, d):
     return search_entities(entities, ["#1", "STEEL"], 10).select("name", "mentions")
 
 
+def graph_search(entities: DataFrame, edges: DataFrame, communities: DataFrame, named: list[str], said: str, limit: int) -> DataFrame:
+    """(kind, id): entities whose name contains one of the named ones, or, where none is named, whose name or description contains
+    a word of over two characters of what was said, most mentioned first; then edges at them, twice as many at most, and their
+    communities. entities: (key, name, description, mentions, community), edges: (source, target, weight)."""
+    words = [w.lower() for w in said.split() if len(w) > 2]
+    name, description = F.lower("name"), F.lower("description")
+    hit = has_any(name, [n.lower() for n in named]) if named else (has_any(name, words) | has_any(description, words) if words else F.lit(False))
+    best = entities.filter(hit).orderBy(F.desc("mentions"), "key").limit(limit)
+    touching = neighbourhood(edges, best.select(F.col("key").alias("node"))).orderBy(F.desc("weight"), "source", "target").limit(2 * limit)
+    around = communities.join(best.select("community").distinct(), "community", "left_semi")
+    of = lambda f, kind, c: f.select(F.lit(kind).alias("kind"), c.alias("id"))
+    return of(best, "entity", F.col("key")).unionByName(of(touching, "edge", F.concat_ws(">", "source", "target"))).unionByName(of(around, "community", F.col("community").cast("string")))
+
+
+def _world(spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts as entities with the size as their community, edges between parts of one order's neighbouring lines."""
+    lines, part = table(spark, d, "lineitem"), table(spark, d, "part")
+    mentions = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("mentions"))
+    key = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    entities = part.join(mentions, "p_partkey").select(key(F.col("p_partkey")).alias("key"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.col("p_brand").alias("kind"), "mentions", F.col("p_size").alias("community"))
+    a = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a"))
+    b = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b"))
+    edges = a.join(b, ["l_orderkey", "l_linenumber"]).filter("a <> b").groupBy(key(F.col("a")).alias("source"), key(F.col("b")).alias("target")).agg(F.count("*").alias("weight"))
+    return entities, edges, entities.groupBy("community").agg(F.count("*").alias("members"))
+
+
+_WORLD = """e AS (SELECT 'p' || p_partkey AS key, p_name AS name, p_type AS description, p_brand AS kind, n AS mentions, p_size AS community FROM part JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey),
+  g AS (SELECT 'p' || a.l_partkey AS source, 'p' || b.l_partkey AS target, count(*) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2)"""
+
+
+@query("gra3_graph_search", f"""
+  WITH {_WORLD}, n AS (SELECT *, 'named' AS way FROM e WHERE contains(lower(name), 'bolt') ORDER BY mentions DESC, key LIMIT 10), w AS (SELECT *, 'words' AS way FROM e WHERE contains(lower(name), 'cold') OR contains(lower(name), 'promo') OR contains(lower(description), 'cold') OR contains(lower(description), 'promo') ORDER BY mentions DESC, key LIMIT 10),
+  b AS (FROM n UNION ALL FROM w), t AS (SELECT w AS way, source, target, row_number() OVER (PARTITION BY w ORDER BY weight DESC, source, target) AS rn FROM g, (SELECT DISTINCT way AS w FROM b) WHERE EXISTS (SELECT 1 FROM b x WHERE x.way = w AND (x.key = source OR x.key = target)))
+  SELECT way, 'entity' AS kind, key AS id FROM b UNION ALL SELECT way, 'edge', source || '>' || target FROM t WHERE rn <= 20 UNION ALL SELECT DISTINCT way, 'community', community::VARCHAR FROM b""")
+def graph_search_query(spark, d):
+    """Searches by a named entity, and by the words of an utterance that names none."""
+    world = _world(spark, d)
+    named = graph_search(*world, ["Bolt"], "", 10).withColumn("way", F.lit("named"))
+    return named.unionByName(graph_search(*world, [], "a Cold promo", 10).withColumn("way", F.lit("words"))).select("way", "kind", "id")
+
+
+def graph_view(entities: DataFrame, edges: DataFrame, least: int, kinds: list[str], limit: int | None = None) -> DataFrame:
+    """(kind, id, n) to draw: nodes of some kinds with enough mentions, edges among them, their communities by size, and totals."""
+    nodes = entities.filter((F.col("mentions") >= least) & F.col("kind").isin(kinds)).orderBy(F.desc("mentions"), "key")
+    nodes = nodes.limit(limit) if limit else nodes
+    inner = induced(edges, nodes.select(F.col("key").alias("node")))
+    sizes = entities.groupBy("community").agg(F.count("*").alias("n")).join(nodes.select("community").distinct(), "community", "left_semi")
+    of = lambda f, kind, c, n: f.select(F.lit(kind).alias("kind"), c.alias("id"), n.cast("bigint").alias("n"))
+    shown = of(nodes, "node", F.col("key"), F.col("mentions")).unionByName(of(inner, "edge", F.concat_ws(">", "source", "target"), F.col("weight"))).unionByName(of(sizes, "community", F.col("community").cast("string"), F.col("n")))
+    return shown.unionByName(of(shown.groupBy("kind").agg(F.count("*").alias("c")), "total", F.col("kind"), F.col("c")))
+
+
+@query("gra4_graph_view", f"""
+  WITH {_WORLD}, n AS (SELECT * FROM e WHERE mentions >= 20 AND kind IN ('Brand#13', 'Brand#5', 'Brand#19') ORDER BY mentions DESC, key LIMIT 200),
+  s AS (SELECT 'node' AS kind, key AS id, mentions::BIGINT AS n FROM n UNION ALL SELECT 'edge', source || '>' || target, weight FROM g WHERE source IN (SELECT key FROM n) AND target IN (SELECT key FROM n)
+    UNION ALL SELECT 'community', community::VARCHAR, count(*) FROM e WHERE community IN (SELECT community FROM n) GROUP BY community)
+  FROM s UNION ALL SELECT 'total', kind, count(*) FROM s GROUP BY kind""")
+def graph_view_query(spark, d):
+    entities, edges, _ = _world(spark, d)
+    return graph_view(entities, edges, 20, ["Brand#13", "Brand#5", "Brand#19"], 200)
+
+
 @query("joi10_neighbourhood", """
   SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem WHERE l_suppkey % 20 = 0 OR l_partkey % 20 = 0""")
 def neighbours(spark, d):
@@ -153,11 +215,28 @@ def neighbour_lists(spark, d):
     return table(spark, d, "supplier").join(near, "s_suppkey", "left").select("s_suppkey", F.coalesce("neighbours", F.lit(0)).cast("bigint").alias("neighbours"))
 
 
+def upsert_facilities(entities: DataFrame, facilities: DataFrame) -> DataFrame:
+    """(id, name, name_lower, description, mentions): facilities (facility_id, name, kind, address, phone) under fixed ids put into
+    the entities; what is there already keeps its number of mentions, new ones have one."""
+    some = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    new = facilities.select(F.concat(F.lit("facility:"), F.col("facility_id").cast("string")).alias("id"), "name", F.lower("name").alias("name_lower"), F.concat_ws(" · ", *[some(F.col(c)) for c in ("kind", "address", "phone")]).alias("description"))
+    kept = new.join(entities.select("id", "mentions"), "id", "left").withColumn("mentions", F.coalesce("mentions", F.lit(1)).cast("bigint"))
+    return entities.join(new, "id", "left_anti").select(kept.columns).unionByName(kept)
+
+
 @query("gra5_facility_upsert", """
-  SELECT s_suppkey, concat_ws(' · ', s_name, nullif(CASE WHEN s_nationkey > 10 THEN n_name ELSE '' END, '')) AS description FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+  WITH old AS (SELECT 'facility:' || s_suppkey AS id, s_name AS name, 'old' AS description, s_suppkey % 9 AS mentions FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'n' || n_nationkey, n_name, 'nation', 5 FROM nation),
+  new AS (SELECT 'facility:' || s_suppkey AS id, s_name || '!' AS name, concat_ws(' · ', n_name, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'Str ' || s_suppkey END, CASE WHEN s_acctbal > 0 THEN s_acctbal::VARCHAR END) AS description FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 0)
+  SELECT id, name, lower(name) AS name_lower, description, mentions::BIGINT AS mentions FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT n.id, n.name, lower(n.name), n.description, coalesce(o.mentions, 1) FROM new n LEFT JOIN old o USING (id)""")
 def facilities(spark, d):
-    joined = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return joined.select("s_suppkey", F.concat_ws(" · ", "s_name", F.nullif(F.when(F.col("s_nationkey") > 10, F.col("n_name")).otherwise(""), F.lit(""))).alias("description"))
+    suppliers, nations = table(spark, d, "supplier"), table(spark, d, "nation")
+    key = F.concat(F.lit("facility:"), F.col("s_suppkey").cast("string"))
+    old = suppliers.filter("s_suppkey % 3 = 0").select(key.alias("id"), F.col("s_name").alias("name"), F.lower("s_name").alias("name_lower"), F.lit("old").alias("description"), (F.col("s_suppkey") % 9).alias("mentions"))
+    old = old.unionByName(nations.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.lower("n_name").alias("name_lower"), F.lit("nation").alias("description"), F.lit(5).cast("bigint").alias("mentions")))
+    joined = suppliers.filter("s_suppkey % 2 = 0").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    street = F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(F.concat(F.lit("Str "), F.col("s_suppkey").cast("string")))
+    new = joined.select(F.col("s_suppkey").alias("facility_id"), F.concat("s_name", F.lit("!")).alias("name"), F.col("n_name").alias("kind"), street.alias("address"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal").cast("string")).alias("phone"))
+    return upsert_facilities(old, new)
 
 
 @query("agg20_gra6_graph_stats", "SELECT count(DISTINCT l_suppkey)::BIGINT AS suppliers, count(DISTINCT l_partkey)::BIGINT AS parts, count(DISTINCT (l_suppkey, l_partkey))::BIGINT AS edges FROM lineitem WHERE l_returnflag <> 'A'")

@@ -231,12 +231,15 @@ def paired_join(spark, d):
     return both.crossJoin(rest)  # one row each
 
 
-@query("joi19_drf1_config_diff", """
+DRIFT = """
   WITH a AS (SELECT 'order.' || o_orderpriority || '.' || o_custkey AS path, CAST(floor(max(o_totalprice)) AS BIGINT) AS v FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1),
        b AS (SELECT 'order.' || o_orderpriority || '.' || o_custkey AS path, CAST(floor(max(o_totalprice)) AS BIGINT) AS v FROM orders WHERE o_custkey % 3 <> 1 GROUP BY 1),
        rules(rule) AS (VALUES ('order.1-URGENT'), ('order.5-LOW')), d AS (SELECT coalesce(a.path, b.path) AS path, a.v AS dev, b.v AS prod FROM a FULL JOIN b ON a.path = b.path)
   SELECT path, coalesce(dev, -1) AS dev, coalesce(prod, -1) AS prod, CASE WHEN dev IS NOT DISTINCT FROM prod THEN CASE WHEN rule IS NULL THEN 'SAME' ELSE 'STALE-RULE' END WHEN rule IS NULL THEN 'DRIFT' ELSE 'EXPECTED' END AS verdict
-  FROM d LEFT JOIN rules ON path = rule OR starts_with(path, rule || '.')""")
+  FROM d LEFT JOIN rules ON path = rule OR starts_with(path, rule || '.')"""
+
+
+@query("joi19_drf1_config_diff", DRIFT)
 def config_diff(spark, d):
     """Paths of two states side by side; a side may miss. A rule holds for its path and all below it; the longest rule wins.
 
@@ -265,6 +268,25 @@ def cross_store_counts(spark, d):
     return joined.select("source", "n_docs", "n_labels", (F.col("n_docs") == F.col("n_labels")).alias("equal"))
 
 
+@query("joi20_self_search", """
+  WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)
+  SELECT (SELECT count(*) FROM embeddings)::BIGINT AS stored, (SELECT count(*) FROM documents)::BIGINT AS expected, count(*)::BIGINT AS searched, count(*) FILTER (id = query_id)::BIGINT AS found FROM s WHERE rank <= 5 AND (id = query_id OR rank = 5 AND query_id NOT IN (SELECT query_id FROM s WHERE rank <= 5 AND id = query_id))""")
+def self_search(spark, d):
+    """Both stores' counts, and how many of the searched vectors are among their own five nearest."""
+    from quillmill.operators.retrieval import dense_top_k
+
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = vectors.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    own = dense_top_k(asked, vectors, 5).groupBy("query_id").agg(F.bool_or(F.col("id") == F.col("query_id")).alias("own")).agg(F.count("*").alias("searched"), F.count_if("own").alias("found"))
+    counts = vectors.agg(F.count("*").alias("stored")).crossJoin(table(spark, d, "documents").agg(F.count("*").alias("expected")))
+    return counts.crossJoin(own)  # one row each
+
+
+@query("agg34_drift_totals", f"SELECT verdict, count(*)::BIGINT AS n FROM ({DRIFT}) GROUP BY verdict")
+def drift_totals(spark, d):
+    return config_diff(spark, d).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
 @query("set1_set2_set3_set4_sets", """
   SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT vec_id FROM embeddings))::BIGINT AS difference,
          (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT vec_id FROM embeddings))::BIGINT AS intersection,

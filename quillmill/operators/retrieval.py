@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.lexical import TOKEN, bigrams, tokens
+from quillmill.functions.lexical import TOKEN, articles, bigrams, document_ids, tokens
 from quillmill.functions.vectors import cosine
 from quillmill.plans.checkpoints import bounded, cut
 from quillmill.registry import query
@@ -199,43 +199,95 @@ def all_terms_query(spark, d):
     return all_terms(_questions(spark, d), table(spark, d, "documents"), "doc_id", "text").withColumn("score", F.round("score", 6))
 
 
-@query("lex6_lex7_title_route", r"""
-  WITH p AS (SELECT p_partkey, list_distinct(flatten(list_transform(list_filter(regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+'), lambda t: length(t) > 1), lambda t: list_transform(range(1, length(t)::BIGINT), lambda i: substr(t, i, 2))))) AS g FROM part),
-       q AS (SELECT n_nationkey, list_distinct(flatten(list_transform(list_filter(regexp_extract_all(lower(n_name), '[\p{L}\p{N}]+'), lambda t: length(t) > 1), lambda t: list_transform(range(1, length(t)::BIGINT), lambda i: substr(t, i, 2))))) AS g FROM nation),
-       r AS (SELECT n_nationkey, p_partkey, len(list_intersect(q.g, p.g)) / len(p.g) AS ratio FROM p, q WHERE len(p.g) > 0)
-  SELECT n_nationkey, p_partkey, CASE WHEN ratio >= 0.30 THEN 0.15 ELSE 0.05 END::DOUBLE AS boost FROM r WHERE ratio >= 0.15""")
+def title_boosts(questions: DataFrame, titles: DataFrame) -> DataFrame:
+    """(query_id, id, boost): a strong boost for titles (id, title) that share a word of two characters or more with a question
+    (query_id, text), or 30 % of whose letter pairs it has; a weak one from 15 %. Pairs meet on what they share."""
+    words = lambda f, c, k: f.select(k, F.explode(F.array_distinct(F.filter(tokens(F.col(c)), lambda t: F.length(t) >= 2))).alias("word"))
+    shared = words(titles, "title", "id").join(bounded(words(questions, "text", "query_id")), "word").select("query_id", "id").distinct().withColumn("word", F.lit(True))
+    pairs = titles.select("id", bigrams(F.col("title")).alias("g")).select("id", F.size("g").alias("n"), F.explode("g").alias("b"))
+    asked = questions.select("query_id", F.explode(bigrams(F.col("text"))).alias("b"))
+    ratio = pairs.join(bounded(asked), "b").groupBy("query_id", "id").agg((F.count("*") / F.first("n")).alias("ratio"))
+    boost = F.when(F.coalesce("word", F.lit(False)) | (F.col("ratio") >= 0.30), 0.15).when(F.col("ratio") >= 0.15, 0.05)
+    return ratio.join(shared, ["query_id", "id"], "full").select("query_id", "id", boost.alias("boost")).filter("boost IS NOT NULL")
+
+
+_GRAMS = lambda c: f"list_distinct(flatten(list_transform(list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 1), lambda t: list_transform(range(1, length(t)::BIGINT), lambda i: substr(t, i, 2)))))"
+_WORDS = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 2))"
+
+
+@query("lex6_lex7_title_route", f"""
+  WITH p AS (SELECT p_partkey AS id, {_GRAMS('p_name')} AS g, {_WORDS('p_name')} AS w FROM part), n AS (SELECT n_nationkey AS query_id, n_name || ' ' || ['bolt', 'wid', 'gears', 'lar'][1 + n_nationkey % 4] AS said FROM nation), q AS (SELECT query_id, {_GRAMS('said')} AS g, {_WORDS('said')} AS w FROM n),
+    r AS (SELECT query_id, id, len(list_intersect(q.g, p.g)) / len(p.g) AS ratio, len(list_intersect(q.w, p.w)) > 0 AS word FROM p, q WHERE len(p.g) > 0)
+  SELECT query_id, id, CASE WHEN word OR ratio >= 0.30 THEN 0.15 ELSE 0.05 END::DOUBLE AS boost FROM r WHERE word OR ratio >= 0.15""")
 def title_route(spark, d):
-    """Share of a title's bigrams that a question has. Meeting on shared bigrams leaves out pairs that share none."""
-    titles = table(spark, d, "part").select("p_partkey", bigrams(F.col("p_name")).alias("g"))
-    pairs = titles.select("p_partkey", F.size("g").alias("n"), F.explode("g").alias("b"))
-    asked = table(spark, d, "nation").select("n_nationkey", F.explode(bigrams(F.col("n_name"))).alias("b"))
-    ratio = pairs.join(bounded(asked), "b").groupBy("n_nationkey", "p_partkey").agg((F.count("*") / F.first("n")).alias("ratio"))
-    return ratio.filter("ratio >= 0.15").select("n_nationkey", "p_partkey", F.when(F.col("ratio") >= 0.30, 0.15).otherwise(0.05).alias("boost"))
+    k = F.col("n_nationkey")
+    said = F.concat_ws(" ", "n_name", F.element_at(F.array(*[F.lit(w) for w in ("bolt", "wid", "gears", "lar")]), (k % 4 + 1).cast("int")))
+    return title_boosts(table(spark, d, "nation").select(k.alias("query_id"), said.alias("text")), table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")))
+
+
+# Each question names a document number, an article, or nothing; each document has a number, an article and a kind of section.
+_SIGNALLED = "asked AS (SELECT item_id, text || CASE item_id % 3 WHEN 0 THEN ' 3-1-' || (item_id % 10) || ' ' WHEN 1 THEN ' 제' || (item_id % 7) || ' 조' ELSE '' END AS text FROM benchmark)"
+_BOOST = """CASE WHEN q % 3 = 0 AND i % 10 = q % 10 AND i % 50 <> 0 THEN 0.15 ELSE 0 END + CASE WHEN q % 3 = 1 AND i % 7 = q % 7 THEN 0.10 ELSE 0 END + CASE WHEN i % 50 = 0 AND q % 3 <> 0 AND i % 2 = 0 THEN 0.05 ELSE 0 END"""
+
+
+def signalled_questions(spark, d: str) -> DataFrame:
+    k = F.col("item_id")
+    said = F.when(k % 3 == 0, F.concat(F.lit(" 3-1-"), (k % 10).cast("string"), F.lit(" "))).when(k % 3 == 1, F.concat(F.lit(" 제"), (k % 7).cast("string"), F.lit(" 조"))).otherwise("")
+    return table(spark, d, "benchmark").select(k.alias("query_id"), F.concat("text", said).alias("text"))
+
+
+def chunk_metadata(i: Column) -> dict[str, Column]:
+    number = F.when(i % 50 == 0, "2-0-1").otherwise(F.concat(F.lit("3-1-"), (i % 10).cast("string")))
+    return {"document": number, "article": F.concat(F.lit("제"), (i % 7).cast("string"), F.lit("조")), "section": F.when(i % 2 == 0, "article").otherwise("addendum")}
+
+
+def signal_boosts(questions: DataFrame, candidates: DataFrame, primary: str = "2-0-1") -> DataFrame:
+    """(query_id, id, boost) of candidates (query_id, id, document, article, section) from what the questions' texts name."""
+    signals = questions.select("query_id", document_ids(F.col("text")).alias("named"), articles(F.col("text")).alias("named_articles"))
+    boost = signal_boost(F.col("document"), F.col("article"), F.col("section"), F.col("named"), F.col("named_articles"), primary)
+    return candidates.join(bounded(signals), "query_id").select("query_id", "id", boost.alias("boost"))
 
 
 _DENSE_ITEMS = _DENSE.replace("vec_id % 20 = 0", "vec_id IN (SELECT item_id FROM benchmark)")
-_HYBRID = f"""WITH {_BM25}, lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm),
+_HYBRID = f"""WITH {_SIGNALLED}, {_BM25.replace("FROM benchmark", "FROM asked")}, lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm),
   den AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {_DENSE_ITEMS}),
   l AS (SELECT * FROM lex WHERE rank <= 48), v AS (SELECT * FROM den WHERE rank <= 48),
   ln AS (SELECT query_id, id, rank, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM l WINDOW w AS (PARTITION BY query_id)),
   vn AS (SELECT query_id, id, rank, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM v WINDOW w AS (PARTITION BY query_id)),
-  f AS (SELECT coalesce(vn.query_id, ln.query_id) AS query_id, coalesce(vn.id, ln.id) AS id, 0.55 * coalesce(vn.x, 0) + 0.45 * coalesce(ln.x, 0) + CASE WHEN coalesce(vn.id, ln.id) % 20 = coalesce(vn.query_id, ln.query_id) THEN 0.15 ELSE 0 END AS score
-    FROM vn FULL JOIN ln ON vn.query_id = ln.query_id AND vn.id = ln.id)"""
+  j AS (SELECT coalesce(vn.query_id, ln.query_id) AS q, coalesce(vn.id, ln.id) AS i, 0.55 * coalesce(vn.x, 0) + 0.45 * coalesce(ln.x, 0) AS base FROM vn FULL JOIN ln ON vn.query_id = ln.query_id AND vn.id = ln.id),
+  f AS (SELECT q AS query_id, i AS id, base + {_BOOST} AS score FROM j)"""
 
 
 @query("hyb2_hyb3_hyb4_hyb5_joi7_win1_win2_hybrid", f"{_HYBRID} SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM f) WHERE rank <= 12")
 def hybrid(spark, d):
-    """Dense and lexical candidates, four times as many as wanted from each side, fused with a boost for the matching source."""
+    """Dense and lexical candidates, four times as many as wanted from each side, fused with boosts for the documents and
+    articles that the question's text names."""
+    questions = signalled_questions(spark, d)
     order = lambda f: f.withColumn("order", F.round("score", 9))
-    items = _questions(spark, d).select("query_id").join(table(spark, d, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
-    dense = dense_top_k(items, _vectors(spark, d).drop("label"), 12 * CANDIDATES, F.desc(F.round("score", 9)), F.col("id"))
-    lexical = top_k(order(bm25(_questions(spark, d), table(spark, d, "documents"), "doc_id", "text")), 12 * CANDIDATES, F.desc("order"), F.col("id"))
-    named = dense.select("query_id", "id").union(lexical.select("query_id", "id")).distinct().withColumn("boost", F.when(F.col("id") % 20 == F.col("query_id"), DOCUMENT_BOOST).otherwise(0.0))
-    fused = fuse(dense, lexical, named, limit=0)
+    items = questions.select("query_id").join(table(spark, d, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+    dense = cut(dense_top_k(items, _vectors(spark, d).drop("label"), 12 * CANDIDATES, F.desc(F.round("score", 9)), F.col("id")))
+    lexical = cut(top_k(order(bm25(questions, table(spark, d, "documents"), "doc_id", "text")), 12 * CANDIDATES, F.desc("order"), F.col("id")))
+    named = dense.select("query_id", "id").union(lexical.select("query_id", "id")).distinct()
+    boosts = signal_boosts(questions, named.select("query_id", "id", *[c.alias(n) for n, c in chunk_metadata(F.col("id")).items()]))
+    fused = fuse(dense, lexical, boosts, limit=0)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
     return fused.withColumn("place", best).filter("place <= 12").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+@query("hyb6_backends", f"""
+  WITH {_BM25}, {_ALL}, al AS (SELECT query_id, tf.id, sum(tf / (1 + ln(1 + length))) AS score FROM tf JOIN q2 USING (token) JOIN len ON len.id = tf.id GROUP BY query_id, tf.id, need HAVING count(*) = need), den AS (SELECT query_id, id, score FROM {_DENSE_ITEMS}),
+  u AS (SELECT 'bm25' AS backend, query_id, id, score FROM bm UNION ALL SELECT 'all_terms', query_id, id, score FROM al UNION ALL SELECT 'dense', query_id, id, score FROM den)
+  SELECT backend, query_id, id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY backend, query_id ORDER BY round(score, 9) DESC, id) AS rank FROM u) WHERE rank <= 3""")
+def backends(spark, d):
+    """The same questions by each of the single backends, for comparison."""
+    questions, docs = _questions(spark, d), table(spark, d, "documents")
+    best = lambda f: top_k(f, 3, F.desc(F.round("score", 9)), F.col("id"))
+    items = questions.select("query_id").join(table(spark, d, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+    found = {"bm25": best(bm25(questions, docs, "doc_id", "text")), "all_terms": best(all_terms(questions, docs, "doc_id", "text")), "dense": dense_top_k(items, _vectors(spark, d), 3, F.desc(F.round("score", 9)), F.col("id"))}
+    each = [f.select(F.lit(name).alias("backend"), "query_id", "id", "rank") for name, f in found.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 @query("hyb6_win3_max_normalised", f"WITH {_BM25} SELECT query_id, id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 5")
 def max_normalised(spark, d):
     scored = bm25(_questions(spark, d), table(spark, d, "documents"), "doc_id", "text")

@@ -144,7 +144,7 @@ def redaction(spark, d):
     return table(spark, d, "pages").select("page_id", misc.redact(mode, F.col("url"), ["db"]).alias("shown"))
 
 
-@query("flt18_agg34_comparable_paths", """
+@query("flt18_comparable_paths", """
   SELECT count(*) FILTER (starts_with(p_type, 'STANDARD') AND NOT ends_with(p_type, 'TIN') AND p_type <> 'STANDARD PLATED BRASS')::BIGINT AS compared, count(*)::BIGINT AS paths FROM part""")
 def comparable_paths(spark, d):
     keep = misc.comparable(F.col("p_type"), ["STANDARD"], ["TIN"], ["STANDARD PLATED BRASS"])
@@ -182,17 +182,6 @@ def answer_cleanup(spark, d):
     return table(spark, d, "orders").select("o_orderkey", misc.answer_value(misc.clean_answer(raw)).alias("answer"))
 
 
-@query("scr9_table_lane_answer", """
-  WITH c AS (SELECT p_partkey, p_name || '=' || p_size AS a, p_brand || '=' || p_retailprice AS b FROM part)
-  SELECT p_partkey, a AS answer FROM c""")
-def table_lane(spark, d):
-    """The summary line that shares most tokens with the question; the first of equals."""
-    lines = F.array(F.concat("p_brand", F.lit("="), F.col("p_retailprice").cast("string")), F.concat("p_name", F.lit("="), F.col("p_size").cast("string")))
-    asked = tokens(F.col("p_name"))
-    scored = F.transform(lines, lambda line, i: F.struct(F.size(F.array_intersect(F.array_distinct(tokens(line)), asked)).alias("n"), (-i).alias("first"), line.alias("line")))
-    return table(spark, d, "part").select("p_partkey", F.array_max(scored)["line"].alias("answer"))
-
-
 @query("scr6_mth9_fact_coverage", """
   SELECT doc_id, (CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'and') OR contains(lower(text), 'und') THEN 1 ELSE 0 END) / 2 AS coverage, contains(lower(text), 'worthless') AS forbidden
   FROM (SELECT doc_id, regexp_replace(text, '[\\s"''`“”‘’]+', '', 'g') AS text FROM documents)""")
@@ -331,14 +320,6 @@ def typed_prefix(spark, d):
     return found.select("doc_id", F.concat_ws(" | ", *parts).alias("prefix"))
 
 
-@query("top10_page_selection", """
-  SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3""")
-def page_selection(spark, d):
-    """Pages that are referred to most come first, then the first pages; three of each document."""
-    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc((F.col("o_orderpriority") == "1-URGENT").cast("int")), "o_orderkey"))
-    return table(spark, d, "orders").withColumn("rn", rank).filter("rn <= 3").select("o_custkey", "o_orderkey")
-
-
 @query("scr11_article_titles", "SELECT o_orderkey, o_orderpriority AS title, 2::INTEGER AS clauses FROM orders")
 def article_titles(spark, d):
     block = F.concat(F.lit("제"), F.col("o_orderkey").cast("string"), F.lit("조의2("), "o_orderpriority", F.lit(")\n①항목 하나 ②항목 둘"))
@@ -393,10 +374,15 @@ def seed_upsert(spark, d):
     return joined.select("code", F.when(F.col("before").isNull(), "created").when(F.col("before") != F.col("now"), "updated").otherwise("skipped").alias("outcome"))
 
 
-@query("sup13_escalation", "SELECT o_custkey, bool_or(o_totalprice > 300000) AS escalate FROM orders GROUP BY 1")
+@query("sup13_escalation", """
+  WITH i AS (SELECT p_partkey, p_brand || '.png' AS image FROM part WHERE p_partkey % 4 <> 0)
+  SELECT l_orderkey, string_agg(image, ',' ORDER BY l_linenumber, image) FILTER (l_linenumber <= 3) AS images, bool_or(l_quantity < 3) OR l_orderkey % 9 = 0 AS escalate FROM lineitem LEFT JOIN i ON p_partkey = l_partkey GROUP BY l_orderkey""")
 def escalation(spark, d):
-    """A question is passed on if any of its tables is empty."""
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_totalprice") > 300000).alias("escalate"))
+    """A question with the images of its tables; it is passed on if any of its tables is empty, or always where that is set."""
+    images = table(spark, d, "part").filter("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("l_partkey"), F.concat("p_brand", F.lit(".png")).alias("image"))
+    rows = table(spark, d, "lineitem").join(images, "l_partkey", "left").groupBy("l_orderkey").agg(F.bool_or(F.col("l_quantity") < 3).alias("any"), F.array_sort(F.collect_list(F.when(F.col("image").isNotNull() & (F.col("l_linenumber") <= 3), F.struct("l_linenumber", "image")))).alias("found"))
+    listed = F.when(F.size("found") > 0, F.array_join(F.transform("found", lambda x: x["image"]), ","))
+    return rows.select("l_orderkey", listed.alias("images"), (F.col("any") | (F.col("l_orderkey") % 9 == 0)).alias("escalate"))
 
 
 @query("sup16_baseline_comparison", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.identity import source_hash, uuid5
+from quillmill.functions.identity import NAMESPACE, source_hash, uuid5
 from quillmill.registry import query
 from quillmill.sources.tables import table
 
@@ -84,13 +84,6 @@ def insert_absent_query(spark, d):
     return insert_absent(table(spark, d, "customer").select(F.col("c_custkey").alias("key")), new, ["key"])
 
 
-@query("snk7_str3_sup20_reap_stale_jobs", """
-  SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1998-01-01' THEN 'failed' ELSE o_orderstatus END AS status FROM orders""")
-def reap_stale(spark, d):
-    stale = (F.col("o_orderstatus") == "P") & (F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp"))
-    return table(spark, d, "orders").select("o_orderkey", F.when(stale, "failed").otherwise(F.col("o_orderstatus")).alias("status"))
-
-
 @query("snk9_keep_latest", """
   SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def feedback_upsert(spark, d):
@@ -121,18 +114,12 @@ def value_remap(spark, d):
     return table(spark, d, "customer").join(names, "c_nationkey", "left").select("c_custkey", F.coalesce("n_name", F.col("c_nationkey").cast("string")).alias("nation"))
 
 
-@query("snk13_cascade_delete", """
-  SELECT (SELECT count(*) FROM orders WHERE o_custkey % 10 <> 3)::BIGINT AS orders, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3))::BIGINT AS lines""")
-def cascade_delete(spark, d):
-    gone = table(spark, d, "orders").filter("o_custkey % 10 = 3").select("o_orderkey")
-    left = table(spark, d, "orders").join(gone, "o_orderkey", "left_anti").agg(F.count("*").alias("orders"))
-    lines = table(spark, d, "lineitem").join(gone, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").agg(F.count("*").alias("lines"))
-    return left.crossJoin(lines)  # one row each
+_UUID = lambda name: f"""(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM (SELECT sha1(unhex('{NAMESPACE.hex}') || encode({name})) AS h))"""
 
 
-@query("txt15_deterministic_ids")
+@query("txt15_deterministic_ids", f"""SELECT doc_id, {_UUID("source || '/' || doc_id")} AS source_id, {_UUID("source || '/' || doc_id || '#0'")} AS point_id FROM documents""")
 def deterministic_ids(spark, d):
-    """Name-based ids; tests compare them with the standard library's."""
+    """Name-based ids; tests compare them with the standard library's too."""
     docs = table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("name"))
     return docs.select("doc_id", uuid5(F.col("name")).alias("source_id"), uuid5(F.concat(F.col("name"), F.lit("#0"))).alias("point_id"))
 

@@ -94,13 +94,7 @@ def json_lines(spark, d):
     return read_json_lines(spark, at, "item_id long, text string").select("item_id", F.length("text").cast("bigint").alias("size"), F.md5("text").alias("digest"))
 
 
-@query("src12_index_load", "SELECT vec_id AS id, len(embedding)::INTEGER AS dim FROM embeddings JOIN documents ON doc_id = vec_id")
-def index_load(spark, d):
-    """Chunks joined with their vectors by position."""
-    return table(spark, d, "documents").join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id")).select(F.col("vec_id").alias("id"), F.size("embedding").alias("dim"))
-
-
-@query("src6_src14_jsn1_flatten", "SELECT event_id, 'props.k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'type', event_type FROM events UNION ALL SELECT event_id, 'tags', '[1, 2]' FROM events")
+@query("src14_jsn1_flatten", "SELECT event_id, 'props.k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'type', event_type FROM events UNION ALL SELECT event_id, 'tags', '[1, 2]' FROM events")
 def flatten(spark, d):
     document = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "tags": [1, 2], "props": '), "props", F.lit("}"))
     return table(spark, d, "events").select("event_id", F.explode(misc.flat_paths(document)).alias("path", "value"))
@@ -198,16 +192,6 @@ def templates(spark, d):
     return table(spark, d, "customer").select("c_custkey", misc.render(template, F.lit("2024-05-01 08:00:00").cast("timestamp"), {"user_name": F.col("c_name"), "segment": F.col("c_mktsegment")}).alias("letter"))
 
 
-@query("str2_reactivation", """
-  WITH g AS (SELECT user_id, ts, ts >= lag(ts) OVER w + INTERVAL 12 HOUR AS late FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
-  SELECT user_id, count(*) FILTER (late)::BIGINT AS reactivations FROM g GROUP BY 1""")
-def reactivation(spark, d):
-    """How often a message came when its session had been idle for half a day."""
-    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts"))
-    late = F.coalesce(F.col("ts") >= F.col("before") + F.expr("INTERVAL 12 HOURS"), F.lit(False))
-    return table(spark, d, "events").withColumn("before", before).groupBy("user_id").agg(F.count_if(late).alias("reactivations"))
-
-
 @query("sup1_top7_document_chunks", "SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INTEGER AS place FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) <= 1000")
 def document_chunks(spark, d):
     """The chunks of each document in order, a thousand at most: the limit is the operator's."""
@@ -230,14 +214,6 @@ def category_guards(spark, d):
     return table(spark, d, "nation").join(used.withColumn("used", F.lit(True)), "n_nationkey", "left").select("n_nationkey", F.col("used").isNull().alias("deletable"))
 
 
-@query("sup15_top_two_failures", """
-  WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) SELECT source, lang, n::BIGINT AS n FROM n QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) <= 2""")
-def top_two(spark, d):
-    counts = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "lang"))
-    return counts.withColumn("rank", rank).filter("rank <= 2").select("source", "lang", "n")
-
-
 @query("sup19_numeric_order", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INTEGER AS place FROM orders")
 def numeric_order(spark, d):
     """Dotted ids in the order of their numbers, not of their letters."""
@@ -256,11 +232,6 @@ def batch_results(spark, d):
     return joined.select("name", F.when(F.col("name") == "system", "protected").when(F.col("rows").isNull(), "not_found").otherwise("deleted").alias("result"), F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"))
 
 
-@query("sup26_file_digests", "SELECT page_id, sha256(html) AS digest FROM pages")
-def file_digests(spark, d):
-    return table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("digest"))
-
-
 @query("sup27_pipe_lists", "SELECT p_partkey, 2::INTEGER AS n, p_brand || ',' || p_type AS items FROM part")
 def pipe_lists(spark, d):
     raw = F.concat(F.lit(" "), "p_brand", F.lit(" | | "), "p_type", F.lit("|"))
@@ -320,14 +291,6 @@ def typed_prefix(spark, d):
     return found.select("doc_id", F.concat_ws(" | ", *parts).alias("prefix"))
 
 
-@query("scr11_article_titles", "SELECT o_orderkey, o_orderpriority AS title, 2::INTEGER AS clauses FROM orders")
-def article_titles(spark, d):
-    block = F.concat(F.lit("제"), F.col("o_orderkey").cast("string"), F.lit("조의2("), "o_orderpriority", F.lit(")\n①항목 하나 ②항목 둘"))
-    title = F.regexp_extract(block, r"^제\d+조(?:의\d+)?\s*\(([^)]+)\)", 1)
-    clauses = F.filter(F.transform(F.slice(F.split(block, r"(?=[①-⑳])"), 2, 6), lambda c: F.trim(c)), lambda c: c != "")
-    return table(spark, d, "orders").select("o_orderkey", title.alias("title"), F.size(clauses).alias("clauses"))
-
-
 @query("hyb7_side_by_side", """
   SELECT 'vector' AS kind, id FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 5
   UNION ALL SELECT 'graph', p_partkey FROM (SELECT p_partkey FROM part WHERE contains(lower(p_name), 'steel') OR contains(lower(p_type), 'steel') ORDER BY p_retailprice DESC, p_partkey LIMIT 5)""")
@@ -356,7 +319,7 @@ def single_flight(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(running.alias("running")).select("o_custkey", "running", F.when(F.col("running"), "skip").otherwise("start").alias("decision"))
 
 
-@query("snk4_sup2_collection_info", "SELECT label, count(*)::BIGINT AS points, min(len(embedding))::INTEGER AS dim, min(len(embedding)) IN (64, 384, 768, 1024) AS accepted FROM embeddings GROUP BY label")
+@query("sup2_collection_info", "SELECT label, count(*)::BIGINT AS points, min(len(embedding))::INTEGER AS dim, min(len(embedding)) IN (64, 384, 768, 1024) AS accepted FROM embeddings GROUP BY label")
 def collection_info(spark, d):
     """Points and dimension of each collection, and whether the dimension is one that is accepted."""
     grouped = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("points"), F.min(F.size("embedding")).alias("dim"))
@@ -385,32 +348,6 @@ def escalation(spark, d):
     return rows.select("l_orderkey", listed.alias("images"), (F.col("any") | (F.col("l_orderkey") % 9 == 0)).alias("escalate"))
 
 
-@query("sup16_baseline_comparison", """
-  WITH g AS (SELECT source, avg(quality) AS rate, avg(1 - toxic) AS base FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT source, round(rate, 4) AS rate, round(base, 4) AS base, round(rate - base, 4) AS delta FROM g""")
-def baseline_comparison(spark, d):
-    joined = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    rates = joined.groupBy("source").agg(F.avg("quality").alias("rate"), F.avg(1 - F.col("toxic")).alias("base"))
-    return rates.select("source", F.round("rate", 4).alias("rate"), F.round("base", 4).alias("base"), F.round(F.col("rate") - F.col("base"), 4).alias("delta"))
-
-
-@query("sup18_verdict_cache", "SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'miss' WHEN l.toxic = 1 THEN 'miss' ELSE 'hit' END AS cache FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
-def verdict_cache(spark, d):
-    """Cached verdicts that are valid are used; others count as missing."""
-    cached = table(spark, d, "labels").filter("toxic <> 1").select("doc_id", F.lit("hit").alias("cache"))
-    return table(spark, d, "documents").select("doc_id").join(cached, "doc_id", "left").select("doc_id", F.coalesce("cache", F.lit("miss")).alias("cache"))
-
-
-@query("sup21_source_logs", """
-  SELECT o_custkey, o_orderkey, 'job' AS origin FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders WHERE o_custkey % 2 = 0) WHERE rn <= 2
-  UNION ALL SELECT o_custkey, o_orderkey, 'document' FROM orders WHERE o_custkey % 2 = 1 AND o_orderstatus = 'F'""")
-def source_logs(spark, d):
-    """Logs of a source from its jobs, or from its failed documents where it has no jobs."""
-    orders = table(spark, d, "orders")
-    recent = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey")))
-    jobs = orders.filter("o_custkey % 2 = 0").withColumn("rn", recent).filter("rn <= 2").select("o_custkey", "o_orderkey", F.lit("job").alias("origin"))
-    return jobs.unionByName(orders.filter("o_custkey % 2 = 1 AND o_orderstatus = 'F'").select("o_custkey", "o_orderkey", F.lit("document").alias("origin")))
-
-
 @query("snk5_sup25_append", "SELECT kind, count(*)::BIGINT AS n FROM (SELECT 'old' AS kind FROM events UNION ALL SELECT 'new' FROM events WHERE event_type = 'error') GROUP BY kind")
 def append(spark, d):
     """Rows appended to a table in two writes, read back as one."""

@@ -247,17 +247,22 @@ def tables_of(pages: pd.Series) -> pd.Series:
 
 
 @query("src5_txt11_txt12_sup12_html_tables", r"""
-  SELECT page_id, page_id || '-T1' AS table_id, 3::INTEGER AS n_rows, page_id % 2 = 1 AS value_empty FROM pages""")
+  WITH p AS (SELECT page_id, page_id % 4 AS n, page_id % 2 = 1 AS bare FROM pages), r AS (SELECT *, list_transform(range(1, n + 1), lambda i: ['row' || i, CASE WHEN bare THEN '' ELSE (page_id * i)::VARCHAR END, CASE WHEN bare THEN '' ELSE '8' END, '']) AS body FROM p)
+  SELECT page_id, page_id || '-T1' AS table_id, (n + 1)::INTEGER AS n_rows, md5('[표 ' || page_id || '-T1] 출처:p' || chr(10) || '| 직종 | 정원 | 현원 | 비고 |' || chr(10) || '| --- | --- | --- | --- |' || array_to_string(list_transform(body, lambda x: chr(10) || '| ' || array_to_string(x, ' | ') || ' |'), '')
+    || CASE WHEN n > 0 THEN chr(10) || '[셀요약]' || array_to_string(list_transform(body, lambda x: chr(10) || '직종=' || x[1] || CASE WHEN bare THEN '' ELSE '; 정원=' || x[2] || '; 현원=8' END), '') ELSE '' END || CASE WHEN n = 0 OR bare AND n >= 2 THEN chr(10) || '[주의] 이 표의 수치 셀이 비어 있거나 거의 비어 있습니다. 금액을 추정하지 마세요.' ELSE '' END) AS shown
+  FROM r""")
 def tables_from_html(spark, d):
-    """A table of each page's address is written as HTML, read back, and serialised."""
-    filled = lambda v: F.when(F.col("page_id") % 2 == 0, v).otherwise(F.lit(""))
-    cell = lambda v: F.concat(F.lit("<td>"), v, F.lit("</td>"))
-    row = lambda label: F.concat(F.lit(f"<tr><td>{label}</td>"), cell(filled(F.lit("7"))), cell(filled(F.lit("8"))), cell(F.lit(" ")), F.lit("</tr>"))
-    page = F.concat(F.lit("<table><tr><th>직종</th><th>정원</th><th> 현원</th><th>비고</th></tr>"), row("행정직"), F.lit("<tr><td> </td></tr>"), row("기술직"), F.lit("</table>"))
+    """All tables of each page's whole HTML, at whose end one of its own is put, as pages of these tables hold none: read, cleaned
+    and written as Markdown with cell lines."""
+    k = F.col("page_id")
+    filled = lambda v: F.when(k % 2 == 0, v).otherwise(F.lit(""))
+    cell = lambda v: F.concat(F.lit("<td>"), v, F.lit(" </td>"))
+    rows = F.transform(F.filter(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: i > 0), lambda i: F.concat(F.lit("<tr><td>row"), i.cast("string"), F.lit("</td>"), cell(filled((k * i).cast("string"))), cell(filled(F.lit("8"))), cell(F.lit(" ")), F.lit("</tr><tr><td> </td></tr>")))
+    page = F.concat(F.coalesce("html", F.lit("")), F.lit("<table><tr><th>직종</th><th>정원</th><th> 현원</th><th>비고</th></tr>"), F.array_join(rows, ""), F.lit("</table>"))
     found = table(spark, d, "pages").select("page_id", F.posexplode(tables_of(page)).alias("i", "rows"))
-    name = F.concat(F.col("page_id").cast("string"), F.lit("-T"), (F.col("i") + 1).cast("string"))
+    name = F.concat(k.cast("string"), F.lit("-T"), (F.col("i") + 1).cast("string"))
     cells = F.size(F.filter(F.flatten("rows"), lambda c: c != ""))
-    return found.select("page_id", name.alias("table_id"), F.size("rows").alias("n_rows"), F.contains(text.table_text(name, F.lit("p"), F.col("rows"), cells), F.lit(text.EMPTY_TABLE)).alias("value_empty"))
+    return found.select("page_id", name.alias("table_id"), F.size("rows").alias("n_rows"), F.md5(text.table_text(name, F.lit("p"), F.col("rows"), cells)).alias("shown"))
 
 
 @query("msk1_msk2_msk3_masking")

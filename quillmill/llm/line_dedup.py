@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.storage import cut
+from quillmill.llm.storage import cut, keep
 from quillmill.llm.words import chunks_of
 
 #: The bytes stripped from both ends of a line.
@@ -108,7 +108,8 @@ def line_keep_bitmaps(docs: DataFrame, min_length: int = 40, min_docs: int = 5,
     ordered = lines.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", F.desc("doc"), "body")
     found = cut(ordered.mapInArrow(_runs(min_docs), "h1 long, h2 long, doc long, body long, at array<int>, open boolean"))
     runs = found.filter("open").groupBy("h1", "h2", "doc").count().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
-    late = found.filter("open").join(runs.filter(F.col("n_docs") >= min_docs), ["h1", "h2"]).filter("doc != keeper").select("doc", "body", "at")
+    runs = keep(runs.filter(F.col("n_docs") >= min_docs))  # a table, so that the join with a very hot line's rows can be split
+    late = found.filter("open").join(runs, ["h1", "h2"]).filter("doc != keeper").select("doc", "body", "at")
     drops = found.filter("not open").select("doc", "body", "at").unionByName(late).groupBy("doc", "body").agg(F.flatten(F.collect_list("at")).alias("places"))
     body = F.coalesce(F.col("text"), F.lit(""))
     sizes = named.select("doc", "body", (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")).dropDuplicates(["doc", "body"])

@@ -101,3 +101,22 @@ def test_repeated_rows_null_ids_and_no_rows(spark, make_docs):
     assert N.near_duplicates(make_docs([])).collect() == []
     kept = N.drop_near_duplicates(make_docs([text, text + " more", "unrelated words stand here alone"]))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2] and kept.columns[-1] == "text_crc32"
+
+
+def test_rows_with_equal_or_null_ids_are_linked_by_their_own_texts(spark, make_docs):
+    a, b, c = (" ".join(words(40, i)) for i in (1, 2, 3))
+    near = a + " more"
+    rows = N.near_duplicates(make_docs([a, b, near, c, c, a], [5, 5, 2, None, None, None])).collect()
+    got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in rows)
+    assert got == [("2", "2", True), ("5", "2", False), ("5", "5", True), ("None", "2", False), ("None", "None", True), ("None", "None", True)]
+
+
+def test_one_row_of_each_component_stays(spark, make_docs):
+    """Repeated rows, null ids and extra columns with the operator's own names; rows without words all stay."""
+    a, b = (" ".join(words(40, i)) for i in (1, 2))
+    docs = make_docs([a, a, a + " x", a, b, b, None, "", "solo text here"], [1, 1, 0, None, None, None, 7, 7, None])
+    for name in ("doc", "none", "body", "component", "near doc", "digest", "id"):
+        docs = docs.withColumn(name, N.F.lit(name))
+    kept = N.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted([("0", a + " x"), ("None", b), ("7", ""), ("7", ""), ("None", "solo text here")])

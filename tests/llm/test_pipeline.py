@@ -1,4 +1,10 @@
 import importlib
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
@@ -43,3 +49,55 @@ def test_entry_works_without_the_subpackage(monkeypatch):
     finally:
         monkeypatch.undo()
         importlib.reload(__spark_entry__)
+
+
+def test_whole_run_against_brute_force(spark, make_docs, tmp_path):
+    """Documents with nulls, copies, near copies, contaminated ones, repeated rows and null ids, by all stages; and beside Spark."""
+    from quillmill.llm import mixing
+    from test_decontaminate import brute as contaminated
+    from test_decontaminate import brute_short
+    from test_near_dedup import brute as components
+    from tests_support import words
+
+    items = [(i, " ".join(words(20 + i, 500 + i))) for i in range(4)]
+    texts = [" ".join(words(30 + i % 17, i)) for i in range(60)]
+    texts += [texts[3], texts[3] + " end", texts[8].upper(), "lead " + items[0][1] + " tail", items[1][1], None, "", "12 34", "!! ??", texts[20][:-1] + "q"]
+    ids = list(range(len(texts)))
+    sources = [["a", "b", "c", None][i % 4] for i in range(len(texts))]
+    make_docs(texts, ids, sources=sources).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).orderBy("start").collect()
+
+    docs = [(i, t) for i, t in zip(ids, texts, strict=True) if t and any(map(str.isalpha, t))]
+    named = components(docs, 5, 80)
+    docs = [(i, t) for i, t in docs if named[i][2]]
+    hit = {i for i, _ in contaminated(docs, items)} | {i for i, _ in brute_short(docs, items)}
+    docs = [(i, t) for i, t in docs if i not in hit]
+    assert {63, 64} <= hit and not {60, 61, 62} & {i for i, _ in docs}
+
+    taken = Counter(r["doc_id"] for r in rows)
+    assert set(taken) <= {i for i, _ in docs} and max(taken.values()) <= 2
+    size = {i: len(t.split()) for i, t in docs}
+    names = sorted({sources[i] for i in size}, key=lambda s: (s is None, s or ""))
+    totals = [sum(n for i, n in size.items() if sources[i] == s) for s in names]
+    targets = mixing.water_fill(totals, [(3, 1, 2)[k % 3] for k in range(len(names))], 1.5 * sum(totals), 2.0)
+    for s, target in zip(names, targets, strict=True):
+        assert abs(sum(n * taken[i] for i, n in size.items() if sources[i] == s) - target) <= max(size.values()) / 2 + 1
+    tokenizer, start = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
+    for r, (i, t) in zip(rows, [x for x in docs for _ in range(taken[x[0]])], strict=True):
+        code = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert tuple(r) == (i, start, len(code), zlib.crc32(code.tobytes()))
+        start += len(code)
+
+
+def test_stages_on_repeated_rows_null_ids_and_no_rows(spark, make_docs, tmp_path):
+    spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = ["some clean text that stays in the corpus", "another clean text which also stays here"]
+    docs = make_docs([clean[0]] * 3 + [clean[1], "x a b c d e f g h y", None], [None, None, 4, None, None, None], langs=[None] * 6).withColumn("mix pass", language_id.F.lit("own"))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[-1] == "mix pass", name
+    assert sorted((str(r["doc_id"]), r["text"]) for r in docs.collect()) == [("4", clean[0]), ("None", clean[1])]
+    none = make_docs([])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).collect() == []

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.storage import small_batches
+from quillmill.llm.storage import small_batches, tidy
 from quillmill.llm.words import U, Words, chunks_of, mix, shingle_hashes
 
 #: Bits of a fingerprint, its blocks of 8, and the radius. Windows at similarity 0.8 have a cosine of at least 8/9 to the item,
@@ -262,7 +262,7 @@ def _parts(benchmark: DataFrame, n: int) -> Iterator[list[Items]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """doc_id, item_id, similarity (of the best window), first_word (its place) and n_windows at or over the threshold."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = [slim.mapInArrow(_search(groups, threshold), "doc_id long, item_id long, similarity double, first_word long, n_windows long") for groups in _parts(benchmark, n)]
+    found = [slim.mapInArrow(tidy(_search(groups, threshold)), "doc_id long, item_id long, similarity double, first_word long, n_windows long") for groups in _parts(benchmark, n)]
     return functools.reduce(DataFrame.unionByName, found)
 
 
@@ -270,7 +270,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """The documents without a window that matches an item. Each row is judged by its own text, whatever its doc_id."""
     for groups in _parts(benchmark, n):
         if groups:
-            docs = docs.mapInArrow(_search(groups, threshold, clean=True), docs.schema)
+            docs = docs.mapInArrow(tidy(_search(groups, threshold, clean=True)), docs.schema)
     return docs
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.storage import small_batches
+from quillmill.llm.storage import small_batches, tidy
 from quillmill.llm.words import U, chunks_of
 
 #: Slots of the presence vectors, the longest n-gram, and the number of landmarks.
@@ -150,7 +150,7 @@ def sample_texts(docs: DataFrame, usable: Column, per_language: int = 512, seed:
 
 def training_sample(docs: DataFrame, usable: Column, per_language: int = 512, seed: int = 7) -> tuple[np.ndarray, list[str]]:
     """The bit-packed presence vectors of the sample's texts, and their languages."""
-    found = sample_texts(docs, usable, per_language, seed).mapInArrow(_packed, "lang string, rank int, found binary")
+    found = sample_texts(docs, usable, per_language, seed).mapInArrow(tidy(_packed), "lang string, rank int, found binary")
     listed = sorted(found.collect(), key=lambda r: (r["rank"], r["lang"]))
     return np.frombuffer(b"".join(r["found"] for r in listed), np.uint8).reshape(-1, SLOTS // 8), [r["lang"] for r in listed]
 
@@ -187,7 +187,7 @@ def _predict(model: Model | None, keep: float | None = None):
 
 def predict_language(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score of each document; only the text is looked at."""
-    return docs.select("doc_id", "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_predict(model)), "doc_id long, lang_pred string, score double")
 
 
 def held_out() -> Column:
@@ -209,7 +209,7 @@ def drop_undetermined(docs: DataFrame, reject: float = REJECT) -> DataFrame:
     small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = fit(*training_sample(slim, ~held_out()))
-    return docs.mapInArrow(_predict(model, keep=reject), docs.schema)
+    return docs.mapInArrow(tidy(_predict(model, keep=reject)), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.storage import cut, keep
+from quillmill.llm.storage import cut, keep, tidy
 from quillmill.llm.words import chunks_of
 
 #: The bytes stripped from both ends of a line.
@@ -104,16 +104,16 @@ def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
 def line_keep_bitmaps(docs: DataFrame, min_length: int = 40, min_docs: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each distinct (doc, body): n_lines, n_dropped and `keep`, a zlib-compressed bitmap with a bit for each line."""
     named = _identified(docs, key, text)
-    lines = named.mapInArrow(_lines(min_length), "h1 long, h2 long, doc long, body long, at array<int>")
+    lines = named.mapInArrow(tidy(_lines(min_length)), "h1 long, h2 long, doc long, body long, at array<int>")
     ordered = lines.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", F.desc("doc"), "body")
-    found = cut(ordered.mapInArrow(_runs(min_docs), "h1 long, h2 long, doc long, body long, at array<int>, open boolean"))
+    found = cut(ordered.mapInArrow(tidy(_runs(min_docs)), "h1 long, h2 long, doc long, body long, at array<int>, open boolean"))
     runs = found.filter("open").groupBy("h1", "h2", "doc").count().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
     runs = keep(runs.filter(F.col("n_docs") >= min_docs))  # a table, so that the join with a very hot line's rows can be split
     late = found.filter("open").join(runs, ["h1", "h2"]).filter("doc != keeper").select("doc", "body", "at")
     drops = found.filter("not open").select("doc", "body", "at").unionByName(late).groupBy("doc", "body").agg(F.flatten(F.collect_list("at")).alias("places"))
     body = F.coalesce(F.col("text"), F.lit(""))
     sizes = named.select("doc", "body", (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")).dropDuplicates(["doc", "body"])
-    return sizes.join(drops, ["doc", "body"], "left").mapInArrow(_bitmaps, "doc long, body long, n_lines long, n_dropped long, keep binary")
+    return sizes.join(drops, ["doc", "body"], "left").mapInArrow(tidy(_bitmaps), "doc long, body long, n_lines long, n_dropped long, keep binary")
 
 
 def kept_lines(raw: bytes, bitmap: bytes) -> bytes:
@@ -136,7 +136,7 @@ def dedup_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5, key: s
     """One row for each row of `docs`: doc_id, n_lines, n_dropped and the kept text, by applying the bitmaps."""
     bitmaps = line_keep_bitmaps(docs, min_length, min_docs, key, text)
     joined = _identified(docs, key, text).join(bitmaps, ["doc", "body"]).select("doc", "text", "n_lines", "n_dropped", "keep")
-    out = joined.mapInArrow(_kept, "doc long, n_lines long, n_dropped long, kept binary")
+    out = joined.mapInArrow(tidy(_kept), "doc long, n_lines long, n_dropped long, kept binary")
     return out.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "n_lines", "n_dropped", "kept")
 
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.storage import AtomicFile, cut, new_folder, open_filesystem, read_range
+from quillmill.llm.storage import AtomicFile, cut, new_folder, open_filesystem, read_range, tidy
 from quillmill.llm.words import chunks_of
 
 #: Samples a row of the image; payloads are padded to a positive multiple.
@@ -169,7 +169,7 @@ def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
     """Write the shards; their folder, and a row for each document: doc_id, n_bytes, digest, shard, offset, length."""
     folder = new_folder(docs.sparkSession, "media")
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return folder, cut(slim.mapInArrow(_store(folder), _STORED))
+    return folder, cut(slim.mapInArrow(tidy(_store(folder)), _STORED))
 
 
 def places(rows: DataFrame) -> DataFrame:
@@ -182,14 +182,14 @@ def places(rows: DataFrame) -> DataFrame:
 
 def header_columns(folder: str, placed: DataFrame) -> DataFrame:
     """Metadata columns from header-only range reads, for each digest of `placed`: width, height, depth."""
-    return placed.mapInArrow(_ranges(folder, _header), _HEADERS)
+    return placed.mapInArrow(tidy(_ranges(folder, _header)), _HEADERS)
 
 
 def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Store all payloads, read them back, and return each document's reference, metadata and features."""
     folder, rows = store_media(docs, key, text)
     placed = cut(places(rows))  # the same few shards a task for both passes
-    features = placed.mapInArrow(_ranges(folder, _features), _FEATURES)
+    features = placed.mapInArrow(tidy(_ranges(folder, _features)), _FEATURES)
     return rows.join(features, "digest").join(header_columns(folder, placed), "digest")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.storage import cut, free_name, keep
+from quillmill.llm.storage import cut, free_name, keep, tidy
 from quillmill.llm.words import Words, chunks_of
 
 #: Documents a bucket, about.
@@ -171,7 +171,7 @@ def sized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_pydict(rest | {"size": pa.array(Words(batch.column("text")).counts().astype(np.int64))})
 
     kept = docs.select(F.col(key).cast("long").alias("doc_id"), "memberships", F.xxhash64(text).alias("body"), F.col(text).alias("text"))
-    return kept.mapInArrow(count, "doc_id long, memberships array<string>, body long, size long")
+    return kept.mapInArrow(tidy(count), "doc_id long, memberships array<string>, body long, size long")
 
 
 def _walk(pdf: pd.DataFrame, repeats: int) -> pd.DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.components import connected_components
-from quillmill.llm.storage import cut, keep
+from quillmill.llm.storage import cut, keep, tidy
 from quillmill.llm.words import U, Words, chunks_of, document_shingles, mix, shingle_hashes
 
 BANDS, ROWS = 24, 5
@@ -161,7 +161,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     heads = parts.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("id"))
     rows = dealt.unionByName(heads).join(sets, "id").select("pivot", "part", "id", "shingles")
     rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", (F.col("id") != F.col("pivot")), "id")
-    return rows.mapInArrow(_verify(percent), "a long, b long")
+    return rows.mapInArrow(tidy(_verify(percent)), "a long, b long")
 
 
 def _likely(a: dict, b: dict, within: bool, bucket: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -266,9 +266,9 @@ def _residual_links(buckets: DataFrame, found: DataFrame, about: DataFrame, sets
     where = ["bucket", "x", "y", "side", "id"]
     rows = members.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("other") < F.col("block")).cast("int").alias("side"), "id", "component").join(sketches, "id")
     dealt = lambda f, *more: f.repartition("bucket", "x", "y").sortWithinPartitions(*where).select(*where, "component", "size", "bands", "sketch", *more)
-    likely = cut(dealt(rows).mapInArrow(_across(percent, _candidates, ()), "bucket long, x int, y int, side int, id long"))
+    likely = cut(dealt(rows).mapInArrow(tidy(_across(percent, _candidates, ())), "bucket long, x int, y int, side int, id long"))
     again = rows.join(likely, where, "left_semi").join(sets, "id")
-    return dealt(again, "shingles").mapInArrow(_across(percent, _links, ("shingles",)), "a long, b long")
+    return dealt(again, "shingles").mapInArrow(tidy(_across(percent, _links, ("shingles",))), "a long, b long")
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -279,16 +279,16 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _components(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     """doc, none, body, n_shingles and component (a class id; null: linked with nothing) of each document."""
     rows = _rows(docs, key, text)
-    about = keep(rows.mapInArrow(_sketches(n), _ABOUT))
+    about = keep(rows.mapInArrow(tidy(_sketches(n)), _ABOUT))
     filled = about.filter("digest is not null")
     stands = filled.groupBy("digest").agg(F.min(F.struct("none", "doc", "body")).alias("row"), F.min("bands").alias("bands"))
     classes = keep(stands.select("digest", "row.*", "bands").withColumn("id", F.monotonically_increasing_id()))
-    bands = keep(classes.select("id", "bands").mapInArrow(_bands, "bucket long, id long"))
+    bands = keep(classes.select("id", "bands").mapInArrow(tidy(_bands), "bucket long, id long"))
     shared = bands.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("bucket", "pivot")
     inside = keep(bands.join(shared, "bucket").select("bucket", "pivot", "id"))
     pairs = inside.filter("pivot != id").select("pivot", "id").distinct()
     wanted = classes.join(inside.select("id").distinct(), "id").select(*_ROW, "id")
-    sets = keep(rows.dropDuplicates(_ROW).join(wanted, _ROW).select("id", "text").mapInArrow(_sets_of(n), "id long, shingles binary"))
+    sets = keep(rows.dropDuplicates(_ROW).join(wanted, _ROW).select("id", "text").mapInArrow(tidy(_sets_of(n)), "id long, shingles binary"))
 
     def sketches(ids: DataFrame) -> DataFrame:
         named = classes.select("digest", "id").join(ids, "id")

@@ -6,9 +6,12 @@ session has none (tests on one machine) is a temporary folder set.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +41,28 @@ def shared_root(spark: SparkSession) -> str:
     return found
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """`run` over a task's Arrow batches. Python workers live on between tasks, more of them than run at a time, so what a
+    worker holds in reserve goes back to the system when its task ends."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return tidied
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared one; it does not exist yet."""
     return f"{shared_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.storage import AtomicFile, cut, keep, new_folder, open_filesystem
+from quillmill.llm.storage import AtomicFile, cut, keep, new_folder, open_filesystem, tidy
 from quillmill.llm.words import U, chunks_of, mix, span_hashes, stretch_hashes, text_bytes
 
 #: Bytes of text in a shard; a longer document is a shard of its own.
@@ -312,7 +312,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def interleave(parts: DataFrame) -> DataFrame:
     """Merge the shards' parts in the order of contexts, and drop contexts that occur once. A context has one part of each
     shard at most, so no run is longer than the number of shards."""
-    return parts.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "shard", "low").mapInArrow(_repeated, _INTERVALS)
+    return parts.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "shard", "low").mapInArrow(tidy(_repeated), _INTERVALS)
 
 
 def _per_shard(listing: DataFrame, rows: DataFrame, tasks: int, folder: str, shape: Shape, work, schema: str) -> DataFrame:
@@ -469,7 +469,7 @@ def _all_splits(shape: Shape):
 
 
 def _wide_blocks(contexts: DataFrame, shape: Shape) -> DataFrame:
-    rows = contexts.mapInArrow(_all_splits(shape), "b1 long, b2 long, total long, shard long, member long, d long, key long")
+    rows = contexts.mapInArrow(tidy(_all_splits(shape)), "b1 long, b2 long, total long, shard long, member long, d long, key long")
     by = ["b1", "b2", "d", "key"]
     twice = rows.groupBy(by).agg(F.count("*").alias("n")).filter("n > 1").select(by)
     found = rows.filter("total = 1").join(twice, by).groupBy("shard", "member").agg(F.max("d").alias("back"), (shape.length - F.min("d")).alias("ahead"))
@@ -483,11 +483,11 @@ def remove_repeats(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id",
         raise ValueError("window and gram are too long for this length")
     folder = new_folder(docs.sparkSession, "shards")
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    listing = cut(slim.mapInArrow(_write(folder, shape, shard_bytes), "shard long, file string"))
+    listing = cut(slim.mapInArrow(tidy(_write(folder, shape, shard_bytes)), "shard long, file string"))
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-listing.count() // SHARDS_A_TASK))
     per_shard = lambda rows, work, schema: _per_shard(listing, rows, tasks, folder, shape, work, schema)
     first = max(1, shape.depth // 2)
-    blocks = keep(interleave(listing.repartition(tasks, "shard").mapInArrow(_first_round(folder, shape, first), _INTERVALS)))
+    blocks = keep(interleave(listing.repartition(tasks, "shard").mapInArrow(tidy(_first_round(folder, shape, first)), _INTERVALS)))
     blocks = keep(interleave(per_shard(blocks, lambda s, t: s.refine(*_numpy(t, "low", "n"), shape.depth), _INTERVALS)))
     classes = keep(per_shard(blocks, lambda s, t: s.classes(*_numpy(t, "b1", "b2", "low", "n")), _CLASSES))
     kinds = ["b1", "b2", "f1", "f2"]
@@ -496,7 +496,7 @@ def remove_repeats(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id",
     mixed = totals.groupBy("b1", "b2").agg(F.count("*").alias("m"), F.min("total").alias("least")).filter("m > 1 and least = 1").select("b1", "b2", "m")
     ends = totals.join(mixed, ["b1", "b2"]).select("b1", "b2", "m", "total", "one.shard", "one.member")
     contexts = keep(per_shard(ends, _contexts, _CONTEXTS))
-    narrow = contexts.filter(F.col("m") <= wide).repartition("b1", "b2").sortWithinPartitions("b1", "b2").mapInArrow(_ends_of_repeats(shape, pairs), _COVERS)
+    narrow = contexts.filter(F.col("m") <= wide).repartition("b1", "b2").sortWithinPartitions("b1", "b2").mapInArrow(tidy(_ends_of_repeats(shape, pairs)), _COVERS)
     covers = whole.unionByName(narrow).unionByName(_wide_blocks(contexts.filter(F.col("m") > wide), shape))
 
     def finish(shard: Shard, rows: pa.Table) -> pa.Table:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm import huffman
-from quillmill.llm.storage import AtomicFile, cut, new_folder, open_filesystem
+from quillmill.llm.storage import AtomicFile, cut, new_folder, open_filesystem, tidy
 from quillmill.llm.words import SPACE, chunks_of, span_hashes, text_bytes
 
 MAGIC = b"QTOK"
@@ -278,13 +278,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, key: str = "doc_id",
     width = np.uint16 if vocabulary <= 1 << 16 else np.uint32
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    tokens = cut(ordered.mapInArrow(_tokenize(tokenizer_path), _CHUNKS))
+    tokens = cut(ordered.mapInArrow(tidy(_tokenize(tokenizer_path)), _CHUNKS))
     counts = np.zeros(vocabulary, np.int64)
-    for row in tokens.mapInArrow(_count(vocabulary, width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in tokens.mapInArrow(tidy(_count(vocabulary, width)), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]
     lengths = huffman.code_lengths(counts)
     folder = new_folder(docs.sparkSession, "token-files")
-    files = cut(tokens.mapInArrow(_write(folder, lengths, huffman.canonical_codes(lengths), width), "part int, number int, file string, n_ids long"))
+    files = tokens.mapInArrow(tidy(_write(folder, lengths, huffman.canonical_codes(lengths), width)), "part int, number int, file string, n_ids long")
     listed = sorted(files.collect(), key=lambda r: (r["part"], r["number"]))  # a row for each file of FILE_IDS ids or partition
     base, rows = 0, []
     for r in listed:
@@ -295,7 +295,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, key: str = "doc_id",
 
 def read_token_files(folder: str, files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian, 4 bytes each) of each document, decoded from the files."""
-    return files.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism), "file").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids binary")
+    return files.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism), "file").mapInArrow(tidy(_read(folder)), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def encoded_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:

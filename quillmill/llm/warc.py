@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.storage import AtomicFile, cut, keep, new_folder, open_filesystem
+from quillmill.llm.storage import AtomicFile, cut, keep, new_folder, open_filesystem, tidy
 from quillmill.llm.words import chunks_of
 
 #: Fixed values of the format.
@@ -162,7 +162,7 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "20
     later = keys.filter("shared").join(first.select("sha", "refers_to"), "sha").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).dropDuplicates(["page_id", "sha"])
     named = slim.withColumn("sha", F.sha1(html.cast("binary"))).alias("p").join(later.alias("l"), F.col("p.page_id").eqNullSafe(F.col("l.page_id")) & (F.col("p.sha") == F.col("l.sha")), "left")
     folder = new_folder(pages.sparkSession, "warc")
-    return folder, cut(named.select("p.page_id", "url", "html", "refers_to", F.lit(None).cast("string").alias("refers_url"), F.lit(0).alias("low"), F.lit(1).alias("high")).mapInArrow(_write(folder, date, False), "file string"))
+    return folder, cut(named.select("p.page_id", "url", "html", "refers_to", F.lit(None).cast("string").alias("refers_url"), F.lit(0).alias("low"), F.lit(1).alias("high")).mapInArrow(tidy(_write(folder, date, False)), "file string"))
 
 
 #: Copies of a row that one task writes in a go.
@@ -193,12 +193,12 @@ def _write_each(pages: DataFrame, min_revisit_bytes: int, date: str) -> tuple[st
     many = many.select(*plain, "n", "sha", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("low"))
     many = many.repartition("page_id", "url", "sha", "low").select(*plain, "low", F.least(F.col("low") + COPIES, F.col("n")).alias("high"))
     folder = new_folder(pages.sparkSession, "warc")
-    return folder, cut(once.unionByName(many).mapInArrow(_write(folder, date, True), "file string"))
+    return folder, cut(once.unionByName(many).mapInArrow(tidy(_write(folder, date, True)), "file string"))
 
 
 def read_records(folder: str, files: DataFrame) -> DataFrame:
     """A row for each record of the archives, payloads left out."""
-    return files.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism), "file").mapInArrow(_read(folder), _RECORDS_DDL)
+    return files.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism), "file").mapInArrow(tidy(_read(folder)), _RECORDS_DDL)
 
 
 def assemble(records: DataFrame) -> DataFrame:

@@ -310,9 +310,14 @@ def paging(spark, d):
     return page(table(spark, d, "orders"), ORDERS["created_desc"]({"created": "o_orderdate", "id": "o_orderkey"}), 3, 25).select("o_orderkey", "o_orderstatus")
 
 
-@query("src17_schema_fingerprint")
+TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
+
+
+@query("src17_schema_fingerprint", f"""
+  WITH c AS (SELECT table_name || '.' || column_name || ':' || CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE lower(data_type) END AS entry
+    FROM information_schema.columns WHERE table_name IN ({", ".join(repr(t) for t in TABLES)}))
+  SELECT count(*)::BIGINT AS columns, sha256(string_agg(entry, chr(10) ORDER BY entry)) AS fingerprint FROM c""")
 def schema_fingerprint(spark, d):
     """A digest of all `table.column:type` lines in order: it changes exactly when a schema does."""
-    names = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
-    rows = [(f"{n}.{c}:{t}",) for n in names for c, t in table(spark, d, n).dtypes]
+    rows = [(f"{n}.{c}:{t}",) for n in TABLES for c, t in table(spark, d, n).dtypes]
     return spark.createDataFrame(rows, "entry string").agg(F.count("*").alias("columns"), F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), "\n"), 256).alias("fingerprint"))

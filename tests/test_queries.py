@@ -79,6 +79,45 @@ def test_upsert_and_insert_absent(spark):
     assert sorted(map(tuple, incremental.insert_absent(old, new, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "d")]
 
 
+def test_bootstrap_from_counts(spark):
+    """The interval from counted outcomes is the normal one, and that of redrawing rows one by one, but for chance."""
+    from quillmill.functions.statistics import bootstrap
+    from quillmill.operators.evaluation import bootstrap_means
+
+    rows = [("a", int(i % 10 < 7)) for i in range(400)] + [("b", 1)] * 5 + [("c", i % 3) for i in range(300)]
+    frame = spark.createDataFrame(rows, "g string, v int")
+    got = {r["g"]: r for r in bootstrap_means(frame, "g", "v", 1000).collect()}
+    again = {r["g"]: r for r in bootstrap_means(frame.repartition(7), "g", "v", 1000).collect()}
+    assert got == again and (got["b"]["low"], got["b"]["high"]) == (1.0, 1.0)
+    for g in ("a", "c"):
+        values = [float(v) for n, v in rows if n == g]
+        mean = sum(values) / len(values)
+        half = 1.96 * (sum((v - mean) ** 2 for v in values) / len(values) ** 2) ** 0.5
+        _, low, high = bootstrap(values, 1000)
+        assert got[g]["mean"] == pytest.approx(mean) and abs(got[g]["low"] - (mean - half)) < 0.02 and abs(got[g]["high"] - (mean + half)) < 0.02
+        assert abs(got[g]["low"] - low) < 0.02 and abs(got[g]["high"] - high) < 0.02
+
+
+def test_upkeep_refuses_what_does_not_fit(spark):
+    from quillmill.operators import upkeep
+
+    points = spark.createDataFrame([(1, [0.0, 1.0])], "position long, embedding array<double>")
+    with pytest.raises(ValueError):
+        upkeep.checked_dimension(points, 3)
+    with pytest.raises(ValueError):
+        upkeep.index_load(spark.createDataFrame([(1, "a"), (2, "b")], "position long, text string"), points)
+    assert upkeep.checked_dimension(points, 2).count() == 1
+
+
+def test_names_are_resolved_exactly_or_by_containment(spark):
+    from quillmill.operators.relational import resolve_names
+
+    names = spark.createDataFrame([("Big House",), ("House",), ("big",), ("ab",), ("Zed",), ("",)], "name string")
+    said = spark.createDataFrame([(" house ",), ("the big house of x",), ("bi",), ("cab",), ("zedd",), ("q",), ("",)], "mention string")
+    got = {r["mention"]: r["name"] for r in resolve_names(said, names).collect()}
+    assert got == {" house ": "House", "the big house of x": "Big House", "bi": "Big House", "cab": "ab", "zedd": "Zed", "q": None, "": None}
+
+
 def test_streams_have_all_windows_of_the_batch(spark, data):
     for name in ("tumbling", "sessions"):
         batch, stream = ([tuple(r) for r in registry.QUERIES[f"str_{name}_{kind}"](spark, data).collect()] for kind in ("batch", "stream"))

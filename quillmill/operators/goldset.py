@@ -275,3 +275,31 @@ def live_evaluation(spark, d):
     indexed = F.col("gold_doc").isNull() | F.col("known").isNotNull()
     stage = F.when(F.col("gold_doc").isNull(), "control").when(~indexed, "not_indexed").when(F.col("first_rank").isNull(), "retrieval_miss").otherwise("retrieved")
     return rows.select("query_id", indexed.alias("indexed"), F.when(F.col("gold_doc").isNull(), "none").when(F.col("first_rank").isNull(), "miss").otherwise("hit").alias("recall"), F.coalesce("first_rank", F.lit(0)).alias("first_rank"), stage.alias("stage"))
+
+
+def article_hits(gold: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, articles, found, first_rank): how many of a question's gold articles (query_id, doc_id, article) are among its hits
+    (query_id, doc_id, article, rank), and the best rank of any; 0 if none is. Articles are compared composed and trimmed."""
+    from quillmill.functions.text import nfc
+
+    key = lambda f: f.withColumn("key", F.trim(nfc("article"))).drop("article")
+    wanted = key(gold).distinct()
+    met = wanted.join(key(hits), ["query_id", "doc_id", "key"]).groupBy("query_id", "doc_id", "key").agg(F.min("rank").alias("rank"))
+    found = met.groupBy("query_id").agg(F.count("*").alias("found"), F.min("rank").alias("first_rank"))
+    counts = wanted.groupBy("query_id").agg(F.count("*").alias("articles")).join(found, "query_id", "left")
+    return counts.select("query_id", "articles", F.coalesce("found", F.lit(0)).cast("bigint").alias("found"), F.coalesce("first_rank", F.lit(0)).alias("first_rank"))
+
+
+@query("joi16_article_hits", """
+  WITH g AS (SELECT DISTINCT c_custkey AS query_id, (c_nationkey + i) % 9 AS doc_id, (c_custkey + i) % 5 AS article FROM (SELECT *, unnest(range(0, 3)) AS i FROM customer)),
+  h AS (SELECT o_custkey AS query_id, o_orderkey % 9 AS doc_id, floor(o_totalprice)::BIGINT % 5 AS article, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
+  m AS (SELECT query_id, doc_id, article, min(rank) AS rank FROM g JOIN h USING (query_id, doc_id, article) WHERE rank <= 12 GROUP BY 1, 2, 3)
+  SELECT query_id, count(*)::BIGINT AS articles, count(rank)::BIGINT AS found, coalesce(min(rank), 0)::INTEGER AS first_rank FROM g LEFT JOIN m USING (query_id, doc_id, article) GROUP BY query_id""")
+def article_hits_query(spark, d):
+    """Three gold articles a question; the hits' articles are spelled with marks apart and blanks around."""
+    spelled = lambda n, apart: F.concat(F.lit(" e\u0301t" if apart else "\u00e9t"), n.cast("string"), F.lit(" " if apart else ""))
+    c = table(spark, d, "customer").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    gold = c.select(F.col("c_custkey").alias("query_id"), ((F.col("c_nationkey") + F.col("i")) % 9).cast("bigint").alias("doc_id"), spelled((F.col("c_custkey") + F.col("i")) % 5, False).alias("article"))
+    ranked = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    hits = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), (F.col("o_orderkey") % 9).alias("doc_id"), spelled(F.floor("o_totalprice") % 5, True).alias("article"), ranked.alias("rank")).filter("rank <= 12")
+    return article_hits(gold, hits)

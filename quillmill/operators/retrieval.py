@@ -302,7 +302,7 @@ def document_vote(spark, d):
     return hits.groupBy("query_id", "label").agg(F.round(F.sum(1 / F.col("rank")), 6).alias("votes"))
 
 
-@query("scr4_scr5_joi16_agg25_recall_curve", f"""
+@query("scr4_scr5_agg25_recall_curve", f"""
   WITH h AS (SELECT r.query_id, min(r.rank) AS first FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {_DENSE} WHERE id <> query_id) r
     JOIN embeddings g ON g.vec_id = r.query_id AND g.label = r.label WHERE r.rank <= 50 GROUP BY 1), q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0)
   SELECT k::INTEGER AS k, round(avg(CASE WHEN first <= k THEN 1.0 ELSE 0.0 END), 4) AS recall, round(avg(CASE WHEN first <= k THEN 1.0 / first ELSE 0.0 END), 4) AS mrr

@@ -34,8 +34,8 @@ SLOTS, LONGEST, LANDMARKS = 1 << 14, 4, 192
 RIDGE = 1e-3
 #: Texts of the training sample in all, and of each language at least.
 SAMPLE, LEAST = 8192, 4
-#: Up to this share of the way from no evidence (0) to the best decision's goal (1) a text is in no learned language.
-REJECT = 0.1
+#: Up to this share of its n-grams beyond chance in common with the nearest landmark a text is in no learned language.
+REJECT = 0.2
 UNDETERMINED = "und"
 _SEEDS = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -75,14 +75,14 @@ class Model:
     sizes: np.ndarray
     weights: np.ndarray
 
-    def values(self, found: np.ndarray) -> np.ndarray:
-        kernel = (found.astype(np.float32) @ self.landmarks) / np.sqrt(np.maximum(found.sum(1), 1)[:, None] * self.sizes[None, :])
-        return kernel @ self.weights[:-1] + self.weights[-1]
-
-    def evidence(self, values: np.ndarray) -> np.ndarray:
-        """How far the best one-versus-rest decision is on the way from a text without any known n-gram to its goal, 1."""
-        none = float(self.weights[-1].max())
-        return (values.max(1) - none) / (1 - none) if none < 0.9 else np.ones(len(values))
+    def look(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each language, and how much more of a text's n-grams the landmark nearest to it has than chance gives it:
+        about 0 for a text in none of the languages, whatever its length, and 1 if all are there."""
+        size = np.maximum(found.sum(1), 1)[:, None]
+        common = found.astype(np.float32) @ self.landmarks
+        kernel = common / np.sqrt(size * self.sizes[None, :])
+        chance = self.sizes[None, :] / SLOTS
+        return kernel @ self.weights[:-1] + self.weights[-1], ((common / size - chance) / (1 - chance + 1e-6)).max(1)
 
     def decide(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the best language and a score in 0 to 1 from the values by a softmax."""
@@ -161,7 +161,7 @@ def has_letter(text: str | None) -> bool:
 
 def _predict(model: Model | None, keep: float | None = None):
     """Rows with their prediction in place of the text; or, with `keep`, the rows in a language as they are: with a letter, and
-    with an evidence over `keep` if there is a model."""
+    with more than `keep` of its n-grams in common with a landmark if there is a model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks_of(batches):
@@ -171,11 +171,11 @@ def _predict(model: Model | None, keep: float | None = None):
                 langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
                 known = np.array([i for i, t in enumerate(texts) if has_letter(t)], np.int64)
                 if model and len(known):
-                    values = model.values(np.stack([presence(texts[i].encode()) for i in known]))
+                    values, common = model.look(np.stack([presence(texts[i].encode()) for i in known]))
                     best, score = model.decide(values)
                     for i, b, s in zip(known, best, score, strict=True):
                         langs[i], scores[i] = model.languages[b], float(s)
-                    known = known[model.evidence(values) > keep] if keep is not None else known
+                    known = known[common > keep] if keep is not None else known
                 if keep is not None:
                     yield part.take(pa.array(known))
                     continue
@@ -204,7 +204,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def drop_undetermined(docs: DataFrame, reject: float = REJECT) -> DataFrame:
-    """The documents in a language: their text has a letter, and the classifier's evidence for its best language is over `reject`.
+    """The documents in a language: their text has a letter, and the share of its n-grams in common with the classifier's nearest landmark is over `reject`.
     Each row is judged by its own text, whatever its doc_id; without labels to learn from, a text with a letter stays."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")

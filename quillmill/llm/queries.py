@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import decontaminate, language_id, line_dedup, media, merkle, mixing, near_dedup, sharding, suffix_dedup, token_files, warc
+from quillmill.llm import decontaminate, exact_search, hard_negatives, language_id, line_dedup, media, merkle, mixing, near_dedup, sharding, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_decontaminate": decontaminate.query,
     "op10_sharding": sharding.query,
     "op11_merkle": merkle.query,
+    "op12_hard_negatives": hard_negatives.query,
+    "op13_exact_top_k": exact_search.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -76,4 +78,24 @@ ORACLE_SQL: dict[str, str] = {
                  list_reduce(list_prepend({'l': '', 'r': coalesce(d.tampered, d.leaf)}, coalesce(p.path, [])), lambda acc, x: {'l': '', 'r': sha256(x.l || acc.r || x.r)}).r AS folded_root
           FROM leaves d JOIN subroots t ON d.lang IS NOT DISTINCT FROM t.lang LEFT JOIN proofs p ON p.rid = d.rid)
         SELECT *, folded_root = root AS verified FROM done""",
+    "op12_hard_negatives": r"""
+        WITH v AS (
+          SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+          FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same, list_dot_product(a.e, o.e)::BIGINT AS score
+          FROM v a JOIN v o ON a.vec_id % 100 = 0 AND a.vec_id <> o.vec_id),
+        p AS (
+          SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+               s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+        QUALIFY rank <= 10""",
+    "op13_exact_top_k": r"""
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e
+          FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM (
+          SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+        QUALIFY rank <= 20""",
 }

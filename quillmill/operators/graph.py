@@ -9,27 +9,19 @@ from quillmill.functions.identity import entity_id, folded, relation_type
 from quillmill.functions.text import has_any
 from quillmill.plans.checkpoints import cut
 from quillmill.registry import query
-from quillmill.sources.tables import table
+from quillmill.sources.tables import dealt, table
 
 
 def merge_entities(mentions: DataFrame) -> DataFrame:
     """(name, kind, description, doc, chunk, seq) by folded name: first name and kind, the longest description (the first
-    of equals), and the numbers of distinct documents, of (document, chunk) places and of mentions. Repeated places are
-    merged before, so that an entity of very many mentions is summed up from its places. `entity_places` lists these."""
-    longest = lambda order: F.max_by("description", F.struct(F.length("description"), -F.col(order)))
-    key = F.lower(folded(F.col("name"))).alias("key")
-    place = mentions.groupBy(key, "doc", "chunk").agg(
-        F.min_by("name", "seq").alias("name"), F.min_by("kind", "seq").alias("kind"), longest("seq").alias("description"),
-        F.min_by("seq", F.struct(-F.length("description"), "seq")).alias("said"), F.min("seq").alias("seq"), F.count("*").alias("mentions"),
-    )
-    document = place.groupBy("key", "doc").agg(
-        F.min_by("name", "seq").alias("name"), F.min_by("kind", "seq").alias("kind"), F.max_by("description", F.struct(F.length("description"), -F.col("said"))).alias("description"),
-        F.min_by("said", F.struct(-F.length("description"), "said")).alias("said"), F.min("seq").alias("seq"), F.sum("mentions").alias("mentions"), F.count("*").alias("places"),
-    )
-    return document.groupBy("key").agg(
-        F.min_by("name", "seq").alias("name"), F.min_by("kind", "seq").alias("kind"), F.max_by("description", F.struct(F.length("description"), -F.col("said"))).alias("description"),
-        F.count("*").alias("docs"), F.sum("places").alias("places"), F.sum("mentions").alias("mentions"),
+    of equals), and the numbers of distinct documents, of (document, chunk) places and of mentions. Texts are merged on the
+    map side, and places are counted apart as numbers, so that no entity's rows are gathered. `entity_places` lists the places."""
+    named = mentions.withColumn("key", F.lower(folded(F.col("name"))))
+    said = named.groupBy("key").agg(
+        F.min_by("name", "seq").alias("name"), F.min_by("kind", "seq").alias("kind"), F.max_by("description", F.struct(F.length("description"), -F.col("seq"))).alias("description"), F.count("*").alias("mentions"),
     )
+    placed = named.groupBy("key", "doc", "chunk").agg(F.lit(1).alias("one")).groupBy("key", "doc").agg(F.count("*").alias("places")).groupBy(F.col("key").alias("of")).agg(F.count("*").alias("docs"), F.sum("places").alias("places"))
+    return said.join(placed, F.col("key").eqNullSafe(F.col("of"))).select("key", "name", "kind", "description", "docs", "places", "mentions")
 
 
 def entity_places(mentions: DataFrame) -> DataFrame:
@@ -82,7 +74,7 @@ def search_entities(entities: DataFrame, words: list[str], limit: int) -> DataFr
 
 def _mentions(spark, d: str) -> DataFrame:
     """Parts as entities that lines mention; the supplier stands for the document."""
-    lines = table(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").alias("doc"), F.col("l_linenumber").alias("chunk"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    lines = dealt(table(spark, d, "lineitem")).select("l_partkey", F.col("l_suppkey").alias("doc"), F.col("l_linenumber").alias("chunk"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     return lines.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("p_brand").alias("name"), F.col("p_type").alias("kind"), F.col("p_name").alias("description"), "doc", "chunk", "seq"
     )

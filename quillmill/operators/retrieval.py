@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.lexical import TOKEN, articles, bigrams, document_ids, tokens
 from quillmill.functions.vectors import cosine
+from quillmill.operators import inverted_index
 from quillmill.plans.checkpoints import bounded, cut
 from quillmill.registry import query
 from quillmill.sources.tables import table
@@ -178,6 +179,10 @@ _BM25 = f"""{_TOKENS}, {_TERMS}, q AS (SELECT query_id, token, count(*) AS qf FR
     FROM tf JOIN q USING (token) JOIN df USING (token) JOIN len ON len.id = tf.id, s GROUP BY 1, 2)"""
 
 
+def _index(spark, d: str) -> inverted_index.Index:
+    return inverted_index.stored_index(spark, d, "documents", "doc_id", "text")
+
+
 def _questions(spark, d: str) -> DataFrame:
     """Each benchmark item as a question."""
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -185,8 +190,7 @@ def _questions(spark, d: str) -> DataFrame:
 
 @query("lex3_lex5_bm25", f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm) WHERE rank <= 10")
 def bm25_query(spark, d):
-    scored = bm25(_questions(spark, d), table(spark, d, "documents"), "doc_id", "text").withColumn("order", F.round("score", 9))
-    return top_k(scored, 10, F.desc("order"), F.col("id")).select("query_id", "id", F.round("score", 6).alias("score"))
+    return inverted_index.search(_questions(spark, d), _index(spark, d), 10).best.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 _ALL = r"""two AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS terms FROM benchmark),
@@ -196,7 +200,7 @@ _ALL = r"""two AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(
 @query("lex1_lex4_top4_all_terms", f"""WITH {_TOKENS}, {_ALL}
   SELECT query_id, tf.id, round(sum(tf / (1 + ln(1 + length))), 6) AS score FROM tf JOIN q2 USING (token) JOIN len ON len.id = tf.id GROUP BY query_id, tf.id, need HAVING count(*) = need""")
 def all_terms_query(spark, d):
-    return all_terms(_questions(spark, d), table(spark, d, "documents"), "doc_id", "text").withColumn("score", F.round("score", 6))
+    return inverted_index.matches(_questions(spark, d), _index(spark, d)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def title_boosts(questions: DataFrame, titles: DataFrame) -> DataFrame:
@@ -263,10 +267,9 @@ def hybrid(spark, d):
     """Dense and lexical candidates, four times as many as wanted from each side, fused with boosts for the documents and
     articles that the question's text names."""
     questions = signalled_questions(spark, d)
-    order = lambda f: f.withColumn("order", F.round("score", 9))
     items = questions.select("query_id").join(table(spark, d, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
     dense = cut(dense_top_k(items, _vectors(spark, d).drop("label"), 12 * CANDIDATES, F.desc(F.round("score", 9)), F.col("id")))
-    lexical = cut(top_k(order(bm25(questions, table(spark, d, "documents"), "doc_id", "text")), 12 * CANDIDATES, F.desc("order"), F.col("id")))
+    lexical = cut(inverted_index.search(questions, _index(spark, d), 12 * CANDIDATES).best)
     named = dense.select("query_id", "id").union(lexical.select("query_id", "id")).distinct()
     boosts = signal_boosts(questions, named.select("query_id", "id", *[c.alias(n) for n, c in chunk_metadata(F.col("id")).items()]))
     fused = fuse(dense, lexical, boosts, limit=0)
@@ -280,19 +283,19 @@ def hybrid(spark, d):
   SELECT backend, query_id, id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY backend, query_id ORDER BY round(score, 9) DESC, id) AS rank FROM u) WHERE rank <= 3""")
 def backends(spark, d):
     """The same questions by each of the single backends, for comparison."""
-    questions, docs = _questions(spark, d), table(spark, d, "documents")
+    questions, index = _questions(spark, d), _index(spark, d)
     best = lambda f: top_k(f, 3, F.desc(F.round("score", 9)), F.col("id"))
     items = questions.select("query_id").join(table(spark, d, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
-    found = {"bm25": best(bm25(questions, docs, "doc_id", "text")), "all_terms": best(all_terms(questions, docs, "doc_id", "text")), "dense": dense_top_k(items, _vectors(spark, d), 3, F.desc(F.round("score", 9)), F.col("id"))}
+    found = {"bm25": inverted_index.search(questions, index, 3).best, "all_terms": best(inverted_index.matches(questions, index)), "dense": dense_top_k(items, _vectors(spark, d), 3, F.desc(F.round("score", 9)), F.col("id"))}
     each = [f.select(F.lit(name).alias("backend"), "query_id", "id", "rank") for name, f in found.items()]
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query("hyb6_win3_max_normalised", f"WITH {_BM25} SELECT query_id, id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 5")
 def max_normalised(spark, d):
-    scored = bm25(_questions(spark, d), table(spark, d, "documents"), "doc_id", "text")
-    scored = scored.withColumn("share", F.col("score") / F.max("score").over(Window.partitionBy("query_id"))).withColumn("order", F.round("score", 9))
-    return top_k(scored, 5, F.desc("order"), F.col("id")).select("query_id", "id", F.round("share", 6).alias("score"))
+    best = inverted_index.search(_questions(spark, d), _index(spark, d), 5).best
+    share = F.col("score") / F.max("score").over(Window.partitionBy("query_id"))
+    return best.select("query_id", "id", F.round(share, 6).alias("score"))
 
 
 @query("win11_document_vote", f"""

@@ -12,13 +12,13 @@ from pyspark.sql import types as T
 from quillmill.functions import dates, facts, lexical, masking, text
 from quillmill.functions.language import language_by_script
 from quillmill.registry import query
-from quillmill.sources.tables import table
+from quillmill.sources.tables import dealt, table
 
 
 @query("txt3_fixed_windows", """
   SELECT doc_id, i::INTEGER AS chunk_index, md5(substr(text, i * 900 + 1, 1000)) AS chunk FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 900 + 1)) AS i FROM documents WHERE length(text) > 0)""")
 def fixed_windows(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(text.fixed_windows(F.col("text"), 1000, 100)).alias("chunk_index", "piece"))
+    docs = dealt(table(spark, d, "documents")).select("doc_id", F.posexplode(text.fixed_windows(F.col("text"), 1000, 100)).alias("chunk_index", "piece"))
     return docs.select("doc_id", "chunk_index", F.md5("piece").alias("chunk"))
 
 
@@ -27,14 +27,14 @@ def fixed_windows(spark, d):
     FROM (SELECT doc_id, text, unnest(range(0, greatest(0, ceil((length(text) - 1200) / 1100))::BIGINT + 1)) AS i FROM documents))
   SELECT doc_id, md5(piece) AS chunk, length(piece)::BIGINT AS size FROM p WHERE length(piece) > 0""")
 def window_pieces(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.explode(text.window_pieces(F.col("text"), 1200, 100)).alias("piece"))
+    docs = dealt(table(spark, d, "documents")).select("doc_id", F.explode(text.window_pieces(F.col("text"), 1200, 100)).alias("piece"))
     return docs.select("doc_id", F.md5("piece").alias("chunk"), F.length("piece").cast("bigint").alias("size"))
 
 
 @query("txt1_txt2_paragraph_chunks")
 def paragraph_chunks(spark, d):
     """Greedy packing depends on all that came before it, which SQL can't express; tests hold it against the stated rules."""
-    docs = table(spark, d, "documents").select("doc_id", text.paragraph_chunks(F.col("text"), 1000, 100).alias("chunks"))
+    docs = dealt(table(spark, d, "documents")).select("doc_id", text.paragraph_chunks(F.col("text"), 1000, 100).alias("chunks"))
     return docs.select("doc_id", F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("chunk_index", "chunk"))
 
 
@@ -42,19 +42,19 @@ def paragraph_chunks(spark, d):
   SELECT doc_id, CASE WHEN length(text) > 0 THEN greatest(1, length(text) // 500) ELSE 0 END::BIGINT AS chunks,
     CASE WHEN length(t) > 30 THEN substr(t, 1, 30) || '...' ELSE t END AS title FROM (SELECT doc_id, text, trim(regexp_replace(text, '[ \t\n\r\x0b\x0c]+', ' ', 'g')) AS t FROM documents)""")
 def estimates_and_titles(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.chunk_estimate(F.col("text")).alias("chunks"), text.short_title(F.col("text")).alias("title"))
+    return dealt(table(spark, d, "documents")).select("doc_id", text.chunk_estimate(F.col("text")).alias("chunks"), text.short_title(F.col("text")).alias("title"))
 
 
 @query("cnv2_cnv7_truncation", """
   SELECT doc_id, CASE WHEN length(t) > 120 THEN rtrim(substr(t, 1, 120)) || '…' ELSE t END AS head, right(text, 80) AS tail FROM (SELECT doc_id, text, trim(text) AS t FROM documents)""")
 def truncation(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.truncated(F.col("text"), 120, "…").alias("head"), F.right("text", F.lit(80)).alias("tail"))
+    return dealt(table(spark, d, "documents")).select("doc_id", text.truncated(F.col("text"), 120, "…").alias("head"), F.right("text", F.lit(80)).alias("tail"))
 
 
 def regulations(spark, d: str) -> DataFrame:
     """Regulations made of the documents: their lines under article heads with dates of revision, one to three addenda with
     dates of their own, and an attachment, under a dated file name."""
-    docs = table(spark, d, "documents").select("doc_id", "source", F.split("text", "\n").alias("lines"))
+    docs = dealt(table(spark, d, "documents")).select("doc_id", "source", F.split("text", "\n").alias("lines"))
     k = F.col("doc_id")
     name = F.format_string("%d-0-%d규정(시행2020.%d.1.).hwp", k % 5 + 1, k, k % 14)
     heads = F.transform("lines", lambda line, i: F.concat(F.lit("제"), (i + 1).cast("string"), F.lit("조(항목)\n"), line, F.format_string(" (개정 %d. 3. %d.)", 2000 + (k + i) % 20, i % 28 + 1)))
@@ -148,7 +148,7 @@ def file_dates(spark, d):
   SELECT doc_id, len(list_filter(found, lambda x: try_strptime(regexp_replace(x, '^(\d{4})\D+(\d{1,2})\D+(\d{1,2})$', '\1-\2-\3'), '%Y-%m-%d') IS NOT NULL))::INTEGER AS n_dates FROM f""")
 def text_dates(spark, d):
     """How many valid dates each document has."""
-    return table(spark, d, "documents").select("doc_id", F.size(dates.dates_in(F.col("text"))).alias("n_dates"))
+    return dealt(table(spark, d, "documents")).select("doc_id", F.size(dates.dates_in(F.col("text"))).alias("n_dates"))
 
 
 @query("dat4_dat6_date_facts", f"""
@@ -268,7 +268,7 @@ def tables_from_html(spark, d):
 @query("msk1_msk2_msk3_masking")
 def masked(spark, d):
     """All seed rules over whole texts. Which texts change is compared with a count in SQL by msk3_pattern_counts."""
-    docs = table(spark, d, "documents").select("doc_id", "text", masking.masker()("text").alias("masked"))
+    docs = dealt(table(spark, d, "documents")).select("doc_id", "text", masking.masker()("text").alias("masked"))
     return docs.filter("text <> masked").select("doc_id", F.md5("masked").alias("masked"), (F.length("text") - F.length("masked")).cast("bigint").alias("shorter"))
 
 
@@ -277,14 +277,14 @@ def masked(spark, d):
     count(*) FILTER (regexp_matches(text, '\d{6}-?\d{7}'))::BIGINT AS residents FROM documents""")
 def pattern_counts(spark, d):
     hits = {name: F.count_if(F.col("text").rlike(pattern)) for name, (_, pattern, _, _) in zip(("students", "phones", "mails", "residents"), masking.MASKING_RULES, strict=True)}
-    return table(spark, d, "documents").agg(*[hits[c].alias(c) for c in ("mails", "phones", "residents")])
+    return dealt(table(spark, d, "documents")).agg(*[hits[c].alias(c) for c in ("mails", "phones", "residents")])
 
 
 @query("msk4_native_mail_mask", r"""
   SELECT doc_id, md5(regexp_replace(text, '([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z]{2,})', '\1****@\2', 'g')) AS masked FROM documents""")
 def native_mail_mask(spark, d):
     """The rule for addresses as a regular expression of the JVM: no Python in the plan."""
-    return table(spark, d, "documents").select("doc_id", F.md5(F.regexp_replace("text", r"([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z]{2,})", "$1****@$2")).alias("masked"))
+    return dealt(table(spark, d, "documents")).select("doc_id", F.md5(F.regexp_replace("text", r"([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z]{2,})", "$1****@$2")).alias("masked"))
 
 
 @query("grd1_mod1_guardrails", r"""

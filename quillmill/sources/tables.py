@@ -7,3 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def dealt(frame: DataFrame) -> DataFrame:
+    """For costly work on each row: a table too small to have a split for each core (one row group, say) is dealt over all cores first.
+    A larger one, by Catalyst's estimate of its size, has enough splits and stays as it is, without an exchange."""
+    spark = frame.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return frame.repartition(cores) if size < cores * split else frame

@@ -18,6 +18,7 @@ language in order. Repeated rows get equal predictions. An empty table gives an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +35,6 @@ SLOTS, LONGEST, LANDMARKS = 1 << 14, 4, 192
 RIDGE = 1e-3
 #: Texts of the training sample in all, and of each language at least.
 SAMPLE, LEAST = 8192, 4
-#: Up to this share of its n-grams beyond chance in common with the nearest landmark a text is in no learned language.
-REJECT = 0.2
 UNDETERMINED = "und"
 _SEEDS = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -203,13 +202,19 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict_language(slim, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def drop_undetermined(docs: DataFrame, reject: float = REJECT) -> DataFrame:
-    """The documents in a language: their text has a letter, and the share of its n-grams in common with the classifier's nearest landmark is over `reject`.
-    Each row is judged by its own text, whatever its doc_id; without labels to learn from, a text with a letter stays."""
+def drop_undetermined(docs: DataFrame, reject: float | None = None) -> DataFrame:
+    """The documents for which the classifier gives a language. By default only those go whose prediction is `und`: without a
+    text, or without a letter in it; a text in a language that it hasn't learned has a prediction and stays.
+
+    With `reject`, from 0 to 1, texts go too whose share of n-grams beyond chance in common with the nearest landmark is not over it: most
+    texts in another script have about 0, texts in a learned language 0.5 and more. This loses texts in languages of which
+    no labels were given. Each row is judged by its own text, whatever its doc_id; without labels to learn from, a text
+    with a letter stays in either case.
+    """
     small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = fit(*training_sample(slim, ~held_out()))
-    return docs.mapInArrow(tidy(_predict(model, keep=reject)), docs.schema)
+    return docs.mapInArrow(tidy(_predict(model, keep=-math.inf if reject is None else reject)), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

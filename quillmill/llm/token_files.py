@@ -27,11 +27,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm import huffman
-from quillmill.llm.storage import AtomicFile, cut, new_folder, open_filesystem, tidy
+from quillmill.llm.storage import AtomicFile, cut, keep, new_folder, open_filesystem, tidy
 from quillmill.llm.words import SPACE, chunks_of, span_hashes, text_bytes
 
 MAGIC = b"QTOK"
@@ -285,12 +285,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, key: str = "doc_id",
     lengths = huffman.code_lengths(counts)
     folder = new_folder(docs.sparkSession, "token-files")
     files = tokens.mapInArrow(tidy(_write(folder, lengths, huffman.canonical_codes(lengths), width)), "part int, number int, file string, n_ids long")
-    listed = sorted(files.collect(), key=lambda r: (r["part"], r["number"]))  # a row for each file of FILE_IDS ids or partition
-    base, rows = 0, []
-    for r in listed:
-        rows.append((r["file"], base, r["n_ids"]))
-        base += r["n_ids"]
-    return folder, docs.sparkSession.createDataFrame(rows, "file string, base long, n_ids long")
+    files = keep(files)  # from here on files are what was written once
+    parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = files.groupBy("part").agg(F.sum("n_ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(parts), F.lit(0)).alias("offset"))
+    before = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    placed = files.withColumn("within", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).join(offsets, "part")
+    return folder, placed.select("file", (F.col("offset") + F.col("within")).alias("base"), "n_ids")
 
 
 def read_token_files(folder: str, files: DataFrame) -> DataFrame:

@@ -82,7 +82,57 @@ def test_sample_is_shared_by_all_languages(spark, make_docs, monkeypatch):
     assert L.fit(found, labels).landmarks.shape[1] == 12
 
 
-def test_stage_rejects_what_no_decision_is_for(spark, make_docs):
-    docs, texts, langs = labelled(make_docs)
-    more = docs.unionByName(make_docs(["これは日本語の文章です。" * 20], [900], langs=[None]))
-    assert {r["doc_id"] for r in L.drop_undetermined(more).collect()} == set(range(len(texts))) - {150, 151, 152}
+FOREIGN = {900: "これは日本語の文章です。" * 20, 901: "Это русский текст", 902: "Αυτό είναι ένα κείμενο"}
+
+
+def test_stage_keeps_unlearned_languages_unless_asked_to_reject(spark, make_docs):
+    docs, texts, _ = labelled(make_docs)
+    more = docs.unionByName(make_docs([*FOREIGN.values()], [*FOREIGN], langs=[None] * 3))
+    lettered = set(range(len(texts))) - {150, 151, 152}
+    assert {r["doc_id"] for r in L.drop_undetermined(more).collect()} == lettered | set(FOREIGN)
+    assert {r["doc_id"] for r in L.drop_undetermined(more, reject=0.2).collect()} == lettered
+
+
+def slots_of(text):
+    """The slots of a text's n-grams, one after the other."""
+    plain = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode()]
+    raw = b" " + bytes(c for i, c in enumerate(plain) if c != 32 or i == 0 or plain[i - 1] != 32) + b" "
+    out = set()
+    for n in range(1, 5):
+        for i in range(len(raw) - n + 1):
+            out.add((int.from_bytes(raw[i : i + n], "big") + (n << 40)) * int(L._SEEDS[n - 1]) % 2**64 >> 50)
+    return out
+
+
+def test_predictions_against_a_plain_computation(spark, make_docs, monkeypatch):
+    """Kernel, landmarks, Nyström features and weighted ridge regression by their definitions, from sets of n-grams."""
+    monkeypatch.setattr(L, "LANDMARKS", 12)
+    docs, texts, langs = labelled(make_docs, 90)
+    sample = [(r["lang"], r["rank"], r["text"]) for r in L.sample_texts(docs, ~L.held_out()).collect() if L.has_letter(r["text"])]
+    sample.sort(key=lambda r: (r[1], r[0]))
+    names, sets, own = sorted({r[0] for r in sample}), [], []
+    for _, _, text in sample:
+        found = slots_of(text)
+        assert found == set(np.flatnonzero(L.presence(text.encode())).tolist())
+        sets.append(found)
+    marks, turn = [], {}
+    for k, (lang, _, _) in enumerate(sample):
+        turn[k] = sum(1 for x in sample[:k] if x[0] == lang)
+    marks = [sets[k] for k in sorted(range(len(sample)), key=lambda k: turn[k])[:12]]
+    kernel = lambda a, b: len(a & b) / (max(len(a), 1) * max(len(b), 1)) ** 0.5
+    power, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    root = vectors @ np.diag(np.maximum(power, 1e-6) ** -0.5) @ vectors.T
+    features = lambda s: np.append(np.array([kernel(s, m) for m in marks]) @ root, 1.0)
+    x = np.array([features(s) for s in sets])
+    weight = np.array([len(sample) / (len(names) * sum(1 for y in sample if y[0] == lang)) for lang, _, _ in sample])
+    penalty = np.diag([L.RIDGE * len(sample)] * 12 + [0.0])
+    rules = [np.linalg.solve(x.T @ (x * weight[:, None]) + penalty, x.T @ (weight * np.array([1.0 if lang == name else -1.0 for lang, _, _ in sample]))) for name in names]
+    for r in L.identify(docs).collect():
+        text = texts[r["doc_id"]]
+        if not L.has_letter(text):
+            own.append(r["lang_pred"])
+            continue
+        values = np.array([features(slots_of(text)) @ w for w in rules])
+        assert r["lang_pred"] == names[int(values.argmax())]
+        assert abs(r["score"] - 1 / np.exp(4 * (values - values.max())).sum()) < 2e-3
+    assert own == ["und"] * 3

@@ -88,15 +88,19 @@ def answer_value(text: Column) -> Column:
 
 
 def flatten_json(value, path: str = "") -> dict[str, str]:
-    """Nested objects as dotted paths; lists stay whole, as JSON."""
+    """Nested objects as dotted paths, list items by their index: a[0].b. Empty lists and objects stay as they are."""
     import json
 
+    inner: list[tuple[str, object]] = []
     if isinstance(value, dict):
-        out: dict[str, str] = {}
-        for k in sorted(value):
-            out |= flatten_json(value[k], f"{path}.{k}" if path else str(k))
-        return out
-    return {path: json.dumps(value, sort_keys=True, ensure_ascii=False) if isinstance(value, (list, bool)) or value is None else str(value)}
+        inner = [(f"{path}.{k}" if path else str(k), value[k]) for k in sorted(value)]
+    elif isinstance(value, list):
+        inner = [(f"{path}[{i}]", v) for i, v in enumerate(value)]
+    if inner:
+        return {p: x for at, v in inner for p, x in flatten_json(v, at).items()}
+    if value == {} and not path:
+        return {}
+    return {path: json.dumps(value, sort_keys=True, ensure_ascii=False) if isinstance(value, (list, dict, bool)) or value is None else str(value)}
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))

@@ -258,18 +258,19 @@ def judge_batches_query(spark, d):
 
 
 @query("sup17_live_evaluation", """
-  WITH q AS (SELECT c_custkey AS query_id, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_nationkey % 30 END AS gold_doc FROM customer),
-  hits AS (SELECT o_custkey AS query_id, o_orderkey % 25 AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
+  WITH q AS (SELECT c_custkey AS query_id, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_nationkey END AS gold_doc FROM customer), live AS (SELECT DISTINCT s_nationkey AS doc_id FROM supplier WHERE s_acctbal > 8000),
+  hits AS (SELECT o_custkey AS query_id, o_orderkey % 25 AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders WHERE o_orderkey % 25 IN (SELECT doc_id FROM live)),
   h AS (SELECT q.query_id, min(rank) FILTER (hits.doc_id = q.gold_doc) AS first FROM q LEFT JOIN hits ON hits.query_id = q.query_id AND rank <= 12 GROUP BY 1)
-  SELECT query_id, gold_doc IS NULL OR gold_doc < 25 AS indexed, CASE WHEN gold_doc IS NULL THEN 'none' WHEN first IS NULL THEN 'miss' ELSE 'hit' END AS recall, coalesce(first, 0)::INTEGER AS first_rank,
-    CASE WHEN gold_doc IS NULL THEN 'control' WHEN gold_doc >= 25 THEN 'not_indexed' WHEN first IS NULL THEN 'retrieval_miss' ELSE 'retrieved' END AS stage FROM q JOIN h USING (query_id)""")
+  SELECT query_id, gold_doc IS NULL OR gold_doc IN (SELECT doc_id FROM live) AS indexed, CASE WHEN gold_doc IS NULL THEN 'none' WHEN first IS NULL THEN 'miss' ELSE 'hit' END AS recall, coalesce(first, 0)::INTEGER AS first_rank,
+    CASE WHEN gold_doc IS NULL THEN 'control' WHEN gold_doc NOT IN (SELECT doc_id FROM live) THEN 'not_indexed' WHEN first IS NULL THEN 'retrieval_miss' ELSE 'retrieved' END AS stage FROM q JOIN h USING (query_id)""")
 def live_evaluation(spark, d):
     """What an evaluation run over a live index notes of each question: whether its gold document is indexed at all (questions
     without one are controls and count as indexed), whether and where it is found, and the stage that this leaves it in."""
-    gold = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.when(F.col("c_custkey") % 6 != 0, F.col("c_nationkey") % 30).cast("bigint").alias("gold_doc"))
+    gold = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.when(F.col("c_custkey") % 6 != 0, F.col("c_nationkey")).cast("bigint").alias("gold_doc"))
+    live = table(spark, d, "supplier").filter("s_acctbal > 8000").select(F.col("s_nationkey").cast("bigint").alias("doc_id")).distinct()
     ranked = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    hits = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), (F.col("o_orderkey") % 25).alias("doc_id"), ranked.alias("rank")).filter("rank <= 12")
-    coverage = hits.select(F.col("doc_id").alias("gold_doc")).unionByName(spark.range(25).select(F.col("id").alias("gold_doc"))).distinct().withColumn("known", F.lit(True))
+    hits = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), (F.col("o_orderkey") % 25).alias("doc_id"), "o_totalprice", "o_orderkey", "o_custkey").join(live, "doc_id", "left_semi").select("query_id", "doc_id", ranked.alias("rank")).filter("rank <= 12")
+    coverage = live.select(F.col("doc_id").alias("gold_doc"), F.lit(True).alias("known"))
     first = hits.join(gold, (hits["query_id"] == gold["query_id"]) & (F.col("doc_id") == F.col("gold_doc"))).groupBy(gold["query_id"]).agg(F.min("rank").alias("first_rank"))
     rows = gold.join(first, "query_id", "left").join(coverage, "gold_doc", "left")
     indexed = F.col("gold_doc").isNull() | F.col("known").isNotNull()

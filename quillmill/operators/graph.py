@@ -113,11 +113,11 @@ def component_sizes(spark, d):
 
 
 @query("gra2_entity_search", """
-  WITH m AS (SELECT p_brand AS name, min(p_name) AS description, count(*) AS mentions FROM part GROUP BY 1)
-  SELECT name, mentions::BIGINT AS mentions FROM m WHERE contains(lower(name), '#1') OR contains(lower(description), 'steel') ORDER BY mentions DESC, name LIMIT 10""")
+  WITH m AS (SELECT p_brand AS name, arg_min(p_name, p_partkey) AS description, count(*) AS mentions FROM part GROUP BY 1)
+  SELECT name, description, mentions::BIGINT AS mentions FROM m WHERE contains(lower(name), '#2') OR contains(lower(description), 'gear') ORDER BY mentions DESC, name LIMIT 10""")
 def entity_search(spark, d):
-    entities = table(spark, d, "part").groupBy(F.col("p_brand").alias("name")).agg(F.min("p_name").alias("description"), F.count("*").alias("mentions")).withColumn("key", F.col("name"))
-    return search_entities(entities, ["#1", "STEEL"], 10).select("name", "mentions")
+    entities = table(spark, d, "part").groupBy(F.col("p_brand").alias("name")).agg(F.min_by("p_name", "p_partkey").alias("description"), F.count("*").alias("mentions")).withColumn("key", F.col("name"))
+    return search_entities(entities, ["#2", "GEAR"], 10).select("name", "description", "mentions")
 
 
 def graph_search(entities: DataFrame, edges: DataFrame, communities: DataFrame, named: list[str], said: str, limit: int) -> DataFrame:

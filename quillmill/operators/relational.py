@@ -79,11 +79,11 @@ def payload_merge(spark, d):
 
 
 @query("flt7_flt9_in_and_contains", """
-  SELECT p_partkey, p_name, p_brand FROM part WHERE (contains(p_type, 'STEEL') OR contains(p_type, 'BRASS')) AND p_size IN (1, 5, 9)
+  SELECT p_partkey, p_name, p_brand FROM part WHERE (contains(p_type, 'ECON') OR contains(p_type, 'PRO')) AND p_size IN (1, 5, 9)
     AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50 AND l_partkey IS NOT NULL)""")
 def in_and_contains(spark, d):
     used = table(spark, d, "lineitem").filter("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey"))
-    parts = table(spark, d, "part").filter(any_value(F.col("p_type"), ["STEEL", "BRASS"], contains=True) & any_value(F.col("p_size"), [1, 5, 9]))
+    parts = table(spark, d, "part").filter(any_value(F.col("p_type"), ["ECON", "PRO"], contains=True) & any_value(F.col("p_size"), [1, 5, 9]))
     return parts.join(used, "p_partkey", "left_anti").select("p_partkey", "p_name", "p_brand")
 
 
@@ -259,11 +259,13 @@ def config_diff(spark, d):
 
 @query("joi20_cross_store_counts", """
   SELECT l.source, n_docs::BIGINT AS n_docs, coalesce(n_labels, 0)::BIGINT AS n_labels, n_docs = coalesce(n_labels, 0) AS equal
-  FROM (SELECT source, count(*) AS n_docs FROM documents GROUP BY 1) l LEFT JOIN (SELECT source, count(*) AS n_labels FROM documents JOIN labels USING (doc_id) GROUP BY 1) r ON l.source = r.source""")
+  FROM (SELECT source, count(*) AS n_docs FROM documents WHERE doc_id % 30 = 0 OR doc_id IN (SELECT doc_id FROM labels) GROUP BY 1) l LEFT JOIN (SELECT source, count(*) AS n_labels FROM documents JOIN labels USING (doc_id) GROUP BY 1) r ON l.source = r.source""")
 def cross_store_counts(spark, d):
+    """Of each source, what one store holds (labelled documents and every thirtieth) beside what the other one does (labelled ones)."""
     docs = table(spark, d, "documents").select("doc_id", "source")
-    left = docs.groupBy("source").agg(F.count("*").alias("n_docs"))
-    right = docs.join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(F.count("*").alias("n_labels"))
+    labels = table(spark, d, "labels").select("doc_id")
+    left = docs.join(labels.distinct().withColumn("labelled", F.lit(True)), "doc_id", "left").filter("labelled OR doc_id % 30 = 0").groupBy("source").agg(F.count("*").alias("n_docs"))
+    right = docs.join(labels, "doc_id").groupBy("source").agg(F.count("*").alias("n_labels"))
     joined = left.join(right, "source", "left").withColumn("n_labels", F.coalesce("n_labels", F.lit(0)).cast("bigint"))
     return joined.select("source", "n_docs", "n_labels", (F.col("n_docs") == F.col("n_labels")).alias("equal"))
 

@@ -32,11 +32,13 @@ def addenda(spark, d):
 
 
 @query("agg30_date_selftest", f"""
-  WITH a AS (SELECT doc_id, count(*) AS n, arg_max(enforced, i) AS last FROM {_ADDENDA} GROUP BY 1), f AS (SELECT doc_id, CASE WHEN doc_id % 14 BETWEEN 1 AND 12 THEN '2020-' || lpad((doc_id % 14)::VARCHAR, 2, '0') || '-01' END AS file_date FROM documents)
+  WITH a AS (SELECT doc_id, count(*) AS n, arg_max(enforced, i) AS last FROM {_ADDENDA} GROUP BY 1), f AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN make_date((2012 + doc_id % 3)::INTEGER, ((doc_id + doc_id % 3 + 1) % 12 + 1)::INTEGER, ((doc_id * 3 + doc_id % 3 + 1) % 28 + 1)::INTEGER)::VARCHAR WHEN doc_id % 14 BETWEEN 1 AND 12 THEN '2020-' || lpad((doc_id % 14)::VARCHAR, 2, '0') || '-01' END AS file_date FROM documents)
   SELECT count(*)::BIGINT AS docs, count(*) FILTER (file_date IS NOT NULL)::BIGINT AS comparable, round(avg(CASE WHEN file_date = last THEN 1.0 ELSE 0.0 END) FILTER (file_date IS NOT NULL), 6) AS agreement, round(avg(n), 6) AS mean_addenda, max(n)::BIGINT AS most_addenda FROM a JOIN f USING (doc_id)""")
 def date_selftest(spark, d):
-    """How often the file name's date is the last addendum's, and how many addenda documents have."""
-    regs = regulations(spark, d)
+    """How often the file name's date is the last addendum's, and how many addenda documents have. One file in four is named after its last addendum."""
+    k = F.col("doc_id")
+    named = F.format_string("규정(시행%d.%d.%d.).hwp", 2012 + k % 3, (k + k % 3 + 1) % 12 + 1, (k * 3 + k % 3 + 1) % 28 + 1)
+    regs = regulations(spark, d).withColumn("file_name", F.when(k % 4 == 0, named).otherwise(F.col("file_name")))
     last = addenda_of(regs).groupBy("doc_id").agg(F.count("*").alias("n"), F.max_by(F.coalesce("enforced_from", "header_date"), "order_no").alias("last"))
     joined = regs.select("doc_id", effective_date(F.col("file_name")).alias("file_date")).join(last, "doc_id")
     same = F.when(F.col("file_date").isNotNull(), (F.col("file_date") == F.col("last")).cast("double"))
@@ -75,13 +77,17 @@ def directory_scan(spark, d):
     return scan_directory(spark, d, "*.parquet").select("name", "size", "reader")
 
 
-@query("src9_plain_decode", "SELECT doc_id, md5(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS digest FROM documents")
+@query("src9_plain_decode", """
+  WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN chr(65279) || text WHEN 2 THEN '똠방각하 ' || doc_id WHEN 3 THEN '규정 ' || doc_id ELSE 'café ' || doc_id || ' naïve' END AS text FROM documents)
+  SELECT doc_id, md5(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS digest FROM t""")
 def plain_decode(spark, d):
-    """Texts written in UTF-8, with a mark and without, are read back by the cascade."""
+    """Texts in each of the cascade's encodings in turn, UTF-8 with a mark and without, some with zero bytes. Letters that only
+    one of the encodings has make the cascade go on to it."""
 
     @F.pandas_udf(T.BinaryType())
     def written(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([t.encode("utf-8") + (b"\x00" if i % 2 else b"") for i, t in zip(ids, texts, strict=True)])
+        kinds = [lambda i, t: t.encode() + b"\x00", lambda i, t: t.encode("utf-8-sig"), lambda i, t: f"똠방각하 {i}".encode("cp949"), lambda i, t: f"규정 {i}\n".encode("euc-kr"), lambda i, t: f"café {i} naïve".encode("latin-1")]
+        return pd.Series([kinds[i % 5](i, t) for i, t in zip(ids, texts, strict=True)])
 
     docs = table(spark, d, "documents").select("doc_id", written("doc_id", "text").alias("content"))
     return docs.select("doc_id", F.md5(misc.decoded("content")).alias("digest"))
@@ -94,9 +100,9 @@ def json_lines(spark, d):
     return read_json_lines(spark, at, "item_id long, text string").select("item_id", F.length("text").cast("bigint").alias("size"), F.md5("text").alias("digest"))
 
 
-@query("src14_jsn1_flatten", "SELECT event_id, 'props.k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'type', event_type FROM events UNION ALL SELECT event_id, 'tags', '[1, 2]' FROM events")
+@query("src14_jsn1_flatten", "SELECT event_id, 'props.k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'type', event_type FROM events UNION ALL SELECT event_id, unnest(['tags[0]', 'tags[1].b', 'tags[1].c[0]', 'tags[2]']), unnest(['1', event_type, 'true', '[]']) FROM events")
 def flatten(spark, d):
-    document = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "tags": [1, 2], "props": '), "props", F.lit("}"))
+    document = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "tags": [1, {"b": "'), "event_type", F.lit('", "c": [true]}, []], "props": '), "props", F.lit("}"))
     return table(spark, d, "events").select("event_id", F.explode(misc.flat_paths(document)).alias("path", "value"))
 
 
@@ -139,10 +145,13 @@ def redaction(spark, d):
 
 
 @query("flt18_comparable_paths", """
-  SELECT count(*) FILTER (starts_with(p_type, 'STANDARD') AND NOT ends_with(p_type, 'TIN') AND p_type <> 'STANDARD PLATED BRASS')::BIGINT AS compared, count(*)::BIGINT AS paths FROM part""")
+  WITH p AS (SELECT p_brand, p_type || '/' || replace(p_name, ' ', '.') AS path FROM part)
+  SELECT p_brand, count(*) FILTER (starts_with(path, 'STANDARD/') AND NOT ends_with(path, '.bolt') AND path <> 'STANDARD/red.gear')::BIGINT AS compared, count(*)::BIGINT AS paths FROM p GROUP BY 1""")
 def comparable_paths(spark, d):
-    keep = misc.comparable(F.col("p_type"), ["STANDARD"], ["TIN"], ["STANDARD PLATED BRASS"])
-    return table(spark, d, "part").agg(F.count_if(keep).alias("compared"), F.count("*").alias("paths"))
+    """Types as folders, names as files, endings as suffixes."""
+    path = F.concat_ws("/", "p_type", F.replace("p_name", F.lit(" "), F.lit(".")))
+    keep = misc.comparable(path, ["STANDARD/"], [".bolt"], ["STANDARD/red.gear"])
+    return table(spark, d, "part").groupBy("p_brand").agg(F.count_if(keep).alias("compared"), F.count("*").alias("paths"))
 
 
 @query("mth3_token_counts", """
@@ -155,12 +164,12 @@ def token_counts(spark, d):
 
 
 @query("mth7_sample_sizes", """
-  WITH n AS (SELECT unnest([48, 100, 150, 200, 205, 300]) AS n), x AS (SELECT n, round_even(0.95 * n, 0) / n AS p, 1.959963984540054 AS z FROM n)
-  SELECT n::INTEGER AS n, round(((p + z*z/(2*n)) - z * sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 6) AS low FROM x""")
+  WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2), x AS (SELECT source, lang, n, round_even(0.95 * n, 0) / n AS p, 1.959963984540054 AS z FROM n)
+  SELECT source, lang, n::BIGINT AS n, round(((p + z*z/(2*n)) - z * sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 6) AS low FROM x""")
 def sample_sizes(spark, d):
-    """For which number of questions the interval of a rate of 0.95 stays above 0.90."""
-    sizes = spark.createDataFrame([(n,) for n in (48, 100, 150, 200, 205, 300)], "n int")
-    return sizes.select("n", F.round(wilson(F.bround(0.95 * F.col("n"), 0), F.col("n"))["low"], 6).alias("low"))
+    """For each source and language as a sample, how low the interval of a rate of 0.95 over its documents goes."""
+    sizes = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return sizes.select("source", "lang", "n", F.round(wilson(F.bround(0.95 * F.col("n"), 0), F.col("n"))["low"], 6).alias("low"))
 
 
 @query("jsn2_json_extraction", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 2 = 1")
@@ -207,10 +216,10 @@ def scoped_documents(spark, d):
     return hits.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
-@query("sup8_category_guards", "SELECT n_nationkey, NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey) AS deletable FROM nation")
+@query("sup8_category_guards", "SELECT n_nationkey, NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000) AS deletable FROM nation")
 def category_guards(spark, d):
     """A category can go only if nothing refers to it."""
-    used = table(spark, d, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("n_nationkey")).unionByName(table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))).distinct()
+    used = table(spark, d, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("n_nationkey")).unionByName(table(spark, d, "supplier").filter("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey"))).distinct()
     return table(spark, d, "nation").join(used.withColumn("used", F.lit(True)), "n_nationkey", "left").select("n_nationkey", F.col("used").isNull().alias("deletable"))
 
 
@@ -232,9 +241,9 @@ def batch_results(spark, d):
     return joined.select("name", F.when(F.col("name") == "system", "protected").when(F.col("rows").isNull(), "not_found").otherwise("deleted").alias("result"), F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"))
 
 
-@query("sup27_pipe_lists", "SELECT p_partkey, 2::INTEGER AS n, p_brand || ',' || p_type AS items FROM part")
+@query("sup27_pipe_lists", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 3 ELSE 2 END::INTEGER AS n, p_brand || ',' || p_type || CASE WHEN p_size % 3 = 0 THEN ',' || p_name ELSE '' END AS items FROM part")
 def pipe_lists(spark, d):
-    raw = F.concat(F.lit(" "), "p_brand", F.lit(" | | "), "p_type", F.lit("|"))
+    raw = F.concat(F.lit(" "), "p_brand", F.lit(" | | "), "p_type", F.lit("|"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("  "), "p_name", F.lit(" |"))).otherwise(""))
     items = F.filter(F.transform(F.split(raw, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     return table(spark, d, "part").select("p_partkey", F.size(items).alias("n"), F.array_join(items, ",").alias("items"))
 
@@ -293,7 +302,7 @@ def typed_prefix(spark, d):
 
 @query("hyb7_side_by_side", """
   SELECT 'vector' AS kind, id FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 5
-  UNION ALL SELECT 'graph', p_partkey FROM (SELECT p_partkey FROM part WHERE contains(lower(p_name), 'steel') OR contains(lower(p_type), 'steel') ORDER BY p_retailprice DESC, p_partkey LIMIT 5)""")
+  UNION ALL SELECT 'graph', p_partkey FROM (SELECT p_partkey FROM part WHERE contains(lower(p_name), 'gear') OR contains(lower(p_type), 'gear') ORDER BY p_retailprice DESC, p_partkey LIMIT 5)""")
 def side_by_side(spark, d):
     """Hits of both searches next to each other, not fused."""
     from quillmill.operators.retrieval import dense_top_k
@@ -301,7 +310,7 @@ def side_by_side(spark, d):
     vectors = table(spark, d, "embeddings")
     queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     dense = dense_top_k(queries, vectors.select(F.col("vec_id").alias("id"), "embedding"), 5)
-    named = table(spark, d, "part").filter(text.has_any(F.lower("p_name"), ["steel"]) | text.has_any(F.lower("p_type"), ["steel"])).orderBy(F.desc("p_retailprice"), "p_partkey").limit(5)
+    named = table(spark, d, "part").filter(text.has_any(F.lower("p_name"), ["gear"]) | text.has_any(F.lower("p_type"), ["gear"])).orderBy(F.desc("p_retailprice"), "p_partkey").limit(5)
     return dense.select(F.lit("vector").alias("kind"), "id").unionByName(named.select(F.lit("graph").alias("kind"), F.col("p_partkey").alias("id")))
 
 
@@ -319,10 +328,11 @@ def single_flight(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(running.alias("running")).select("o_custkey", "running", F.when(F.col("running"), "skip").otherwise("start").alias("decision"))
 
 
-@query("sup2_collection_info", "SELECT label, count(*)::BIGINT AS points, min(len(embedding))::INTEGER AS dim, min(len(embedding)) IN (64, 384, 768, 1024) AS accepted FROM embeddings GROUP BY label")
+@query("sup2_collection_info", "SELECT label, count(*)::BIGINT AS points, min(len(embedding))::INTEGER AS dim, min(len(embedding)) IN (64, 384, 768, 1024) AS accepted FROM (SELECT label, CASE WHEN label % 3 = 0 AND vec_id % 7 = 0 THEN embedding[1:50] ELSE embedding END AS embedding FROM embeddings) GROUP BY label")
 def collection_info(spark, d):
-    """Points and dimension of each collection, and whether the dimension is one that is accepted."""
-    grouped = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("points"), F.min(F.size("embedding")).alias("dim"))
+    """Points and least dimension of each collection, and whether that is one that is accepted. Some collections hold vectors that are cut short."""
+    short = F.when((F.col("label") % 3 == 0) & (F.col("vec_id") % 7 == 0), F.slice("embedding", 1, 50)).otherwise(F.col("embedding"))
+    grouped = table(spark, d, "embeddings").withColumn("embedding", short).groupBy("label").agg(F.count("*").alias("points"), F.min(F.size("embedding")).alias("dim"))
     return grouped.withColumn("accepted", F.col("dim").isin(64, 384, 768, 1024))
 
 

@@ -144,11 +144,13 @@ def file_dates(spark, d):
 
 
 @query("dat3_text_dates", r"""
-  WITH f AS (SELECT doc_id, regexp_extract_all(text, '(?:19\d{2}|20\d{2})\s*[.\-/년]\s*\d{1,2}\s*[.\-/월]\s*\d{1,2}') AS found FROM documents)
+  WITH f AS (SELECT doc_id, regexp_extract_all(text, '(?:19\d{2}|20\d{2})\s*[.\-/년]\s*\d{1,2}\s*[.\-/월]\s*\d{1,2}') AS found FROM (SELECT doc_id, coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN ' 2020. ' || (doc_id % 12 + 1) || '. ' || (doc_id % 31 + 1) || '.' WHEN 1 THEN ' 2021-13-41 2019년 2월 30일 2018/4/9 ' ELSE '' END AS text FROM documents))
   SELECT doc_id, len(list_filter(found, lambda x: try_strptime(regexp_replace(x, '^(\d{4})\D+(\d{1,2})\D+(\d{1,2})$', '\1-\2-\3'), '%Y-%m-%d') IS NOT NULL))::INTEGER AS n_dates FROM f""")
 def text_dates(spark, d):
-    """How many valid dates each document has."""
-    return dealt(table(spark, d, "documents")).select("doc_id", F.size(dates.dates_in(F.col("text"))).alias("n_dates"))
+    """How many valid dates each document has. Behind the texts stand dates, some of days that aren't there."""
+    k = F.col("doc_id")
+    dated = F.when(k % 3 == 0, F.format_string(" 2020. %d. %d.", k % 12 + 1, k % 31 + 1)).when(k % 3 == 1, " 2021-13-41 2019년 2월 30일 2018/4/9 ").otherwise("")
+    return dealt(table(spark, d, "documents")).select("doc_id", F.size(dates.dates_in(F.concat(F.coalesce("text", F.lit("")), dated))).alias("n_dates"))
 
 
 @query("dat4_dat6_date_facts", f"""
@@ -289,9 +291,11 @@ def native_mail_mask(spark, d):
 
 @query("grd1_mod1_guardrails", r"""
   SELECT conv_id, turn, regexp_matches(text, '(?i)(fuck|shit|bitch)') AS blocked, CASE WHEN contains(lower(text), 'worthless') THEN 'worthless' WHEN contains(lower(text), 'ouan') THEN 'ouan' END AS word,
-    regexp_replace(regexp_replace(text, '\d{6}-?\d{7}', '******-*******', 'g'), '01[0-9]-?\d{3,4}-?\d{4}', '010-****-****', 'g') AS shown FROM conversations""")
+    regexp_replace(regexp_replace(text, '\d{6}-?\d{7}', '******-*******', 'g'), '01[0-9]-?\d{3,4}-?\d{4}', '010-****-****', 'g') AS shown FROM (SELECT conv_id, turn, text || CASE (conv_id + turn) % 5 WHEN 0 THEN ' Shit!' WHEN 1 THEN ' 010-1234-5678, worthless' WHEN 2 THEN ' 900101-1234567' ELSE '' END AS text FROM conversations)""")
 def guardrails(spark, d):
-    talk = table(spark, d, "conversations")
+    """Turns that end with what the rules are about, one in five each."""
+    k = (F.col("conv_id") + F.col("turn")) % 5
+    talk = table(spark, d, "conversations").withColumn("text", F.concat("text", F.when(k == 0, " Shit!").when(k == 1, " 010-1234-5678, worthless").when(k == 2, " 900101-1234567").otherwise("")))
     return talk.select("conv_id", "turn", F.contains(F.coalesce(masking.guardrail(F.col("text"), "input"), F.lit("")), F.lit("부적절")).alias("blocked"), masking.first_word(F.col("text"), ["worthless", "ouan"]).alias("word"), masking.guardrail(F.col("text"), "output").alias("shown"))
 
 

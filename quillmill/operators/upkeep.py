@@ -134,12 +134,12 @@ def rule_preview(spark, d):
     return docs.agg(*changed).select(F.inline(shown))
 
 
-@query("src6_table_cache", "SELECT p_brand AS table_id, count(*)::BIGINT + 1 AS n_rows, (2 * count(*) + 2 - count(*) FILTER (p_size % 5 = 0))::BIGINT AS filled, md5(string_agg(p_name || '|' || CASE WHEN p_size % 5 = 0 THEN '' ELSE p_size::VARCHAR END, ';' ORDER BY p_partkey)) AS cells FROM part WHERE p_partkey < 400 GROUP BY 1")
+@query("src6_table_cache", "SELECT p_brand AS table_id, count(*)::BIGINT + 1 AS n_rows, (2 * count(*) + 2 - count(*) FILTER (p_size % 5 = 0))::BIGINT AS filled, md5(string_agg(p_name || '|' || CASE WHEN p_size % 5 = 0 THEN '' ELSE p_size::VARCHAR END, ';' ORDER BY p_partkey)) AS cells FROM part GROUP BY 1")
 def table_cache(spark, d):
     """Tables kept as JSON, one file for all, read back with a schema: rows of cells, ragged ones too."""
     at = scratch(spark, "tables")
     cell = F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_size").cast("string"))
-    grouped = table(spark, d, "part").filter("p_partkey < 400").groupBy(F.col("p_brand").alias("table_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.array("p_name", cell).alias("cells")))).alias("r"))
+    grouped = table(spark, d, "part").groupBy(F.col("p_brand").alias("table_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.array("p_name", cell).alias("cells")))).alias("r"))
     grouped.select("table_id", F.concat(F.array(F.array(F.lit("name"), F.lit("size"))), F.transform("r", lambda x: x["cells"])).alias("rows")).write.json(at)
     read = spark.read.schema("table_id string, rows array<array<string>>").json(at)
     cells = F.array_join(F.transform(F.slice("rows", F.lit(2), F.size("rows")), lambda r: F.array_join(r, "|")), ";")
@@ -289,12 +289,12 @@ def verdict_cache(spark, d):
 
 
 @query("sup21_knowledge_bases", """
-  WITH d AS (SELECT source, count(*) AS documents, sum(ceil(length(text) / 500)) AS chunks FROM documents GROUP BY 1), j AS (SELECT 'source_' || (o_custkey % 24) AS source, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS last, count(*) FILTER (o_orderstatus = 'F') AS errors FROM orders WHERE o_custkey % 4 <> 0 GROUP BY 1)
+  WITH d AS (SELECT source, count(*) AS documents, sum(ceil(length(text) / 500)) AS chunks FROM documents GROUP BY 1), j AS (SELECT 'src' || (o_custkey % 24) AS source, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS last, count(*) FILTER (o_orderstatus = 'F') AS errors FROM orders WHERE o_custkey % 4 <> 0 GROUP BY 1)
   SELECT d.source, documents::BIGINT AS documents, chunks::BIGINT AS chunks, CASE WHEN last = 'P' THEN 'running' WHEN last = 'F' THEN 'failed' WHEN errors > 0 THEN 'partial' WHEN last IS NULL THEN 'none' ELSE 'ready' END AS status, last IS NOT NULL AS synced FROM d LEFT JOIN j USING (source)""")
 def knowledge_bases(spark, d):
     """The list of knowledge bases: counts of documents and chunks, the state that the latest job leaves it in."""
     docs = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.ceil(F.length("text") / 500)).alias("chunks"))
-    jobs = table(spark, d, "orders").filter("o_custkey % 4 <> 0").groupBy(F.concat(F.lit("source_"), (F.col("o_custkey") % 24).cast("string")).alias("source"))
+    jobs = table(spark, d, "orders").filter("o_custkey % 4 <> 0").groupBy(F.concat(F.lit("src"), (F.col("o_custkey") % 24).cast("string")).alias("source"))
     jobs = jobs.agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("last"), F.count_if(F.col("o_orderstatus") == "F").alias("errors"))
     status = F.when(F.col("last") == "P", "running").when(F.col("last") == "F", "failed").when(F.col("errors") > 0, "partial").when(F.col("last").isNull(), "none").otherwise("ready")
     return docs.join(jobs, "source", "left").select("source", "documents", "chunks", status.alias("status"), F.col("last").isNotNull().alias("synced"))

@@ -57,7 +57,8 @@ def test_cover_density():
 
 
 def test_flattening_and_extraction(spark):
-    assert misc.flatten_json({"b": {"c": 1, "d": [2, {"x": 1}]}, "a": None}) == {"a": "null", "b.c": "1", "b.d": '[2, {"x": 1}]'}
+    assert misc.flatten_json({"b": {"c": 1, "d": [2, {"x": 1}, [], {}, [[3]]]}, "a": None}) == {"a": "null", "b.c": "1", "b.d[0]": "2", "b.d[1].x": "1", "b.d[2]": "[]", "b.d[3]": "{}", "b.d[4][0][0]": "3"}
+    assert misc.flatten_json({}) == {} and misc.flatten_json([{"b": 1}]) == {"[0].b": "1"}
     rows = spark.createDataFrame([('so {"a": {"b": 1}} ok',), ("none",), (None,)], "t string")
     assert [r[0] for r in rows.select(misc.json_object(F.col("t"))).collect()] == ['{"a": {"b": 1}}', "{}", "{}"]
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.functions.containment import json_contains
+from quillmill.operators.name_matching import resolve_names
 from quillmill.registry import query
 from quillmill.sources.tables import table
 
@@ -31,8 +34,9 @@ def equality_filter(columns: dict[str, Column], wanted: dict) -> Column:
             continue
         column = columns.get(name)
         if column is None:
-            column, value = F.get_json_object(columns["metadata"], f"$.{name}"), str(value).lower() if isinstance(value, bool) else str(value)
-        found.append(column == value)
+            found.append(json_contains(columns["metadata"], {name: value}))
+        else:
+            found.append(column == value)
     return all_of(found)
 
 
@@ -69,6 +73,27 @@ def dynamic_filter(spark, d):
     return events.filter(equality_filter({"event_type": F.col("event_type"), "metadata": F.col("metadata")}, {"event_type": "click", "k": 7, "user": None})).select("event_id", "event_type", "value")
 
 
+# Events as nested JSON; every other one has its number as text.
+_NESTED = """(SELECT event_id, '{"type": "' || event_type || '", "flag": ' || CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'null' ELSE '1' END || ', "tags": [' || k || ', {"t": "' || event_type || '", "n": [' || (event_id % 4) || ', 2.5]}], "props": {"k": ' || CASE WHEN event_id % 2 = 0 THEN k ELSE '"' || k || '"' END || '}}' AS doc
+  FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events))"""
+WANTED = {
+    "number": {"props": {"k": 7}}, "text": {"props": {"k": "7"}}, "either": {"tags": [7]}, "nested": {"type": "click", "tags": [{"t": "click", "n": [3]}]}, "true": {"flag": True}, "null": {"flag": None},
+    "one": {"flag": 1}, "decimal": {"tags": [{"n": [2.5, 0]}]}, "any": {"tags": [], "props": {}}, "missing": {"props": {"j": 1}},
+}
+
+
+@query("flt3_jsn1_containment", f"SELECT event_id, array_to_string(list_filter([{', '.join(f"CASE WHEN json_contains(doc, '{json.dumps(w)}') THEN '{n}' END" for n, w in WANTED.items())}], lambda x: x IS NOT NULL), ',') AS contains FROM {_NESTED}")
+def containment(spark, d):
+    """Which of ten patterns each event's JSON contains: nested objects, lists of objects, numbers unlike texts."""
+    events, k = table(spark, d, "events"), F.get_json_object("props", "$.k")
+    n = F.col("event_id")
+    flag = F.when(n % 3 == 0, "true").when(n % 3 == 1, "null").otherwise("1")
+    number = F.when(n % 2 == 0, k).otherwise(F.concat(F.lit('"'), k, F.lit('"')))
+    doc = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "flag": '), flag, F.lit(', "tags": ['), k, F.lit(', {"t": "'), "event_type", F.lit('", "n": ['), (n % 4).cast("string"), F.lit(', 2.5]}], "props": {"k": '), number, F.lit("}}"))
+    found = F.concat_ws(",", *[F.when(json_contains(F.col("doc"), w), name) for name, w in WANTED.items()])
+    return events.select("event_id", doc.alias("doc")).select("event_id", found.alias("contains"))
+
+
 @query("flt2_sup5_payload_merge", """
   SELECT event_id, event_type AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id FROM events""")
 def payload_merge(spark, d):
@@ -163,36 +188,6 @@ def coverage(spark, d):
     return joined.agg(F.count("*").alias("total"), F.count("done").alias("covered"), F.count_if(F.col("done").isNull()).alias("missing"), F.round(F.count("done") / F.count("*"), 4).alias("coverage"))
 
 
-def resolve_names(mentions: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame:
-    """(mention, name): of each mention the name that equals it, else the longest that contains it or that it contains, else null;
-    of equally long ones the first. Letters' case and outer blanks don't count.
-
-    Candidates meet by equality: a contained string shares its rarest `gram` with the string around it, so each side is indexed
-    by all its grams and probed by its own rarest one. Strings shorter than a gram are probed by all grams' letters.
-    """
-    fold = lambda c: F.lower(F.trim(c))
-    m = mentions.select("mention", fold(F.col("mention")).alias("m")).filter("m <> ''").distinct()
-    n = names.select("name", fold(F.col("name")).alias("n")).filter("n <> ''").distinct()
-    exact = m.join(n, F.col("m") == F.col("n")).groupBy("mention").agg(F.min("name").alias("exact"))
-
-    def grams(text: Column, size: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(text, i, size)))
-
-    def inside(small: DataFrame, s: str, large: DataFrame, t: str) -> DataFrame:
-        """Pairs of a small string and a large one that contains it."""
-        size = F.least(F.length(s), F.lit(gram))
-        sizes = F.transform(F.sequence(F.lit(1), F.least(F.length(t), F.lit(gram))), lambda k: grams(F.col(t), k))
-        index = large.select("*", F.explode(F.flatten(sizes)).alias("gram"))
-        common = index.groupBy("gram").agg(F.count("*").alias("c"))
-        each = small.select("*", F.explode(grams(F.col(s), size)).alias("gram")).join(common, "gram", "left")
-        rarest = each.groupBy(*small.columns).agg(F.min_by("gram", F.struct(F.coalesce("c", F.lit(0)), "gram")).alias("gram"))
-        return rarest.join(index, "gram").filter(F.contains(F.col(t), F.col(s)) & (F.col(t) != F.col(s)))
-
-    near = inside(m, "m", n, "n").select("mention", "name").unionByName(inside(n, "n", m, "m").select("mention", "name"))
-    best = near.groupBy("mention").agg(F.min_by("name", F.struct(-F.length("name"), "name")).alias("near"))
-    return mentions.select("mention").distinct().join(exact, "mention", "left").join(best, "mention", "left").select("mention", F.coalesce("exact", "near").alias("name"))
-
-
 @query("joi13_fuzzy_resolution", """
   WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 7 = 0 UNION SELECT DISTINCT p_brand FROM part UNION SELECT DISTINCT split_part(p_type, ' ', 2) FROM part WHERE p_size < 10 AND split_part(p_type, ' ', 2) <> ''),
   m AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN ' ' || upper(p_name) WHEN 1 THEN split_part(p_name, ' ', 1) WHEN 2 THEN p_type ELSE 'the ' || p_brand || ' line' END AS mention FROM part),

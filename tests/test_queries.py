@@ -139,6 +139,42 @@ def test_names_are_resolved_exactly_or_by_containment(spark):
     assert got == {" house ": "House", "the big house of x": "Big House", "bi": "Big House", "cab": "ab", "zedd": "Zed", "q": None, "": None}
 
 
+def test_a_name_in_every_mention_makes_no_pairs(spark, monkeypatch):
+    """Names and mentions against all pairs, over several automata and slices; some names are one letter long, one is in every mention."""
+    import random
+
+    from quillmill.operators import name_matching
+
+    monkeypatch.setattr(name_matching, "PATTERN_LETTERS", 300)
+    monkeypatch.setattr(name_matching, "TEXT_LETTERS", 2000)
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choices("abcd", k=n))
+    names = ["ab", "a", "AB ", "b", "É"] + [word(rnd.randint(2, 9)) for _ in range(150)]
+    mentions = [f"{word(rnd.randint(0, 6))}ab{word(rnd.randint(0, 6))}" for _ in range(200)] + ["é", "zz", " ABCD", "x" * 5000 + "dd"]
+    rows = name_matching.resolve_names(spark.createDataFrame([(m,) for m in mentions], "mention string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    fold = lambda t: t.strip(" ").lower()
+
+    def slow(m):
+        same = [n for n in names if fold(n) == fold(m)]
+        near = [n for n in names if fold(n) in fold(m) or fold(m) in fold(n)]
+        return min(same) if same else min(near, key=lambda n: (-len(n), n), default=None)
+
+    assert {r["mention"]: r["name"] for r in rows} == {m: slow(m) for m in mentions}
+
+
+def test_json_containment(spark):
+    from quillmill.functions.containment import json_contains
+
+    doc = '{"a": {"b": [1, {"c": "x", "d": null}]}, "n": 7, "t": "7", "f": 1.50, "yes": true, "a b": 1, "e": []}'
+    holds = [{}, {"n": 7}, {"n": 7.0}, {"t": "7"}, {"f": 1.5}, {"yes": True}, {"a b": 1}, {"e": []}, {"a": {"b": [1]}}, {"a": {"b": [{"c": "x"}, 1]}}, {"a": {"b": [{"d": None}]}}, {"a": {}}]
+    fails = [{"n": "7"}, {"t": 7}, {"yes": 1}, {"yes": "true"}, {"m": None}, {"a": {"b": [2]}}, {"a": {"b": [{"c": "x", "e": 1}]}}, {"e": [1]}, {"n": []}, [], {"a": {"b": {"c": "x"}}}, {"n": 8}, {"f": 1}]
+    frame = spark.createDataFrame([(doc,)], "doc string")
+    assert all(frame.select(*[json_contains(F.col("doc"), w).alias(str(i)) for i, w in enumerate(holds)]).first())
+    assert not any(frame.select(*[json_contains(F.col("doc"), w).alias(str(i)) for i, w in enumerate(fails)]).first())
+    odd = spark.createDataFrame([(None,), ("",), ("no json",), ("[1, 2]",)], "doc string")
+    assert [tuple(r) for r in odd.select(json_contains(F.col("doc"), {}), json_contains(F.col("doc"), [2])).collect()] == [(False, False)] * 3 + [(False, True)]
+
+
 def test_streams_have_all_windows_of_the_batch(spark, data):
     for name in ("tumbling", "sessions"):
         batch, stream = ([tuple(r) for r in registry.QUERIES[f"str_{name}_{kind}"](spark, data).collect()] for kind in ("batch", "stream"))

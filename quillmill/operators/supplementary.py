@@ -14,7 +14,8 @@ from quillmill.functions.statistics import wilson
 from quillmill.operators.textual import _ADDENDA, _REVISED, pick, regulations
 from quillmill.plans.checkpoints import cut
 from quillmill.registry import query
-from quillmill.sources.files import read_json_lines, scan_directory, scratch, write_json_lines
+from quillmill.sources import docx
+from quillmill.sources.files import file_manifest, manifest_changes, read_json_lines, route_of, scan_directory, scratch, write_files, write_json_lines
 from quillmill.sources.tables import table
 
 
@@ -366,3 +367,43 @@ def append(spark, d):
     events.select("event_id", F.lit("old").alias("kind")).write.mode("append").parquet(at)
     events.filter("event_type = 'error'").select("event_id", F.lit("new").alias("kind")).write.mode("append").parquet(at)
     return spark.read.parquet(at).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("src8_docx", """
+  WITH l AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+  t AS (SELECT doc_id, i, lang, source, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+  b AS (SELECT doc_id, i, line AS block FROM t WHERE line <> '' UNION ALL SELECT doc_id, 1.5, '[표 1]' || chr(10) || '| lang | source |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || lang || ' | ' || source || ' |' FROM t WHERE i = 1)
+  SELECT doc_id, count(*)::BIGINT AS blocks, md5(string_agg(block, chr(10) || chr(10) ORDER BY i)) AS content FROM b GROUP BY 1""")
+def docx_round_trip(spark, d):
+    """Each document as a file of paragraphs, a table after the first of them, written and read back."""
+    at, docs = scratch(spark, "docx"), table(spark, d, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path")
+    none = F.lit(None).cast("array<array<string>>").alias("cells")
+    paragraphs = lines.select(name, (F.col("i") * 2).alias("at"), F.lit("paragraph").alias("kind"), "text", none)
+    tables = docs.select(name, F.lit(1).alias("at"), F.lit("table").alias("kind"), F.lit(None).cast("string").alias("text"), F.array(F.array(F.lit("lang"), F.lit("source")), F.array("lang", "source")).alias("cells"))
+    docx.write_docx(paragraphs.unionByName(tables), at)
+    number = F.count_if(F.col("kind") == "table").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    blocks = docx.read_docx(spark, at).withColumn("block", docx.block_text(number))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "block"))), lambda b: b["block"]), "\n\n")
+    return blocks.groupBy("path").agg(F.count("*").alias("blocks"), F.md5(whole).alias("content")).select(F.regexp_extract("path", r"(\d+)", 1).cast("bigint").alias("doc_id"), "blocks", "content")
+
+
+@query("src2_src3_src10_sup10_manifest", """
+  WITH d AS (SELECT doc_id, '규정-' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.docx' WHEN 2 THEN '.odt' ELSE '.txt' END AS name, strlen(coalesce(text, '')) AS size FROM documents)
+  SELECT name, CASE WHEN doc_id % 9 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'removed' WHEN doc_id % 8 = 0 THEN 'modified' ELSE 'same' END AS change, (size + CASE WHEN doc_id % 8 = 0 AND doc_id % 9 <> 0 AND doc_id % 11 <> 0 THEN 8 ELSE 0 END)::BIGINT AS size,
+    CASE doc_id % 5 WHEN 0 THEN 'plain' WHEN 1 THEN 'docx' WHEN 2 THEN NULL ELSE 'plain' END AS reader FROM d""")
+def manifests(spark, d):
+    """A folder of the documents before and after changes: some files are added, rewritten, or hidden; one in ten has a twin whose name
+    is spelled with marks apart, and hidden files stand beside them."""
+    at, docs, k = scratch(spark, "files"), table(spark, d, "documents"), F.col("doc_id")
+    ending = F.when(k % 5 == 0, ".md").when(k % 5 == 1, ".docx").when(k % 5 == 2, ".odt").otherwise(".txt")
+    apart = "\u1100\u1172\u110c\u1165\u11bc"  # the same two syllables as separate letters
+    of = lambda rows, first, body: rows.select(F.concat(F.lit(f"{first}-"), k.cast("string"), ending).alias("name"), body.alias("content"))
+    there, text_of = docs.filter("doc_id % 9 <> 0"), F.coalesce("text", F.lit(""))
+    write_files(of(there, "규정", text_of).unionByName(of(there.filter("doc_id % 10 = 0"), apart, text_of)), at)
+    write_files(of(there, "._규정", text_of).unionByName(of(there, ".hidden", text_of)), at)
+    before = cut(file_manifest(spark, at))
+    write_files(of(docs.filter("doc_id % 9 = 0"), "규정", text_of).unionByName(of(there.filter("doc_id % 8 = 0 AND doc_id % 11 <> 0"), "규정", F.concat(text_of, F.lit(" revised")))), at)
+    after = file_manifest(spark, at).filter((F.regexp_extract("name", r"-(\d+)\.", 1).cast("bigint") % 11 != 0) | (F.regexp_extract("name", r"-(\d+)\.", 1).cast("bigint") % 9 == 0))  # as if these had been removed
+    return manifest_changes(before, after).withColumn("reader", route_of(F.col("name")))

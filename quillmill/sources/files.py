@@ -31,6 +31,46 @@ def scan_directory(spark: SparkSession, folder: str, glob: str = "*") -> DataFra
     return named.filter(~F.col("name").startswith(".")).groupBy("name").agg(F.min("path").alias("path"), F.min("length").alias("size")).withColumn("reader", route_of(F.col("name")))
 
 
+def file_manifest(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """(name, size, modified) of a folder's files by composed name, from the listing alone: no file is opened. Files whose
+    names begin with a dot or an underscore aren't listed; of names that are the same once composed the latest file counts."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "length", "modificationTime")
+    named = files.withColumn("name", nfc(F.url_decode(F.replace(F.substring_index("path", "/", -1), F.lit("+"), F.lit("%2B")))))
+    return named.groupBy("name").agg(F.max_by("length", F.struct("modificationTime", "path")).alias("size"), F.max("modificationTime").alias("modified"))
+
+
+def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(name, change, size) of each file in either manifest: added, removed, modified by time or size, or same. An index of `before` is
+    stale if anything isn't the same."""
+    old = before.select("name", F.col("size").alias("old_size"), F.col("modified").alias("old_modified"))
+    both = after.join(old, "name", "full")
+    same = (F.col("size") == F.col("old_size")) & (F.col("modified") == F.col("old_modified"))
+    change = F.when(F.col("old_modified").isNull(), "added").when(F.col("modified").isNull(), "removed").when(same, "same").otherwise("modified")
+    return both.select("name", change.alias("change"), F.coalesce("size", "old_size").alias("size"))
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """A file for each row (name, content) below the folder, in place of one that has the name; their number. A file appears when whole."""
+    from quillmill.sources.docx import _open
+
+    def put(batches):
+        import uuid
+
+        import pyarrow as pa
+
+        system, base = _open(folder)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch["name"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                part = f"{base}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write((content or "").encode())
+                system.move(part, f"{base}/{name}")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return rows.select("name", "content").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def write_json_lines(frame: DataFrame, folder: str) -> None:
     frame.write.mode("overwrite").json(folder)
 

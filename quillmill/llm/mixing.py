@@ -15,6 +15,7 @@ result. Ties in the seeded order are broken by doc_id and the text's hash. Colum
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.llm.merkle import numbered
 from quillmill.llm.storage import cut, free_name, keep, tidy
 from quillmill.llm.words import Words, chunks_of
 
@@ -29,8 +31,9 @@ from quillmill.llm.words import Words, chunks_of
 BUCKET = 4096
 #: The weights that sources take in turn, in code point order.
 CYCLE = (3, 1, 2)
-#: More patterns than this are refused with an error; sources and patterns are a configuration, not data.
-MAX_PATTERNS = 200_000
+#: Sources and patterns that are worked out on the driver, and broadcast. Beyond that tables take their place; only patterns that share
+#: sources with others need the flow network, and more of these are refused with an error.
+MAX_SOURCES, MAX_PATTERNS = 10_000, 200_000
 
 
 def water_fill(sizes: Sequence[float], weights: Sequence[float], total: float, limit: float) -> list[float]:
@@ -200,29 +203,72 @@ def _walk(pdf: pd.DataFrame, repeats: int) -> pd.DataFrame:
     return pdf[["doc_id", "memberships", "body", "size", "passes"]]
 
 
-def mix(docs: DataFrame, targets, repeats: int = 2, seed: int = 20240501, key: str = "doc_id", text: str = "text") -> DataFrame:
+class Mixed(NamedTuple):
+    """rows: doc_id, memberships, body, size, passes. sources: source (null as ~, others after =), size, target."""
+
+    rows: DataFrame
+    sources: DataFrame
+
+
+def _sources(grouped: DataFrame, targets, target_table) -> DataFrame:
+    """source, size and target of each source."""
+    totals = grouped.select(F.explode("pattern").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size"))
+    listed = totals.limit(MAX_SOURCES + 1).collect()
+    if len(listed) > MAX_SOURCES and target_table is not None:
+        return keep(target_table(totals))
+    if len(listed) > MAX_SOURCES:
+        listed = totals.collect()  # for a function of one's own, which is given all totals
+    wanted = targets({r["source"]: r["size"] for r in sorted(listed, key=lambda r: r["source"])})
+    return grouped.sparkSession.createDataFrame([(r["source"], int(r["size"]), float(wanted[r["source"]])) for r in listed], "source string, size long, target double")
+
+
+def _flows(grouped: DataFrame, sources: DataFrame, repeats: int) -> DataFrame:
+    """pattern, rows and flows (tier, source, tokens) of each pattern.
+
+    A source that is in no pattern with another one has a pattern to itself: its quota fills the tiers in turn, which needs
+    no network. Patterns of the other sources make the network.
+    """
+    spark, struct = grouped.sparkSession, "array<struct<tier int, source string, tokens long>>"
+    linked = grouped.filter(F.size("pattern") > 1).select(F.explode("pattern").alias("source")).distinct()
+    shared = grouped.select("pattern", F.explode("pattern").alias("source")).join(linked, "source", "left_semi").select("pattern").distinct()
+    tangled = keep(grouped.join(shared, "pattern", "left_semi"))
+    found = tangled.limit(MAX_PATTERNS + 1).collect()
+    if len(found) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns that share sources")
+    quota = F.bround(F.coalesce("target", F.lit(0.0)), 0).cast("long")
+    own = [F.struct(F.lit(t).alias("tier"), F.get("pattern", F.lit(0)).alias("source"), F.least(F.greatest(quota - t * F.col("size"), F.lit(0)), F.col("size")).alias("tokens")) for t in range(repeats)]
+    alone = grouped.join(shared, "pattern", "left_anti") if found else grouped
+    alone = alone.join(sources.select("source", "target"), F.get("pattern", F.lit(0)) == F.col("source"), "left").select("pattern", "rows", F.array(*own).cast(struct).alias("flows"))
+    if not found:
+        return alone
+    capacity = {tuple(r["pattern"]): int(r["size"]) for r in found}
+    quotas = {r["source"]: int(round(r["target"])) for r in sources.join(F.broadcast(linked), "source", "left_semi").collect()}  # no more than their patterns
+    flow = min_cost_flow(capacity, quotas, [1 + 2 * t for t in range(repeats)])
+    plan = [([*r["pattern"]], r["rows"], [(t, s, flow.get((tuple(r["pattern"]), t, s), 0)) for t in range(repeats) for s in r["pattern"]]) for r in found]
+    return alone.unionByName(spark.createDataFrame(plan, f"pattern array<string>, rows long, flows {struct}"))
+
+
+def mix(docs: DataFrame, targets, repeats: int = 2, seed: int = 20240501, key: str = "doc_id", text: str = "text", target_table=None) -> DataFrame:
     """doc_id, memberships, body, size and `passes`, how many times the mix takes the document (0 to `repeats`).
 
-    `docs` has a column `memberships`, an array of sources. `targets` maps sources' sizes to tokens wanted.
+    `docs` has a column `memberships`, an array of sources. `targets` maps sources' sizes to tokens wanted; `target_table` does
+    so as a table (source, size to source, size, target), for more than `MAX_SOURCES` sources.
     """
+    return mix_with_sources(docs, targets, repeats, seed, key, text, target_table).rows
+
+
+def mix_with_sources(docs: DataFrame, targets, repeats: int = 2, seed: int = 20240501, key: str = "doc_id", text: str = "text", target_table=None) -> Mixed:
+    """As `mix`, and the sources with their targets."""
     rows = cut(sized(docs, key, text))
     pattern = F.array_sort(F.array_distinct(F.transform("memberships", lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("~")))))
     rows = rows.withColumn("pattern", pattern)
-    grouped = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MAX_PATTERNS + 1).collect()
-    if len(grouped) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    capacity = {tuple(r["pattern"]): int(r["size"]) for r in grouped}
-    totals: dict[str, int] = {}
-    for p, n in capacity.items():
-        for s in p:
-            totals[s] = totals.get(s, 0) + n
-    quotas = {s: int(round(t)) for s, t in targets({s: totals[s] for s in sorted(totals)}).items()}
-    flow = min_cost_flow(capacity, quotas, [1 + 2 * t for t in range(repeats)])
-    spark = docs.sparkSession
-    plan = [([*r["pattern"]], max(1, -(-r["rows"] // BUCKET)), [(t, s, flow.get((tuple(r["pattern"]), t, s), 0)) for t in range(repeats) for s in r["pattern"]]) for r in grouped]
-    plan = spark.createDataFrame(plan, "pattern array<string>, buckets long, flows array<struct<tier int, source string, tokens long>>")
+    grouped = keep(rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
+    sources = _sources(grouped, targets, target_table)
+    few = grouped.count() <= MAX_PATTERNS
+    hint = F.broadcast if few else (lambda frame: frame)
+    plan = keep(_flows(grouped, sources, repeats)).select("pattern", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("rows") / BUCKET)).alias("buckets"), "flows")
     place: Column = F.xxhash64(F.lit(seed), "doc_id", "body")
-    rows = rows.join(F.broadcast(plan.select("pattern", "buckets")), "pattern").withColumn("place", place)  # as many rows as patterns, at most MAX_PATTERNS
+    rows = rows.join(hint(plan.select("pattern", "buckets")), "pattern").withColumn("place", place)
     rows = rows.withColumn("bucket", F.pmod("place", "buckets"))
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     spans = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("tokens")).withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
@@ -231,7 +277,7 @@ def mix(docs: DataFrame, targets, repeats: int = 2, seed: int = 20240501, key: s
     stretches = plan.select("pattern", F.inline("flows")).withColumn("to", F.sum("tokens").over(flow_end)).withColumn("from", F.col("to") - F.col("tokens"))
     stretches = stretches.filter("tokens > 0").groupBy("pattern").agg(F.collect_list(F.struct("tier", "source", "from", "to")).alias("all"))
     quota = lambda x: F.greatest(F.lit(0), F.least(x["to"], F.col("start") + F.col("tokens")) - F.greatest(x["from"], F.col("start")))
-    parts = spans.join(F.broadcast(stretches), "pattern", "left").select(
+    parts = spans.join(hint(stretches), "pattern", "left").select(
         "pattern",
         "bucket",
         "tokens",
@@ -243,7 +289,7 @@ def mix(docs: DataFrame, targets, repeats: int = 2, seed: int = 20240501, key: s
     easy = rows.filter("not walk").select("doc_id", "memberships", "body", "size", F.when(F.col("size") > 0, F.greatest("whole", F.lit(0))).otherwise(0).cast("long").alias("passes"))
     walked = rows.filter("walk").select("pattern", "bucket", "stretches", "place", "doc_id", "memberships", "body", "size")
     walked = walked.groupBy("pattern", "bucket").applyInPandas(lambda pdf: _walk(pdf, repeats), easy.schema)
-    return easy.unionByName(walked)
+    return Mixed(easy.unionByName(walked), sources)
 
 
 def cycle_targets(totals: dict[str, int], share: float = 1.5, limit: float = 2.0) -> dict[str, float]:
@@ -253,13 +299,31 @@ def cycle_targets(totals: dict[str, int], share: float = 1.5, limit: float = 2.0
     return dict(zip(names, water_fill([totals[s] for s in names], weights, share * sum(totals.values()), limit), strict=True))
 
 
+def cycle_target_table(totals: DataFrame, share: float = 1.5, limit: float = 2.0) -> DataFrame:
+    """`cycle_targets` as a table, for any number of sources: source, size, target.
+
+    What a source takes a unit of weight is the same for all that are not at their limit, and rises as more are; each round
+    is one sum over the table, until no more sources reach their limit.
+    """
+    ordered = numbered(totals.select(F.lit("all").alias("whole"), (F.col("source") == "~").cast("int").alias("last"), "source", "size"), "whole", ["last", "source"])
+    rows = keep(ordered.select("source", "size", F.get(F.array(*[F.lit(float(w)) for w in CYCLE]), (F.col("index") % len(CYCLE)).cast("int")).alias("weight")))
+    whole = rows.agg(F.sum("size"), F.sum("weight")).first()
+    unit, at_limit = share * (whole[0] or 0) / (whole[1] or 1), -1
+    while True:
+        over = F.col("weight") * unit > limit * F.col("size")
+        n, taken, weight = rows.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, limit * F.col("size"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
+        if n == at_limit:
+            return rows.select("source", "size", F.when(over, limit * F.col("size")).otherwise(F.col("weight") * unit).alias("target"))
+        at_limit, unit = n, (share * whole[0] - taken) / weight if weight else unit
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, each as often as the mix of its sources takes it. Rows alike in all columns are taken as often as
     all of them together, as copies of one of them."""
     row, body, passes, alike, each = (free_name(docs, f"mix {x}") for x in ("row", "body", "passes", "alike", "each"))
     keys = {row: F.xxhash64(*docs.columns), body: F.xxhash64("text")}
     slim = docs.select(keys[row].alias("doc_id"), F.array("source").alias("memberships"), "text")
-    taken = mix(slim, cycle_targets).groupBy(F.col("doc_id").alias(row), F.col("body").alias(body))
+    taken = mix(slim, cycle_targets, target_table=cycle_target_table).groupBy(F.col("doc_id").alias(row), F.col("body").alias(body))
     taken = taken.agg(F.sum("passes").alias(passes), F.count("*").alias(alike)).filter(F.col(passes) > 0)
     keyed = docs.select("*", *[v.alias(k) for k, v in keys.items()])
 
@@ -275,14 +339,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("memberships", F.array("source"))
-    found: dict[str, tuple] = {}
-
-    def targets(totals):
-        wanted = cycle_targets(totals)
-        found.update({s: (totals[s], t) for s, t in wanted.items()})
-        return wanted
-
-    mixed = mix(docs, targets)
-    about = spark.createDataFrame([(s, int(n), float(t)) for s, (n, t) in found.items()], "name string, source_size long, target double")
+    rows, sources = mix_with_sources(docs, cycle_targets, target_table=cycle_target_table)
+    about = sources.select(F.col("source").alias("name"), F.col("size").alias("source_size"), "target")
     name = F.coalesce(F.concat(F.lit("="), F.col("memberships")[0]), F.lit("~"))
-    return mixed.join(F.broadcast(about), name == F.col("name")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), F.col("memberships")[0].alias("source"))
+    return rows.join(about, name == F.col("name")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), F.col("memberships")[0].alias("source"))

@@ -148,3 +148,55 @@ def test_repeated_rows_and_clashing_names(spark, make_docs):
     assert out.columns == docs.columns and {r["mix each"] for r in rows} == {"mix each"} and {r["memberships"] for r in rows} == {"memberships"}
     taken = mixing.mix(docs.withColumn("memberships", F.array("source")), mixing.cycle_targets).collect()
     assert sum(r["doc_id"] == 1 for r in rows) == sum(r["passes"] for r in taken if r["doc_id"] == 1)
+
+
+def random_docs(make_docs, overlapping, sources=23):
+    import random
+
+    rnd = random.Random(8)
+    texts = [" ".join(["w"] * rnd.randint(0, 40)) for _ in range(900)]
+    docs = make_docs(texts, sources=[None if i % 29 == 0 else f"s{rnd.randint(0, 9) * rnd.randint(0, sources) % sources:02d}" for i in range(900)])
+    more = F.when((F.col("doc_id") % 3 == 0) & (F.col("source") < "s12"), F.array("source", F.concat(F.lit("x"), (F.col("doc_id") % 4).cast("string")))).otherwise(F.array("source"))
+    return docs.withColumn("memberships", more if overlapping else F.array("source"))
+
+
+def test_targets_as_a_table(spark, make_docs):
+    for sizes in ([("=a", 10), ("=b", 0), ("=c", 500), ("~", 3)], [(f"={i:03d}", (i * i * 37) % 1009) for i in range(200)], [("=a", 0)], []):
+        got = {r["source"]: r["target"] for r in mixing.cycle_target_table(spark.createDataFrame(sizes, "source string, size long")).collect()}
+        assert got == pytest.approx(mixing.cycle_targets(dict(sizes)))
+
+
+@pytest.mark.parametrize("overlapping", [False, True])
+def test_bounds_of_the_driver_change_nothing(spark, make_docs, monkeypatch, overlapping):
+    """With room for two sources on the driver, targets come from tables; patterns of sources that stand alone never need the network."""
+    docs = random_docs(make_docs, overlapping)
+    mixed = lambda: mixing.mix_with_sources(docs, mixing.cycle_targets, target_table=mixing.cycle_target_table)
+    rows, sources = mixed()
+    want = sorted((r["doc_id"], r["passes"]) for r in rows.collect())
+    targets = {r["source"]: r["target"] for r in sources.collect()}
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    if not overlapping:
+        monkeypatch.setattr(mixing, "MAX_PATTERNS", 2)
+    rows, sources = mixed()
+    assert {r["source"]: r["target"] for r in sources.collect()} == pytest.approx(targets)
+    assert sorted((r["doc_id"], r["passes"]) for r in rows.collect()) == want
+    if overlapping:
+        monkeypatch.setattr(mixing, "MAX_PATTERNS", 2)
+        with pytest.raises(ValueError):
+            mixed()
+
+
+def test_flows_of_lone_sources_are_those_of_the_network(spark, make_docs):
+    """Every source's flows, settled alone or by the network, against one network over all patterns."""
+    docs = random_docs(make_docs, True, sources=40)
+    rows = mixing.sized(docs).withColumn("pattern", F.array_sort(F.array_distinct(F.transform("memberships", lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("~"))))))
+    grouped = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
+    sources = mixing._sources(grouped, mixing.cycle_targets, None)
+    got = {(tuple(r["pattern"]), f["tier"], f["source"]): f["tokens"] for r in mixing._flows(grouped, sources, 2).collect() for f in r["flows"] if f["tokens"]}
+    capacity = {tuple(r["pattern"]): r["size"] for r in grouped.collect()}
+    quotas = {r["source"]: int(round(r["target"])) for r in sources.collect()}
+    want = mixing.min_cost_flow(capacity, quotas, [1, 3])
+    by = lambda flow, k: {x: sum(n for key, n in flow.items() if key[k] == x) for x in {key[k] for key in flow}}
+    assert by(got, 2) == by(want, 2) and by(got, 1) == by(want, 1)  # as much for each source, at the same cost
+    alone = {p for p in capacity if len(p) == 1 and not any(p[0] in q for q in capacity if len(q) > 1)}
+    assert alone and {k: n for k, n in got.items() if k[0] in alone} == {k: n for k, n in want.items() if k[0] in alone and n}

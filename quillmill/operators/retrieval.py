@@ -164,6 +164,23 @@ def filtered_top_k(spark, d):
     return dense_top_k(_vector_queries(spark, d), vectors, 5).filter("score >= 0.1").select("query_id", "id", "label", "rank")
 
 
+@query("top3_joi5_answers", f"""
+  WITH f AS (SELECT doc_id AS id, lang, source, CASE WHEN doc_id % 10 = 0 THEN 'draft' ELSE 'published' END AS status, CASE WHEN doc_id % 9 <> 4 THEN md5(text) END AS answer FROM documents),
+  s AS (SELECT x.query_id, x.id, f.answer, x.score, row_number() OVER (PARTITION BY x.query_id ORDER BY x.score DESC, x.id) AS rank FROM {_DENSE} x JOIN f ON f.id = x.id JOIN f q ON q.id = x.query_id WHERE f.status = 'published' AND f.lang = q.lang)
+  SELECT query_id, id, rank::INTEGER AS rank, answer FROM s WHERE rank <= 5 AND score >= 0.15""")
+def answers(spark, d):
+    """Published entries in the question's own language, nearest first, a threshold after the limit, and each with its answer if it has one."""
+    entries = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", F.when(F.col("doc_id") % 10 == 0, "draft").otherwise("published").alias("status"), F.when(F.col("doc_id") % 9 != 4, F.md5("text")).alias("answer"))
+    known = _vectors(spark, d).drop("label").join(entries.select("id", "lang", "status"), "id")
+    asked = _vector_queries(spark, d).join(entries.select(F.col("id").alias("query_id"), "lang"), "query_id")
+    hits = None
+    for language in sorted(r["lang"] for r in entries.select("lang").filter("lang IS NOT NULL").distinct().collect()):  # a search a language, of its entries alone
+        mine = F.col("lang") == language
+        found = dense_top_k(asked.filter(mine).select("query_id", "embedding"), known.filter(mine & (F.col("status") == "published")).select("id", "embedding"), 5).filter("score >= 0.15")
+        hits = found if hits is None else hits.unionByName(found)
+    return hits.join(entries.select("id", "answer"), "id", "left").select("query_id", "id", "rank", "answer")
+
+
 @query("flt16_filter_after_ranking", f"SELECT query_id, id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {_DENSE}) WHERE rank <= 40 AND label = 3")
 def filter_after_ranking(spark, d):
     return dense_top_k(_vector_queries(spark, d), _vectors(spark, d), 40).filter("label = 3").select("query_id", "id", "rank")

@@ -338,14 +338,20 @@ def collection_info(spark, d):
 
 
 @query("sup9_seed_upsert", """
-  SELECT n_nationkey AS code, CASE WHEN n_nationkey >= 20 THEN 'created' WHEN n_nationkey % 4 = 0 THEN 'updated' ELSE 'skipped' END AS outcome FROM nation""")
+  WITH stored AS (SELECT c_custkey AS code, 'How does ' || c_name || ' pay?' AS question, c_mktsegment AS answer FROM customer WHERE c_nationkey < 20),
+  seeds AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey END AS code, c_custkey AS id, 'How does ' || c_name || ' pay?' AS question, CASE WHEN c_acctbal < 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS answer FROM customer WHERE c_nationkey >= 10)
+  SELECT s.id AS seed, CASE WHEN coalesce(a.answer, b.answer) IS NULL THEN 'created' WHEN coalesce(a.answer, b.answer) <> s.answer THEN 'updated' ELSE 'skipped' END AS outcome
+  FROM seeds s LEFT JOIN stored a ON a.code = s.code LEFT JOIN stored b ON s.code IS NULL AND b.question = s.question""")
 def seed_upsert(spark, d):
-    """Seeds by code: new ones are created, changed ones updated, equal ones skipped."""
-    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("code"), "n_name")
-    stored = nations.filter("code < 20").select("code", F.col("n_name").alias("before"))
-    seeds = nations.select("code", F.when(F.col("code") % 4 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("now"))
-    joined = seeds.join(stored, "code", "left")
-    return joined.select("code", F.when(F.col("before").isNull(), "created").when(F.col("before") != F.col("now"), "updated").otherwise("skipped").alias("outcome"))
+    """Seeds by code, or where they have none by their exact question: new ones are created, changed ones updated, equal ones skipped."""
+    customer, question = table(spark, d, "customer"), F.concat(F.lit("How does "), "c_name", F.lit(" pay?"))
+    stored = customer.filter("c_nationkey < 20").select(F.col("c_custkey").alias("code"), question.alias("question"), F.col("c_mktsegment").alias("answer"))
+    answer = F.when(F.col("c_acctbal") < 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    seeds = customer.filter("c_nationkey >= 10").select(F.col("c_custkey").alias("seed"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey")).alias("code"), question.alias("question"), answer.alias("now"))
+    by_code = seeds.filter("code IS NOT NULL").join(stored.select("code", "answer"), "code", "left")
+    by_question = seeds.filter("code IS NULL").join(stored.select("question", "answer"), "question", "left")
+    joined = by_code.select("seed", "now", "answer").unionByName(by_question.select("seed", "now", "answer"))
+    return joined.select("seed", F.when(F.col("answer").isNull(), "created").when(F.col("answer") != F.col("now"), "updated").otherwise("skipped").alias("outcome"))
 
 
 @query("sup13_escalation", """

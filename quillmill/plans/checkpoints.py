@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -31,8 +33,20 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def bounded(frame: DataFrame, rows: int = 500_000) -> DataFrame:
-    """With a hint to broadcast if it has no more than so many rows, which are counted; otherwise as it is."""
-    from pyspark.sql import functions as F
+def _bytes_of(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 16 + F.coalesce(F.octet_length(value), F.lit(0)).cast("long")
+    if isinstance(kind, T.ArrayType):
+        each = F.aggregate(value, F.lit(0).cast("long"), lambda s, x: s + _bytes_of(x, kind.elementType)) if not isinstance(kind.elementType, T.NumericType) else F.greatest(F.size(value), F.lit(0)).cast("long") * 8
+        return 16 + F.coalesce(each, F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((_bytes_of(value[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    return F.lit(16).cast("long")
 
-    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+
+def bounded(frame: DataFrame, rows: int = 500_000, size: int = 64 << 20) -> DataFrame:
+    """With a hint to broadcast if it has no more than so many rows, which are counted, and bytes, which are summed up; otherwise as it is."""
+    width = sum((_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in frame.schema.fields), F.lit(0).cast("long"))
+    n, total = frame.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(frame) if n <= rows and total <= size else frame

@@ -23,21 +23,25 @@ def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
 
 
 def run_available(spark, stream: DataFrame) -> DataFrame:
-    """Run an aggregating stream over all that is there now, each row once, and read its whole result: every batch writes the
-    complete state to a folder of its own under the shared one, so a batch that is run again replaces only itself."""
-    at, last = scratch(spark, "stream"), [None]
+    """Run an aggregating stream over all that is there now, each row once, and read what it gave: windows are written when
+    the watermark has passed them, and their state goes. Each batch has a folder of its own, so a batch that is run again
+    replaces only itself."""
+    at = scratch(spark, "stream")
 
     def put(frame: DataFrame, batch: int) -> None:
-        frame.write.mode("overwrite").parquet(f"{at}/rows-{batch}")
-        last[0] = batch
+        frame.write.mode("overwrite").parquet(f"{at}/rows/batch={batch}")
 
-    stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/rows-{last[0]}") if last[0] is not None else spark.createDataFrame([], stream.schema)
+    stream.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows/*")
 
 
 def _stream(spark, d: str) -> DataFrame:
-    schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
+    """The events, and after them one without a user or type, later than the watermark's delay, that closes all windows."""
+    events, at = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), scratch(spark, "events")
+    events.coalesce(1).write.parquet(at)
+    last = events.agg((F.max("ts") + F.expr(f"INTERVAL {LATE}") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(*[F.col("ts") if c == "ts" else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns])
+    last.write.mode("append").parquet(at)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(at).withWatermark("ts", LATE)
 
 
 _HOURS = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*)::BIGINT AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1, 2"
@@ -59,9 +63,9 @@ def sessions_batch(spark, d):
 @query("str_tumbling_stream", _HOURS)
 def tumbling_stream(spark, d):
     """The stream's windows are those of the batch, all of them."""
-    return run_available(spark, hourly_counts(_stream(spark, d)))
+    return run_available(spark, hourly_counts(_stream(spark, d))).filter("event_type IS NOT NULL")
 
 
 @query("str_sessions_stream", _SESSIONS)
 def sessions_stream(spark, d):
-    return run_available(spark, sessions(_stream(spark, d)))
+    return run_available(spark, sessions(_stream(spark, d))).filter("user_id IS NOT NULL")

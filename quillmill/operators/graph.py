@@ -231,10 +231,10 @@ def facilities(spark, d):
     return upsert_facilities(old, new)
 
 
-@query("agg20_gra6_graph_stats", "SELECT l_returnflag AS collection, count(DISTINCT l_suppkey)::BIGINT AS suppliers, count(DISTINCT l_partkey)::BIGINT AS parts, count(DISTINCT (l_suppkey, l_partkey))::BIGINT AS edges, count(DISTINCT p_size)::BIGINT AS communities FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 49 AND p_size > 20 GROUP BY 1")
+@query("agg20_gra6_graph_stats", "SELECT round(l_discount * 100)::BIGINT AS collection, count(DISTINCT l_suppkey)::BIGINT AS suppliers, count(DISTINCT l_partkey)::BIGINT AS parts, count(DISTINCT (l_suppkey, l_partkey))::BIGINT AS edges, count(DISTINCT p_size)::BIGINT AS communities FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity = 50 GROUP BY 1")
 def graph_stats(spark, d):
     """Entities of both kinds, edges and communities (sizes of parts) of each collection, in one pass over its distinct edges."""
-    part = table(spark, d, "part").filter("p_size > 20").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    left = table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_returnflag").alias("collection"), "l_suppkey", "l_partkey").join(part, "l_partkey")
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    left = table(spark, d, "lineitem").filter("l_quantity = 50").select(F.round(F.col("l_discount") * 100).cast("bigint").alias("collection"), "l_suppkey", "l_partkey").join(part, "l_partkey")
     edges = left.groupBy("collection", "l_suppkey", "l_partkey").agg(F.first("p_size").alias("community"))
     return edges.groupBy("collection").agg(F.countDistinct("l_suppkey").alias("suppliers"), F.countDistinct("l_partkey").alias("parts"), F.count("*").alias("edges"), F.countDistinct("community").alias("communities"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,12 +46,11 @@ def masked(found: Column, method: str, replacement: str | None = "****") -> Colu
 
 @functools.cache
 def usable_pattern(pattern: str) -> bool:
-    """Whether the JVM takes the pattern; asked once for each, without a job."""
+    """Whether the JVM takes the pattern, asked once for each, without a job; one that matches nothing at all has no place to mask."""
     try:
-        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError:
+        return not SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern).matcher("").lookingAt()
+    except IllegalArgumentException:
         return False
-    return True
 
 
 def apply_rule(pattern: str, method: str, replacement: str):

@@ -62,6 +62,12 @@ def attachments_in(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.replace(F.coalesce(text, F.lit("")), F.lit(" ")), F.lit(r"별표[0-9\-]*"), F.lit(0)))
 
 
+def _blocks(spark: SparkSession, at: str) -> DataFrame:
+    """The stored blocks; an index of no words has no files of them."""
+    kind = spark.read.parquet(f"{at}/docs").schema["id"].dataType.simpleString()
+    return spark.read.schema(f"token string, block long, size int, best double, rows array<struct<id: {kind}, tf: int, length: int>>, bucket int").parquet(f"{at}/blocks")
+
+
 def write_index(docs: DataFrame, at: str, id_column: str, text_column: str, article: Column | None = None, pattern: str = TOKEN, size: int = SIZE, buckets: int = BUCKETS) -> None:
     """Write the index of `docs` below the folder `at`: blocks, docs, terms, summary."""
     text = F.col(text_column)
@@ -85,7 +91,7 @@ def write_index(docs: DataFrame, at: str, id_column: str, text_column: str, arti
     gathered = each.groupBy("block", "token").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "length"))).alias("rows"), best)
     blocks = gathered.select(_bucket(F.col("token"), buckets).alias("bucket"), "token", "block", F.size("rows").alias("size"), "best", "rows")
     blocks.repartition("bucket").sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").parquet(f"{at}/blocks")
-    spark.read.parquet(f"{at}/blocks").groupBy("bucket", "token").agg(F.sum("size").alias("df")).write.parquet(f"{at}/terms")
+    _blocks(spark, at).groupBy("bucket", "token").agg(F.sum("size").alias("df")).write.parquet(f"{at}/terms")
 
 
 def read_index(spark: SparkSession, at: str) -> Index:
@@ -94,7 +100,7 @@ def read_index(spark: SparkSession, at: str) -> Index:
     docs = spark.read.parquet(f"{at}/docs")
     if summary is None or docs.count() != summary["n"]:
         raise ValueError(f"{at} isn't a whole index")
-    return Index(spark.read.parquet(f"{at}/blocks"), docs, spark.read.parquet(f"{at}/terms"), summary["n"], summary["mean"] or 1.0, summary["buckets"])
+    return Index(_blocks(spark, at), docs, spark.read.parquet(f"{at}/terms"), summary["n"], summary["mean"] or 1.0, summary["buckets"])
 
 
 _STORED: dict[tuple, str] = {}

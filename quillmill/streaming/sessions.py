@@ -29,7 +29,7 @@ def _row(*values: Any) -> Row:
 
 
 class SessionKeeper(StatefulProcessor):
-    """Of rows (user_id, event_id, at_ms): a row for each message with the state it met, and for each closing."""
+    """Of rows (user_id, event_id, at_ms): a row for each message with the state it met, and for each closing, whose event_id is -1."""
 
     def __init__(self, idle: int, keep: int):
         self.idle, self.keep = idle, keep
@@ -50,7 +50,7 @@ class SessionKeeper(StatefulProcessor):
         for row in sorted(rows, key=lambda r: (r["at_ms"], r["event_id"])):
             if status == "active" and row["at_ms"] >= last + self.idle:
                 status, messages = "idle_closed", messages + 1
-                yield _row(user, "closed", None, last + self.idle, "active", False, times, messages)
+                yield _row(user, "closed", -1, last + self.idle, "active", False, times, messages)
             again = status == "idle_closed"
             times, messages = times + again, messages + 1
             yield _row(user, "message", row["event_id"], row["at_ms"], status, again, times, messages)
@@ -66,7 +66,7 @@ class SessionKeeper(StatefulProcessor):
         if status == "active":
             self._set_timer(None, last + self.idle + self.keep)
             self.state.update(("idle_closed", last, messages + 1, times, last + self.idle + self.keep))
-            yield _row(user, "closed", None, last + self.idle, "active", False, times, messages + 1)
+            yield _row(user, "closed", -1, last + self.idle, "active", False, times, messages + 1)
         else:  # closed for long: a later message begins a new session
             self.state.clear()
 
@@ -103,7 +103,7 @@ PARTS = 4
   g AS (SELECT *, coalesce(at_ms >= before + 43200000, false) AS again, (SELECT epoch_us(max(ts)) // 1000 FROM events) - 21600000 AS mark FROM e),
   n AS (SELECT *, row_number() OVER w AS said, sum(again::INTEGER) OVER w AS times FROM g WINDOW w AS (PARTITION BY user_id ORDER BY at_ms, event_id ROWS UNBOUNDED PRECEDING))
   SELECT user_id, 'message' AS kind, event_id, at_ms, CASE WHEN before IS NULL THEN 'new' WHEN again THEN 'idle_closed' ELSE 'active' END AS status_before, again AS reactivates, times::BIGINT AS times, (said + times)::BIGINT AS messages FROM n
-  UNION ALL SELECT user_id, 'closed', NULL, at_ms + 43200000, 'active', false, times::BIGINT, (said + times + 1)::BIGINT FROM n WHERE after >= at_ms + 43200000 OR (after IS NULL AND at_ms + 43200000 <= mark)""")
+  UNION ALL SELECT user_id, 'closed', -1, at_ms + 43200000, 'active', false, times::BIGINT, (said + times + 1)::BIGINT FROM n WHERE after >= at_ms + 43200000 OR (after IS NULL AND at_ms + 43200000 <= mark)""")
 def session_stream(spark, d):
     """The events in some deliveries, one a batch, and the closing of all sessions that are idle when the stream ends."""
     events = table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))

@@ -229,7 +229,7 @@ def test_periods():
 
 
 def test_filters(spark):
-    rows = spark.createDataFrame([(1, "a", '{"k":"v","flag":"true"}', None), (2, "b", '{"k":"v"}', "user:me"), (3, "a", None, "group:g")], "id int, name string, metadata string, scope string")
+    rows = spark.createDataFrame([(1, "a", '{"k":"v","flag":true}', None), (2, "b", '{"k":"v","flag":"true"}', "user:me"), (3, "a", None, "group:g")], "id int, name string, metadata string, scope string")
     ids = lambda c: [r["id"] for r in rows.filter(c).collect()]
     columns = {"name": F.col("name"), "metadata": F.col("metadata")}
     assert ids(equality_filter(columns, {"name": "a", "k": "v", "other": None})) == [1] and ids(equality_filter(columns, {"flag": True})) == [1] and ids(equality_filter(columns, {})) == [1, 2, 3]

@@ -34,10 +34,10 @@ def test_sessions_close_reopen_and_are_forgotten(spark, tmp_path):
         [(41, 2, 8)],
     ])
     of = lambda u: [r for r in got if r[1] == u]
-    assert of(1) == [(0, 1, "message", 1, "new", False, 0, 1), (1, 1, "message", 2, "active", False, 0, 2), (3, 1, "closed", None, "active", False, 0, 3),
-                     (5, 1, "message", 5, "idle_closed", True, 1, 4), (7, 1, "closed", None, "active", False, 1, 5)]
-    assert of(2) == [(0, 2, "message", 3, "new", False, 0, 1), (2, 2, "closed", None, "active", False, 0, 2), (41, 2, "message", 8, "new", False, 0, 1)]
-    assert of(3) == [(4, 3, "message", 4, "new", False, 0, 1), (6, 3, "closed", None, "active", False, 0, 2), (20, 3, "message", 6, "idle_closed", True, 1, 3), (22, 3, "closed", None, "active", False, 1, 4)]
+    assert of(1) == [(0, 1, "message", 1, "new", False, 0, 1), (1, 1, "message", 2, "active", False, 0, 2), (3, 1, "closed", -1, "active", False, 0, 3),
+                     (5, 1, "message", 5, "idle_closed", True, 1, 4), (7, 1, "closed", -1, "active", False, 1, 5)]
+    assert of(2) == [(0, 2, "message", 3, "new", False, 0, 1), (2, 2, "closed", -1, "active", False, 0, 2), (41, 2, "message", 8, "new", False, 0, 1)]
+    assert of(3) == [(4, 3, "message", 4, "new", False, 0, 1), (6, 3, "closed", -1, "active", False, 0, 2), (20, 3, "message", 6, "idle_closed", True, 1, 3), (22, 3, "closed", -1, "active", False, 1, 4)]
 
 
 def test_late_messages(spark, tmp_path):

@@ -27,8 +27,8 @@ def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> Da
     return ranked.filter(F.col("rank") <= k)
 
 
-#: Questions of a block, and vectors of a part: what one task of the dense search holds.
-BLOCK, PART = 512, 50_000
+#: Questions of a block and vectors of a part at most, and bytes of either in double precision: what one task of the dense search holds.
+BLOCK, PART, BYTES = 8192, 50_000, 64 << 20
 
 
 def _nearest(k: int, others_only: bool):
@@ -60,12 +60,13 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, *order: Column,
     """The k vectors nearest to each question by cosine, with their other columns, `score` and `rank`.
 
     Questions (query_id, embedding) are dealt into blocks of about `BLOCK`, vectors (id, embedding, ...) into parts of about
-    `PART`; each part meets each block once, as a matrix product, and only the k best of a part go on. Scores of these few are
+    `PART`, or fewer where vectors are long; each part meets each block once, as a matrix product, and only the k best of a part go on. Scores of these few are
     worked out exactly. `others_only`: a question's own vector doesn't count.
     """
-    blocks = max(1, -(-queries.count() // BLOCK))
-    n = vectors.count()
-    parts = max(1, -(-n // PART), min(queries.sparkSession.sparkContext.defaultParallelism, n // 500))
+    n, width = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    fit = max(1, BYTES // (8 * max(width, 1)))
+    blocks = max(1, -(-queries.count() // min(BLOCK, fit)))
+    parts = max(1, -(-n // min(PART, fit)), min(queries.sparkSession.sparkContext.defaultParallelism, n // 500))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     dealt = lambda key, m: F.pmod(F.xxhash64(key), F.lit(m)).cast("int")
     asked = queries.select(F.lit(0).alias("side"), dealt("query_id", blocks).alias("block"), every(parts).alias("part"), F.col("query_id").cast("long").alias("id"), F.col("embedding").alias("v"))

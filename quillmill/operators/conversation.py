@@ -143,7 +143,8 @@ def source_payload(answers: DataFrame, regulations: DataFrame) -> DataFrame:
     """(query_id, sources): what an answer rests on, stored answers first and regulations after them, each side by rank.
     answers: (query_id, rank, id, question, category, url, score), regulations: (query_id, rank, id, doc_id, article, section, file_name, score)."""
     none = F.lit(None).cast("string")
-    entry = lambda kind, label, category, url, doc, article, section: F.struct(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), label.alias("label"), category.alias("category"), url.alias("url"), doc.alias("doc_id"), article.alias("article"), section.alias("section"), F.round("score", 4).alias("score"))
+    shown = F.round(F.col("score") * 10_000) / 10_000  # by the binary value, as SQL does; F.round(score, 4) goes by the shortest decimal, 0.06545 to 0.0655
+    entry = lambda kind, label, category, url, doc, article, section: F.struct(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), label.alias("label"), category.alias("category"), url.alias("url"), doc.alias("doc_id"), article.alias("article"), section.alias("section"), shown.alias("score"))
     first = answers.select("query_id", F.lit(0).alias("side"), "rank", entry("faq", F.col("question"), F.col("category"), F.col("url"), none, none, none).alias("source"))
     second = regulations.select("query_id", F.lit(1).alias("side"), "rank", entry("regulation", regulation_label(F.col("file_name"), F.col("article")), none, none, F.col("doc_id"), F.col("article"), F.col("section")).alias("source"))
     grouped = first.unionByName(second).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("side", "rank", "source"))).alias("all"))  # as many as a search returns
@@ -200,7 +201,8 @@ def persisted_turns(turns: DataFrame, rules=None) -> dict[str, DataFrame]:
 @query("cnv8_turn_persistence", r"""
   WITH t AS (SELECT u.conv_id, u.turn, u.text AS q, coalesce(a.text, '') AS answer, ['academic', 'career', 'unknown'][1 + u.turn % 3] AS intent, u.turn % 4 <> 2 AS searches, u.conv_id % 3 AS n, CASE WHEN a.text IS NULL THEN 'NO_RESULT' WHEN u.turn % 5 = 4 THEN 'LOW_SCORE' END AS reason
     FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'), f AS (SELECT *, trim(regexp_replace(q, '[ 	
-]+', ' ', 'g')) AS folded FROM t)
+
+]+', ' ', 'g')) AS folded FROM t)
   SELECT 'message' AS kind, conv_id, turn, 'user' AS a, md5(q) AS b FROM t UNION ALL SELECT 'message', conv_id, turn, 'assistant' || CASE WHEN reason IS NULL THEN '' ELSE '?' END, md5(answer) FROM t UNION ALL SELECT 'search', conv_id, turn, intent || n, md5('find ' || q) FROM t WHERE searches
   UNION ALL SELECT 'unanswered', conv_id, turn, reason, md5(q) FROM t WHERE reason IS NOT NULL UNION ALL SELECT 'session', conv_id, 2 * count(*), max(turn)::VARCHAR, arg_min(CASE WHEN length(folded) > 30 THEN substr(folded, 1, 30) || '...' ELSE folded END, turn) FROM f GROUP BY conv_id""")
 def turn_persistence(spark, d):

@@ -193,3 +193,17 @@ def test_modules_import_on_their_own(module):
     import sys
 
     subprocess.run([sys.executable, "-c", f"import quillmill.{module}"], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_scores_of_sources_round_as_sql_does(spark, tmp_path):
+    """65450 / 1e6 is 0.06545 as the shortest decimal, but below it in binary."""
+    import datetime
+
+    day = datetime.datetime(2020, 1, 1)
+    spark.createDataFrame([(1, 1, "O", 65450.0, day, "5-LOW"), (2, 1, "O", 32350.0, day, "5-LOW")], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 7, 1, 48350.0)], "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = rows(registry.QUERIES["cnv5_source_payload"](spark, str(tmp_path)).toPandas())
+    assert got == rows(con.execute(registry.ORACLE_SQL["cnv5_source_payload"]).df()) and "0.0654;" in got[1][0][1]

@@ -253,16 +253,17 @@ def config_diff(spark, d):
 
 
 @query("joi20_cross_store_counts", """
-  SELECT l.source, n_docs::BIGINT AS n_docs, coalesce(n_labels, 0)::BIGINT AS n_labels, n_docs = coalesce(n_labels, 0) AS equal
-  FROM (SELECT source, count(*) AS n_docs FROM documents WHERE doc_id % 30 = 0 OR doc_id IN (SELECT doc_id FROM labels) GROUP BY 1) l LEFT JOIN (SELECT source, count(*) AS n_labels FROM documents JOIN labels USING (doc_id) GROUP BY 1) r ON l.source = r.source""")
+  WITH d AS (SELECT doc_id, source, unnest(['all', coalesce((n_chars // 1000)::VARCHAR, 'unknown')]) AS size FROM documents)
+  SELECT l.source, l.size, n_docs::BIGINT AS n_docs, coalesce(n_labels, 0)::BIGINT AS n_labels, n_docs = coalesce(n_labels, 0) AS equal
+  FROM (SELECT source, size, count(*) AS n_docs FROM d GROUP BY 1, 2) l LEFT JOIN (SELECT source, size, count(*) AS n_labels FROM d JOIN labels USING (doc_id) GROUP BY 1, 2) r ON l.source = r.source AND l.size = r.size""")
 def cross_store_counts(spark, d):
-    """Of each source, what one store holds (labelled documents and every thirtieth) beside what the other one does (labelled ones)."""
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    labels = table(spark, d, "labels").select("doc_id")
-    left = docs.join(labels.distinct().withColumn("labelled", F.lit(True)), "doc_id", "left").filter("labelled OR doc_id % 30 = 0").groupBy("source").agg(F.count("*").alias("n_docs"))
-    right = docs.join(labels, "doc_id").groupBy("source").agg(F.count("*").alias("n_labels"))
-    joined = left.join(right, "source", "left").withColumn("n_labels", F.coalesce("n_labels", F.lit(0)).cast("bigint"))
-    return joined.select("source", "n_docs", "n_labels", (F.col("n_docs") == F.col("n_labels")).alias("equal"))
+    """Of each source, as a whole and by thousands of characters, how many documents one store holds beside how many labels the other one does."""
+    size = F.explode(F.array(F.lit("all"), F.coalesce(F.floor(F.col("n_chars") / 1000).cast("string"), F.lit("unknown"))))
+    docs = table(spark, d, "documents").select("doc_id", "source", size.alias("size"))
+    left = docs.groupBy("source", "size").agg(F.count("*").alias("n_docs"))
+    right = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id").groupBy("source", "size").agg(F.count("*").alias("n_labels"))
+    joined = left.join(right, ["source", "size"], "left").withColumn("n_labels", F.coalesce("n_labels", F.lit(0)).cast("bigint"))
+    return joined.select("source", "size", "n_docs", "n_labels", (F.col("n_docs") == F.col("n_labels")).alias("equal"))
 
 
 @query("joi20_self_search", """

@@ -207,3 +207,11 @@ def test_scores_of_sources_round_as_sql_does(spark, tmp_path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     got = rows(registry.QUERIES["cnv5_source_payload"](spark, str(tmp_path)).toPandas())
     assert got == rows(con.execute(registry.ORACLE_SQL["cnv5_source_payload"]).df()) and "0.0654;" in got[1][0][1]
+
+
+def test_store_counts_cover_all_documents(spark, data):
+    found = registry.QUERIES["joi20_cross_store_counts"](spark, data).collect()
+    for whole in (True, False):
+        part = [r for r in found if (r["size"] == "all") == whole]
+        assert sum(r["n_docs"] for r in part) == spark.read.parquet(f"{data}/documents.parquet").count()
+        assert sum(r["n_labels"] for r in part) == spark.read.parquet(f"{data}/labels.parquet").count()

@@ -215,3 +215,21 @@ def test_store_counts_cover_all_documents(spark, data):
         part = [r for r in found if (r["size"] == "all") == whole]
         assert sum(r["n_docs"] for r in part) == spark.read.parquet(f"{data}/documents.parquet").count()
         assert sum(r["n_labels"] for r in part) == spark.read.parquet(f"{data}/labels.parquet").count()
+
+
+def test_oracle_contexts_of_shared_and_several_articles(spark, monkeypatch):
+    """Questions with the same articles, with several ones, and with none; gold in packs. No exchange carries the gold rows."""
+    from quillmill.operators import goldset
+
+    monkeypatch.setattr(goldset, "PACK", 2)
+    gold = spark.createDataFrame([(1, 1, "a"), (1, 1, " a"), (2, 1, "a"), (2, 2, "b"), (3, 9, "z"), (4, 2, "b"), (5, 1, None)], "query_id long, doc_id long, article string")
+    chunks = spark.createDataFrame([(10, 1, "a "), (14, 1, "a"), (12, 2, "b"), (13, 3, "c"), (11, 1, "a"), (15, 3, None)], "chunk_id long, doc_id long, article string")
+    hits = spark.createDataFrame([(q, c, r) for q in (1, 2, 3, 4, 5) for r, c in enumerate([10, 13, 12, 15, 14])], "query_id long, chunk_id long, rank int")
+    found = goldset.oracle_context(gold, chunks, hits, top_k=5)
+    got = {}
+    for r in found.orderBy("query_id", "place").collect():
+        got.setdefault(r["query_id"], []).append((r["place"], r["chunk_id"], r["role"][0]))
+    assert got == {1: [(1, 10, "g"), (2, 11, "g"), (3, 14, "g"), (4, 13, "d"), (5, 12, "d")], 2: [(1, 10, "g"), (2, 11, "g"), (3, 12, "g"), (4, 14, "g"), (5, 13, "d")], 4: [(1, 12, "g"), (2, 10, "d"), (3, 13, "d"), (4, 15, "d"), (5, 14, "d")]}
+    copies = lambda n: (spark.range(n).selectExpr("id AS query_id", "1L AS doc_id", "'a' AS article"), spark.range(400).selectExpr("id AS chunk_id", "1L AS doc_id", "'a' AS article"))
+    plan = goldset.oracle_context(*copies(50), hits)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode") >= 1 and "Window" not in plan.split("Generate posexplode")[0]

@@ -19,6 +19,10 @@ from quillmill.sources.files import file_manifest, manifest_changes, read_json_l
 from quillmill.sources.tables import table
 
 
+#: Folders over which many files are dealt.
+SHELVES = 256
+
+
 def addenda_of(regs: DataFrame) -> DataFrame:
     """(doc_id, order_no, header_date, enforced_from, retroactive): addenda in order of their place, through all addendum blocks
     of a document."""
@@ -405,7 +409,8 @@ def manifests(spark, d):
     at, docs, k = scratch(spark, "files"), table(spark, d, "documents"), F.col("doc_id")
     ending = F.when(k % 5 == 0, ".md").when(k % 5 == 1, ".docx").when(k % 5 == 2, ".odt").otherwise(".txt")
     apart = "\u1100\u1172\u110c\u1165\u11bc"  # the same two syllables as separate letters
-    of = lambda rows, first, body: rows.select(F.concat(F.lit(f"{first}-"), k.cast("string"), ending).alias("name"), body.alias("content"))
+    shelf = F.format_string("%03d/", F.pmod(F.xxhash64("doc_id"), F.lit(SHELVES)))  # tasks list a folder each
+    of = lambda rows, first, body: rows.select(F.concat(shelf, F.lit(f"{first}-"), k.cast("string"), ending).alias("name"), body.alias("content"))
     there, text_of = docs.filter("doc_id % 9 <> 0"), F.coalesce("text", F.lit(""))
     write_files(of(there, "규정", text_of).unionByName(of(there.filter("doc_id % 10 = 0"), apart, text_of)), at)
     write_files(of(there, "._규정", text_of).unionByName(of(there, ".hidden", text_of)), at)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import nfc
-from quillmill.plans.checkpoints import scratch  # noqa: F401
+from quillmill.plans.checkpoints import cut, scratch  # noqa: F401
 
 # What reads a file of which ending. Old word files are refused.
 ROUTES = {"txt": "plain", "md": "plain", "docx": "docx", "pdf": "pdf", "hwp": "hwp", "hwpx": "hwp", "parquet": "table", "jsonl": "lines"}
@@ -31,11 +31,50 @@ def scan_directory(spark: SparkSession, folder: str, glob: str = "*") -> DataFra
     return named.filter(~F.col("name").startswith(".")).groupBy("name").agg(F.min("path").alias("path"), F.min("length").alias("size")).withColumn("reader", route_of(F.col("name")))
 
 
+def listed_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """(path, length, modificationTime) of the files in a folder and the folders below it, but for names that begin with a dot or an underscore.
+
+    One folder is one row of a task, level by level, so that the driver sees only how many folders a level has; files in
+    many folders are listed by many tasks.
+    """
+    from fnmatch import fnmatchcase
+
+    from quillmill.sources.docx import _open
+
+    schema = "path string, length long, modified long, folder boolean"
+
+    def look(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        kind = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified", pa.int64()), ("folder", pa.bool_())])
+        for batch in batches:
+            for at in batch["path"].to_pylist():
+                system, base = _open(folder)
+                found = [f for f in system.get_file_info(fs.FileSelector(base + at)) if not f.base_name.startswith((".", "_")) and (not f.is_file or fnmatchcase(f.base_name, glob))]
+                for i in range(0, len(found), 4096):
+                    part = found[i : i + 4096]
+                    yield pa.RecordBatch.from_pylist([{"path": f"{at}/{f.base_name}", "length": f.size if f.is_file else 0, "modified": (f.mtime_ns or 0) // 1000, "folder": not f.is_file} for f in part], kind)
+
+    level, files = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        found = cut(level.mapInArrow(look, schema))
+        files.append(found.filter("NOT folder"))
+        folders = found.filter("folder").select("path")
+        n = folders.count()
+        if not n:
+            break
+        level = folders.repartition(min(n, 8 * spark.sparkContext.defaultParallelism), "path")
+    every = files[0]
+    for more in files[1:]:
+        every = every.unionByName(more)
+    return every.select("path", "length", F.timestamp_micros("modified").alias("modificationTime"))
+
+
 def file_manifest(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(name, size, modified) of a folder's files by composed name, from the listing alone: no file is opened. Files whose
+    """(name, size, modified) of the files below a folder by composed name, from the listing alone: no file is opened. Files whose
     names begin with a dot or an underscore aren't listed; of names that are the same once composed the latest file counts."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "length", "modificationTime")
-    named = files.withColumn("name", nfc(F.url_decode(F.replace(F.substring_index("path", "/", -1), F.lit("+"), F.lit("%2B")))))
+    named = listed_files(spark, folder, glob).withColumn("name", nfc(F.substring_index("path", "/", -1)))
     return named.groupBy("name").agg(F.max_by("length", F.struct("modificationTime", "path")).alias("size"), F.max("modificationTime").alias("modified"))
 
 
@@ -50,7 +89,8 @@ def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def write_files(rows: DataFrame, folder: str) -> int:
-    """A file for each row (name, content) below the folder, in place of one that has the name; their number. A file appears when whole."""
+    """A file for each row (name, content) below the folder, in place of one that has the name; their number. A name may have folders
+    before it. A file appears when whole."""
     from quillmill.sources.docx import _open
 
     def put(batches):
@@ -59,10 +99,14 @@ def write_files(rows: DataFrame, folder: str) -> int:
         import pyarrow as pa
 
         system, base = _open(folder)
-        system.create_dir(base, recursive=True)
+        made = set()
         for batch in batches:
             for name, content in zip(batch["name"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                part = f"{base}/.{uuid.uuid4().hex}"
+                place = f"{base}/{name}".rpartition("/")[0]
+                if place not in made:
+                    system.create_dir(place, recursive=True)
+                    made.add(place)
+                part = f"{place}/.{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as out:
                     out.write((content or "").encode())
                 system.move(part, f"{base}/{name}")

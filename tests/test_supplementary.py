@@ -71,3 +71,25 @@ def test_routes_and_json_lines(spark, tmp_path):
     (tmp_path / ".hidden.txt").write_text("x")
     (tmp_path / "나.txt").write_text("y")
     assert [(r["name"], r["size"]) for r in files.scan_directory(spark, str(tmp_path), "*.txt").collect()] == [("나.txt", 1)]
+
+
+def test_manifests_list_folders_in_tasks(spark, tmp_path, monkeypatch):
+    """Files in folders, hidden ones beside them, one rewritten; no listing by the driver."""
+    import os
+
+    from pyspark.sql import DataFrameReader
+
+    def refuse(*_, **__):
+        raise AssertionError("the driver lists the files")
+
+    monkeypatch.setattr(DataFrameReader, "load", refuse)
+    frame = lambda rows: spark.createDataFrame(rows, "name string, content string").repartition(2)
+    assert files.write_files(frame([(f"{i % 5}/f{i}.txt", "x" * i) for i in range(20)] + [("top.md", "a"), ("0/.hidden", "b"), ("1/_gone", "c"), ("2/sub/b%20+.txt", "dd")]), str(tmp_path)) == 24
+    seen = lambda: {r["name"]: (r["size"], r["modified"]) for r in files.file_manifest(spark, str(tmp_path)).collect()}
+    before = seen()
+    assert {n: s for n, (s, _) in before.items()} == {f"f{i}.txt": i for i in range(20)} | {"top.md": 1, "b%20+.txt": 2}
+    files.write_files(frame([("3/f3.txt", "longer")]), str(tmp_path))
+    after = seen()
+    assert {n for n in after if after[n] != before[n]} == {"f3.txt"} and after["f3.txt"][0] == 6
+    assert abs(after["f3.txt"][1].timestamp() - os.stat(tmp_path / "3" / "f3.txt").st_mtime) < 1e-3
+    assert {r["name"] for r in files.file_manifest(spark, f"{tmp_path}/2", "*.txt").collect()} == {"f2.txt", "f7.txt", "f12.txt", "f17.txt", "b%20+.txt"}

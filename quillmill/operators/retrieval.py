@@ -19,6 +19,8 @@ K1, B = 1.5, 0.75
 DENSE_WEIGHT, LEXICAL_WEIGHT = 0.55, 0.45
 DOCUMENT_BOOST, ARTICLE_BOOST, PRIMARY_BOOST = 0.15, 0.10, 0.05
 CANDIDATES = 4
+#: Titles of a part: what one task matches and counts.
+TITLES = 20_000
 
 
 def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFrame:
@@ -223,14 +225,20 @@ def all_terms_query(spark, d):
 
 def title_boosts(questions: DataFrame, titles: DataFrame) -> DataFrame:
     """(query_id, id, boost): a strong boost for titles (id, title) that share a word of two characters or more with a question
-    (query_id, text), or 30 % of whose letter pairs it has; a weak one from 15 %. Pairs meet on what they share."""
-    words = lambda f, c, k: f.select(k, F.explode(F.array_distinct(F.filter(tokens(F.col(c)), lambda t: F.length(t) >= 2))).alias("word"))
-    shared = words(titles, "title", "id").join(bounded(words(questions, "text", "query_id")), "word").select("query_id", "id").distinct().withColumn("word", F.lit(True))
-    pairs = titles.select("id", bigrams(F.col("title")).alias("g")).select("id", F.size("g").alias("n"), F.explode("g").alias("b"))
-    asked = questions.select("query_id", F.explode(bigrams(F.col("text"))).alias("b"))
-    ratio = pairs.join(bounded(asked), "b").groupBy("query_id", "id").agg((F.count("*") / F.first("n")).alias("ratio"))
-    boost = F.when(F.coalesce("word", F.lit(False)) | (F.col("ratio") >= 0.30), 0.15).when(F.col("ratio") >= 0.15, 0.05)
-    return ratio.join(shared, ["query_id", "id"], "full").select("query_id", "id", boost.alias("boost")).filter("boost IS NOT NULL")
+    (query_id, text), or 30 % of whose letter pairs it has; a weak one from 15 %. Pairs meet on what they share: pairs of letters
+    and words in one join, of titles dealt by id into parts of `TITLES`, where their matches are also counted."""
+
+    def shared(rows: DataFrame, column: str, *keep: str) -> DataFrame:
+        words = F.array_distinct(F.filter(tokens(F.col(column)), lambda t: F.length(t) >= 2))
+        each = F.concat(F.transform(bigrams(F.col(column)), lambda g: F.struct(F.lit(False).alias("whole"), g.alias("part"))), F.transform(words, lambda w: F.struct(F.lit(True).alias("whole"), w.alias("part"))))
+        return rows.select(*keep, F.explode(each).alias("it")).select(*keep, "it.whole", "it.part")
+
+    parts = max(titles.sparkSession.sparkContext.defaultParallelism, -(-titles.count() // TITLES))
+    sized = titles.repartition(parts, "id").withColumn("n", F.size(bigrams(F.col("title"))))
+    met = shared(sized, "title", "id", "n").join(bounded(shared(questions, "text", "query_id")), ["whole", "part"])
+    found = met.groupBy("query_id", "id").agg(F.bool_or("whole").alias("word"), (F.count_if(~F.col("whole")) / F.first("n")).alias("ratio"))
+    boost = F.when(F.col("word") | (F.col("ratio") >= 0.30), 0.15).when(F.col("ratio") >= 0.15, 0.05)
+    return found.select("query_id", "id", boost.alias("boost")).filter("boost IS NOT NULL")
 
 
 _GRAMS = lambda c: f"list_distinct(flatten(list_transform(list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 1), lambda t: list_transform(range(1, length(t)::BIGINT), lambda i: substr(t, i, 2)))))"

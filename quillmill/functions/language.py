@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmill.functions.binding import let
+
 # Letters that only Vietnamese has among the languages told apart, languages, and intents.
 VIETNAMESE = "ăâđêôơưĂÂĐÊÔƠƯàáảãạằắẳẵặầấẩẫậèéẻẽẹềếểễệìíỉĩịòóỏõọồốổỗộờớởỡợùúủũụừứửữựỳýỷỹỵ"
 LANGUAGES = ["ko", "en", "zh", "vi"]
@@ -12,16 +14,21 @@ INTENTS = ["academic", "career", "personal", "document", "emotion", "small_talk"
 
 
 def count_of(text: Column, characters: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{characters}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{characters}]+", ""))
 
 
 def language_by_script(text: Column) -> Column:
-    """Korean if its letters, counted three times, are as many as Latin ones; then Vietnamese, Chinese, English; else Korean."""
+    """Korean if its letters, counted three times, are as many as Latin ones; then Vietnamese, Chinese, English; else Korean.
+    ASCII goes in runs first, so that the classes of letters meet only what is left; Latin letters are counted beside Korean ones alone."""
     text = F.coalesce(text, F.lit(""))
-    korean, latin = count_of(text, "가-힣ㄱ-ㆎ"), count_of(text, "A-Za-z")
-    return (
-        F.when((korean > 0) & (korean * 3 >= latin), "ko").when(count_of(text, VIETNAMESE) > 0, "vi").when(count_of(text, "一-鿿") > 0, "zh").when(latin > 0, "en").otherwise("ko")
-    )
+    korean, latin = "가-힣ㄱ-ㆎ", "A-Za-z"
+
+    def decided(rest: Column) -> Column:
+        mostly = F.rlike(rest, F.lit(f"[{korean}]")) & (count_of(rest, korean) * 3 >= count_of(text, latin))
+        found = F.when(mostly, "ko").when(F.rlike(rest, F.lit(f"[{VIETNAMESE}]")), "vi").when(F.rlike(rest, F.lit("[一-鿿]")), "zh")
+        return found.when(F.rlike(text, F.lit(f"[{latin}]")), "en").otherwise("ko")
+
+    return let(F.regexp_replace(text, r"[\x00-\x7f]+", ""), decided)
 
 
 def parse_intent(answer: Column) -> Column:

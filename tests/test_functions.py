@@ -234,3 +234,24 @@ def test_filters(spark):
     columns = {"name": F.col("name"), "metadata": F.col("metadata")}
     assert ids(equality_filter(columns, {"name": "a", "k": "v", "other": None})) == [1] and ids(equality_filter(columns, {"flag": True})) == [1] and ids(equality_filter(columns, {})) == [1, 2, 3]
     assert ids(access_scope(F.col("scope"), "me", [])) == [1, 2] and ids(access_scope(F.col("scope"), "x", ["g"])) == [1, 3] and ids(access_scope(F.col("scope"), "x", [], admin=True)) == [1, 2, 3]
+
+
+def test_language_by_script_of_mixed_and_long_texts(spark):
+    """Against counts of letters; classes of letters must not be tried on each letter of a long text."""
+    import random
+    import re
+    import time
+
+    rnd, ko, vi = random.Random(5), re.compile("[가-힣ㄱ-ㆎ]"), re.compile(f"[{language.VIETNAMESE}]")
+
+    def brute(text):
+        k, la = len(ko.findall(text)), len(re.findall("[A-Za-z]", text))
+        return "ko" if k and k * 3 >= la else "vi" if vi.search(text) else "zh" if re.search("[一-鿿]", text) else "en" if la else "ko"
+
+    pieces = ["a", "abc ", "가", "ㄱ", "é", "ă", "你", "1\n", "ß", "\U00020000", "Ω", "", "  "]
+    texts = ["".join(rnd.choices(pieces, k=rnd.randint(0, 6))) for _ in range(400)]
+    assert each(texts, language.language_by_script(V)) == [brute(t) for t in texts]
+    long = spark.range(0, 600, 1, 4).selectExpr("repeat('la plus grande maison été ', 1600) AS text")  # 25 MB
+    began = time.perf_counter()
+    assert {r[0] for r in long.select(language.language_by_script(F.col("text"))).distinct().collect()} == {"en"}
+    assert time.perf_counter() - began < 10

@@ -236,7 +236,7 @@ def test_filters(spark):
     assert ids(access_scope(F.col("scope"), "me", [])) == [1, 2] and ids(access_scope(F.col("scope"), "x", ["g"])) == [1, 3] and ids(access_scope(F.col("scope"), "x", [], admin=True)) == [1, 2, 3]
 
 
-def test_language_by_script_of_mixed_and_long_texts(spark):
+def test_language_by_script_of_mixed_and_long_texts(spark, each):
     """Against counts of letters; classes of letters must not be tried on each letter of a long text."""
     import random
     import re
@@ -251,7 +251,7 @@ def test_language_by_script_of_mixed_and_long_texts(spark):
     pieces = ["a", "abc ", "가", "ㄱ", "é", "ă", "你", "1\n", "ß", "\U00020000", "Ω", "", "  "]
     texts = ["".join(rnd.choices(pieces, k=rnd.randint(0, 6))) for _ in range(400)]
     assert each(texts, language.language_by_script(V)) == [brute(t) for t in texts]
-    long = spark.range(0, 600, 1, 4).selectExpr("repeat('la plus grande maison été ', 1600) AS text")  # 25 MB
+    long = spark.range(0, 600, 1, 4).selectExpr("repeat('die große Straße ist lang ', 1600) AS text")  # 25 MB
     began = time.perf_counter()
     assert {r[0] for r in long.select(language.language_by_script(F.col("text"))).distinct().collect()} == {"en"}
     assert time.perf_counter() - began < 10

@@ -12,7 +12,7 @@ from quillmill.functions.dates import effective_date
 from quillmill.functions.lexical import tokens
 from quillmill.functions.statistics import wilson
 from quillmill.operators.textual import _ADDENDA, _REVISED, pick, regulations
-from quillmill.plans.checkpoints import cut
+from quillmill.plans.checkpoints import cut, small_batches
 from quillmill.registry import query
 from quillmill.sources import docx
 from quillmill.sources.files import file_manifest, manifest_changes, read_json_lines, route_of, scan_directory, scratch, write_files, write_json_lines
@@ -94,6 +94,7 @@ def plain_decode(spark, d):
         kinds = [lambda i, t: t.encode() + b"\x00", lambda i, t: t.encode("utf-8-sig"), lambda i, t: f"똠방각하 {i}".encode("cp949"), lambda i, t: f"규정 {i}\n".encode("euc-kr"), lambda i, t: f"café {i} naïve".encode("latin-1")]
         return pd.Series([kinds[i % 5](i, t) for i, t in zip(ids, texts, strict=True)])
 
+    small_batches(spark)
     docs = table(spark, d, "documents").select("doc_id", written("doc_id", "text").alias("content"))
     return docs.select("doc_id", F.md5(misc.decoded("content")).alias("digest"))
 

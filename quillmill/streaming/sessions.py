@@ -46,7 +46,7 @@ class SessionKeeper(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         (user,) = key
-        status, last, messages, times, timer = self.state.get() if self.state.exists() else ("new", -1, 0, 0, -1)
+        status, last, messages, times, timer = self.state.get() or ("new", -1, 0, 0, -1)  # each call to the state is a message to the JVM
         for row in sorted(rows, key=lambda r: (r["at_ms"], r["event_id"])):
             if status == "active" and row["at_ms"] >= last + self.idle:
                 status, messages = "idle_closed", messages + 1
@@ -60,9 +60,10 @@ class SessionKeeper(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         (user,) = key
-        if not self.state.exists():
+        held = self.state.get()
+        if held is None:
             return
-        status, last, messages, times, timer = self.state.get()
+        status, last, messages, times, timer = held
         if status == "active":
             self._set_timer(None, last + self.idle + self.keep)
             self.state.update(("idle_closed", last, messages + 1, times, last + self.idle + self.keep))

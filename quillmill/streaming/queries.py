@@ -10,6 +10,8 @@ from quillmill.registry import query
 from quillmill.sources.tables import table
 
 LATE = "1 day"
+#: Events of a delivery, which is a batch.
+DELIVERY = 1_000_000
 
 
 def hourly_counts(events: DataFrame) -> DataFrame:
@@ -35,10 +37,26 @@ def run_available(spark, stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/rows/*")
 
 
+def deliver(events: DataFrame, at: str, rows: int) -> None:
+    """Write events as files in the order of their time, one after the other, of about so many rows each (more where many have one time), so that
+    neither a batch that reads one nor the state between batches grows with the table. Events without a time go with the first."""
+    spark, staged = events.sparkSession, scratch(events.sparkSession, "staged")
+    parts = max(1, -(-events.count() // rows))
+    edges = sorted(set(events.agg(F.percentile_approx("ts", [k / parts for k in range(1, parts)], 10_000)).first()[0] or [])) if parts > 1 else []
+    edges = [e for e in edges if not events.filter(F.col("ts") > F.lit(e)).isEmpty()]
+    later = [(F.col("ts") > F.lit(e)).cast("int") for e in edges]
+    if not edges:
+        events.coalesce(1).write.parquet(at)
+        return
+    events.withColumn("delivery", F.coalesce(sum(later, F.lit(0)), F.lit(0))).write.partitionBy("delivery").parquet(staged)
+    for n in range(len(edges) + 1):  # none is empty: each edge is the time of an event, and the last one isn't the latest time
+        spark.read.schema(events.schema).parquet(f"{staged}/delivery={n}").coalesce(1).write.mode("append").parquet(at)
+
+
 def _stream(spark, d: str) -> DataFrame:
     """The events, and after them one without a user or type, later than the watermark's delay, that closes all windows."""
     events, at = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), scratch(spark, "events")
-    events.coalesce(1).write.parquet(at)
+    deliver(events, at, DELIVERY)
     last = events.agg((F.max("ts") + F.expr(f"INTERVAL {LATE}") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(*[F.col("ts") if c == "ts" else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns])
     last.write.mode("append").parquet(at)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(at).withWatermark("ts", LATE)

@@ -62,7 +62,7 @@ def apply_changes(changes: DataFrame, at: str, chunks_of, buckets: int = BUCKETS
     fresh = changed.select(
         "key", F.when(F.col("action") == "index", F.col("hash")).alias("hash"), "model", "version", (F.col("action") == "delete").alias("gone"), F.posexplode_outer(chunks).alias("chunk_index", "chunk"), "bucket"
     )
-    whole = cut(kept.unionByName(fresh.select(old.columns)).join(F.broadcast(changed.select("bucket").distinct()), "bucket", "left_semi"))
+    whole = kept.unionByName(fresh.select(old.columns)).join(F.broadcast(changed.select("bucket").distinct()), "bucket", "left_semi")  # what is written replaces nothing before all of it is there
     whole.select(*[c for c in old.columns if c != "bucket"], "bucket").repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(at)
     return plan.select("key", "action")
 

@@ -63,3 +63,13 @@ def test_whole_texts_go_to_python_in_small_batches(spark, data):
         assert supplementary.plain_decode(spark, data).count() == 200 and spark.conf.get(key) == "1000"
     finally:
         spark.conf.set(key, before)
+
+
+def test_a_batch_of_changes_stores_the_whole_of_its_buckets_once(spark, tmp_path, monkeypatch):
+    from quillmill.streaming import sync
+
+    cuts, cut = [], sync.cut
+    monkeypatch.setattr(sync, "cut", lambda frame: cuts.append(frame.columns) or cut(frame))
+    for seq, text in ((1, "a\nb"), (2, "c")):
+        sync.apply_changes(spark.createDataFrame([(seq, 5, text, "published", "m")], sync.CHANGES), str(tmp_path / "store"), sync.lines_of)
+    assert [r["chunk"] for r in sync.current(spark, str(tmp_path / "store")).collect()] == ["c"] and not [c for c in cuts if "chunk" in c]

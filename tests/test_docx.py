@@ -63,3 +63,47 @@ def test_blocks_as_text(spark):
 
 def test_an_empty_folder(spark, tmp_path):
     assert docx.read_docx(spark, str(tmp_path)).collect() == []
+
+
+def test_short_bodies_are_parsed_at_once_and_long_ones_stream(monkeypatch):
+    """Both ways give the same blocks, and of a damaged body what stands before the fault."""
+    body = f"<w:p><w:r><w:t>one</w:t></w:r></w:p><w:tbl><w:tr>{cell('a')}{cell('b')}</w:tr></w:tbl><w:sdt><w:p/></w:sdt><w:p><w:r><w:t>two</w:t></w:r></w:p>"
+
+    def found(text):
+        got = []
+        try:
+            for block in docx.blocks_of(zipped(text)):
+                got.append(block)
+        except docx.ElementTree.ParseError:
+            got.append("broken")
+        return got
+
+    streamed = []
+    real = docx._streamed
+    monkeypatch.setattr(docx, "_streamed", lambda b: streamed.append(1) or real(b))
+    at_once = found(body)
+    assert not streamed and [b[0] for b in at_once] == ["paragraph", "table", "paragraph"]
+    damaged = found(body + "<w:p>")
+    assert damaged == [*at_once, "broken"]
+    monkeypatch.setattr(docx, "WHOLE", 0)
+    assert found(body) == at_once and found(body + "<w:p>") == damaged and streamed
+
+
+def test_rows_move_in_batches(spark, tmp_path):
+    """The reader gives Arrow batches bounded by rows and letters, the writer takes them; a long run of rows is one file."""
+    at = str(tmp_path / "d")
+    rows = [("a.docx", i, "paragraph", f"line {i}", None) for i in range(2_500)] + [("b.docx", 0, "paragraph", "x" * (docx.LETTERS + 1), None), ("b.docx", 1, "table", None, [["h"]])]
+    docx.write_docx(spark.createDataFrame(rows, docx.SCHEMA), at)
+    got = docx.read_docx(spark, at).orderBy("path", "at").collect()
+    assert [tuple(r) for r in got] == rows
+    reader = docx.DocxReader({"path": at}, docx.to_arrow_schema(docx.read_docx(spark, at).schema))
+    sizes = [b.num_rows for p in reader.partitions() for b in reader.read(p)]
+    assert sum(sizes) == len(rows) and max(sizes) == docx.ROWS and len(sizes) >= 4
+
+
+def test_partitions_follow_the_number_of_files(tmp_path):
+    schema = docx.pa.schema([])
+    for n in range(130):
+        (tmp_path / f"{n}.docx").touch()
+    sizes = lambda **o: [len(p.paths) for p in docx.DocxReader({"path": str(tmp_path), **o}, schema).partitions()]
+    assert sizes() == [docx.FEW, docx.FEW, 130 - 2 * docx.FEW] and sizes(files="40") == [40, 40, 40, 10]

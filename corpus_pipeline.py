@@ -9,7 +9,8 @@ from quillmill.llm import decontaminate, language_id, mixing, near_dedup, token_
 
 
 def language(spark, docs, sf_dir):
-    """Documents go for which the classifier gives no language: without a text, or without a letter in it."""
+    """Documents go for which the classifier gives no language: without a text, or without a letter in it. Of the others
+    `lang` becomes its prediction, which decides what the mix takes of each source."""
     return language_id.drop_undetermined(docs)
 
 
@@ -24,8 +25,9 @@ def decontamination(spark, docs, sf_dir):
 
 
 def source_mix(spark, docs, sf_dir):
-    """Documents are taken never, once or twice, so that sources come near their targets; a document taken twice is two rows."""
-    return mixing.mixed_documents(docs)
+    """Documents are taken never, once or twice, so that sources come near their targets, and predicted languages keep their
+    shares of each source; a document taken twice is two rows."""
+    return mixing.mixed_documents(docs, within="lang")
 
 
 def tokens(spark, docs, sf_dir):

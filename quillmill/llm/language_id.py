@@ -159,8 +159,8 @@ def has_letter(text: str | None) -> bool:
 
 
 def _predict(model: Model | None, keep: float | None = None):
-    """Rows with their prediction in place of the text; or, with `keep`, the rows in a language as they are: with a letter, and
-    with more than `keep` of its n-grams in common with a landmark if there is a model."""
+    """Rows with their prediction in place of the text; or, with `keep`, the rows in a language: with a letter, and with more than
+    `keep` of its n-grams in common with a landmark if there is a model, whose prediction is their `lang`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks_of(batches):
@@ -176,7 +176,9 @@ def _predict(model: Model | None, keep: float | None = None):
                         langs[i], scores[i] = model.languages[b], float(s)
                     known = known[common > keep] if keep is not None else known
                 if keep is not None:
-                    yield part.take(pa.array(known))
+                    kept = part.take(pa.array(known))
+                    field = part.schema.field("lang")
+                    yield kept.set_column(part.schema.names.index("lang"), field, pa.array([langs[i] for i in known], field.type)) if model else kept
                     continue
                 rest = {n: part.column(n) for n in part.schema.names if n != "text"}
                 yield pa.RecordBatch.from_pydict(rest | {"lang_pred": pa.array(langs), "score": pa.array(scores)})
@@ -203,8 +205,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def drop_undetermined(docs: DataFrame, reject: float | None = None) -> DataFrame:
-    """The documents for which the classifier gives a language. By default only those go whose prediction is `und`: without a
-    text, or without a letter in it; a text in a language that it hasn't learned has a prediction and stays.
+    """The documents for which the classifier gives a language, which is their `lang` from then on, whatever label they had.
+    By default only those go whose prediction is `und`: without a text, or without a letter in it; a text in a language that
+    it hasn't learned has a prediction and stays. Without labels to learn from `lang` stays as it is.
 
     With `reject`, from 0 to 1, texts go too whose share of n-grams beyond chance in common with the nearest landmark is not over it: most
     texts in another script have about 0, texts in a learned language 0.5 and more. This loses texts in languages of which

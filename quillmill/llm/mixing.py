@@ -14,6 +14,7 @@ result. Ties in the seeded order are broken by doc_id and the text's hash. Colum
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -317,13 +318,34 @@ def cycle_target_table(totals: DataFrame, share: float = 1.5, limit: float = 2.0
         at_limit, unit = n, (share * whole[0] - taken) / weight if weight else unit
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def cell_targets(totals: dict[str, int]) -> dict[str, float]:
+    """Targets of cells, parts of sources whose names are JSON objects with `source`: a source's target by `cycle_targets`, dealt over its cells by their sizes."""
+    source_of = {cell: "~" if (s := json.loads(cell[1:]).get("source")) is None else f"={s}" for cell in totals}
+    sizes = dict.fromkeys(source_of.values(), 0)
+    for cell, size in totals.items():
+        sizes[source_of[cell]] += size
+    wanted = cycle_targets(sizes)
+    return {cell: wanted[source_of[cell]] * size / max(1, sizes[source_of[cell]]) for cell, size in totals.items()}
+
+
+def cell_target_table(totals: DataFrame) -> DataFrame:
+    """`cell_targets` as a table, for any number of cells: source, size, target."""
+    name = F.from_json(F.expr("substring(source, 2)"), "source string")["source"]
+    cells = totals.withColumn("of", F.coalesce(F.concat(F.lit("="), name), F.lit("~")))
+    sources = cycle_target_table(cells.groupBy(F.col("of").alias("source")).agg(F.sum("size").alias("size")))
+    wanted = sources.select(F.col("source").alias("of"), F.col("size").alias("whole"), "target")
+    return cells.join(wanted, "of").select("source", "size", (F.col("target") * F.col("size") / F.greatest(F.lit(1), "whole")).alias("target"))
+
+
+def mixed_documents(docs: DataFrame, within: str | None = None) -> DataFrame:
     """The rows of `docs`, each as often as the mix of its sources takes it. Rows alike in all columns are taken as often as
-    all of them together, as copies of one of them."""
+    all of them together, as copies of one of them. With `within`, a column, its values keep their shares of each source."""
     row, body, passes, alike, each = (free_name(docs, f"mix {x}") for x in ("row", "body", "passes", "alike", "each"))
     keys = {row: F.xxhash64(*docs.columns), body: F.xxhash64("text")}
-    slim = docs.select(keys[row].alias("doc_id"), F.array("source").alias("memberships"), "text")
-    taken = mix(slim, cycle_targets, target_table=cycle_target_table).groupBy(F.col("doc_id").alias(row), F.col("body").alias(body))
+    cell = F.to_json(F.struct(F.col("source").cast("string").alias("source"), F.col(within).alias("within"))) if within else F.col("source")
+    slim = docs.select(keys[row].alias("doc_id"), F.array(cell).alias("memberships"), "text")
+    targets, target_table = (cell_targets, cell_target_table) if within else (cycle_targets, cycle_target_table)
+    taken = mix(slim, targets, target_table=target_table).groupBy(F.col("doc_id").alias(row), F.col("body").alias(body))
     taken = taken.agg(F.sum("passes").alias(passes), F.count("*").alias(alike)).filter(F.col(passes) > 0)
     keyed = docs.select("*", *[v.alias(k) for k, v in keys.items()])
 

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from quillmill.llm import decontaminate, language_id
+from quillmill.llm import decontaminate, language_id, mixing
 
 
 def test_stages_keep_columns_and_take_effect(spark, data, tmp_path):
@@ -36,6 +36,29 @@ def test_language_stage_keeps_documents_with_letters(spark, make_docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1] and language_id.UNDETERMINED == "und"
 
 
+def test_predicted_languages_decide_what_the_mix_takes(spark, make_docs):
+    """`lang` is the prediction, against false labels too, and each language keeps its share of each source, which labels alone would not give."""
+    english, spanish = "the house and the garden were near the old river", "la casa y el jardín estaban cerca del viejo río"
+    said = lambda i: " ".join(random.Random(i).sample((spanish if i % 4 == 0 else english).split(), 8)) + f" x{i}"
+    truth = ["es" if i % 4 == 0 else "en" for i in range(480)]
+    labels = [("en" if t == "es" else "es") if i % 40 < 2 else None if i % 3 == 0 else t for i, t in enumerate(truth)]
+    docs = make_docs([said(i) for i in range(480)], sources=["a" if i < 240 else "b" if i < 400 else None for i in range(480)], langs=labels)
+    found = corpus_pipeline.language(spark, docs, "").cache()
+    assert [r["lang"] for r in found.orderBy("doc_id").collect()] == truth
+    mixed = corpus_pipeline.source_mix(spark, found, "").groupBy("source", "lang").count().collect()
+    sizes = {"=a": 240 * 9, "=b": 160 * 9, "~": 80 * 9}
+    wanted = mixing.cycle_targets(sizes)
+    assert len(mixed) == 6
+    for r in mixed:
+        assert abs(9 * r["count"] - wanted["~" if r["source"] is None else f"={r['source']}"] * (0.25 if r["lang"] == "es" else 0.75)) <= 5
+    # Other predictions, another choice; and the table for many cells gives the same targets.
+    taken = lambda rows: sorted(r["doc_id"] for r in corpus_pipeline.source_mix(spark, rows, "").collect())
+    assert taken(found) != taken(found.withColumn("lang", language_id.F.lit("en")))
+    totals = {'={"source":"q\\"1","within":"en"}': 40, '={"source":"q\\"1"}': 20, '={"within":"en"}': 7, '={"source":"b","within":"es"}': 0, "={}": 9}
+    table = mixing.cell_target_table(spark.createDataFrame([*totals.items()], "source string, size long")).collect()
+    assert {r["source"]: round(r["target"], 6) for r in table} == {k: round(v, 6) for k, v in mixing.cell_targets(totals).items()}
+
+
 def test_queries_are_registered():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))

@@ -233,3 +233,25 @@ def test_oracle_contexts_of_shared_and_several_articles(spark, monkeypatch):
     copies = lambda n: (spark.range(n).selectExpr("id AS query_id", "1L AS doc_id", "'a' AS article"), spark.range(400).selectExpr("id AS chunk_id", "1L AS doc_id", "'a' AS article"))
     plan = goldset.oracle_context(*copies(50), hits)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate posexplode") >= 1 and "Window" not in plan.split("Generate posexplode")[0]
+
+
+def test_entities_of_lines_with_one_number_are_those_stored_first(spark, tmp_path):
+    """Lines that share order and number, in one file and in two; the first line of a brand whose part has no type, and lines without a supplier."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    part = [(i, f"Brand#{i % 3}", None if i == 12 else f"T{i}", "n" * (i % 7)) for i in range(60)]
+    lines = [(1 + i // 1500, 2, (i * 7 + 58) % 60, None if i % 50 == 0 else i % 4) for i in range(3000)]
+    pq.write_table(pa.table(dict(zip(("p_partkey", "p_brand", "p_type", "p_name"), zip(*part)))), f"{tmp_path}/part.parquet")
+    os.mkdir(f"{tmp_path}/lineitem.parquet")
+    for n, some in enumerate((lines[:600], lines[600:])):
+        pq.write_table(pa.table(dict(zip(("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), zip(*some)))), f"{tmp_path}/lineitem.parquet/part-{n}.parquet")
+    found = registry.QUERIES["agg17_gen1_merge_entities"](spark, str(tmp_path)).toPandas()
+    first = {}
+    for _, _, key, _ in lines:
+        if part[key][2]:
+            first.setdefault(part[key][1].lower(), part[key][2])
+    assert dict(zip(found["key"], found["kind"])) == first and first["brand#0"] != "T12"
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW part AS FROM '{tmp_path}/part.parquet'; CREATE VIEW lineitem AS FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert rows(found) == rows(con.execute(registry.ORACLE_SQL["agg17_gen1_merge_entities"]).df())

@@ -255,3 +255,25 @@ def test_entities_of_lines_with_one_number_are_those_stored_first(spark, tmp_pat
     con = duckdb.connect(config={"threads": 1})
     con.execute(f"CREATE VIEW part AS FROM '{tmp_path}/part.parquet'; CREATE VIEW lineitem AS FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
     assert rows(found) == rows(con.execute(registry.ORACLE_SQL["agg17_gen1_merge_entities"]).df())
+
+
+def test_oracle_contexts_take_little_room(spark, tmp_path, monkeypatch):
+    """Each question's gold chunks in their order, whatever blocks and packs they meet in, an unnamed question's too. The rows of many questions with the
+    same long lists are written in under half a byte each, and nothing holds all rows of a block at once."""
+    from quillmill.operators import goldset
+
+    gold = spark.range(2000).selectExpr("nullif(id, 5) AS query_id", "id % 8 AS doc_id", "'a' AS article")
+    chunks = spark.range(8000).selectExpr("id AS chunk_id", "id * 7 % 8 AS doc_id", "' a' AS article")
+    none = spark.createDataFrame([], "query_id long, chunk_id long, rank int")
+    found = goldset.oracle_context(gold, chunks, none)
+    found.write.parquet(f"{tmp_path}/out")
+    n = spark.read.parquet(f"{tmp_path}/out").count()
+    assert n == 2000 * 1000 and sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < n / 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate posexplode(transform(" in plan  # a lambda keeps it from being compiled together with the join
+    monkeypatch.setattr(goldset, "PACK", 64)
+    monkeypatch.setattr(goldset, "BLOCK", 3)
+    monkeypatch.setattr(goldset, "TASK_ROWS", 5000)
+    some = goldset.oracle_context(gold.filter("query_id IS NULL OR query_id < 200"), chunks, none).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))).alias("all")).collect()
+    lists = {q: [c for c in range(8000) if c * 7 % 8 == q % 8] for q in range(8)}
+    assert {r["query_id"]: [tuple(x) for x in r["all"]] for r in some} == {None if q == 5 else q: list(enumerate(lists[q % 8], 1)) for q in range(200)}
